@@ -1,10 +1,11 @@
 """Sequence packing by minimum bin slack.
 
-A document's ids are cut into full windows and a remainder, so cuts depend on
-its own length alone.  A full window is a sequence by itself; remainders are
+A document's ids are cut into full windows and a remainder.  A full window is a sequence by itself; remainders are
 pooled by length, and each further sequence takes the multiset of pooled
 lengths whose sum comes closest to the window: a bitset holds the sums that the
-counted lengths reach, and backtracking over the stages gives the counts.
+counted lengths reach, and backtracking over the stages gives the counts.  Where even
+the best multiset leaves more than ``SLACK`` tokens, the longest remainder
+left is cut to fill them, so padding stays small whatever the lengths are.
 
 Tasks pack their own rows, so nothing is shuffled and memory holds one pool of
 remainders.  A sequence is named by partition and running number, which a
@@ -28,6 +29,8 @@ from spanmill.llm.tokens import ChunkTable, cut_at_spaces
 WINDOW = 1024
 #: Remainders pooled before sequences are closed.
 POOL = 4096
+#: Tokens of a sequence that may stay empty while remainders are left.
+SLACK = 8
 END_ID = 0
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -58,26 +61,33 @@ def fill(lengths: dict[int, int], capacity: int) -> dict[int, int]:
 
 
 class _Pool:
-    """Remainders by length; the oldest of a length is placed first."""
+    """Remainders by length, as (doc_id, start, ids, doc_tokens); the oldest of a length is placed first."""
 
     def __init__(self, window: int) -> None:
         self.window, self.by_length, self.n = window, {}, 0
 
-    def add(self, piece: tuple, length: int) -> None:
-        self.by_length.setdefault(length, []).append(piece)
+    def add(self, piece: tuple[int | None, int, bytes, int]) -> None:
+        self.by_length.setdefault(len(piece[2]) // 4, []).append(piece)
         self.n += 1
 
-    def sequences(self, down_to: int, exact_only: bool = False) -> Iterator[list[tuple]]:
+    def take(self, length: int, count: int) -> list[tuple]:
+        rows = self.by_length[length]
+        out = rows[:count]
+        del rows[:count]
+        if not rows:
+            del self.by_length[length]
+        self.n -= count
+        return out
+
+    def sequences(self, down_to: int) -> Iterator[list[tuple]]:
         while self.n > down_to:
             counts = fill({k: len(v) for k, v in self.by_length.items()}, self.window)
-            out = []
-            for length in sorted(counts, reverse=True):
-                rows = self.by_length[length]
-                out += rows[: counts[length]]
-                del rows[: counts[length]]
-                if not rows:
-                    del self.by_length[length]
-            self.n -= len(out)
+            out = [piece for length in sorted(counts, reverse=True) for piece in self.take(length, counts[length])]
+            slack = self.window - sum(k * n for k, n in counts.items())
+            if slack > SLACK and self.n:
+                doc, start, ids, tokens = self.take(max(self.by_length), 1)[0]
+                out.append((doc, start, ids[: 4 * slack], tokens))
+                self.add((doc, start + slack, ids[4 * slack :], tokens))
             yield out
 
 
@@ -117,9 +127,9 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, p
         def place(pieces: list[tuple]) -> None:
             nonlocal number
             at = 0
-            for doc, start, length, crc, tokens in pieces:
-                rows.append((doc, start, length, crc, tokens, number, at))
-                at += length
+            for doc, start, part, tokens in pieces:
+                rows.append((doc, start, len(part) // 4, zlib.crc32(part), tokens, number, at))
+                at += len(part) // 4
             number += 1
 
         def flushed() -> pa.RecordBatch:
@@ -132,12 +142,11 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, p
                 ids = encode_bytes(text or "", table) + end
                 tokens = len(ids) // 4
                 for start in range(0, tokens, window):
-                    part = ids[4 * start : 4 * (start + window)]
-                    piece = (doc, start, len(part) // 4, zlib.crc32(part), tokens)
-                    if piece[2] == window:
+                    piece = (doc, start, ids[4 * start : 4 * (start + window)], tokens)
+                    if start + window <= tokens:
                         place([piece])
                     else:
-                        rest.add(piece, piece[2])
+                        rest.add(piece)
             if rest.n > pool:
                 for pieces in rest.sequences(pool // 2):
                     place(pieces)
