@@ -17,6 +17,7 @@ columns are ignored, an empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from spanmill.llm.tokens import ChunkTable, cut_at_spaces
+from spanmill.llm.tokens import ChunkTable, cut_at_spaces, grouped
 
 WINDOW = 1024
 #: Remainders pooled before sequences are closed.
@@ -91,25 +92,53 @@ class _Pool:
             yield out
 
 
-def byte_table(tokenizer_file: str) -> ChunkTable:
-    from tokenizers import Tokenizer
+def _byte_letters() -> dict[int, str]:
+    """The printable character by which byte-level vocabularies write each byte: printable
+    Latin-1 bytes stand for themselves, the others follow from U+0100."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
-    model = Tokenizer.from_file(tokenizer_file)
 
-    def segment(chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in model.encode_batch_fast(chunks, add_special_tokens=False)]
+class ByteCoder:
+    """Ids of whole texts by the tokenizers library, without special tokens added.
 
-    return ChunkTable(segment)
+    The byte-level pre-tokenizer always cuts before a space that follows other
+    text, so the pieces between such spaces are encoded apart, each distinct
+    one once.  A piece of letters, perhaps with one mark after it, is one or two
+    pre-tokens, which go to the vocabulary's merges directly; other pieces go
+    through the whole tokenizer."""
 
+    MARKS = ".,;:!?"
 
-def encode_bytes(text: str, table: ChunkTable) -> bytes:
-    """Ids of a whole text.  The byte-level pre-tokenizer always cuts before a
-    single space that follows other text, so chunks between such spaces are
-    encoded apart; a chunk keeps its leading space."""
-    if not text:
-        return b""
-    pieces = cut_at_spaces(text)
-    return table.ids([pieces[0], *[" " + p for p in pieces[1:]]])
+    def __init__(self, tokenizer_file: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_file(tokenizer_file)
+        self.merges, self.letters = self.model.model, _byte_letters()
+        self.marks = {m: self._whole([m])[0] for m in self.MARKS}
+        self.heads, self.table, self.words = ChunkTable(self._whole), ChunkTable(self._pieces), ChunkTable(self._words)
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        spelled = ["Ġ" + w if w.isascii() else "Ġ" + w.encode().decode("latin-1").translate(self.letters) for w in words]
+        return [array("I", [t.id for t in self.merges.tokenize(w)]).tobytes() for w in spelled]
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, each with a space before it."""
+        split = [(p, "") if p.isalpha() else (p[:-1], p[-1]) if p and p[-1] in self.marks and p[:-1].isalpha() else None for p in pieces]
+        words = iter(self.words.ids([[s[0]] for s in split if s]))
+        others = iter(self._whole([" " + p for p, s in zip(pieces, split) if not s]))
+        return [next(words) + self.marks.get(s[1], b"") if s else next(others) for s in split]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        pieces = [cut_at_spaces(t) for t in texts]
+        heads = self.heads.ids([p[:1] for p in pieces])
+        for p in pieces:
+            del p[0]
+        return [a + b for a, b in zip(heads, self.table.ids(pieces))]
 
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, pool: int = POOL) -> DataFrame:
@@ -119,7 +148,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, p
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        table, rest = byte_table(tokenizer_file), _Pool(window)
+        coder, rest = ByteCoder(tokenizer_file), _Pool(window)
         number = TaskContext.get().partitionId() << 33
         end = np.array([END_ID], "<u4").tobytes()
         rows: list[tuple] = []
@@ -138,8 +167,10 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, p
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], NAMES)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode_bytes(text or "", table) + end
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            bodies = (x for some in grouped(texts) for x in coder.encode(some))
+            for doc, body in zip(batch.column(0).to_pylist(), bodies):
+                ids = body + end
                 tokens = len(ids) // 4
                 for start in range(0, tokens, window):
                     piece = (doc, start, ids[4 * start : 4 * (start + window)], tokens)

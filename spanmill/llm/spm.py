@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from spanmill.llm.tokens import ChunkTable
+from spanmill.llm.tokens import ChunkTable, grouped
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}+[^{MARK}]*")
@@ -35,30 +36,34 @@ class PieceCoder:
         for i in range(self.model.get_piece_size()):
             if MARK in self.model.id_to_piece(i).lstrip(MARK):
                 raise ValueError("a piece crosses a white-space marker")
-        self.lone = np.array([self.model.piece_to_id(MARK)], "<u4").tobytes()
-        # whether the model keeps spaces as they are and changes no character is tried out, not assumed
-        probe = " a  éﬁ　Å  b▁c "
-        self.plain = self._by_words(probe, ChunkTable(self._segment)) == self._whole(probe)
+        self.lone = array("I", [self.model.piece_to_id(MARK)]).tobytes()
         self.table = ChunkTable(self._segment)
+        # whether the model keeps spaces as they are and changes no character is tried out, not assumed
+        probe = " a  éﬁ　Å  b▁c "
+        self.plain = self._by_words([probe]) == [self._whole(probe)]
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.model.encode(text), "<u4").tobytes()
+        return array("I", self.model.encode(text)).tobytes()
 
     def _segment(self, words: list[str]) -> list[bytes]:
-        # the library puts one marker before what it encodes, so a word goes in without its first
-        out = [np.array(x, "<u4").tobytes() for x in self.model.encode([w[1:].replace(MARK, " ") for w in words], num_threads=1)]
-        return [self.lone if w == MARK else x for w, x in zip(words, out)]
+        # a word is given without its first marker, since the library puts one before what it encodes
+        out = [array("I", x).tobytes() for x in self.model.encode([w.replace(MARK, " ") for w in words], num_threads=1)]
+        return [x if w else self.lone for w, x in zip(words, out)]
 
-    def _by_words(self, text: str, words: ChunkTable) -> bytes:
+    def _words(self, text: str) -> list[str]:
+        """The marked words of a text, each without its first marker."""
         if not text:
-            return b""
-        if "  " not in text and text[0] != " " and text[-1] != " " and MARK not in text:
-            return words.ids([MARK + w for w in text.split(" ")])
-        return words.ids(_WORD.findall(MARK + text.replace(" ", MARK)))
+            return []
+        if "  " not in text and text[0] != " " and MARK not in text:
+            return text.split(" ")
+        return [w[1:] for w in _WORD.findall(MARK + text.replace(" ", MARK))]
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
+        return self.table.ids([self._words(t) for t in texts])
 
-    def encode(self, text: str) -> bytes:
+    def encode(self, texts: list[str]) -> list[bytes]:
         """Ids in little-endian unsigned 32-bit integers, without begin and end."""
-        return self._by_words(text, self.table) if self.plain else self._whole(text)
+        return self._by_words(texts) if self.plain else [self._whole(t) for t in texts]
 
     def decode(self, ids: list[int]) -> str:
         return self.model.decode(ids)
@@ -75,8 +80,9 @@ def encode_documents(docs: DataFrame, model_file: str, text: str = "text", key:
         last = np.array([coder.model.eos_id()], "<u4").tobytes()
         for batch in batches:
             count, digest, back, kept, texts = [], [], [], [], []
-            for value in batch.column(1).to_pylist():
-                ids = first + coder.encode(value or "") + last
+            values = [v or "" for v in batch.column(1).to_pylist()]
+            for body in (x for run_of in grouped(values) for x in coder.encode(run_of)):
+                ids = first + body + last
                 decoded = coder.decode(np.frombuffer(ids, "<u4").tolist())
                 count.append(len(ids) // 4)
                 digest.append(hashlib.sha256(ids).hexdigest())

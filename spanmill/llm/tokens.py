@@ -8,41 +8,53 @@ the Python worker, hold a bounded number of chunks and start over when full.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 #: Chunks a worker's table holds before it starts over.
-TABLE_LIMIT = 400_000
+TABLE_LIMIT = 1_000_000
+#: Characters of text whose chunks are looked up together.
+GROUP_CHARS = 1 << 20
 
+_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()]
+_BEFORE_SPACE = [c + " " for c in _SPACES]
 _SAFE_CUT = re.compile(r"(?<=\S) ")
 
 
 class ChunkTable(dict):
     """chunk -> its ids as little-endian unsigned 32-bit integers, in bytes."""
 
-    def __init__(self, segment_many) -> None:
+    def __init__(self, segment: Callable[[list[str]], list[bytes]], limit: int = TABLE_LIMIT) -> None:
         super().__init__()
-        self.segment_many = segment_many
+        self.segment, self.limit = segment, limit
 
-    def learn(self, chunks) -> None:
-        new = [c for c in chunks if c not in self]
-        if len(self) + len(new) > TABLE_LIMIT:
+    def ids(self, texts: list[list[str]]) -> list[bytes]:
+        """The ids of texts given as chunks."""
+        wanted = set().union(*texts)
+        new = [c for c in wanted if c not in self]
+        if len(self) + len(new) > self.limit:
             self.clear()
-            new = list(chunks)
+            new = list(wanted)
         if new:
-            self.update(zip(new, self.segment_many(new)))
+            self.update(zip(new, self.segment(new)))
+        return [b"".join([self[c] for c in chunks]) for chunks in texts]
 
-    def ids(self, chunks: list[str]) -> bytes:
-        try:
-            return b"".join([self[c] for c in chunks])
-        except KeyError:
-            self.learn(set(chunks))
-            return b"".join([self[c] for c in chunks])
+
+def grouped(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of texts of about ``GROUP_CHARS`` characters together."""
+    rest = iter(texts)
+    while run := list(islice(rest, 1)):
+        size = len(run[0])
+        while size < GROUP_CHARS and (more := list(islice(rest, 1))):
+            run += more
+            size += len(more[0])
+        yield run
 
 
 def cut_at_spaces(text: str) -> list[str]:
-    """Pieces between single spaces.  A space is a cut only after a character
-    that is not white space; other spaces stay with the piece after them, so
-    runs of white space are never cut inside."""
-    pieces = text.split(" ")
-    if "" not in pieces[1:] and not any(map(str.isspace, [p[-1] for p in pieces if p])):
-        return pieces
-    return _SAFE_CUT.split(text)
+    """Pieces between the spaces that can be cuts: those after a character that is not white
+    space.  A piece but the first stands for itself with a space before it; other
+    spaces stay in the pieces, so runs of white space are never cut inside."""
+    if any(pair in text for pair in _BEFORE_SPACE):
+        return _SAFE_CUT.split(text)
+    return text.split(" ")

@@ -7,7 +7,8 @@ not seen the row.
 
 Terms are words and their beginnings, lower-cased; a document has a term or
 not, so text length doesn't dilute it.  The terms that tell a category's rows
-apart (chi-square over the sample) are kept.  The classifier is fitted on a
+apart (chi-square over the sample) are kept; a term's value is the size of its
+log-odds there, so few rows suffice to trust rare telling words.  The classifier is fitted on a
 bounded sample of labelled rows: at most ``SAMPLE_PER_CLASS`` rows for each
 value of each category, the first in the order of a hash of their ids.
 Everything else covers all rows.
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_PER_CLASS = 1500
-TERMS_PER_CATEGORY = 600
+TERMS_PER_CATEGORY = 200
 FOLDS = 3
 CATEGORIES = ("quality", "toxic")
 BEGINNINGS = (3, 4, 5, 6)
@@ -56,12 +57,12 @@ class Logistic:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 200) -> Logistic:
-    """Ridge-penalised logistic regression by accelerated gradient steps; classes count alike."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 300) -> Logistic:
+    """Ridge-penalised logistic regression by accelerated gradient steps."""
     share = y.mean() if len(y) else 0.0
     if share in (0.0, 1.0):
         return Logistic(np.zeros(x.shape[1]), 30.0 if share else -30.0)
-    weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) / len(y)
+    weight = np.full(len(y), 1 / len(y))
     full = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     bound = 0.25 * float(((full**2).sum(1) * weight).sum()) + l2
     w, v, step = np.zeros(full.shape[1]), np.zeros(full.shape[1]), 1 / bound
@@ -79,6 +80,8 @@ class ToxicityChain:
     categories: tuple[str, ...]
     terms: dict[str, int]
     models: list[Logistic] = field(default_factory=list)
+    #: the value of each term, by place
+    scales: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         """(rows, categories): each model sees the probabilities before its own."""
@@ -145,24 +148,26 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] =
             *(F.sum(F.when(F.col(c) == v, F.col("n")).otherwise(0)).alias(f"{c}_{v}") for c in categories for v in (0, 1))
         ).cache()
         totals = texts.agg(*(F.count_if(F.col(c) == v).alias(f"{c}_{v}") for c in categories for v in (0, 1))).first()
-        picked: set[str] = set()
+        picked: dict[str, float] = {}
         for c in categories:
             with_1, with_0 = max(totals[f"{c}_1"], 1), max(totals[f"{c}_0"], 1)
             gap = F.col(f"{c}_1") / with_1 - F.col(f"{c}_0") / with_0
             all_with = F.col(f"{c}_1") + F.col(f"{c}_0")
             score = gap * gap / ((all_with + 1) * (with_1 + with_0 + 1 - all_with))
-            top = counts.where(all_with >= 3).orderBy(score.desc(), "term").limit(n_terms).select("term").collect()
-            picked |= {r.term for r in top}
+            odds = F.abs(F.log((F.col(f"{c}_1") + 0.5) / (with_1 + 1)) - F.log((F.col(f"{c}_0") + 0.5) / (with_0 + 1)))
+            top = counts.where(all_with >= 3).orderBy(score.desc(), "term").limit(n_terms).select("term", odds.alias("odds")).collect()
+            picked |= {r.term: max(r.odds, picked.get(r.term, 0.0)) for r in top}
         counts.unpersist()
         terms = {t: i for i, t in enumerate(sorted(picked))}
         data = texts.mapInPandas(_sample_terms(terms, categories), f"{schema}, terms array<int>").toPandas()
     finally:
         texts.unpersist()
     data = data.sort_values("doc_id", key=lambda s: pd.util.hash_array(s.to_numpy(np.int64))).reset_index(drop=True)
+    scales = np.array([picked[t] for t in terms])
     x = np.zeros((len(data), len(terms)), np.float32)
     for i, t in enumerate(data["terms"]):
-        x[i, t] = 1
-    return ToxicityChain(categories, terms, fit_models(x, data[list(categories)].to_numpy(float)))
+        x[i, t] = scales[t]
+    return ToxicityChain(categories, terms, fit_models(x, data[list(categories)].to_numpy(float)), scales)
 
 
 def score_documents(docs: DataFrame, chain: ToxicityChain, text: str = "text", prefix: str = "p_") -> DataFrame:
@@ -188,7 +193,8 @@ def score_documents(docs: DataFrame, chain: ToxicityChain, text: str = "text", p
             for at in range(0, len(found), 1000):
                 x = np.zeros((len(found[at : at + 1000]), n))
                 for i, have in enumerate(found[at : at + 1000]):
-                    x[i, list(have)] = 1
+                    at_terms = list(have)
+                    x[i, at_terms] = chain.scales[at_terms]
                 scores[at : at + 1000] = chain.predict(x)
             yield pd.DataFrame(scores, columns=list(chain.categories))
 
