@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 ESCAPE = r"\\u[0-9a-fA-F]{4}"
 
@@ -56,7 +57,7 @@ def decode_escapes(x: Column) -> Column:
     return _decode_escapes(x)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _search_text(x: pd.Series) -> pd.Series:
     def one(v):
         if v is None:
@@ -66,6 +67,6 @@ def _search_text(x: pd.Series) -> pd.Series:
     return x.map(one, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decode_escapes(x: pd.Series) -> pd.Series:
     return x.map(lambda v: re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), v), na_action="ignore")

@@ -56,7 +56,11 @@ def lineup_minutes(matches: DataFrame) -> DataFrame:
     first.  Leaving before entering gives 0 minutes and
     ``substitution_conflict``; more than the duration and 30 is ``invalid``."""
     teams = formations(matches)
-    listed = F.explode(F.concat(*(F.transform(c, lambda p, s=s: F.struct(p.alias("p"), F.lit(s).alias("started"))) for c, s in (("lineup", True), ("bench", False))))).alias("x")
+
+    def squad(column: str, started: bool) -> Column:
+        return F.transform(column, lambda p: F.struct(p.alias("p"), F.lit(started).alias("started")))
+
+    listed = F.explode(F.concat(squad("lineup", True), squad("bench", False))).alias("x")
     rows = teams.select("match_id", "team_id", "duration", "subs", listed)
     full = F.when(F.col("duration").isin("ExtraTime", "Penalties"), 120).otherwise(90)
     player = F.col("x.p.playerId")

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def krippendorff_alpha(ratings: DataFrame, unit: str, value: str) -> DataFrame:
@@ -38,7 +39,7 @@ def wilcoxon(differences: DataFrame, value: str) -> DataFrame:
     return sums.select(w.alias("w"), z.alias("z"), "n").withColumn("p_value", _two_sided(F.col("z")))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda v: min(1.0, 2 * (1 - 0.5 * (1 + math.erf(abs(v) / math.sqrt(2))))), na_action="ignore")
 
