@@ -3,7 +3,8 @@
 A document's ids are cut into full windows and a remainder.  A full window is a sequence by itself; remainders are
 pooled by length, and each further sequence takes the multiset of pooled
 lengths whose sum comes closest to the window: a bitset holds the sums that the
-counted lengths reach, and backtracking over the stages gives the counts.  Where even
+counted lengths reach, and backtracking over the stages gives the counts.  A
+multiset without slack is used again while its lengths last.  Where even
 the best multiset leaves more than ``SLACK`` tokens, the longest remainder
 left is cut to fill them, so padding stays small whatever the lengths are.
 
@@ -29,7 +30,7 @@ from spanmill.llm.tokens import ChunkTable, cut_at_spaces, grouped
 
 WINDOW = 1024
 #: Remainders pooled before sequences are closed.
-POOL = 4096
+POOL = 8192
 #: Tokens of a sequence that may stay empty while remainders are left.
 SLACK = 8
 END_ID = 0
@@ -80,11 +81,18 @@ class _Pool:
         self.n -= count
         return out
 
+    def _taken(self, counts: dict[int, int]) -> list[tuple]:
+        return [piece for length in sorted(counts, reverse=True) for piece in self.take(length, counts[length])]
+
     def sequences(self, down_to: int) -> Iterator[list[tuple]]:
         while self.n > down_to:
             counts = fill({k: len(v) for k, v in self.by_length.items()}, self.window)
-            out = [piece for length in sorted(counts, reverse=True) for piece in self.take(length, counts[length])]
             slack = self.window - sum(k * n for k, n in counts.items())
+            # what leaves no slack is the closest for further windows too, while its lengths last
+            last = 1 if slack else min(len(self.by_length[k]) // n for k, n in counts.items())
+            for _ in range(last - 1):
+                yield self._taken(counts)
+            out = self._taken(counts)
             if slack > SLACK and self.n:
                 doc, start, ids, tokens = self.take(max(self.by_length), 1)[0]
                 out.append((doc, start, ids[: 4 * slack], tokens))
