@@ -48,6 +48,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of texts in an Arrow batch.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Texts are long, so the session's Arrow batches get ``BATCH_ROWS`` rows at most, which
+    bounds what executors and their workers hold; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(spark.conf.get(name))
+    if not 0 < held <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanmill.llm.common import connected_components, discard, materialize
+from spanmill.llm.common import bound_batches, connected_components, discard, materialize
 from spanmill.llm.wordhash import U, mix64, shingle_sets
 
 ROWS = 5
@@ -157,6 +157,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
 
     Links documents whose sets of ``width``-word shingles have
     100 * intersection >= percent * union."""
+    bound_batches(docs.sparkSession)
     bands = bands_for(percent, rows)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = materialize(docs.mapInArrow(_sketch_rows(width, bands, rows), "doc_id long, n_shingles long, one long, two long, bands array<long>"))

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from spanmill.llm.common import bound_batches
 from spanmill.llm.tokens import ChunkTable, cut_at_spaces, grouped
 
 WINDOW = 1024
@@ -151,6 +152,7 @@ class ByteCoder:
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, pool: int = POOL) -> DataFrame:
     """``docs`` (doc_id, text) -> a row per piece, see ``SCHEMA``."""
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os

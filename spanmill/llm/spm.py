@@ -22,6 +22,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from spanmill.llm.common import bound_batches
 from spanmill.llm.tokens import ChunkTable, grouped
 
 MARK = "▁"
@@ -73,6 +74,7 @@ def encode_documents(docs: DataFrame, model_file: str, text: str = "text", key:
     """(key, ids binary, n_tokens, ids_sha256, decoded_sha256[, decoded]): ids with the
     begin and end ids, as little-endian unsigned 32-bit integers; ``with_ids`` keeps
     the ids and the decoded text beside their digests."""
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = PieceCoder(model_file)

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from itertools import islice
 
 #: Chunks a worker's table holds before it starts over.
-TABLE_LIMIT = 1_000_000
+TABLE_LIMIT = 250_000
 #: Characters of text whose chunks are looked up together.
 GROUP_CHARS = 1 << 20
 

@@ -32,11 +32,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanmill.llm.common import bound_batches
+
 SAMPLE_PER_CLASS = 1500
 TERMS_PER_CATEGORY = 200
 FOLDS = 3
 CATEGORIES = ("quality", "toxic")
 BEGINNINGS = (3, 4, 5, 6)
+#: Words whose terms a worker remembers before it starts over.
+WORDS_HELD = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -172,6 +176,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] =
 
 def score_documents(docs: DataFrame, chain: ToxicityChain, text: str = "text", prefix: str = "p_") -> DataFrame:
     """All columns of ``docs`` and a probability for each category."""
+    bound_batches(docs.sparkSession)
     n = len(chain.terms)
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -183,7 +188,7 @@ def score_documents(docs: DataFrame, chain: ToxicityChain, text: str = "text", p
                 for word in set(_WORD.findall(value.lower())) if value else ():
                     hit = known.get(word)
                     if hit is None:
-                        if len(known) >= 400_000:
+                        if len(known) >= WORDS_HELD:
                             known.clear()
                         hit = known[word] = tuple(chain.terms[t] for t in word_terms(word) if t in chain.terms)
                     if hit:
