@@ -9,7 +9,7 @@ import pyarrow as pa
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -89,7 +89,7 @@ def _word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Yields (first document, hashes, lengths) for runs of about a megabyte of text:
+    """Yields (first document, hashes, lengths) for runs of about a quarter megabyte of text:
     the sorted distinct hashes of each document's shingles, one after another.
     Words are split at ASCII white space with A-Z lowered.  A text of fewer
     words than ``width`` has its whole sequence as one shingle, one without
