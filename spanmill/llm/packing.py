@@ -20,6 +20,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from spanmill.llm.common import bound_batches
-from spanmill.llm.tokens import ChunkTable, cut_at_spaces, grouped
+from spanmill.llm.tokens import TABLE_LIMIT, ChunkTable, cut_at_spaces, grouped
 
 WINDOW = 1024
 #: Remainders pooled before sequences are closed.
@@ -120,13 +121,13 @@ class ByteCoder:
 
     MARKS = ".,;:!?"
 
-    def __init__(self, tokenizer_file: str) -> None:
+    def __init__(self, tokenizer_file: str, limit: int = TABLE_LIMIT) -> None:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(tokenizer_file)
         self.merges, self.letters = self.model.model, _byte_letters()
         self.marks = {m: self._whole([m])[0] for m in self.MARKS}
-        self.heads, self.table, self.words = ChunkTable(self._whole), ChunkTable(self._pieces), ChunkTable(self._words)
+        self.heads, self.table, self.words = (ChunkTable(f, limit) for f in (self._whole, self._pieces, self._words))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -150,15 +151,26 @@ class ByteCoder:
         return [a + b for a, b in zip(heads, self.table.ids(pieces))]
 
 
-def pack_documents(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, pool: int = POOL) -> DataFrame:
-    """``docs`` (doc_id, text) -> a row per piece, see ``SCHEMA``."""
+@lru_cache(1)
+def worker_coder(tokenizer_file: str, limit: int) -> ByteCoder:
+    """The coder that tasks of a Python worker share."""
+    return ByteCoder(tokenizer_file, limit)
+
+
+def pack_documents(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, pool: int = POOL, worker_table: int = 0) -> DataFrame:
+    """``docs`` (doc_id, text) -> a row per piece, see ``SCHEMA``.
+
+    ``worker_table``: chunks that each of a Python worker's tables holds from task to task
+    (about 200 bytes each); 0: a task has tables of its own, of ``TABLE_LIMIT``
+    chunks, and leaves nothing in the worker.  The ids are the same."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder, rest = ByteCoder(tokenizer_file), _Pool(window)
+        coder = worker_coder(tokenizer_file, worker_table) if worker_table else ByteCoder(tokenizer_file)
+        rest = _Pool(window)
         number = TaskContext.get().partitionId() << 33
         end = np.array([END_ID], "<u4").tobytes()
         rows: list[tuple] = []

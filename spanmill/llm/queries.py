@@ -62,7 +62,7 @@ def op9_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), worker_table=1_000_000)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
