@@ -12,12 +12,12 @@ kind           recognised and validated                               kept as it
 =============  =====================================================  =====================
 email          local@domain.tld                                       domain, punctuation
 card           13 to 19 digits that pass the Luhn test                first digit; check digit is recomputed
-iban           country, check digits mod 97, bank letters             country, letters; check digits recomputed
+iban           country, check digits mod 97; in one or in fours       country, letters, spaces; check digits recomputed
 ssn            ddd-dd-dddd, area 001-899 but 666, no zero part        separators
-phone          North American, area and exchange begin with 2-9       country code, separators
+phone          North American form, any area, exchange begins with 2-9 country code, separators
 ip             four octets 0-255 without leading zeros                digits of each octet
-date           yyyy-mm-dd, dd/mm/yyyy, mm/dd/yyyy or dd.mm.yyyy, 1800-2199 order and separators
-secret         access keys, password= and token = values              prefix, character classes
+date           yyyy-mm-dd, dd/mm/yyyy, mm/dd/yyyy or dd.mm.yyyy, 1800-2199 order, separators, a time after T
+secret         access keys, password= and token = values, in any case prefix, character classes
 =============  =====================================================  =====================
 
 A null text stays null and an empty one empty.  Texts are searched whole.
@@ -38,20 +38,33 @@ _NUM, _END = r"(?<![A-Za-z0-9_])(?<![0-9][.,-])", r"(?![A-Za-z0-9_])(?![.,-][0-9
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _YEAR = "(?:1[89]|2[01])[0-9]{2}"
 
+#: Length of an IBAN -> its countries.  In groups of four only the length tells where it ends.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _grouped(length: int, countries: str) -> str:
+    fours, rest = divmod(length - 4, 4)
+    return rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?= [A-Z ]*[0-9])(?: [A-Z0-9]{{4}}){{{fours}}}" + (f" [A-Z0-9]{{{rest}}}" if rest else "")
+
+
 #: One pattern per kind, tried in this order at each place.
 PATTERNS = {
     "email": _EDGE + r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}" + _STOP,
-    "secret": _EDGE + r"(?:AKIA[A-Z0-9]{16}|password=[A-Za-z0-9]{6,64}|token = \"[A-Za-z0-9]{16,64}\")" + _STOP,
-    "iban": _EDGE + r"[A-Z]{2}[0-9]{2}[A-Z]{0,4}[0-9]{8,26}" + _STOP,
+    "secret": _EDGE + r"(?i:AKIA[A-Z0-9]{16}|password=[A-Z0-9]{6,64}|token = \"[A-Z0-9]{16,64}\")" + _STOP,
+    "iban": _EDGE + r"(?:[A-Z]{2}[0-9]{2}(?=[A-Z]*[0-9])[A-Z0-9]{8,30}|" + "|".join(_grouped(*x) for x in IBAN_LENGTHS.items()) + ")" + _STOP,
     "ip": _NUM + rf"(?:{_OCTET}\.){{3}}{_OCTET}" + _END,
-    "phone": r"(?<![A-Za-z0-9_+])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}" + _END,
+    "phone": r"(?<![A-Za-z0-9_+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}" + _END,
     "ssn": _NUM + r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}" + _END,
-    "date": _NUM + rf"(?:{_YEAR}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}/[0-9]{{2}}/{_YEAR}|[0-9]{{2}}\.[0-9]{{2}}\.{_YEAR})" + _END,
+    "date": _NUM + rf"(?:{_YEAR}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}/[0-9]{{2}}/{_YEAR}|[0-9]{{2}}\.[0-9]{{2}}\.{_YEAR})(?:(?=T[0-9]{{2}})|{_END})",
     "card": _NUM + r"(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})" + _END,
 }
 PATTERN = "|".join(PATTERNS.values())
 #: Every match holds a digit, an at sign or one of these words.
-HINT = "[0-9@]|password=|AKIA|token = "
+HINT = "[0-9@]|(?i:password=|AKIA|token = )"
 
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 GROUP = 16
@@ -190,8 +203,8 @@ def _phone(m: Column, key: Column) -> Column:
     def new(d: Column) -> Column:
         ten = F.right(d, F.lit(10))
         number = lambda a, n: _long(F.substring(ten, a, n))
-        mixed = feistel(number(1, 3) - 200, (number(4, 3) - 200) * 10000 + number(7, 4), _fixed(800), _fixed(8_000_000), F.lit("phone"), key)
-        made = _let(mixed, lambda p: F.concat(_pad(p["l"] + 200, 3), _pad(F.floor(p["r"] / 10000) + 200, 3), _pad(p["r"] % 10000, 4)))
+        mixed = feistel(number(1, 3), (number(4, 3) - 200) * 10000 + number(7, 4), _fixed(1000), _fixed(8_000_000), F.lit("phone"), key)
+        made = _let(mixed, lambda p: F.concat(_pad(p["l"], 3), _pad(F.floor(p["r"] / 10000) + 200, 3), _pad(p["r"] % 10000, 4)))
         return _refill(m, F.concat(F.left(d, F.length(d) - 10), made))
 
     return _let(d, new)
@@ -246,11 +259,16 @@ def _date(m: Column, key: Column) -> Column:
 
 
 def _iban(m: Column, key: Column) -> Column:
-    country, bban = F.left(m, F.lit(2)), F.substring(m, F.lit(5), F.lit(40))
-    bank = F.regexp_extract(bban, "^[A-Z]*", 0)
-    number = F.substring(bban, F.length(bank) + 1, F.lit(40))
-    made = _let(F.concat(bank, _digits(number, F.concat_ws("|", F.lit("iban"), country, bank), key)), lambda x: F.concat(country, _pad(98 - _mod97(F.concat(x, country, F.lit("00"))), 2), x))
-    return F.when(_mod97(F.concat(bban, F.left(m, F.lit(4)))) == 1, made)
+    country, whole = F.left(m, F.lit(2)), F.replace(m, F.lit(" "), F.lit(""))
+    bban = F.substring(whole, F.lit(5), F.lit(40))
+    letters, number = F.regexp_replace(bban, "[0-9]", ""), F.regexp_replace(bban, "[A-Z]", "")
+
+    def made(digits: Column) -> Column:
+        check = _pad(98 - _mod97(F.concat(_refill(bban, digits), country, F.lit("00"))), 2)
+        return _refill(m, F.concat(check, digits))
+
+    new = _let(_digits(number, F.concat_ws("|", F.lit("iban"), country, letters), key), made)
+    return F.when(_mod97(F.concat(bban, F.left(whole, F.lit(4)))) == 1, new)
 
 
 def _email(m: Column, key: Column) -> Column:
@@ -259,7 +277,7 @@ def _email(m: Column, key: Column) -> Column:
 
 
 def _secret(m: Column, key: Column) -> Column:
-    prefix = F.regexp_extract(m, r"^(?:AKIA|password=|token = \")", 0)
+    prefix = F.regexp_extract(m, r"^(?i:AKIA|password=|token = \")", 0)
     value = F.substring(m, F.length(prefix) + 1, F.length(m))
     made = F.when(value.rlike('^[0-9a-f]+"?$'), _characters(value, [HEX], F.lit("secret"), key)).otherwise(_characters(value, [DIGITS, LOWER, UPPER], F.lit("secret"), key))
     return F.concat(prefix, made)
