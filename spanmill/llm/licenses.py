@@ -1,7 +1,10 @@
 """Licence recognition by sentences, with Spark expressions only.
 
 Texts are cut into sentences and normalised (lower case, everything but letters
-and digits one space).  Known licence sentences map to identifiers; a rule is
+and digits one space).  A known sentence is found from one cut to another, also
+when it is wrapped over lines, with or without comment marks; of those that
+begin at one place the longest counts.  Known licence sentences map to
+identifiers; a rule is
 an ordered sequence of identifiers, and matches where the document's
 recognised sentences have it in that order, one right after another.  Other
 sentences in between don't matter.
@@ -90,8 +93,21 @@ def normal(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
+#: Stands for the end of a sentence within a normalised text, where line breaks stay.
+CUT = "\x01"
+
+
+def normalised(text: Column) -> Column:
+    lines = F.translate(F.lower(text), CUT, " ")
+    cut = F.regexp_replace(lines, r"(?<![.!?:])[.!?:]++\s+", CUT)
+    return F.regexp_replace(cut, rf"[^\p{{L}}\p{{N}}\n{CUT}]+", " ")
+
+
+def known_pattern() -> str:
+    """Matches a known sentence, its words on one line or several, between two cuts; group 1 is
+    the sentence.  The cut after it is left for the next one."""
+    longest_first = sorted(known_parts(), key=len, reverse=True)
+    return rf"(?:^|[\n{CUT}]) ?(" + "|".join(s.replace(" ", r"[ \n]+") for s in longest_first) + rf")(?= ?(?:[\n{CUT}]|\z))"
 
 
 def _split_known() -> dict[str, tuple[str, ...]]:
@@ -117,13 +133,9 @@ def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     """A row per match: (key, license_id, rule_id, place, n_sentences); ``place`` counts the
     document's recognised sentences from 0."""
     ids = known_parts()
-    longest = max(map(len, ids))
-    pieces = F.split(F.col(text), ENDS, -1)
-    # a sentence can be known only if its length allows it; the rest isn't normalised
-    likely = F.filter(pieces, lambda s: F.length(s).between(min(map(len, ids)), 2 * longest))
-    known = F.filter(F.transform(likely, normalised), lambda s: s.isin(*ids))
+    known = F.regexp_extract_all(normalised(F.col(text)), F.lit(known_pattern()), F.lit(1))
     table = F.create_map(*(F.lit(x) for pair in ids.items() for x in pair))
-    found = F.transform(known, lambda s: F.element_at(table, s))
+    found = F.transform(known, lambda s: F.element_at(table, F.regexp_replace(s, r"[ \n]+", " ")))
     held = docs.select(F.col(key).alias("_key"), found.alias("_ids")).where(F.size("_ids") > 0)
 
     def matches(rule: str, name: str, seq: list[int]) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -167,6 +168,27 @@ def test_licence_order_and_edges(spark):
     assert got == [(0, "mit/notice", 0), (0, "mit/notice", 1), (2, "mit/text", 0), (5, "apache-2.0/notice", 0), (5, "apache-2.0/notice", 0)]
 
 
+def test_every_rule_is_found_in_wrapped_text(spark):
+    rows, want = [], set()
+    for rule, (_, seq) in licenses.RULES.items():
+        for first, mark, last in (("", "", ""), ("", "# ", ""), ("", "// ", ""), ("/*\n", " * ", "\n */"), ("", ";; ", " ;;")):
+            for between in ("\n", f"\n{mark.rstrip()}\n"):
+                lines = between.join("\n".join(mark + x for x in textwrap.wrap(licenses.SENTENCES[k], 60)) for k in seq)
+                want.add((len(rows), rule))
+                rows.append((len(rows), f"{mark}Copyright 2020 A. Person\n{first}{lines}{last}\n"))
+    got = {(r.doc_id, r.rule_id) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert want - got == set()
+
+
+def test_sentences_with_padding_and_partial_ones(spark):
+    said = licenses.SENTENCES["mit-notice"]
+    blank = licenses.SENTENCES["apache-copy"].replace(" at ", " at\n *\n *     ")
+    header = "\n".join(licenses.SENTENCES[k] for k in ("apache-header", "apache-copy", "apache-as-is", "apache-see"))
+    rows = [(1, said.replace(" ", " " * 400)), (2, "# " + "=" * 2000 + " " + said), (3, "Not " + said), (4, said[:-1] + " or another.\nMore"), (5, said[:-1] + "\nor another"), (6, header.replace(licenses.SENTENCES["apache-copy"], blank)), (7, header.replace("2.0 (the", "2.0\n(the"))]
+    got = sorted((r.doc_id, r.rule_id) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, "mit/notice"), (2, "mit/notice"), (5, "mit/notice"), (6, "apache-2.0/header"), (7, "apache-2.0/header")]
+
+
 # ---- sketches -------------------------------------------------------------------------
 
 
