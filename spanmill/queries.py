@@ -516,11 +516,19 @@ def weight_stability(spark, sf_dir):
 
 @query()
 def diagonal_training(spark, sf_dir):
-    """Weights of a diagonal metric learned on pairs of stored vectors, and the ranks it gives."""
-    v = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 2).cast("long").alias("entity"), (F.col("vec_id") % 2).alias("half"), F.col("label").alias("role"), F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("v"))
-    a, b = v.where("half = 0").drop("half"), v.where("half = 1").drop("half")
-    fit = metric.train_diagonal(metric.training_triples(a, b, "entity", "role", 8), 8, 0.1, iterations=5)
-    return spark.createDataFrame([(i, float(w)) for i, w in enumerate(fit.weights)], "feature int, weight double")
+    """Weights of a diagonal metric learned on pairs of stored vectors, and each entity's rank
+    among all under them: rows (feature, weight) and rows (entity, rank, pool_size)."""
+    v = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 2).cast("long").alias("entity"), (F.col("vec_id") % 2).alias("half"), F.col("label").alias("role"), F.col("embedding").cast("array<double>").alias("v"))
+    return _diagonal_training(spark, v.where("half = 0").drop("half"), v.where("half = 1").drop("half"))
+
+
+def _diagonal_training(spark, a, b, **settings):
+    first = a.select(F.size("v").alias("n")).first()
+    fit = metric.train_diagonal(metric.training_triples(a, b, "entity", "role"), first.n if first else 0, 0.1, **settings)
+    scaled = lambda x: x.select("entity", F.zip_with("v", F.array(*(F.lit(float(w) ** 0.5) for w in fit.weights)), lambda e, w: e * w).alias("v"))
+    ranks = retrieval.vector_ranks(scaled(a), scaled(b), ["entity"]).select("entity", F.col("rank").cast("long").alias("rank"), F.col("pool_size").cast("long").alias("pool_size"))
+    weights = spark.createDataFrame([(i, float(w)) for i, w in enumerate(fit.weights)], "feature int, weight double")
+    return weights.unionByName(ranks, allowMissingColumns=True)
 
 
 # ---- study ---------------------------------------------------------------------------------------------

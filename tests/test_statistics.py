@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spanmill import queries
 from spanmill.functions import hashing, numeric
 from spanmill.operators import metric, resampling, shrinkage, splits, study
 
@@ -148,3 +149,29 @@ def test_training_improves(spark):
     assert fit.history[-1] < fit.history[0] and fit.weights.mean() == pytest.approx(1) and fit.weights[:2].min() > fit.weights[2:].max()
     net, best = metric.train_network(triples, 4, 6, 3, lambda n: -metric.network_loss(*metric._arrays(triples.toPandas()), n, 0.1)[0], epochs=4)
     assert metric.embed(q, net).first().v is not None and best > -1e9
+
+
+def test_diagonal_training_is_whole(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    n, size, steps = 12, 64, 3
+    base = rng.normal(size=(n, size))
+    half = [base + rng.normal(size=(n, size)) * 0.7 for _ in range(2)]
+    a, b = (spark.createDataFrame([(i, i % 2, [float(x) for x in v]) for i, v in enumerate(h)], "entity long, role long, v array<double>") for h in half)
+    rows = queries._diagonal_training(spark, a, b, iterations=steps).collect()
+    triples = metric.training_triples(a, b, "entity", "role").toPandas()
+    assert {len(x) for x in triples["negatives"]} == {32}
+    x, y = metric._arrays(triples)
+    w, pull = np.ones(size), 2 * 0.5 * 0.1 / size
+    for _ in range(steps):
+        _, g = metric.diagonal_loss(x, y, w, 0.1)
+        w = np.maximum((w - 0.5 * g / n + pull) / (1 + pull), 0)
+        w *= size / w.sum()
+    got = {r.feature: r.weight for r in rows if r.feature is not None}
+    assert [got[i] for i in range(size)] == pytest.approx(w.tolist(), abs=1e-9) and len(got) == size
+    s = np.array([[metric.diagonal_scores(p, q, w) for q in half[1]] for p in half[0]])
+    want = {i: int(1 + (s[i] > s[i, i]).sum()) for i in range(n)}
+    assert {r.entity: r.rank for r in rows if r.entity is not None} == want and {r.pool_size for r in rows if r.entity is not None} == {n}
+    out = spark.range(24).select(F.col("id").alias("vec_id"), F.lit(0).alias("label"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.sin(i * (F.col("id") + 1))).alias("embedding"))
+    out.write.parquet(str(tmp_path / "embeddings.parquet"))
+    made = queries.diagonal_training(spark, str(tmp_path)).collect()
+    assert sorted(r.feature for r in made if r.feature is not None) == list(range(64)) and sorted(r.entity for r in made if r.entity is not None) == list(range(12))
