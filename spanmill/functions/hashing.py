@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _TWO_64 = str(1 << 64)
@@ -30,8 +34,18 @@ def counter_draw(parts: list[Column], size: Column, attempts: int = 4) -> Column
     return F.coalesce(*tries, F.raise_error(F.lit("no draw below the rejection limit")).cast("long"))
 
 
-def rows_digest(row: Column, *order: Column) -> Column:
-    """Aggregate: SHA-256 over row texts in order.  Gathers the rows of a group, so it is for
-    small tables such as split assignments."""
-    rows = F.array_sort(F.collect_list(F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), row.alias("r"))))
-    return F.sha2(F.array_join(F.transform(rows, lambda x: x["r"]), ""), 256)
+def ordered_digest(lines: DataFrame, order: str, line: str, task_rows: int = 250_000) -> str:
+    """SHA-256 over the text column ``line`` in the order of ``order``, which is unique.  Ranges
+    are sorted and joined in tasks; the driver hashes one range after another and
+    holds no more than one."""
+    ranges = max(1, -(-lines.count() // task_rows))
+    dealt = lines.select(order, line).repartitionByRange(ranges, order).sortWithinPartitions(order).select(line)
+
+    def joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"t": ["".join(frame[line])]})
+
+    digest = hashlib.sha256()
+    for row in dealt.mapInPandas(joined, "t string").toLocalIterator():
+        digest.update(row.t.encode())
+    return digest.hexdigest()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanmill.functions.hashing import ordering_key, rows_digest
+from spanmill.functions.hashing import ordered_digest, ordering_key
 
 
 def assign_splits(players: DataFrame, entity: str = "player_id", role: str = "role", seed: int = 20260716, train: float = 0.6, validation: float = 0.2) -> DataFrame:
@@ -25,7 +25,8 @@ def split_counts(assignment: DataFrame, role: str = "role") -> DataFrame:
     return assignment.groupBy(role, "split").agg(F.count("*").alias("n"))
 
 
-def assignment_digest(assignment: DataFrame, entity: str = "player_id") -> DataFrame:
+def assignment_digest(assignment: DataFrame, entity: str = "player_id", task_rows: int = 250_000) -> DataFrame:
     """One row: SHA-256 over ``entity:split`` lines in the order of entities."""
     line = F.concat(F.col(entity).cast("string"), F.lit(":"), F.col("split"), F.lit("\n"))
-    return assignment.agg(rows_digest(line, F.col(entity)).alias("digest"))
+    digest = ordered_digest(assignment.select(entity, line.alias("_line")), entity, "_line", task_rows)
+    return assignment.sparkSession.createDataFrame([(digest,)], "digest string")

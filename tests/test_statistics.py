@@ -175,3 +175,11 @@ def test_diagonal_training_is_whole(spark, tmp_path):
     out.write.parquet(str(tmp_path / "embeddings.parquet"))
     made = queries.diagonal_training(spark, str(tmp_path)).collect()
     assert sorted(r.feature for r in made if r.feature is not None) == list(range(64)) and sorted(r.entity for r in made if r.entity is not None) == list(range(12))
+
+
+def test_assignment_digest_over_ranges(spark):
+    rows = [(i * 7919 % 1009, random.Random(i).choice(["train", "test"])) for i in range(1009)]
+    made = spark.createDataFrame(rows, "player_id long, split string")
+    want = hashlib.sha256("".join(f"{i}:{s}\n" for i, s in sorted(rows)).encode()).hexdigest()
+    assert {splits.assignment_digest(made, task_rows=n).first().digest for n in (100, 250_000)} == {want}
+    assert splits.assignment_digest(made.limit(0)).first().digest == hashlib.sha256(b"").hexdigest()
