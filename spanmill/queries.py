@@ -387,8 +387,12 @@ FROM s JOIN plan USING (match_id) GROUP BY ALL"""
 )
 def replicate_profiles(spark, sf_dir):
     """Weighted profiles of whole-match resamples from per-match statistics."""
+    return _replicate_profiles(spark, sf_dir, 5)
+
+
+def _replicate_profiles(spark, sf_dir, replicates):
     matches = stand_in.periods(spark, sf_dir)
-    plan = resampling.draw_plan(matches, "match_id", ["competitionId", "period"], 5, 1729, "matches")
+    plan = resampling.draw_plan(matches, "match_id", ["competitionId", "period"], replicates, 1729, "matches")
     sums = stand_in.sums(stand_in.events(spark, sf_dir), ["player_id", "match_id"])
     joined = sums.join(plan, "match_id")
     weighted = joined.groupBy("replicate", "player_id", "period").agg(*(F.sum(F.col(c) * F.col("multiplicity")).alias(c) for c in ("n_lines", "minutes_played", "returned")))
@@ -396,10 +400,13 @@ def replicate_profiles(spark, sf_dir):
     return weighted.select("replicate", "player_id", "period", m, F.round(numeric.per_90(F.col("n_lines"), m), 9).alias("lines_p90"), F.round(numeric.per_90(F.col("returned"), m), 9).alias("returned_p90"))
 
 
+RESAMPLES, MINIMUM_VALID = 500, 450
+
+
 @query()
 def replicate_intervals(spark, sf_dir):
-    """Interval of each profile's rates over resamples; a chain of the operators above."""
-    return uncertainty.summaries(replicate_profiles(spark, sf_dir), ["lines_p90", "returned_p90"], ["player_id", "period"], 5)
+    """Interval of each profile's rates over 500 resamples, published from 450 valid ones."""
+    return uncertainty.summaries(_replicate_profiles(spark, sf_dir, RESAMPLES), ["lines_p90", "returned_p90"], ["player_id", "period"], MINIMUM_VALID)
 
 
 @query(

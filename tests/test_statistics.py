@@ -183,3 +183,9 @@ def test_assignment_digest_over_ranges(spark):
     want = hashlib.sha256("".join(f"{i}:{s}\n" for i, s in sorted(rows)).encode()).hexdigest()
     assert {splits.assignment_digest(made, task_rows=n).first().digest for n in (100, 250_000)} == {want}
     assert splits.assignment_digest(made.limit(0)).first().digest == hashlib.sha256(b"").hexdigest()
+
+
+def test_intervals_take_all_resamples(spark):
+    rows = queries.replicate_intervals(spark, "/root/testdata/sf0.001").collect()
+    assert rows and max(r.n_valid for r in rows) == 500
+    assert all((r.status == "available") == (r.n_valid >= 450) == (r.ci_low is not None) for r in rows)
