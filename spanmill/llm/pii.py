@@ -5,12 +5,15 @@ a keyed Feistel network: the value is split in two counters L (mod a) and R
 (mod b) that number every valid value of the format, and eight rounds add a
 keyed SHA-256 of one to the other.  That is a bijection of the format for any
 a and b, so equal values get equal pseudonyms in every document, different
-values stay different, and lengths and separators stay as they were.
+values stay different, and lengths and separators stay as they were.  A date
+with slashes may be read in two ways, so its strings are permuted: those that
+both readings allow, those with a day first and those with a month first, each
+among themselves.
 
 =============  =====================================================  =====================
 kind           recognised and validated                               kept as it is
 =============  =====================================================  =====================
-email          local@domain.tld                                       domain, punctuation
+email          local@domain.tld, of any length                        domain, punctuation
 card           13 to 19 digits that pass the Luhn test                first digit; check digit is recomputed
 iban           country, check digits mod 97; in one or in fours       country, letters, spaces; check digits recomputed
 ssn            ddd-dd-dddd, area 001-899 but 666, no zero part        separators
@@ -20,9 +23,11 @@ date           yyyy-mm-dd, dd/mm/yyyy, mm/dd/yyyy or dd.mm.yyyy, 1800-2199 order
 secret         access keys, password= and token = values, in any case prefix, character classes
 =============  =====================================================  =====================
 
-A null text stays null and an empty one empty.  Texts are searched whole.
-Rows are independent, so repeated rows get equal results; columns other than
-the text stay, whatever their names.
+A null text stays null and an empty one empty.  Texts are searched whole, and
+no pattern steps back over more than a few characters, so long texts and long
+values take time in proportion.  Rows are independent, so repeated rows get
+equal results; columns other than the text stay, whatever their names, but a
+column with the name asked for ``kinds`` is replaced.
 """
 
 from __future__ import annotations
@@ -37,6 +42,7 @@ _EDGE, _STOP = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 _NUM, _END = r"(?<![A-Za-z0-9_])(?<![0-9][.,-])", r"(?![A-Za-z0-9_])(?![.,-][0-9])"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _YEAR = "(?:1[89]|2[01])[0-9]{2}"
+_VALUE = "[A-Z0-9]++(?:[_-]++[A-Z0-9]++)*+"
 
 #: Length of an IBAN -> its countries.  In groups of four only the length tells where it ends.
 IBAN_LENGTHS = {
@@ -53,8 +59,8 @@ def _grouped(length: int, countries: str) -> str:
 
 #: One pattern per kind, tried in this order at each place.
 PATTERNS = {
-    "email": _EDGE + r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}" + _STOP,
-    "secret": _EDGE + r"(?i:AKIA[A-Z0-9]{16}|password=[A-Z0-9]{6,64}|token = \"[A-Z0-9]{16,64}\")" + _STOP,
+    "email": r"(?<![A-Za-z0-9._%+-])(?=[._%+-]*+[A-Za-z0-9])[A-Za-z0-9._%+-]++@(?=[A-Za-z0-9.-]*?\.[A-Za-z]{2,24}(?![A-Za-z0-9_-]))[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "secret": _EDGE + rf"(?i:AKIA[A-Z0-9]{{16}}{_STOP}|password=(?=[A-Z0-9_-]{{6}}){_VALUE}|token = \"(?=[A-Z0-9_-]{{16}}){_VALUE}\")",
     "iban": _EDGE + r"(?:[A-Z]{2}[0-9]{2}(?=[A-Z]*[0-9])[A-Z0-9]{8,30}|" + "|".join(_grouped(*x) for x in IBAN_LENGTHS.items()) + ")" + _STOP,
     "ip": _NUM + rf"(?:{_OCTET}\.){{3}}{_OCTET}" + _END,
     "phone": r"(?<![A-Za-z0-9_+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}" + _END,
@@ -255,7 +261,40 @@ def _date(m: Column, key: Column) -> Column:
         return F.when(day.isNotNull(), _let(F.date_diff(day, first), moved))
 
     dash, dot = m.rlike("^[0-9]{4}-"), F.contains(m, F.lit("."))
-    return F.when(dash, new("yyyy-MM-dd")).when(dot, new("dd.MM.yyyy")).otherwise(F.coalesce(new("dd/MM/yyyy"), new("MM/dd/yyyy")))
+    return F.when(dash, new("yyyy-MM-dd")).when(dot, new("dd.MM.yyyy")).otherwise(_slash_date(m, key))
+
+
+def _slash_date(m: Column, key: Column) -> Column:
+    """Strings a/b/yyyy.  With a and b up to 12 there are 144 a year, for 400 years.  The
+    others have one reading: days 13 and later, 88497 = 9 * 9833 of them, numbered by date."""
+    first = F.lit("1800-01-01").cast("date")
+    number = lambda at, n: _long(F.substring(m, at, n))
+    a, b, year = number(1, 2), number(4, 2), number(7, 4)
+    either = a.between(1, 12) & b.between(1, 12)
+    both = feistel((a - 1) * 12 + b - 1, year - 1800, _fixed(144), _fixed(400), F.lit("date|either"), key)
+    shown = lambda x, y, year: F.concat_ws("/", _pad(x, 2), _pad(y, 2), _pad(year, 4))
+    ambiguous = _let(both, lambda p: shown(F.floor(p["l"] / 12) + 1, p["l"] % 12 + 1, p["r"] + 1800))
+
+    def before(month: Column) -> Column:
+        """Late days before a month, which is counted from 1800."""
+        return F.date_diff(F.add_months(first, month), first) - 12 * month
+
+    def late(form: str) -> Column:
+        day = F.try_to_date(m, form)
+
+        def written(i: Column) -> Column:
+            guess = F.floor(i * 4800 / 88497).cast("int")  # right but for one month
+            month = F.when(before(guess) > i, guess - 1).when(before(guess + 1) <= i, guess + 1).otherwise(guess)
+            return _let(month, lambda k: F.date_format(F.date_add(F.add_months(first, k), (i - before(k) + 12).cast("int")), form))
+
+        def moved(n: Column) -> Column:
+            mixed = feistel(_long(F.floor(n / 9833)), _long(n % 9833), _fixed(9), _fixed(9833), F.lit("date|" + form), key)
+            return _let(mixed, lambda p: _let(_long(p["l"] * 9833 + p["r"]), written))
+
+        months = (F.year(day) - 1800) * 12 + F.month(day) - 1
+        return F.when(day.isNotNull(), _let(_long(F.date_diff(day, first) - 12 * (months + 1)), moved))
+
+    return F.when(either, ambiguous).when(a > 12, late("dd/MM/yyyy")).otherwise(late("MM/dd/yyyy"))
 
 
 def _iban(m: Column, key: Column) -> Column:
@@ -272,8 +311,11 @@ def _iban(m: Column, key: Column) -> Column:
 
 
 def _email(m: Column, key: Column) -> Column:
+    """Punctuation before the local part is no part of it."""
     local = F.substring_index(m, "@", 1)
-    return F.concat(_characters(local, [DIGITS, LOWER, UPPER], F.lit("email"), key), F.substring(m, F.length(local) + 1, F.length(m)))
+    name = F.regexp_replace(local, "^[^A-Za-z0-9]+", "")
+    made = _let(name, lambda n: _characters(n, [DIGITS, LOWER, UPPER], F.lit("email"), key))
+    return F.concat(F.left(local, F.length(local) - F.length(name)), made, F.substring(m, F.length(local) + 1, F.length(m)))
 
 
 def _secret(m: Column, key: Column) -> Column:
@@ -304,12 +346,12 @@ def pseudonym(match: Column, key: str = DEFAULT_KEY) -> Column:
 def pseudonymize(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY, kinds: str | None = None) -> DataFrame:
     """``docs`` with the text column pseudonymised; ``kinds`` names a further column:
     the kinds of the values replaced, in the order of the text."""
-    body, held = F.col(f"`{text}`"), "__spanmill_found"
+    body, held = F.col(f"`{text}`"), _unused(docs, "found")
     pattern = F.lit(PATTERN)
     found = F.when(body.rlike(HINT), F.transform(F.regexp_extract_all(body, pattern, F.lit(0)), lambda m: pseudonym(m, key)))
     rest = F.split(body, PATTERN, -1)
     joined = F.array_join(F.zip_with(rest, F.col(held), lambda a, m: F.concat(a, F.coalesce(m["text"], F.lit("")))), "")
-    names = docs.columns
+    names = [c for c in docs.columns if kinds is None or c.lower() != kinds.lower()]
     out = docs.withColumn(held, found)
     changed = F.when(F.size(held) > 0, joined).otherwise(body)
     columns = [changed.alias(text) if c == text else F.col(f"`{c}`") for c in names]
@@ -317,3 +359,11 @@ def pseudonymize(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY, ki
         listed = F.coalesce(F.filter(F.transform(held, lambda m: m["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))
         columns.append(listed.alias(kinds))
     return out.select(*columns)
+
+
+def _unused(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = "_" + name
+    return name
