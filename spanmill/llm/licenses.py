@@ -7,12 +7,13 @@ begin at one place the longest counts.  Known licence sentences map to
 identifiers; a rule is
 an ordered sequence of identifiers, and matches where the document's
 recognised sentences have it in that order, one right after another.  Other
-sentences in between don't matter.
+sentences in between don't matter.  A match that lies within a longer one is
+not reported, so the most specific rule counts.
 
 The sentence table is small and fixed, so the lookup is part of the expression
 and nothing is shuffled.  Null and empty texts have no sentences; rows are
-independent, so repeated rows repeat their matches; ties between rules don't
-arise, since every match is returned.  Extra columns of the input are ignored.
+independent, so repeated rows repeat their matches; of equally long matches
+each is returned.  Extra columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -40,10 +41,24 @@ SENTENCES = {
     "gpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "gpl-see": "See the GNU General Public License for more details.",
+    "gpl2-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl21-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "lgpl-see": "See the GNU Lesser General Public License for more details.",
+    "agpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-see": "See the GNU Affero General Public License for more details.",
     "bsd-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-as-is": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+    "bsd-liability": "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-liability": "In no event will the authors be held liable for any damages arising from the use of this software.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "bsl-notice": "Distributed under the Boost Software License, Version 1.0.",
+    "epl-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/.",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "mpl-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "mpl-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
@@ -54,23 +69,32 @@ SENTENCES = {
     "cc-by-text": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-sa-text": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
-    "spdx-apache": "SPDX-License-Identifier: Apache-2.0",
-    "spdx-mit": "SPDX-License-Identifier: MIT",
-    "spdx-gpl3": "SPDX-License-Identifier: GPL-3.0-only",
 }
 
+#: Licences whose identifier line is known; the sentence of each is spdx-<licence>.
+SPDX = "0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MPL-2.0 Unlicense Zlib".split()
+SENTENCES |= {f"spdx-{name}": f"SPDX-License-Identifier: {name}" for name in SPDX}
+
 #: rule -> (licence, sentence identifiers in order)
 RULES = {
     "apache-2.0/notice": ("Apache-2.0", ["apache-notice"]),
     "apache-2.0/header": ("Apache-2.0", ["apache-header", "apache-copy", "apache-as-is", "apache-see"]),
-    "apache-2.0/spdx": ("Apache-2.0", ["spdx-apache"]),
     "mit/notice": ("MIT", ["mit-notice"]),
     "mit/notice-2": ("MIT", ["mit-notice-2"]),
+    "mit/title": ("MIT", ["mit-title"]),
+    "mit/titled-text": ("MIT", ["mit-title", "mit-grant", "mit-notice-kept", "mit-as-is", "mit-liability"]),
     "mit/text": ("MIT", ["mit-grant", "mit-notice-kept", "mit-as-is", "mit-liability"]),
-    "mit/spdx": ("MIT", ["spdx-mit"]),
     "gpl-3.0/notice": ("GPL-3.0-only", ["gpl3-notice"]),
     "gpl-3.0/header": ("GPL-3.0-or-later", ["gpl-free", "gpl-hope", "gpl-see"]),
-    "gpl-3.0/spdx": ("GPL-3.0-only", ["spdx-gpl3"]),
+    "gpl-2.0/header": ("GPL-2.0-or-later", ["gpl2-free", "gpl-hope", "gpl-see"]),
+    "lgpl-2.1/header": ("LGPL-2.1-or-later", ["lgpl21-free", "lgpl-hope", "lgpl-see"]),
+    "lgpl-3.0/header": ("LGPL-3.0-or-later", ["lgpl3-free", "gpl-hope", "lgpl-see"]),
+    "agpl-3.0/header": ("AGPL-3.0-or-later", ["agpl-free", "gpl-hope", "agpl-see"]),
+    "bsd-2/whole": ("BSD-2-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-as-is", "bsd-liability"]),
+    "bsd-3/whole": ("BSD-3-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is", "bsd-liability"]),
+    "zlib/text": ("Zlib", ["zlib-as-is", "zlib-liability", "zlib-grant"]),
+    "bsl-1.0/notice": ("BSL-1.0", ["bsl-notice"]),
+    "epl-2.0/notice": ("EPL-2.0", ["epl-notice"]),
     "bsd-2/text": ("BSD-2-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary"]),
     "bsd-3/text": ("BSD-3-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse"]),
     "isc/grant": ("ISC", ["isc-grant"]),
@@ -83,8 +107,9 @@ RULES = {
     "cc0-1.0/notice": ("CC0-1.0", ["cc0-notice"]),
     "unlicense/notice": ("Unlicense", ["unlicense"]),
 }
+RULES |= {f"{name.lower()}/spdx": (name, [f"spdx-{name}"]) for name in SPDX}
 
-#: A sentence ends at a line break, or at a stop, question or exclamation mark or colon before white space.
+#: A sentence ends at a line break, after a web address, or at a stop, question or exclamation mark or colon before white space.
 ENDS = r"\s*(?:[.!?:]+\s+|\n)\s*"
 
 
@@ -98,7 +123,7 @@ CUT = "\x01"
 
 
 def normalised(text: Column) -> Column:
-    lines = F.translate(F.lower(text), CUT, " ")
+    lines = F.regexp_replace(F.translate(F.lower(text), CUT, " "), r"(https?://\S++)\s", rf"$1{CUT}")
     cut = F.regexp_replace(lines, r"(?<![.!?:])[.!?:]++\s+", CUT)
     return F.regexp_replace(cut, rf"[^\p{{L}}\p{{N}}\n{CUT}]+", " ")
 
@@ -143,5 +168,10 @@ def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
         places = F.filter(F.sequence(F.lit(0), F.size("_ids") - 1), lambda i: F.slice(F.col("_ids"), i + 1, F.lit(len(seq))) == want)
         return F.transform(places, lambda i: F.struct(F.lit(name).alias("license_id"), F.lit(rule).alias("rule_id"), i.cast("long").alias("place"), F.lit(len(seq)).cast("long").alias("n_sentences")))
 
-    every = F.concat(*(matches(r, *rule) for r, rule in rule_sequences().items()))
-    return held.select(F.col("_key").alias(key), F.explode(every).alias("m")).select(key, "m.*")
+    every = held.select("_key", F.concat(*(matches(r, *rule) for r, rule in rule_sequences().items())).alias("_all"))
+
+    def within(m: Column, o: Column) -> Column:
+        return (o["n_sentences"] > m["n_sentences"]) & (o["place"] <= m["place"]) & (m["place"] + m["n_sentences"] <= o["place"] + o["n_sentences"])
+
+    kept = F.filter("_all", lambda m: ~F.exists("_all", lambda o: within(m, o)))
+    return every.select(F.col("_key").alias(key), F.explode(kept).alias("m")).select(key, "m.*")

@@ -108,12 +108,13 @@ def _license_sql() -> str:
     return rf"""
 WITH known(sentence, id) AS (VALUES {values}), rules(rule_id, license_id, seq) AS (VALUES {listed}),
 parts AS (SELECT doc_id, unnest(p) AS part, generate_subscripts(p, 1) AS i FROM (
-  SELECT doc_id, string_split_regex(text, '\s*(?:[.!?:]+\s+|\n)\s*') AS p FROM documents WHERE text IS NOT NULL)),
+  SELECT doc_id, string_split_regex(regexp_replace(text, '(https?://\S+)\s', '\1' || chr(10), 'g'), '\s*(?:[.!?:]+\s+|\n)\s*') AS p FROM documents WHERE text IS NOT NULL)),
 found AS (SELECT doc_id, list(id ORDER BY i) AS ids FROM parts
-  JOIN known ON sentence = trim(regexp_replace(lower(part), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) GROUP BY doc_id)
-SELECT doc_id, license_id, rule_id, (pos - 1)::BIGINT AS place, len(seq)::BIGINT AS n_sentences
-FROM (SELECT doc_id, ids, unnest(range(1, len(ids) + 1)) AS pos FROM found), rules
-WHERE list_slice(ids, pos, pos + len(seq) - 1) = seq"""
+  JOIN known ON sentence = trim(regexp_replace(lower(part), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) GROUP BY doc_id),
+every AS (SELECT doc_id, license_id, rule_id, (pos - 1)::BIGINT AS place, len(seq)::BIGINT AS n_sentences
+  FROM (SELECT doc_id, ids, unnest(range(1, len(ids) + 1)) AS pos FROM found), rules WHERE list_slice(ids, pos, pos + len(seq) - 1) = seq)
+SELECT * FROM every m WHERE NOT EXISTS (SELECT 1 FROM every o WHERE o.doc_id = m.doc_id AND o.n_sentences > m.n_sentences
+  AND o.place <= m.place AND m.place + m.n_sentences <= o.place + o.n_sentences)"""
 
 
 _RECORD = r"""'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>'
