@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,14 +12,17 @@ from pyspark.sql import functions as F
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or the
-    context's checkpoint folder.  Only where neither is set (tests on one
-    machine) a temporary folder is made and set."""
+    context's checkpoint folder.  Only where neither is set and everything runs
+    on one machine (tests) a temporary folder is made and set; a cluster without
+    one is refused, since its executors would write to their own disks."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spanmill-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -70,6 +74,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     reachable.  Each round takes the smallest label among neighbours and then
     the label of that label, so paths shorten geometrically; each round's
     labels are written to the shared folder.  Null ends and loops are ignored.
+
+    A hub's edges are aggregated partially before they are shuffled, and joins
+    on a hub or a shared label have one side from a written table, so adaptive
+    execution splits what is skewed there.
     """
     pairs = edges.where("a is not null and b is not null and a <> b").select("a", "b")
     both = materialize(pairs.union(pairs.select(F.col("b"), F.col("a"))).distinct())
@@ -86,4 +94,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         labels = jumped
         if not moved:
             discard(both)
-            return labels.select("id", F.col("label").alias("component"))
+            out = labels.select("id", F.col("label").alias("component"))
+            out._spanmill_path = labels._spanmill_path
+            return out

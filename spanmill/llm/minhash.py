@@ -7,14 +7,24 @@ candidates, and every link is confirmed on the full shingle sets.
 
 Documents with equal sets form a class that one member stands for, so groups
 of exact copies cost a row each and no pairs.  In a bucket, members are first
-confirmed against the bucket's smallest class; only members that are then
-still in different components are compared with each other, in blocks, and a
-block returns a spanning forest of its links, never all its pairs.
+confirmed against the bucket's smallest class.  In buckets that then still hold
+several components, the members outside of the largest one are leaders again:
+each is compared with the bucket's members in other components, in blocks of
+bounded weight, and a block returns a spanning forest of its links, never all
+its pairs.  Classes with too many shingles of their own to reach the threshold
+with any other candidate are left out before.
+
+A pair right at the threshold shares no band with a probability of ``miss``
+(1e-5); that is the only way in which a link can be lost.
+
+Hot keys: buckets, classes and hubs are aggregated partially before they are
+shuffled, and every join on such a key has both sides straight from written
+tables, so adaptive execution splits its heavy partitions.
 
 Null texts and texts without words have the empty set and link with nothing.
-Rows sharing a doc_id count as one document, linked through any of its rows;
-rows with a null doc_id take no part (component null, kept).  Further columns
-of the input are ignored.
+Rows sharing a doc_id count as one document, linked through any of its rows,
+and get one component; rows with a null doc_id take no part (component null,
+kept).  Further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +42,8 @@ from spanmill.llm.common import bound_batches, connected_components, discard, ma
 from spanmill.llm.wordhash import U, mix64, shingle_sets
 
 ROWS = 5
-BLOCK = 256
+#: Classes in a block, and shingles of them together, about.
+BLOCK, WEIGHT = 256, 1 << 21
 STEP = 1 << 17
 
 
@@ -103,50 +114,89 @@ def _set_rows(width: int):
         for batch in batches:
             ids = batch.column("doc_id")
             for first, hashes, lengths in shingle_sets(batch.column("text"), width):
-                offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+                full = lengths > 0
+                ends = np.concatenate(([0], np.cumsum(lengths)))
+                one = np.zeros(len(lengths), U)
+                if full.any():
+                    one[full] = np.add.reduceat(mix64(hashes), ends[:-1][full])
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, len(lengths)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64)))],
-                    ["rep", "shingles"],
+                    [
+                        ids.slice(first, len(lengths)),
+                        pa.array(one.view(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(hashes.view(np.int64))),
+                    ],
+                    ["rep", "one", "shingles"],
                 )
 
     return run
 
 
-def _block_links(percent: int):
-    """Confirmed links between different components of one block pair, as a spanning forest."""
+def common_sizes(left: list[np.ndarray], right: list[np.ndarray], dense: int = 64, step: int = 2048) -> np.ndarray:
+    """(left, right) sizes of the intersections of sets of integers, as a product of two
+    sparse matrices: values that few pairs share are expanded, others multiplied densely."""
+    rows, columns = len(left), len(right)
+    out = np.zeros(rows * columns, np.int64)
+    lv, li = np.concatenate(left), np.repeat(np.arange(rows), [len(x) for x in left])
+    rv, rj = np.concatenate(right), np.repeat(np.arange(columns), [len(x) for x in right])
+    order = np.argsort(lv, kind="stable")
+    lv, li = lv[order], li[order]
+    values, start, p = np.unique(lv, return_index=True, return_counts=True)
+    if not len(values):
+        return out.reshape(rows, columns)
+    at = np.minimum(np.searchsorted(values, rv), len(values) - 1)
+    found = values[at] == rv
+    at, rj = at[found], rj[found]
+    heavy = p * np.bincount(at, minlength=len(values)) > dense
+    few = ~heavy[at]
+    a, j = at[few], rj[few]
+    ends = np.concatenate(([0], np.cumsum(p[a])))
+    first = 0
+    while first < len(a):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + (1 << 21), "right")) - 1)
+        n = p[a[first:last]]
+        own = np.repeat(np.arange(first, last), n)
+        within = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+        out += np.bincount(li[start[a[own]] + within] * columns + j[own], minlength=len(out))
+        first = last
+    both = out.reshape(rows, columns)
+    place = np.cumsum(heavy) - 1
+    left_value = np.repeat(np.arange(len(values)), p)
+    for low in range(0, int(heavy.sum()), step):
+        x, y = np.zeros((rows, step), np.float32), np.zeros((columns, step), np.float32)
+        use = heavy[left_value] & (place[left_value] // step == low // step)
+        x[li[use], place[left_value[use]] - low] = 1
+        use = heavy[at] & (place[at] // step == low // step)
+        y[rj[use], place[at[use]] - low] = 1
+        both += (x @ y.T).astype(np.int64)
+    return both
+
+
+def _leader_links(percent: int):
+    """Confirmed links between a block of leaders and a block of members in other components, as a spanning forest."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("rep")
-        rep, comp, side = rows["rep"].to_numpy(), rows["component"].to_numpy(), rows["side"].to_numpy()
-        sets = rows["shingles"].to_list()
-        size = np.array([len(s) for s in sets])
-        n = len(rep)
-        both = np.zeros((n, n), np.int32)
-        member = np.repeat(np.arange(n), size)
-        value = np.concatenate(sets) if n else np.zeros(0, np.int64)
-        order = np.argsort(value, kind="stable")
-        value, member = value[order], member[order]
-        cuts = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1], [True]))) if len(value) else np.zeros(1, int)
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if b - a > 1:
-                m = member[a:b]
-                both[m[:, None], m[None, :]] += 1
-        joint = size[:, None] + size[None, :] - both
-        good = (100 * both.astype(np.int64) >= percent * joint) & (comp[:, None] != comp[None, :])
-        root = {c: c for c in comp}
-
-        def find(c):
-            while root[c] != c:
-                root[c] = root[root[c]]
-                c = root[c]
-            return c
-
-        out = []
-        for i, j in zip(*np.nonzero(np.triu(good, 1))):
-            p, q = find(comp[i]), find(comp[j])
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                out.append((rep[i], rep[j]))
+        lead, rest = rows[rows["leader"]], rows[~rows["leader"]]
+        out: list[tuple] = []
+        if len(lead) and len(rest):
+            x, y = lead["shingles"].to_list(), rest["shingles"].to_list()
+            both = common_sizes(x, y)
+            joint = np.array([len(v) for v in x])[:, None] + np.array([len(v) for v in y])[None, :] - both
+            one, two = lead["component"].to_numpy(), rest["component"].to_numpy()
+            good = (100 * both >= percent * joint) & (one[:, None] != two[None, :])
+            root = {c: c for c in (*one, *two)}
+
+            def find(c):
+                while root[c] != c:
+                    root[c] = root[root[c]]
+                    c = root[c]
+                return c
+
+            a, b = lead["rep"].to_numpy(), rest["rep"].to_numpy()
+            for i, j in zip(*np.nonzero(good)):
+                p, q = find(one[i]), find(two[j])
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    out.append((a[i], b[j]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
@@ -162,67 +212,96 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = materialize(docs.mapInArrow(_sketch_rows(width, bands, rows), "doc_id long, n_shingles long, one long, two long, bands array<long>"))
 
-    # a class for each set; its smallest doc_id stands for it
+    # a class for each set; its smallest doc_id stands for it.  An id with several texts may stand for
+    # several classes, so a class is named (rep, one); all of them belong to one document
     classes = materialize(
         sketch.where("n_shingles > 0 and doc_id is not null")
         .groupBy("n_shingles", "one", "two")
         .agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     )
-    spread = classes.select("rep", "n_shingles", F.explode("bands").alias("key"))
-    shared = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    repeats = materialize(sketch.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    repeated = repeats.limit(1).count() > 0
+    same = _one_document(sketch, classes, repeats)
+
+    spread = classes.select("rep", "one", "n_shingles", F.explode("bands").alias("key"))
+    shared = materialize(spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     members = materialize(spread.join(shared, "key"))
 
     # full sets, of candidates only
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = materialize(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_set_rows(width), "rep long, shingles array<long>"))
+    sets = materialize(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_set_rows(width), "rep long, one long, shingles array<long>"))
+    if repeated:
+        once = materialize(sets.dropDuplicates(["rep", "one"]))
+        discard(sets)
+        sets = once
 
     # a shingle that no other candidate has lowers every likeness of its owner; some owners can link with nothing
     lone = (
-        sets.select("rep", F.explode("shingles").alias("shingle"))
+        sets.select("rep", "one", F.explode("shingles").alias("shingle"))
         .groupBy("shingle")
-        .agg(F.count("*").alias("n"), F.min("rep").alias("rep"))
+        .agg(F.count("*").alias("n"), F.min(F.struct("rep", "one")).alias("own"))
         .where("n = 1")
-        .groupBy("rep")
+        .groupBy("own.rep", "own.one")
         .agg(F.count("*").alias("lone"))
     )
-    able = sets.select("rep", F.size("shingles").alias("n")).join(lone, "rep", "left").where(f"100 * (n - coalesce(lone, 0)) >= {percent} * n").select("rep").distinct()
-    live = materialize(members.join(able, "rep", "left_semi"))
-    discard(members)
+    able = sets.select("rep", "one", F.size("shingles").alias("n")).join(lone, ["rep", "one"], "left").where(f"100 * (n - coalesce(lone, 0)) >= {percent} * n").select("rep", "one")
+    live = materialize(members.join(able, ["rep", "one"], "left_semi"))
 
     # every member against the smallest of its bucket
-    lead = live.groupBy("key").agg(F.min(F.struct("rep", "n_shingles")).alias("lead"), F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("mark")).where("n > 1")
-    leads = materialize(lead)
+    mark = F.sum(F.xxhash64("rep", "one").cast("decimal(20,0)"))
+    leads = materialize(live.groupBy("key").agg(F.min(F.struct("rep", "one", "n_shingles")).alias("lead"), F.count("*").alias("n"), mark.alias("mark")).where("n > 1"))
     pairs = (
         live.join(leads, "key")
         .where("rep <> lead.rep")
         .where(f"100 * least(n_shingles, lead.n_shingles) >= {percent} * greatest(n_shingles, lead.n_shingles)")
-        .select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"))
+        .select(F.col("lead.rep").alias("a"), F.col("lead.one").alias("a_one"), F.col("rep").alias("b"), F.col("one").alias("b_one"))
         .distinct()
     )
-    left, right = (sets.select(F.col("rep").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "ab")
+    left, right = (sets.select(F.col("rep").alias(c), F.col("one").alias(f"{c}_one"), F.col("shingles").alias(f"{c}_set")) for c in "ab")
     hit = F.size(F.array_intersect("a_set", "b_set"))
-    star = materialize(pairs.join(left, "a").join(right, "b").where(100 * hit >= percent * (F.size("a_set") + F.size("b_set") - hit)).select("a", "b"))
-    joined = materialize(connected_components(star))
-
-    # what is left apart: members of one bucket in different components.  Buckets of the same members count once.
-    once = leads.where("n > 2").groupBy("n", "mark").agg(F.min("key").alias("key"), F.first("n").alias("members")).select("key", "members")
-    apart = live.join(once, "key").join(joined.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = apart.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    apart = apart.join(mixed, "key").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    blocks = (
-        apart.select("key", "rep", "component", mine.alias("mine"), "blocks")
-        .select("*", other)
-        .select("key", "rep", "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("mine").alias("side"))
-    )
-    late = blocks.join(sets, "rep").groupBy("key", "i", "j").applyInPandas(_block_links(percent), "a long, b long")
-    late = materialize(late)
-    merged = materialize(connected_components(star.unionByName(late)))
+    confirmed = pairs.join(right, ["b", "b_one"]).join(left, ["a", "a_one"]).where(100 * hit >= percent * (F.size("a_set") + F.size("b_set") - hit))
+    star = materialize(confirmed.select("a", "b").unionByName(same))
+    joined = connected_components(star)
+
+    # what is left apart: buckets with several components.  Buckets of the same members count once.
+    once = leads.where("n > 2").groupBy("n", "mark").agg(F.min("key").alias("key")).select("key")
+    apart = live.join(once, "key").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
+    apart = materialize(apart.select("key", "rep", "one", "n_shingles", F.coalesce("component", "rep").alias("component")))
+    held = apart.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
+    most = F.max(F.struct("n", "weight", "component"))
+    mixed = held.groupBy("key").agg(most.alias("most"), F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.count("*").alias("parts")).where("parts > 1")
+
+    def blocks(n: str, weight: str):
+        return F.ceil(F.greatest(F.expr(n) / BLOCK, F.expr(weight) / WEIGHT)).cast("long")
+
+    mixed = materialize(mixed.select("key", F.col("most.component").alias("largest"), blocks("n - most.n", "weight - most.weight").alias("i_all"), blocks("n", "weight").alias("j_all")))
+    dealt = apart.join(mixed, "key")
+    own = F.xxhash64("rep", "one")
+
+    def side(leader: bool, mine: str, other: str):
+        rows = dealt.where("component <> largest") if leader else dealt
+        at = rows.select("key", "rep", "one", "component", F.lit(leader).alias("leader"), F.pmod(own, F.col(f"{mine}_all")).alias(mine), f"{other}_all")
+        return at.select("key", "rep", "one", "component", "leader", mine, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_all") - 1)).alias(other))
+
+    met = side(True, "i", "j").unionByName(side(False, "j", "i"))
+    late = materialize(met.join(sets, ["rep", "one"]).groupBy("key", "i", "j").applyInPandas(_leader_links(percent), "a long, b long"))
+    merged = connected_components(star.unionByName(late))
 
     named = classes.select("n_shingles", "one", "two", "rep").join(merged.withColumnRenamed("id", "rep"), "rep", "left")
-    named = named.select("n_shingles", "one", "two", F.coalesce("component", "rep").alias("component_id"))
+    named = materialize(named.select("n_shingles", "one", "two", F.coalesce("component", "rep").alias("of_class")))
     out = sketch.select("doc_id", "n_shingles", "one", "two").join(named, ["n_shingles", "one", "two"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    component = F.when(F.col("n_shingles") > 0, F.col("of_class")).otherwise(F.col("doc_id"))
+    if repeated:  # a row without words may be of a document with others
+        out = out.join(merged.select(F.col("id").alias("doc_id"), F.col("component").alias("of_doc")), "doc_id", "left")
+        component = F.when(F.col("n_shingles") > 0, F.col("of_class")).otherwise(F.coalesce("of_doc", "doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = materialize(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")))
+    discard(sketch, classes, repeats, shared, members, sets, live, leads, star, joined, apart, mixed, late, merged, named)
+    return out
+
+
+def _one_document(sketch: DataFrame, classes: DataFrame, repeats: DataFrame) -> DataFrame:
+    """(a, b): ids that occur more than once, and what stands for each of their classes."""
+    several = sketch.where("n_shingles > 0").join(repeats, "doc_id", "left_semi").select("doc_id", "n_shingles", "one", "two")
+    named = several.join(classes.select("n_shingles", "one", "two", "rep"), ["n_shingles", "one", "two"])
+    return named.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()

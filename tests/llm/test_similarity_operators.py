@@ -72,6 +72,38 @@ def test_near_duplicate_edges(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_several_texts_of_one_id_are_one_document(spark):
+    """Plain version: rows of an id are linked, and rows whose sets are alike."""
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven twelve", "x y z u v w")
+    rows = [(3, a), (9, a), (9, b), (11, b), (11, ""), (20, c), (20, "q r s t"), (21, "q r s t"), (22, None), (22, "lone words here now")]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 85).collect())
+    want = {3: 3, 9: 3, 11: 3, 20: 20, 21: 20, 22: 22}
+    assert got == sorted((k, want[k], want[k] == k) for k, _ in rows)
+    twins = [(5, a), (5, b), (6, a), (7, b), (8, b + " more")]  # one id stands for two classes
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(twins, "doc_id long, text string"), 3, 80).collect()}
+    assert got == dict.fromkeys((5, 6, 7, 8), 5)
+
+
+def test_no_pair_near_the_threshold_is_lost(spark):
+    """Recall by pairs whose likeness is 0.85 to 0.87; the whole table is scanned once."""
+    rng, rows = random.Random(5), []
+    for k in range(0, 600, 2):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(122)]
+        rows += [(k, " ".join(w)), (k + 1, " ".join([*w[:111], *(f"v{rng.randrange(10**6)}" for _ in range(11))]) if k % 4 else " ".join(w[:112]))]
+    truth = plain_components(rows, 3, 85)
+    linked = [k for k in range(0, 600, 2) if truth[k + 1][1] == k]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert len(linked) > 100 and {k: v for k, (_, v) in truth.items()} == got
+
+
+@pytest.mark.parametrize("dense", [0, 3, 10**9])
+def test_sizes_of_intersections(dense):
+    rng = random.Random(dense)
+    sets = [np.array(sorted(rng.sample(range(60), rng.randint(0, 30))), np.int64) for _ in range(25)]
+    got = minhash.common_sizes(sets[:9], sets[9:], dense, 7)
+    assert got.tolist() == [[len(set(a) & set(b)) for b in sets[9:]] for a in sets[:9]]
+
+
 def test_signatures_estimate_likeness():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 63, 1000).astype(np.uint64)
