@@ -3,7 +3,9 @@
 The categories are predicted in order.  Each has a logistic regression on the
 document's terms; it also gets the probabilities of the categories before it.
 Those it is trained with are out-of-fold: each row's come from a model that has
-not seen the row.
+not seen the row, and neither have its terms and their values.  The labels at
+hand are quality and toxicity, so those are the chain's categories by default;
+any others may be named.
 
 Terms are words and their beginnings, lower-cased; a document has a term or
 not, so text length doesn't dilute it.  The terms that tell a category's rows
@@ -15,9 +17,10 @@ Everything else covers all rows.
 
 Null and empty texts have no terms and get the chain's answer for that; labels
 that are null are left out, and where an id has several labels the largest
-counts.  Without any labelled row, or with one class only, a category's
-probability is the share of positives (0 without labels).  Repeated rows are
-scored each; extra columns stay.
+counts.  Rows of one id are in one fold.  Without any labelled row, or with one
+class only, a category's probability is the share of positives (0 without
+labels).  Repeated rows are scored each; extra columns stay, but one that has
+the name of a score is replaced by it.
 """
 
 from __future__ import annotations
@@ -94,17 +97,21 @@ class ToxicityChain:
         return x[:, x.shape[1] - len(self.models) :]
 
 
-def fit_models(x: np.ndarray, labels: np.ndarray, folds: int = FOLDS) -> list[Logistic]:
-    """A model per column of ``labels`` (NaN: unknown); later ones are trained with out-of-fold probabilities."""
-    models, fold = [], np.arange(len(x)) % folds
+def fit_models(x: np.ndarray, labels: np.ndarray, fold: np.ndarray, apart: dict[int, np.ndarray] | None = None) -> list[Logistic]:
+    """A model per column of ``labels`` (NaN: unknown); later ones are trained with the
+    out-of-fold probabilities of those before.  ``apart``: for each fold the terms' values as
+    chosen without it."""
+    models, folds = [], sorted(set(fold.tolist()))
+    apart = dict(apart) if apart else {f: x for f in folds}
     for k in range(labels.shape[1]):
         known = ~np.isnan(labels[:, k])
         ahead = np.zeros(len(x))
-        for f in range(folds):
+        for f in folds:
             train = known & (fold != f)
-            ahead[fold == f] = fit_logistic(x[train], labels[train, k]).predict(x[fold == f])
+            ahead[fold == f] = fit_logistic(apart[f][train], labels[train, k]).predict(apart[f][fold == f])
         models.append(fit_logistic(x[known], labels[known, k]))
         x = np.hstack([x, ahead[:, None]])
+        apart = {f: np.hstack([v, ahead[:, None]]) for f, v in apart.items()}
     return models
 
 
@@ -112,19 +119,36 @@ def _count_terms(categories: tuple[str, ...]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
         for frame in frames:
-            for text, *labels in frame[["text", *categories]].itertuples(index=False):
-                mark = tuple(-1 if pd.isna(v) else int(v) for v in labels)
+            for text, fold, *labels in frame[["text", "fold", *categories]].itertuples(index=False):
+                mark = (fold, *(-1 if pd.isna(v) else int(v) for v in labels))
                 counts.update((t, mark) for t in document_terms(text))
         parts = [(t, *mark, n) for (t, mark), n in counts.items()]
-        yield pd.DataFrame(parts, columns=["term", *categories, "n"])
+        yield pd.DataFrame(parts, columns=["term", "fold", *categories, "n"])
 
     return run
 
 
+def _telling(counts: DataFrame, totals: dict[tuple, int], categories: tuple[str, ...], without: int | None, n_terms: int) -> dict[str, float]:
+    """The chosen terms and their values, from all folds but one."""
+    kept = F.lit(True) if without is None else F.col("fold") != without
+    parts = {(c, v): F.sum(F.when(kept & (F.col(c) == v), F.col("n")).otherwise(0)).alias(f"{c}_{v}") for c in categories for v in (0, 1)}
+    summed = counts.groupBy("term").agg(*parts.values())
+    picked: dict[str, float] = {}
+    for c in categories:
+        with_0, with_1 = (max(sum(n for (k, value, fold), n in totals.items() if k == c and value == v and fold != without), 1) for v in (0, 1))
+        gap = F.col(f"{c}_1") / with_1 - F.col(f"{c}_0") / with_0
+        all_with = F.col(f"{c}_1") + F.col(f"{c}_0")
+        score = gap * gap / ((all_with + 1) * (with_1 + with_0 + 1 - all_with))
+        odds = F.abs(F.log((F.col(f"{c}_1") + 0.5) / (with_1 + 1)) - F.log((F.col(f"{c}_0") + 0.5) / (with_0 + 1)))
+        top = summed.where(all_with >= 3).orderBy(score.desc(), "term").limit(n_terms).select("term", odds.alias("odds")).collect()
+        picked |= {r.term: max(r.odds, picked.get(r.term, 0.0)) for r in top}
+    return picked
+
+
 def _sample_terms(terms: dict[str, int], categories: tuple[str, ...]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = frame[["doc_id", *categories]].copy()
+            out = frame[["doc_id", *categories, "fold"]].copy()
             out["terms"] = [sorted(terms[t] for t in document_terms(x) if t in terms) for x in frame["text"]]
             yield out
 
@@ -145,33 +169,39 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] =
     schema = "doc_id long, " + ", ".join(f"{c} int" for c in categories)
     rows = [[None if pd.isna(v) else int(v) for v in r] for r in ids.itertuples(index=False)]
     sample = spark.createDataFrame(rows, schema)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").cache()
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").withColumn("fold", fold).cache()
     try:
         ints = ", ".join(f"{c} int" for c in categories)
-        counts = texts.mapInPandas(_count_terms(categories), f"term string, {ints}, n long").groupBy("term").agg(
-            *(F.sum(F.when(F.col(c) == v, F.col("n")).otherwise(0)).alias(f"{c}_{v}") for c in categories for v in (0, 1))
-        ).cache()
-        totals = texts.agg(*(F.count_if(F.col(c) == v).alias(f"{c}_{v}") for c in categories for v in (0, 1))).first()
-        picked: dict[str, float] = {}
-        for c in categories:
-            with_1, with_0 = max(totals[f"{c}_1"], 1), max(totals[f"{c}_0"], 1)
-            gap = F.col(f"{c}_1") / with_1 - F.col(f"{c}_0") / with_0
-            all_with = F.col(f"{c}_1") + F.col(f"{c}_0")
-            score = gap * gap / ((all_with + 1) * (with_1 + with_0 + 1 - all_with))
-            odds = F.abs(F.log((F.col(f"{c}_1") + 0.5) / (with_1 + 1)) - F.log((F.col(f"{c}_0") + 0.5) / (with_0 + 1)))
-            top = counts.where(all_with >= 3).orderBy(score.desc(), "term").limit(n_terms).select("term", odds.alias("odds")).collect()
-            picked |= {r.term: max(r.odds, picked.get(r.term, 0.0)) for r in top}
+        counts = texts.mapInPandas(_count_terms(categories), f"term string, fold int, {ints}, n long")
+        # partial sums by term, fold and labels; a term has at most folds * 3 ** categories of them
+        counts = counts.groupBy("term", "fold", *categories).agg(F.sum("n").alias("n")).cache()
+        rows_of = texts.groupBy("fold").agg(*(F.count_if(F.col(c) == v).alias(f"{c}_{v}") for c in categories for v in (0, 1))).collect()
+        totals = {(c, v, r["fold"]): r[f"{c}_{v}"] for r in rows_of for c in categories for v in (0, 1)}
+        picked = {f: _telling(counts, totals, categories, f, n_terms) for f in (None, *range(FOLDS))}
         counts.unpersist()
-        terms = {t: i for i, t in enumerate(sorted(picked))}
-        data = texts.mapInPandas(_sample_terms(terms, categories), f"{schema}, terms array<int>").toPandas()
+        places = {t: i for i, t in enumerate(sorted(set().union(*picked.values())))}
+        data = texts.mapInPandas(_sample_terms(places, categories), f"{schema}, fold int, terms array<int>").toPandas()
     finally:
         texts.unpersist()
     data = data.sort_values("doc_id", key=lambda s: pd.util.hash_array(s.to_numpy(np.int64))).reset_index(drop=True)
-    scales = np.array([picked[t] for t in terms])
-    x = np.zeros((len(data), len(terms)), np.float32)
-    for i, t in enumerate(data["terms"]):
-        x[i, t] = scales[t]
-    return ToxicityChain(categories, terms, fit_models(x, data[list(categories)].to_numpy(float)), scales)
+
+    def valued(chosen: dict[str, float]) -> np.ndarray:
+        """(rows, chosen terms in order) with each term's value where the row has it."""
+        column = np.full(len(places), -1)
+        for i, t in enumerate(sorted(chosen)):
+            column[places[t]] = i
+        values = np.array([chosen[t] for t in sorted(chosen)], np.float32)
+        x = np.zeros((len(data), len(chosen)), np.float32)
+        for i, have in enumerate(data["terms"]):
+            at = column[np.asarray(have, int)]
+            at = at[at >= 0]
+            x[i, at] = values[at]
+        return x
+
+    final = picked[None]
+    models = fit_models(valued(final), data[list(categories)].to_numpy(float), data["fold"].to_numpy(), {f: valued(picked[f]) for f in range(FOLDS)})
+    return ToxicityChain(categories, {t: i for i, t in enumerate(sorted(final))}, models, np.array([final[t] for t in sorted(final)]))
 
 
 def score_documents(docs: DataFrame, chain: ToxicityChain, text: str = "text", prefix: str = "p_") -> DataFrame:
@@ -204,8 +234,9 @@ def score_documents(docs: DataFrame, chain: ToxicityChain, text: str = "text", p
             yield pd.DataFrame(scores, columns=list(chain.categories))
 
     kind = ", ".join(f"`{c}` double" for c in chain.categories)
-    scored = docs.withColumn("_chain", F.pandas_udf(run, kind)(F.col(text)))
-    made = {f"{prefix}{c}": scored["_chain"][c] for c in chain.categories}
-    return scored.withColumns(made).drop("_chain")
-
-
+    made, held = [f"{prefix}{c}" for c in chain.categories], "chain"
+    while held in {c.lower() for c in docs.columns}:
+        held = "_" + held
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in {m.lower() for m in made}]
+    scored = docs.withColumn(held, F.pandas_udf(run, kind)(F.col(f"`{text}`")))
+    return scored.select(*kept, *(F.col(held)[c].alias(m) for c, m in zip(chain.categories, made)))
