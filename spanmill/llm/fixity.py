@@ -2,20 +2,24 @@
 
 Records are grouped in archive files and ordered by offset.  A record's leaf is
 the SHA-256 of its bytes; a node is the SHA-256 of up to ``FAN`` consecutive
-children and of the range of offsets that they cover; the single node on top
-is the file's root.  Replicas of a file are compared root by root, and only
-nodes under a differing node are looked at on the level below, down to the
-records that differ.
+children and of the ranges that they cover, as offsets from the node's own
+start; the single node on top is the file's root.  So a record that changes its
+size changes the nodes above it and no others.  Replicas of a file are compared
+root by root, and only nodes under a differing node are looked at on the level
+below.  Under the last differing branches the records are aligned by their id,
+the how-many-th of that id and their digest, since a missing record moves all
+later ones of its file; so each altered, missing or surplus record is named, and
+no other.
 
 Every node has at most ``FAN`` children and is made by an aggregation over
 (file, node number), so no file is ever gathered in one task; levels are
-written to the shared folder.  Records missing in a replica, or surplus there,
-are found by their place in the file.
+written to the shared folder and deleted when the audit is done.
 
 Null payloads count as empty.  Repeated rows are records of their own, next to
 each other; files in only one replica are reported with all their records.
-An empty table gives an empty tree and an empty report.  Extra columns are
-ignored.
+Records with a null id are dealt over ``NULL_FILES`` files by their address and
+aligned by digest.  An empty table gives an empty tree and an empty report.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +27,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanmill.llm.common import materialize
+from spanmill.llm.common import discard, materialize
 
 FAN = 16
 RECORDS_PER_FILE = 512
+#: Files (with negative numbers) for records without an id.
+NULL_FILES = 1024
 
 
 def response_record(uri: Column, record_id: Column, payload: Column) -> Column:
@@ -44,7 +50,7 @@ def leaves(pages: DataFrame, per_file: int = RECORDS_PER_FILE) -> DataFrame:
     (warc, place long, page_id, start long, stop long, digest)."""
     record = response_record(F.col("url"), F.col("page_id"), F.col("html"))
     hashed = pages.select(
-        F.coalesce(F.floor(F.col("page_id") / per_file), F.lit(-1)).cast("long").alias("warc"),
+        F.coalesce(F.floor(F.col("page_id") / per_file), -1 - F.pmod(F.xxhash64("url"), F.lit(NULL_FILES))).cast("long").alias("warc"),
         F.col("page_id").cast("long").alias("page_id"),
         F.octet_length(record).cast("long").alias("size"),
         F.sha2(record, 256).alias("digest"),
@@ -54,11 +60,14 @@ def leaves(pages: DataFrame, per_file: int = RECORDS_PER_FILE) -> DataFrame:
     return hashed.select("warc", (F.row_number().over(order) - 1).cast("long").alias("place"), "page_id", (stop - F.col("size")).alias("start"), stop.alias("stop"), "digest")
 
 
+LEVEL = ["warc", "place", "start", "stop", "digest"]
+
+
 def _above(nodes: DataFrame, fan: int) -> DataFrame:
-    child = F.sort_array(F.collect_list(F.struct("place", "digest")))
+    child = F.sort_array(F.collect_list(F.struct("place", "start", "stop", "digest")))
     grouped = nodes.groupBy("warc", F.floor(F.col("place") / fan).cast("long").alias("place")).agg(F.min("start").alias("start"), F.max("stop").alias("stop"), child.alias("c"))
-    said = F.concat_ws("|", F.col("start"), F.col("stop"), F.array_join(F.transform("c", lambda c: c["digest"]), "|"))
-    return grouped.select("warc", "place", "start", "stop", F.sha2(said, 256).alias("digest"))
+    ranges = F.transform("c", lambda c: F.concat_ws(":", c["start"] - F.col("start"), c["stop"] - F.col("start"), c["digest"]))
+    return grouped.select("warc", "place", "start", "stop", F.sha2(F.array_join(ranges, "|"), 256).alias("digest"))
 
 
 def merkle_tree(records: DataFrame, fan: int = FAN) -> list[DataFrame]:
@@ -67,31 +76,52 @@ def merkle_tree(records: DataFrame, fan: int = FAN) -> list[DataFrame]:
     levels = [records]
     most = records.agg(F.max("place")).first()[0] or 0
     while most > 0:
-        levels.append(materialize(_above(levels[-1].select("warc", "place", "start", "stop", "digest"), fan)))
+        levels.append(materialize(_above(levels[-1].select(*LEVEL), fan)))
         most //= fan
     return levels
 
 
 def audit(primary: DataFrame, replica: DataFrame, fan: int = FAN) -> DataFrame:
     """The differing records of two replicas' ``leaves``: (warc, place, page_id, start, stop,
-    expected, found, damage); damage is altered, missing or surplus."""
+    expected, found, damage); damage is altered, missing or surplus.  Place, start and stop are
+    the primary's, for a surplus record the replica's."""
     left, right = materialize(primary), materialize(replica)
     ours, theirs = merkle_tree(left, fan), merkle_tree(right, fan)
-    while len(ours) < len(theirs):
-        ours.append(materialize(_above(ours[-1].select("warc", "place", "start", "stop", "digest"), fan)))
-    while len(theirs) < len(ours):
-        theirs.append(materialize(_above(theirs[-1].select("warc", "place", "start", "stop", "digest"), fan)))
-    bad = None
+    for short, long in ((ours, theirs), (theirs, ours)):
+        while len(short) < len(long):
+            short.append(materialize(_above(short[-1].select(*LEVEL), fan)))
+    bad, seen = None, []
     for a, b in reversed(list(zip(ours[1:], theirs[1:]))):
         both = _under(bad, a, fan).select("warc", "place", F.col("digest").alias("expected")).join(_under(bad, b, fan).select("warc", "place", F.col("digest").alias("found")), ["warc", "place"], "full")
         bad = materialize(both.where(~F.col("expected").eqNullSafe(F.col("found"))).select("warc", "place"))
-    a, b = _under(bad, left, fan), _under(bad, right, fan)
-    a = a.select("warc", "place", F.struct("page_id", "start", "stop", "digest").alias("a"))
-    b = b.select("warc", "place", F.struct("page_id", "start", "stop", "digest").alias("b"))
-    both = a.join(b, ["warc", "place"], "full").where(~F.col("a.digest").eqNullSafe(F.col("b.digest")))
+        seen.append(bad)
+    out = materialize(_aligned(_under(bad, left, fan), _under(bad, right, fan)))
+    discard(left, right, *ours[1:], *theirs[1:], *seen)
+    return out
+
+
+def _aligned(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Records of either side that the other lacks, paired by id where both have one left."""
+    same = ["warc", "page_id", "digest"]
+    counted = Window.partitionBy(*same).orderBy("place")
+
+    def numbered(rows: DataFrame, side: str) -> DataFrame:
+        return rows.select(*same, F.row_number().over(counted).alias("copy"), F.struct("place", "start", "stop", "digest").alias(side))
+
+    a, b = numbered(ours, "a"), numbered(theirs, "b").withColumnRenamed("digest", "digest_b")
+    equal = a["warc"].eqNullSafe(b["warc"]) & a["page_id"].eqNullSafe(b["page_id"]) & (a["digest"] == b["digest_b"]) & (a["copy"] == b["copy"])
+    keys = ["warc", "page_id"]
+    apart = a.join(b, equal, "full").where(F.col("a").isNull() | F.col("b").isNull())
+    apart = apart.select(*(F.coalesce(a[k], b[k]).alias(k) for k in keys), "a", "b")
+    # of one id, the first record left here goes with the first left there
+    order = Window.partitionBy(*keys, F.col("a").isNull()).orderBy(F.coalesce("a.place", "b.place"))
+    nth = F.when(F.col("page_id").isNotNull(), F.row_number().over(order)).otherwise(F.row_number().over(order) * F.when(F.col("a").isNull(), -1).otherwise(1))
+    paired = apart.withColumn("nth", nth).groupBy(*keys, "nth").agg(F.first("a", True).alias("a"), F.first("b", True).alias("b"))
     damage = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "surplus").otherwise("altered")
     known = F.coalesce("a", "b")
-    return both.select("warc", "place", known["page_id"].alias("page_id"), known["start"].alias("start"), known["stop"].alias("stop"), F.col("a.digest").alias("expected"), F.col("b.digest").alias("found"), damage.alias("damage"))
+    return paired.select(
+        "warc", known["place"].alias("place"), "page_id", known["start"].alias("start"), known["stop"].alias("stop"), F.col("a.digest").alias("expected"), F.col("b.digest").alias("found"), damage.alias("damage")
+    )
 
 
 def _under(bad: DataFrame | None, level: DataFrame, fan: int) -> DataFrame:

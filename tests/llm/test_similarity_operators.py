@@ -178,12 +178,41 @@ def test_chain_feeds_out_of_fold_probabilities():
     x = rng.integers(0, 2, (400, 3)).astype(np.float32)
     first = x[:, 0]
     labels = np.stack([first, first * x[:, 1]], axis=1)
-    models = toxicity.fit_models(x, labels)
+    fold = np.arange(len(x)) % 3
+    models = toxicity.fit_models(x, labels, fold)
     assert [len(m.weights) for m in models] == [3, 4]
     p = toxicity.ToxicityChain(("a", "b"), {}, models).predict(x)
     assert ((p[:, 0] > 0.5) == labels[:, 0]).all() and ((p[:, 1] > 0.5) == labels[:, 1]).mean() > 0.99
 
 
+def test_terms_of_a_fold_are_chosen_without_it(spark):
+    """A word that tells one fold's rows alone is no term of the model that predicts them."""
+    ids = list(range(300))
+    fold = {r.i: r.f for r in spark.createDataFrame([(i,) for i in ids], "i long").select("i", F.pmod(F.xxhash64("i", F.lit("fold")), F.lit(toxicity.FOLDS)).alias("f")).collect()}
+    rows = [(i, f"common words {'leak' if fold[i] == 0 and i % 2 else 'other'} here") for i in ids]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = docs.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(toxicity.FOLDS)).cast("int")).withColumn("toxic", (F.col("doc_id") % 2).cast("int"))
+    counts = texts.mapInPandas(toxicity._count_terms(("toxic",)), "term string, fold int, toxic int, n long")
+    totals = {("toxic", v, f): sum(1 for i in ids if i % 2 == v and fold[i] == f) for v in (0, 1) for f in range(toxicity.FOLDS)}
+    assert "=leak" in toxicity._telling(counts, totals, ("toxic",), None, 50)
+    assert "=leak" not in toxicity._telling(counts, totals, ("toxic",), 0, 50)
+
+
+def test_scores_like_a_plain_version(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    chain = toxicity.fit_chain(docs, labels)
+    clash = docs.select("doc_id", "text", F.lit("mine").alias("chain"), F.lit("old").alias("p_toxic"), F.lit("x").alias("_chain"))
+    got = toxicity.score_documents(clash, chain)
+    assert got.columns == ["doc_id", "text", "chain", "_chain", "p_quality", "p_toxic"]
+    assert got.where("chain <> 'mine' or _chain <> 'x'").count() == 0
+    for r in got.collect():
+        x = [chain.scales[i] if t in toxicity.document_terms(r.text) else 0.0 for t, i in chain.terms.items()]
+        for model, said in zip(chain.models, (r.p_quality, r.p_toxic)):
+            p = 1 / (1 + np.exp(-np.clip(sum(a * b for a, b in zip(x, model.weights)) + model.bias, -30, 30)))
+            assert abs(p - said) < 1e-6
+            x.append(p)
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, "you idiot", "x"), (2, None, None), (3, "", "y"), (1, "you idiot", "x"), (None, "fine words", "z")], "doc_id long, text string, p_other string")
     labels = spark.createDataFrame([(1, 1, 1), (3, 1, 0), (3, None, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
@@ -212,6 +241,28 @@ def test_audit_finds_exactly_the_damage(spark):
     assert [(r.page_id, r.damage) for r in fixity.audit(short, left).collect()] == [(699, "surplus")]
 
 
+@pytest.mark.parametrize("place", [0, 50, 99])
+def test_a_record_gone_added_or_shortened_is_named_alone(spark, place):
+    whole = pages(spark, 100)
+    left = fixity.leaves(whole)
+    report = lambda a, b: [(r.page_id, r.damage) for r in fixity.audit(a, b).collect()]
+    gone = fixity.leaves(whole.where(f"page_id <> {place}"))
+    assert report(left, gone) == [(place, "missing")] and report(gone, left) == [(place, "surplus")]
+    assert report(left, fixity.leaves(whole.withColumn("html", F.when(F.col("page_id") == place, "").otherwise(F.concat("html", F.lit("x")))))) != []
+    longer = fixity.leaves(whole.withColumn("html", F.when(F.col("page_id") == place, "much longer than it was").otherwise(F.col("html"))))
+    assert report(left, longer) == [(place, "altered")]
+    twice = fixity.leaves(whole.union(whole.where(f"page_id = {place}")))
+    assert report(left, twice) == [(place, "surplus")] and report(twice, left) == [(place, "missing")]
+
+
+def test_a_changed_size_changes_the_nodes_above_it_alone(spark):
+    whole = pages(spark, 512)
+    trees = [fixity.merkle_tree(fixity.leaves(x)) for x in (whole, whole.withColumn("html", F.when(F.col("page_id") == 100, "!!").otherwise(F.col("html"))))]
+    for a, b in zip(*trees):
+        changed = a.alias("a").join(b.alias("b"), ["warc", "place"]).where("a.digest <> b.digest").count()
+        assert changed == 1
+
+
 def test_tree_levels_and_edges(spark):
     tree = fixity.merkle_tree(fixity.leaves(pages(spark, 600)))
     assert [t.where("warc = 0").count() for t in tree] == [512, 32, 2, 1]
