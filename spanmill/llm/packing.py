@@ -7,6 +7,8 @@ counted lengths reach, and backtracking over the stages gives the counts.  A
 multiset without slack is used again while its lengths last.  Where even
 the best multiset leaves more than ``SLACK`` tokens, the longest remainder
 left is cut to fill them, so padding stays small whatever the lengths are.
+What a task has left for its last sequence is cut into sequences of powers of
+two, which take no padding.
 
 Tasks pack their own rows, so nothing is shuffled and memory holds one pool of
 remainders.  A sequence is named by partition and running number, which a
@@ -20,7 +22,6 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from spanmill.llm.common import bound_batches
-from spanmill.llm.tokens import TABLE_LIMIT, ChunkTable, cut_at_spaces, grouped
+from spanmill.llm.tokens import TABLE_BYTES, ChunkTable, cut_at_spaces, grouped
 
 WINDOW = 1024
 #: Remainders pooled before sequences are closed.
@@ -99,9 +100,30 @@ class _Pool:
                 doc, start, ids, tokens = self.take(max(self.by_length), 1)[0]
                 out.append((doc, start, ids[: 4 * slack], tokens))
                 self.add((doc, start + slack, ids[4 * slack :], tokens))
+            elif slack and not self.n:
+                yield from in_powers_of_two(out)
+                return
             yield out
 
 
+def in_powers_of_two(pieces: list[tuple]) -> Iterator[list[tuple]]:
+    """The pieces' tokens in order, in sequences of the powers of two that sum to their number."""
+    left = sum(len(p[2]) // 4 for p in pieces)
+    rest = pieces[::-1]
+    while left:
+        size = 1 << left.bit_length() - 1
+        left -= size
+        out = []
+        while size:
+            doc, start, ids, tokens = rest.pop()
+            here = min(size, len(ids) // 4)
+            out.append((doc, start, ids[: 4 * here], tokens))
+            if 4 * here < len(ids):
+                rest.append((doc, start + here, ids[4 * here :], tokens))
+            size -= here
+        yield out
+
+
 def _byte_letters() -> dict[int, str]:
     """The printable character by which byte-level vocabularies write each byte: printable
     Latin-1 bytes stand for themselves, the others follow from U+0100."""
@@ -121,7 +143,7 @@ class ByteCoder:
 
     MARKS = ".,;:!?"
 
-    def __init__(self, tokenizer_file: str, limit: int = TABLE_LIMIT) -> None:
+    def __init__(self, tokenizer_file: str, limit: int = TABLE_BYTES) -> None:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(tokenizer_file)
@@ -151,25 +173,15 @@ class ByteCoder:
         return [a + b for a, b in zip(heads, self.table.ids(pieces))]
 
 
-@lru_cache(1)
-def worker_coder(tokenizer_file: str, limit: int) -> ByteCoder:
-    """The coder that tasks of a Python worker share."""
-    return ByteCoder(tokenizer_file, limit)
-
-
-def pack_documents(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, pool: int = POOL, worker_table: int = 0) -> DataFrame:
-    """``docs`` (doc_id, text) -> a row per piece, see ``SCHEMA``.
-
-    ``worker_table``: chunks that each of a Python worker's tables holds from task to task
-    (about 200 bytes each); 0: a task has tables of its own, of ``TABLE_LIMIT``
-    chunks, and leaves nothing in the worker.  The ids are the same."""
+def pack_documents(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, pool: int = POOL) -> DataFrame:
+    """``docs`` (doc_id, text) -> a row per piece, see ``SCHEMA``."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder = worker_coder(tokenizer_file, worker_table) if worker_table else ByteCoder(tokenizer_file)
+        coder = ByteCoder(tokenizer_file)
         rest = _Pool(window)
         number = TaskContext.get().partitionId() << 33
         end = np.array([END_ID], "<u4").tobytes()

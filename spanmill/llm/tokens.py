@@ -1,8 +1,9 @@
 """Whole-text tokenising through tables of distinct chunks.
 
 A text is cut where no token can cross, each distinct chunk is segmented once
-by the tokenizer library, and ids are joined back by position.  Tables live in
-the Python worker, hold a bounded number of chunks and start over when full.
+by the tokenizer library, and ids are joined back by position.  Tables live as
+long as a task, hold a bounded number of bytes and start over when full; what
+is too large for a table is segmented and not kept.
 """
 
 from __future__ import annotations
@@ -11,8 +12,8 @@ import re
 from collections.abc import Callable, Iterator
 from itertools import islice
 
-#: Chunks a worker's table holds before it starts over.
-TABLE_LIMIT = 250_000
+#: Bytes that a task's table holds, about, before it starts over; and those of an entry besides its characters and ids.
+TABLE_BYTES, ENTRY_BYTES = 64 << 20, 200
 #: Characters of text whose chunks are looked up together.
 GROUP_CHARS = 1 << 20
 
@@ -24,20 +25,30 @@ _SAFE_CUT = re.compile(r"(?<=\S) ")
 class ChunkTable(dict):
     """chunk -> its ids as little-endian unsigned 32-bit integers, in bytes."""
 
-    def __init__(self, segment: Callable[[list[str]], list[bytes]], limit: int = TABLE_LIMIT) -> None:
+    def __init__(self, segment: Callable[[list[str]], list[bytes]], limit: int = TABLE_BYTES) -> None:
         super().__init__()
-        self.segment, self.limit = segment, limit
+        self.segment, self.limit, self.held = segment, limit, 0
+
+    @staticmethod
+    def bytes_of(chunks: list[str]) -> int:
+        """About what entries take: a character gives an id at most, bar few."""
+        return ENTRY_BYTES * len(chunks) + 5 * sum(map(len, chunks))
 
     def ids(self, texts: list[list[str]]) -> list[bytes]:
         """The ids of texts given as chunks."""
         wanted = set().union(*texts)
         new = [c for c in wanted if c not in self]
-        if len(self) + len(new) > self.limit:
+        size = self.bytes_of(new)
+        if self.held + size > self.limit:
             self.clear()
-            new = list(wanted)
-        if new:
-            self.update(zip(new, self.segment(new)))
-        return [b"".join([self[c] for c in chunks]) for chunks in texts]
+            new, self.held = list(wanted), 0
+            size = self.bytes_of(new)
+        made = dict(zip(new, self.segment(new))) if new else {}
+        if size <= self.limit:
+            self.update(made)
+            self.held += size
+            made = self
+        return [b"".join([made[c] for c in chunks]) for chunks in texts]
 
 
 def grouped(texts: list[str]) -> Iterator[list[str]]:
