@@ -46,10 +46,24 @@ def test_bytes_like_the_library(byte_coder, text):
 
 def test_a_full_table_starts_over():
     seen = []
-    table = tokens.ChunkTable(lambda cs: [seen.append(c) or c.encode() for c in cs], limit=3)
+    limit = 3 * tokens.ENTRY_BYTES + 20
+    table = tokens.ChunkTable(lambda cs: [seen.append(c) or c.encode() for c in cs], limit)
     assert table.ids([["a", "b"], ["c"]]) == [b"ab", b"c"]
     assert table.ids([["d", "a"]]) == [b"da"] and len(table) <= 3
     assert seen.count("a") == 2
+    huge = "x" * limit  # more than the table may hold: segmented, not kept
+    assert table.ids([["a", huge, "a"], [huge]]) == [b"a" + huge.encode() + b"a", huge.encode()] and huge not in table and table.held <= limit
+    assert table.ids([["a"]]) == [b"a"]
+
+
+def test_settings_of_the_normaliser_are_read():
+    field = lambda number, body: bytes([number << 3 | 2, len(body)]) + body
+    keeps = bytes([3 << 3, 1, 4 << 3, 0, 5 << 3, 1])
+    assert spm.keeps_text(field(3, keeps)) and spm.keeps_text(field(2, bytes([4 << 3, 9])) + field(3, keeps))
+    assert not spm.keeps_text(field(3, bytes([3 << 3, 1])))  # drops spaces unless told otherwise
+    assert not spm.keeps_text(field(3, field(2, b"map") + keeps))
+    assert not spm.keeps_text(field(3, keeps) + field(2, bytes([24 << 3 & 127 | 128, 1, 1])))
+    assert not spm.keeps_text(field(3, bytes([3 << 3, 0, 4 << 3, 0])))
 
 
 def test_documents_encoded_with_edges(spark, pieces):
@@ -107,8 +121,16 @@ def test_packing_covers_every_id_once(spark, byte_coder):
             assert r.offset == at
             at += r.length
         assert at <= 256
-        short += at < 256 - packing.SLACK
-    assert short <= 4  # the last of each of four partitions
+        short += at < 256 - packing.SLACK and at & (at - 1) > 0
+    assert short == 0  # the last of a partition are powers of two, which take no padding
+
+
+def test_what_is_left_goes_into_powers_of_two():
+    pieces = [(1, 5, bytes(4 * 300), 305), (2, 0, bytes(4 * 399), 399), (3, 0, bytes(4), 1)]
+    made = list(packing.in_powers_of_two(pieces))
+    assert [sum(len(p[2]) // 4 for p in s) for s in made] == [512, 128, 32, 16, 8, 4]
+    flat = [(p[0], p[1] + k) for s in made for p in s for k in range(len(p[2]) // 4)]
+    assert flat == [(d, start + k) for d, start, ids, _ in pieces for k in range(len(ids) // 4)]
 
 
 def test_packing_edges(spark):
