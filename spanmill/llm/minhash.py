@@ -110,23 +110,21 @@ def _sketch_rows(width: int, bands: int, rows: int):
 
 
 def _set_rows(width: int):
+    """(cid, rep, shingles) of the texts whose set is that of their class."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
+            expected = np.asarray(batch.column("one")).view(U)
             for first, hashes, lengths in shingle_sets(batch.column("text"), width):
                 full = lengths > 0
                 ends = np.concatenate(([0], np.cumsum(lengths)))
                 one = np.zeros(len(lengths), U)
                 if full.any():
                     one[full] = np.add.reduceat(mix64(hashes), ends[:-1][full])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(first, len(lengths)),
-                        pa.array(one.view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(hashes.view(np.int64))),
-                    ],
-                    ["rep", "one", "shingles"],
-                )
+                own = pa.array(full & (one == expected[first : first + len(lengths)]))
+                rows = [c.slice(first, len(lengths)) for c in (batch.column("cid"), batch.column("rep"))]
+                rows.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(hashes.view(np.int64))))
+                yield pa.RecordBatch.from_arrays(rows, ["cid", "rep", "shingles"]).filter(own)
 
     return run
 
@@ -212,61 +210,64 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = materialize(docs.mapInArrow(_sketch_rows(width, bands, rows), "doc_id long, n_shingles long, one long, two long, bands array<long>"))
 
-    # a class for each set; its smallest doc_id stands for it.  An id with several texts may stand for
-    # several classes, so a class is named (rep, one); all of them belong to one document
-    classes = materialize(
+    # a class for each set, numbered; its smallest doc_id stands for it.  An id with several texts may
+    # stand for several classes: all of them belong to one document
+    classes = (
         sketch.where("n_shingles > 0 and doc_id is not null")
         .groupBy("n_shingles", "one", "two")
         .agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     )
+    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()))
     repeats = materialize(sketch.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
     repeated = repeats.limit(1).count() > 0
     same = _one_document(sketch, classes, repeats)
 
-    spread = classes.select("rep", "one", "n_shingles", F.explode("bands").alias("key"))
+    spread = classes.select("cid", F.explode("bands").alias("key"))
     shared = materialize(spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     members = materialize(spread.join(shared, "key"))
 
     # full sets, of candidates only
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = materialize(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_set_rows(width), "rep long, one long, shingles array<long>"))
+    wanted = classes.select("cid", "rep", "one").join(members.select("cid").distinct(), "cid")
+    texts = docs.join(wanted, F.col("doc_id") == F.col("rep")).select("cid", "rep", "one", "text")
+    sets = materialize(texts.mapInArrow(_set_rows(width), "cid long, rep long, shingles array<long>"))
     if repeated:
-        once = materialize(sets.dropDuplicates(["rep", "one"]))
+        once = materialize(sets.dropDuplicates(["cid"]))
         discard(sets)
         sets = once
 
     # a shingle that no other candidate has lowers every likeness of its owner; some owners can link with nothing
     lone = (
-        sets.select("rep", "one", F.explode("shingles").alias("shingle"))
+        sets.select("cid", F.explode("shingles").alias("shingle"))
         .groupBy("shingle")
-        .agg(F.count("*").alias("n"), F.min(F.struct("rep", "one")).alias("own"))
+        .agg(F.count("*").alias("n"), F.min("cid").alias("cid"))
         .where("n = 1")
-        .groupBy("own.rep", "own.one")
+        .groupBy("cid")
         .agg(F.count("*").alias("lone"))
     )
-    able = sets.select("rep", "one", F.size("shingles").alias("n")).join(lone, ["rep", "one"], "left").where(f"100 * (n - coalesce(lone, 0)) >= {percent} * n").select("rep", "one")
-    live = materialize(members.join(able, ["rep", "one"], "left_semi"))
+    able = sets.select("cid", "rep", F.size("shingles").alias("n_shingles")).join(lone, "cid", "left")
+    able = able.where(f"100 * (n_shingles - coalesce(lone, 0)) >= {percent} * n_shingles").select("cid", "rep", "n_shingles")
+    live = materialize(members.join(able, "cid"))
 
     # every member against the smallest of its bucket
-    mark = F.sum(F.xxhash64("rep", "one").cast("decimal(20,0)"))
-    leads = materialize(live.groupBy("key").agg(F.min(F.struct("rep", "one", "n_shingles")).alias("lead"), F.count("*").alias("n"), mark.alias("mark")).where("n > 1"))
+    mark = F.sum(F.xxhash64("cid").cast("decimal(20,0)"))
+    leads = materialize(live.groupBy("key").agg(F.min(F.struct("rep", "cid", "n_shingles")).alias("lead"), F.count("*").alias("n"), mark.alias("mark")).where("n > 1"))
     pairs = (
         live.join(leads, "key")
         .where("rep <> lead.rep")
         .where(f"100 * least(n_shingles, lead.n_shingles) >= {percent} * greatest(n_shingles, lead.n_shingles)")
-        .select(F.col("lead.rep").alias("a"), F.col("lead.one").alias("a_one"), F.col("rep").alias("b"), F.col("one").alias("b_one"))
+        .select(F.col("lead.cid").alias("a_cid"), F.col("cid").alias("b_cid"))
         .distinct()
     )
-    left, right = (sets.select(F.col("rep").alias(c), F.col("one").alias(f"{c}_one"), F.col("shingles").alias(f"{c}_set")) for c in "ab")
+    left, right = (sets.select(F.col("cid").alias(f"{c}_cid"), F.col("rep").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "ab")
     hit = F.size(F.array_intersect("a_set", "b_set"))
-    confirmed = pairs.join(right, ["b", "b_one"]).join(left, ["a", "a_one"]).where(100 * hit >= percent * (F.size("a_set") + F.size("b_set") - hit))
+    confirmed = pairs.join(right, "b_cid").join(left, "a_cid").where(100 * hit >= percent * (F.size("a_set") + F.size("b_set") - hit))
     star = materialize(confirmed.select("a", "b").unionByName(same))
     joined = connected_components(star)
 
     # what is left apart: buckets with several components.  Buckets of the same members count once.
     once = leads.where("n > 2").groupBy("n", "mark").agg(F.min("key").alias("key")).select("key")
     apart = live.join(once, "key").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
-    apart = materialize(apart.select("key", "rep", "one", "n_shingles", F.coalesce("component", "rep").alias("component")))
+    apart = materialize(apart.select("key", "cid", "rep", "n_shingles", F.coalesce("component", "rep").alias("component")))
     held = apart.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
     most = F.max(F.struct("n", "weight", "component"))
     mixed = held.groupBy("key").agg(most.alias("most"), F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.count("*").alias("parts")).where("parts > 1")
@@ -276,15 +277,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
 
     mixed = materialize(mixed.select("key", F.col("most.component").alias("largest"), blocks("n - most.n", "weight - most.weight").alias("i_all"), blocks("n", "weight").alias("j_all")))
     dealt = apart.join(mixed, "key")
-    own = F.xxhash64("rep", "one")
+    own = F.xxhash64("cid")
 
     def side(leader: bool, mine: str, other: str):
         rows = dealt.where("component <> largest") if leader else dealt
-        at = rows.select("key", "rep", "one", "component", F.lit(leader).alias("leader"), F.pmod(own, F.col(f"{mine}_all")).alias(mine), f"{other}_all")
-        return at.select("key", "rep", "one", "component", "leader", mine, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_all") - 1)).alias(other))
+        at = rows.select("key", "cid", "rep", "component", F.lit(leader).alias("leader"), F.pmod(own, F.col(f"{mine}_all")).alias(mine), f"{other}_all")
+        return at.select("key", "cid", "rep", "component", "leader", mine, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_all") - 1)).alias(other))
 
     met = side(True, "i", "j").unionByName(side(False, "j", "i"))
-    late = materialize(met.join(sets, ["rep", "one"]).groupBy("key", "i", "j").applyInPandas(_leader_links(percent), "a long, b long"))
+    late = materialize(met.join(sets.select("cid", "shingles"), "cid").groupBy("key", "i", "j").applyInPandas(_leader_links(percent), "a long, b long"))
     merged = connected_components(star.unionByName(late))
 
     named = classes.select("n_shingles", "one", "two", "rep").join(merged.withColumnRenamed("id", "rep"), "rep", "left")
