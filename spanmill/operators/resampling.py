@@ -99,14 +99,16 @@ def summarize_ranks(ranks: DataFrame, by: Sequence[str], minimum: int, at: Seque
     return ranks.groupBy(*by).agg(F.count("rank").alias("n_valid"), F.when(enough, F.median("rank")).alias("median_rank"), *rates)
 
 
-def percentiles(values: DataFrame, value: str, by: Sequence[str], to: str = "percentile") -> DataFrame:
+def percentiles(values: DataFrame, value: str, by: Sequence[str], to: str = "percentile", valid: str | None = None) -> DataFrame:
     """Average-rank percentile 0 to 100 within each group; alone it is 50, null stays null and
-    takes no part."""
+    takes no part.  Where the Boolean column ``valid`` is false (an imputed value), the
+    row takes part in the ranking and has no percentile itself."""
     group = Window.partitionBy(*by)
     rank = F.rank().over(Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last()))
     ties, n = F.count(value).over(Window.partitionBy(*by, value)), F.count(value).over(group)
     place = F.when(n == 1, F.lit(50.0)).otherwise((rank - 1 + (ties - 1) / 2) / (n - 1) * 100)
-    return values.withColumn(to, F.when(F.col(value).isNotNull(), place))
+    shown = F.col(value).isNotNull() if valid is None else F.col(value).isNotNull() & F.col(valid)
+    return values.withColumn(to, F.when(shown, place))
 
 
 def chance_level(pools: DataFrame, pool: str = "pool_size") -> Column:

@@ -1,12 +1,14 @@
 """Standardised profiles and self-retrieval across two periods.
 
-A query's rank is one plus the number of candidates that beat its own row, so
-a ranking needs no sort and nothing of queries x candidates is shuffled: the
-pair score is compared with the query's own score and counted.  Pairs within a
-scope are an equi-join on it.  Without a scope every query meets every
-candidate; candidates are then split in blocks (``BLOCKS``), each query is
-copied to every block, and the counts of the blocks are added, so work spreads
-over tasks and no side has to fit in one executor.
+A query's rank is one plus the number of candidates that beat its own row.  The
+own row comes from a join on the entity and travels with the query; pairs are
+then compared with it and counted by a partial aggregation, so no pair is
+shuffled or sorted.  Pairs within a scope are an equi-join on it, whose heavy
+scopes adaptive execution splits.  Without a scope every query meets every
+candidate; candidates are then dealt in as many blocks as the session has
+shuffle partitions, each query is copied to every block, and the counts of the
+blocks are added, so work spreads over tasks and no side has to fit in one
+executor.
 """
 
 from __future__ import annotations
@@ -18,21 +20,19 @@ from pyspark.sql import functions as F
 
 from spanmill.functions.numeric import cosine, euclidean, norm
 
-BLOCKS = 32
-
 
 def fit_scaler(profiles: DataFrame, features: Sequence[str]) -> DataFrame:
-    """A row of mean and standard deviation of each feature, as ``<f>__mean`` and ``<f>__std``.
-    Nulls are imputed with the mean before the deviation, which is null when
-    the feature is constant or unknown."""
-    means = profiles.agg(*(F.avg(F.col(f).cast("double")).alias(f"{f}__mean") for f in features))
-    filled = profiles.select(*features).crossJoin(F.broadcast(means))  # one row
+    """A row of mean and standard deviation of each feature, as ``<f>__mean`` and ``<f>__std``, by
+    one aggregation.  Nulls are imputed with the mean before the deviation: they add
+    nothing to its squares and one each to its count.  It is null when the
+    feature is constant or unknown."""
     out = []
     for f in features:
-        value = F.coalesce(F.col(f).cast("double"), F.col(f"{f}__mean"))
-        spread = F.when(F.min(value) < F.max(value), F.stddev_samp(value))
-        out += [F.first(f"{f}__mean").alias(f"{f}__mean"), spread.alias(f"{f}__std")]
-    return filled.agg(*out)
+        value = F.col(f).cast("double")
+        known = F.count(value)
+        spread = F.when(F.min(value) < F.max(value), F.sqrt(F.var_samp(value) * (known - 1) / (F.count("*") - 1)))
+        out += [F.avg(value).alias(f"{f}__mean"), spread.alias(f"{f}__std")]
+    return profiles.agg(*out)
 
 
 def apply_scaler(profiles: DataFrame, features: Sequence[str], scaler: DataFrame) -> DataFrame:
@@ -53,15 +53,15 @@ def as_vectors(profiles: DataFrame, features: Sequence[str], carry: Sequence[str
     return profiles.select(*carry, F.array(*(F.col(f).cast("double") for f in features)).alias("v"))
 
 
-def _paired(queries: DataFrame, candidates: DataFrame, scope: str | None, blocks: int = BLOCKS) -> DataFrame:
-    """q and c structs of every pair in scope."""
-    q, c = F.struct(*queries.columns).alias("q"), F.struct(*candidates.columns).alias("c")
+def _paired(asked: DataFrame, candidates: DataFrame, scope: str | None) -> DataFrame:
+    """Each row of ``asked`` (a struct q, and more) with the struct c of every candidate in scope."""
+    c = F.struct(*candidates.columns).alias("c")
     if scope:
-        left = queries.select(F.col(scope).alias("_scope"), q)
+        left = asked.withColumn("_scope", F.col(f"q.{scope}"))
         right = candidates.select(F.col(scope).alias("_scope"), c)
         return left.join(right, "_scope").drop("_scope")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block")
-    left = queries.select(q, every)
+    blocks = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = asked.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = candidates.select(c, F.pmod(F.xxhash64(*candidates.columns[:1]), F.lit(blocks)).cast("int").alias("_block"))
     return left.join(right, "_block").drop("_block")
 
@@ -72,22 +72,17 @@ def self_ranks(queries: DataFrame, candidates: DataFrame, entity: list[str], bet
     ``better_first`` are sort keys over ``q`` and ``c``, smaller is better; ties
     go to the smaller entity.  ``where`` restricts pairs, as in leaving out
     team mates."""
-    pairs = _paired(queries, candidates, scope)
-    if where is not None:
-        pairs = pairs.where(where)
     keys = [*better_first, *(F.col(f"c.{e}") for e in entity)]
     order = F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys)))
-    own = F.lit(True)
-    for e in entity:
-        own = own & (F.col(f"q.{e}") == F.col(f"c.{e}"))
-    scored = pairs.select(*(F.col(f"q.{e}").alias(e) for e in entity), order.alias("_order"), own.alias("_own"))
-    # a query's own order first, then how many are before it
-    mine = scored.where("_own").select(*entity, F.col("_order").alias("_mine"))
-    return (
-        scored.join(mine, entity)
-        .groupBy(*entity)
-        .agg((F.count_if(F.col("_order") < F.col("_mine")) + 1).alias("rank"), F.count("*").alias("pool_size"))
-    )
+    q, c = F.struct(*queries.columns).alias("q"), F.struct(*candidates.columns).alias("c")
+    own = queries.select(*entity, q).join(candidates.select(*entity, c), entity)
+    if scope:
+        own = own.where(F.col(f"q.{scope}") == F.col(f"c.{scope}"))
+    pairs = _paired((own if where is None else own.where(where)).select("q", order.alias("_mine")), candidates, scope)
+    if where is not None:
+        pairs = pairs.where(where)
+    counted = pairs.groupBy(*(F.col(f"q.{e}").alias(e) for e in entity))
+    return counted.agg((F.count_if(order < F.col("_mine")) + 1).alias("rank"), F.count("*").alias("pool_size"))
 
 
 def similarity_keys(metric: str, digits: int | None = None) -> list[Column]:
@@ -117,7 +112,8 @@ def vector_ranks(queries: DataFrame, candidates: DataFrame, entity: list[str], m
 
 def top_neighbors(queries: DataFrame, candidates: DataFrame, entity: list[str], k: int = 10, metric: str = "cosine", scope: str | None = None, digits: int | None = 9) -> DataFrame:
     """The k best candidates of each query: entity, neighbor_<e>, rank, score, is_true_match."""
-    pairs = _paired(with_norm(queries), with_norm(candidates), scope)
+    asked = with_norm(queries)
+    pairs = _paired(asked.select(F.struct(*asked.columns).alias("q")), with_norm(candidates), scope)
     key = similarity_keys(metric, digits)[0]
     same = F.lit(True)
     for e in entity:

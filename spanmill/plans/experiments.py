@@ -27,9 +27,13 @@ class Population:
 
 def population(profiles: DataFrame, features: Sequence[str], entity: list[str], carry: Sequence[str] = (), scale_on: DataFrame | None = None, minutes: str = "minutes_played", digits: int = 6, weights: Sequence[float] | None = None) -> Population:
     """Standardised on both periods, or on ``scale_on``; z-scores are rounded so that results
-    don't depend on the order of sums."""
+    don't depend on the order of sums.
+
+    The profiles are kept (memory, then disk; a lost part is computed again), since the
+    scaler, the queries and the candidates all read them."""
     from spanmill.functions.numeric import weighted
 
+    profiles = profiles.persist()
     scaler = retrieval.fit_scaler(profiles if scale_on is None else scale_on, features)
     scaled = retrieval.apply_scaler(profiles, features, scaler).withColumns({f: F.round(f, digits) for f in features})
     vectors = retrieval.as_vectors(scaled, features, [*entity, "period", *carry, minutes]).withColumnRenamed(minutes, "minutes")

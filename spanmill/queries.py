@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanmill.functions import hashing, numeric, text
-from spanmill.operators import diagnostics, evidence, facets, metric, minutes, quality, resampling, retrieval, shrinkage, splits, study, temporal
-from spanmill.plans import experiments, stand_in, uncertainty
+from spanmill.operators import diagnostics, evidence, facets, features, metric, minutes, quality, resampling, retrieval, shrinkage, splits, study, temporal
+from spanmill.plans import experiments, provider, stand_in, uncertainty
 from spanmill.plans.stand_in import FEATURES, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -654,3 +654,220 @@ def top_orders(spark, sf_dir):
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
     top = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", F.row_number().over(w).alias("rank")).where("rank <= 3")
     return top.select(F.col("o_custkey").alias("k"), "o_orderkey", "o_totalprice", "rank", F.lag("o_totalprice").over(w).alias("better"))
+
+
+# ---- the providers' own shapes: flags, features, minutes ---------------------------------------------
+
+
+def _sql_pick(values: list, n: str) -> str:
+    return "[" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in values) + f"][({n}) % {len(values)} + 1]"
+
+
+_EVENTS = f"""ev AS (SELECT l_suppkey AS player_id, l_orderkey AS match_id, l_linenumber AS line, {_sql_pick(provider.EVENT_NAMES, 'l_partkey + l_linenumber')} AS name, {_sql_pick(provider.SUB_EVENTS, 'l_partkey + l_orderkey')} AS sub,
+  CASE WHEN l_linenumber = 7 THEN [] ELSE [{_sql_pick(provider.TAG_IDS, 'l_orderkey + l_partkey')}, {_sql_pick(provider.TAG_IDS, 'l_suppkey + l_linenumber')}] END AS tags,
+  l_partkey % 101 AS ox, (l_suppkey * 7 + l_linenumber) % 101 AS oy, CASE WHEN l_linenumber % 4 <> 0 THEN (l_partkey * 3 + l_orderkey) % 101 END AS dx,
+  CASE WHEN l_linenumber % 4 <> 0 THEN (l_orderkey * 11 + l_linenumber) % 101 END AS dy FROM lineitem)"""
+
+
+def _tag(*ids: int) -> str:
+    return f"list_has_any(tags, {list(ids)})"
+
+
+_FORWARD, _WON, _LOST, _SHOT_GOAL = "coalesce(dx - ox, 0)", _tag(703), _tag(701), f"name = 'Shot' AND {_tag(101)}"
+#: flag -> SQL over ev
+_FLAGS = {
+    "is_pass": "name = 'Pass'", "pass_accurate": f"name = 'Pass' AND {_tag(1801)}", "pass_not_accurate": f"name = 'Pass' AND {_tag(1802)}", "is_cross": "sub = 'Cross'", "is_long_ball": "sub = 'Launch'",
+    "is_smart_pass": "sub = 'Smart pass'", "is_progressive_pass": f"name = 'Pass' AND {_FORWARD} >= 15", "is_assist": _tag(301), "is_key_pass": _tag(302), "is_through_ball": f"name = 'Pass' AND {_tag(901)}",
+    "is_box_entry": "name = 'Pass' AND dx >= 84 AND dy BETWEEN 19 AND 81", "is_shot": "name = 'Shot'", "shot_goal": _SHOT_GOAL,
+    "scorer_goal": f"{_tag(101)} AND (name = 'Shot' OR sub IN ('Free kick shot', 'Penalty', 'Corner'))", "shot_on_target": f"name = 'Shot' AND ({_tag(*range(1201, 1210))} OR {_tag(101)})",
+    "shot_blocked": f"name = 'Shot' AND {_tag(2101)}", "is_interception": _tag(1401), "is_sliding_tackle": _tag(1601), "is_clearance": "sub = 'Clearance'",
+    "def_duel_won": f"sub = 'Ground defending duel' AND {_WON}", "def_duel_decided": f"sub = 'Ground defending duel' AND ({_WON} OR {_LOST})", "is_touch": "sub = 'Touch'", "is_duel": "name = 'Duel'",
+    "duel_won": f"name = 'Duel' AND {_WON}", "duel_decided": f"name = 'Duel' AND ({_WON} OR {_LOST})", "is_carry": "sub = 'Acceleration'",
+    "take_on_attempt": f"sub = 'Ground attacking duel' AND {_tag(503, 504)}", "take_on_success": f"sub = 'Ground attacking duel' AND {_tag(503, 504)} AND {_WON}",
+    "in_defensive_third": "ox < 33.3", "in_middle_third": "ox >= 33.3 AND ox < 66.7", "in_attacking_third": "ox >= 66.7",
+}
+_MEASURES = {"pass_progress": f"CASE WHEN name = 'Pass' THEN greatest({_FORWARD}, 0)::DOUBLE ELSE 0 END", "carry_distance": f"CASE WHEN sub = 'Acceleration' THEN {_FORWARD}::DOUBLE ELSE 0 END", "origin_x": "ox", "origin_y": "oy"}
+_FLAGGED = f"{_EVENTS}, fl AS (SELECT player_id, match_id, line, " + ", ".join(f"{x} AS {k}" for k, x in (_FLAGS | _MEASURES).items()) + " FROM ev)"
+
+_EVENTS_2 = f"""ev AS (SELECT l_suppkey AS player_id, l_orderkey AS match_id, l_linenumber AS line, {_sql_pick(provider.TYPES, 'l_partkey + l_linenumber')} AS kind, l_partkey % 121 / 120 * 100 AS x, l_suppkey * 7 % 81 / 80 * 100 AS y,
+  (l_partkey * 3 + l_orderkey) % 121 / 120 * 100 AS ex, l_orderkey * 11 % 81 / 80 * 100 AS ey, l_orderkey % 60 AS length, {_sql_pick(provider.PASS_OUTCOMES, 'l_orderkey')} AS pass_outcome, l_suppkey % 2 = 0 AS even,
+  l_orderkey % 3 = 0 AS crossed, (l_orderkey + 1) % 3 = 0 AS goal_assist, l_partkey % 3 = 0 AS shot_assist, l_suppkey % 3 = 0 AS through, {_sql_pick(provider.SHOT_OUTCOMES, 'l_orderkey')} AS shot_outcome,
+  {_sql_pick(provider.DUEL_OUTCOMES, 'l_orderkey')} AS duel_outcome, l_orderkey % 2 = 0 AS complete FROM lineitem)"""
+_PASS, _OPEN, _TACKLE, _DUEL_WON, _DUEL_LOST = "kind = 'Pass'", "kind = 'Shot' AND even", "kind = 'Duel' AND even", "duel_outcome IN ('Won', 'Success In Play', 'Success Out')", "duel_outcome IN ('Lost In Play', 'Lost Out')"
+_FLAGS_2 = {
+    "is_pass": _PASS, "pass_accurate": f"{_PASS} AND pass_outcome IS NULL", "pass_not_accurate": f"{_PASS} AND pass_outcome IN ('Incomplete', 'Out', 'Pass Offside')", "is_cross": f"{_PASS} AND crossed",
+    "is_long_ball": f"{_PASS} AND even AND length >= 30", "is_progressive_pass": f"{_PASS} AND ex - x >= 15", "is_assist": f"{_PASS} AND goal_assist", "is_key_pass": f"{_PASS} AND shot_assist",
+    "is_through_ball": f"{_PASS} AND through", "is_box_entry": f"{_PASS} AND ex >= 84 AND ey BETWEEN 19 AND 81", "is_shot": _OPEN, "shot_goal": f"{_OPEN} AND shot_outcome = 'Goal'", "scorer_goal": f"{_OPEN} AND shot_outcome = 'Goal'",
+    "shot_on_target": f"{_OPEN} AND shot_outcome IN ('Goal', 'Saved', 'Saved To Post', 'Saved Off Target')", "shot_blocked": f"{_OPEN} AND shot_outcome = 'Blocked'", "is_interception": "kind = 'Interception'",
+    "is_sliding_tackle": _TACKLE, "is_clearance": "kind = 'Clearance'", "def_duel_won": f"{_TACKLE} AND {_DUEL_WON}", "def_duel_decided": f"{_TACKLE} AND ({_DUEL_WON} OR {_DUEL_LOST})", "is_touch": "kind = 'Ball Receipt*'",
+    "is_duel": "kind = 'Duel'", "duel_won": f"kind = 'Duel' AND {_DUEL_WON}", "duel_decided": f"kind = 'Duel' AND ({_DUEL_WON} OR {_DUEL_LOST} OR NOT even)", "is_carry": "kind = 'Carry'", "take_on_attempt": "kind = 'Dribble'",
+    "take_on_success": "kind = 'Dribble' AND complete", "in_defensive_third": "x < 100 / 3", "in_middle_third": "x >= 100 / 3 AND x < 200 / 3", "in_attacking_third": "x >= 200 / 3",
+}
+_MEASURES_2 = {"pass_progress": f"CASE WHEN {_PASS} THEN greatest(ex - x, 0) ELSE 0 END", "carry_distance": "CASE WHEN kind = 'Carry' THEN greatest(ex - x, 0) ELSE 0 END", "origin_x": "x", "origin_y": "y"}
+_FLAGGED_2 = f"{_EVENTS_2}, fl AS (SELECT player_id, match_id, line, " + ", ".join(f"{x} AS {k}" for k, x in (_FLAGS_2 | _MEASURES_2).items()) + " FROM ev)"
+_BOOLEAN_MEANS = ("in_defensive_third", "in_middle_third", "in_attacking_third")
+
+
+def _flag_rows(flagged: str, flags: dict, measures: dict) -> str:
+    return f"WITH {flagged} SELECT player_id, match_id, line, " + ", ".join([f"coalesce({k}, FALSE)::INT AS {k}" for k in flags] + [f"round({k}::DOUBLE, 9) AS {k}" for k in measures]) + " FROM fl"
+
+
+def _flag_frame(flagged: DataFrame, flags: dict, measures: dict) -> DataFrame:
+    known = [F.coalesce(F.col(k), F.lit(False)).cast("int").alias(k) for k in flags]
+    return flagged.select("player_id", "match_id", "line", *known, *(F.round(F.col(k).cast("double"), 9).alias(k) for k in measures))
+
+
+def _feature_sql(features_of: dict, sums: str, keys: str, weight: str = "1") -> str:
+    """Features over a relation ``sums`` with minutes and statistics."""
+    known = lambda name: "(" + " + ".join(f"coalesce({p}, 0)" for p in name.split("+")) + ")"
+    out = []
+    for f, (kind, parts) in features_of.items():
+        if kind == "rate":
+            x = f"CASE WHEN minutes_played > 0 THEN {known(parts[0])}::DOUBLE / minutes_played * 90 END"
+        elif kind == "ratio":
+            x = f"CASE WHEN {known(parts[1])} > 0 THEN {known(parts[0])}::DOUBLE / {known(parts[1])} END"
+        else:
+            x = parts[0]
+        out.append(f"round({x}, 9) AS {f}")
+    return f"SELECT {keys}, minutes_played, " + ", ".join(out) + f" FROM {sums}"
+
+
+def _statistics_sql(known: dict) -> str:
+    flags = ", ".join(f"sum(coalesce({k}, FALSE)::INT) AS {k}" for k in features.SUMS if k in known)
+    measures = ", ".join(f"sum({k}) AS {k}" for k in features.MEASURES)
+    means = ", ".join(f"avg({k}::DOUBLE) AS {k}" if k not in _BOOLEAN_MEANS else f"avg({k}::INT::DOUBLE) AS {k}" for k in features.MEANS)
+    return f"count(*) AS n_events, {flags}, {measures}, {means}"
+
+
+def _player_features_sql(flagged: str, flags: dict, features_of: dict) -> str:
+    return f"""WITH {flagged}, st AS (SELECT player_id, {_statistics_sql(flags)} FROM fl GROUP BY 1),
+s AS (SELECT s_suppkey AS player_id, (s_suppkey * 37 % 10 * 300)::BIGINT AS minutes_played, st.* EXCLUDE player_id FROM supplier LEFT JOIN st ON st.player_id = s_suppkey) {_feature_sql(features_of, 's', 'player_id')}"""
+
+
+def _rounded_features(df: DataFrame, features_of: dict) -> DataFrame:
+    return df.withColumns({f: F.round(f, 9) for f in features_of})
+
+
+@query(_flag_rows(_FLAGGED, _FLAGS, _MEASURES))
+def event_flags(spark, sf_dir):
+    """Flags and measures of every event of the first provider."""
+    return _flag_frame(features.with_flags(provider.events(spark, sf_dir)), _FLAGS, _MEASURES)
+
+
+@query(_flag_rows(_FLAGGED_2, _FLAGS_2, _MEASURES_2))
+def event_flags_2(spark, sf_dir):
+    """Flags and measures of every event of the second provider."""
+    return _flag_frame(features.with_flags_2(provider.events_2(spark, sf_dir)), _FLAGS_2, _MEASURES_2)
+
+
+@query(_player_features_sql(_FLAGGED, _FLAGS, features.FEATURES))
+def player_features(spark, sf_dir):
+    """The 32 features of the first provider's players."""
+    out = features.player_features(features.with_flags(provider.events(spark, sf_dir)), provider.minutes(spark, sf_dir), ["player_id"])
+    return _rounded_features(out, features.FEATURES)
+
+
+@query(_player_features_sql(_FLAGGED_2, _FLAGS_2, features.FEATURES_2))
+def player_features_2(spark, sf_dir):
+    """The 30 features of the second provider's players."""
+    out = features.player_features(features.with_flags_2(provider.events_2(spark, sf_dir)), provider.minutes(spark, sf_dir), ["player_id"], features.FEATURES_2)
+    return _rounded_features(out, features.FEATURES_2)
+
+
+_HALVES = f"{_PERIODS}, pm AS (SELECT l_suppkey AS player_id, l_orderkey AS match_id, sum(l_linenumber * 10) AS minutes_played FROM lineitem GROUP BY ALL)"
+
+
+@query(
+    f"""WITH {_HALVES}, {_FLAGGED}, st AS (SELECT player_id, period, {_statistics_sql(_FLAGS)} FROM fl JOIN periods USING (match_id) GROUP BY ALL),
+mp AS (SELECT player_id, period, sum(minutes_played)::BIGINT AS minutes_played FROM pm JOIN periods USING (match_id) GROUP BY ALL), s AS (SELECT mp.*, st.* EXCLUDE (player_id, period) FROM mp LEFT JOIN st USING (player_id, period))
+{_feature_sql(features.FEATURES, 's', 'player_id, period')}"""
+)
+def provider_period_profiles(spark, sf_dir):
+    """The 32 features of each player in both halves of a competition's matches."""
+    halves = stand_in.periods(spark, sf_dir)
+    flagged = temporal.with_period(features.with_flags(provider.events(spark, sf_dir)), halves)
+    played = temporal.with_period(provider.match_minutes(spark, sf_dir), halves).groupBy("player_id", "period").agg(F.sum("minutes_played").alias("minutes_played"))
+    return _rounded_features(features.player_features(flagged, played, ["player_id", "period"]), features.FEATURES)
+
+
+def _match_statistics_sql() -> str:
+    sums = ", ".join(f"coalesce(sum({k}{'::INT' if k not in features.MEASURES else ''}), 0)::{'DOUBLE' if k in features.MEASURES else 'BIGINT'} AS {k}" for k in features.SUMS)
+    means = ", ".join(f"coalesce(sum({k}{'::INT' if k in _BOOLEAN_MEANS else ''}), 0)::DOUBLE AS {k}__sum, count({k}) AS {k}__n" for k in features.MEANS)
+    return f"SELECT player_id, match_id, count(*) AS n_events, {sums}, {means} FROM fl GROUP BY ALL"
+
+
+@query(f"WITH {_HALVES}, {_FLAGGED}, st AS ({_match_statistics_sql()}) SELECT pm.minutes_played::BIGINT AS minutes_played, st.* FROM pm JOIN st USING (player_id, match_id)")
+def match_statistics(spark, sf_dir):
+    """Additive statistics of each player and match."""
+    return features.player_match_statistics(features.with_flags(provider.events(spark, sf_dir)), provider.match_minutes(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_HALVES}, {_FLAGGED}, st AS ({_match_statistics_sql()}), w AS (SELECT o_orderkey AS match_id, 1 + o_orderkey % 3 AS w FROM orders WHERE o_orderkey % 5 <> 0),
+s AS (SELECT player_id, sum(minutes_played * w)::BIGINT AS minutes_played, sum(n_events * w) AS n_events, {', '.join(f'sum({k} * w) AS {k}' for k in features.SUMS)},
+{', '.join(f'sum({k}__sum * w) / nullif(sum({k}__n * w), 0) AS {k}' for k in features.MEANS)} FROM st JOIN pm USING (player_id, match_id) JOIN w USING (match_id) GROUP BY player_id)
+{_feature_sql(features.FEATURES, 's', 'player_id')}"""
+)
+def weighted_player_features(spark, sf_dir):
+    """Features with each match counted as often as its weight says."""
+    stats = features.player_match_statistics(features.with_flags(provider.events(spark, sf_dir)), provider.match_minutes(spark, sf_dir))
+    k = F.col("o_orderkey")
+    weights = table(spark, sf_dir, "orders").where(k % 5 != 0).select(k.alias("match_id"), (1 + k % 3).alias("multiplicity"))
+    return _rounded_features(features.weighted_features(stats, weights, ["player_id"]), features.FEATURES)
+
+
+_SQUAD = """l AS (SELECT l_orderkey AS match_id, l_linenumber AS line, l_partkey % 11 = 0 AND l_linenumber = 2 AS red, 30 + l_partkey % 60 AS red_minute, max(l_linenumber) OVER (PARTITION BY l_orderkey) AS last FROM lineitem)"""
+
+
+@query(
+    f"""WITH {_SQUAD}, t AS (SELECT *, line <= 4 AS started, CASE WHEN match_id % 10 = 0 THEN 120 ELSE 90 END AS whole, 46 + match_id % 40 AS swap FROM l),
+u AS (SELECT *, CASE WHEN started THEN 0 WHEN line = 5 THEN swap END AS a, least(whole, CASE WHEN line = 1 AND last >= 5 THEN swap ELSE whole END, CASE WHEN red THEN red_minute ELSE whole END) AS b FROM t)
+SELECT match_id * 10 + line AS player_id, match_id, match_id % 20 + 1 AS team_id, started, a::INT AS minute_in, CASE WHEN a IS NOT NULL THEN greatest(a, b) END::INT AS minute_out,
+  CASE WHEN a IS NULL OR b < a THEN 0 ELSE b - a END::INT AS minutes_played, CASE WHEN b < a THEN 'substitution_conflict' ELSE 'clean' END AS derivation_status FROM u"""
+)
+def lineup_minutes(spark, sf_dir):
+    """Minutes from line-ups, benches, substitutions and red cards in JSON."""
+    out = minutes.lineup_minutes(provider.matches(spark, sf_dir))
+    return out.withColumns({c: F.col(c).cast("int") for c in ("minute_in", "minute_out", "minutes_played")})
+
+
+@query(
+    f"""WITH {_SQUAD}, t AS (SELECT match_id, count(*) FILTER (line <= 4) AS lineup, count(*) FILTER (line > 4) AS bench, (max(line) >= 5)::INT AS subs FROM l GROUP BY 1),
+x AS (SELECT unnest([{{'what': 'formation', 'size': 1}}, {{'what': 'lineup', 'size': lineup}}, {{'what': 'bench', 'size': bench}}, {{'what': 'substitutions', 'size': subs}}, {{'what': 'null_substitutions', 'size': 1 - subs}}]) AS x FROM t)
+SELECT x.what AS what, x.size::BIGINT AS size, count(*) AS n FROM x GROUP BY ALL"""
+)
+def formation_coverage(spark, sf_dir):
+    return minutes.formation_coverage(provider.matches(spark, sf_dir))
+
+
+@query(
+    """WITH b AS (SELECT o_orderkey AS match_id, unnest([1, 2]) AS period, unnest([0.0, 45 + 30 / 60]) AS start, unnest([45 + o_orderkey % 4 + 15 / 60, 90 + o_orderkey % 6 + 45 / 60]) AS stop FROM orders),
+s AS (SELECT l_orderkey AS match_id, l_linenumber AS n, unnest([n * 3 + n * 5 / 60, CASE WHEN n % 3 = 0 THEN 30 + n ELSE 50 + n END]) AS a, unnest([1, CASE WHEN n % 3 = 0 THEN 1 ELSE 2 END]) AS p,
+  unnest([40 + n * 3 + 0.5, CASE WHEN n <> 7 THEN 60 + n * 4 + n / 60 ELSE 90 + l_orderkey % 6 + 45 / 60 END]) AS z, unnest([1, 2]) AS q FROM lineitem),
+c AS (SELECT match_id, n, period, greatest(CASE WHEN period = p THEN a END, start) AS a, least(CASE WHEN period = q THEN z END, stop) AS z FROM s JOIN b USING (match_id) WHERE period BETWEEN p AND q),
+r AS (SELECT *, max(z) OVER (PARTITION BY match_id, n, period ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c WHERE z > a),
+g AS (SELECT match_id, n, sum(greatest(z - greatest(a, coalesce(reach, a)), 0)) AS m, bool_or(coalesce(a < reach, FALSE)) AS o FROM r GROUP BY ALL)
+SELECT l_orderkey * 10 + l_linenumber AS player_id, l_orderkey AS match_id, (l_linenumber % 2 + 1)::BIGINT AS team_id, round(coalesce(m, 0), 3)::DOUBLE AS minutes_played, CASE WHEN o THEN 'overlap_merged' ELSE 'clean' END AS derivation_status
+FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) LEFT JOIN g ON g.match_id = l_orderkey AND g.n = l_linenumber"""
+)
+def stint_minutes(spark, sf_dir):
+    """Minutes as the union of stints, clipped to the periods' bounds."""
+    return minutes.stint_minutes(provider.squads(spark, sf_dir), minutes.period_bounds(provider.period_starts(spark, sf_dir)))
+
+
+@query("""WITH r AS (SELECT (s_nationkey % 4)::BIGINT AS role, s_suppkey AS player_id, coalesce(CASE WHEN s_suppkey % 5 <> 0 THEN s_acctbal END, 1000) AS v, s_suppkey % 5 <> 0 AS known FROM supplier)
+SELECT role, player_id, round(CASE WHEN NOT known THEN NULL WHEN count(*) OVER (PARTITION BY role) = 1 THEN 50 ELSE (rank() OVER (PARTITION BY role ORDER BY v) - 1 + (count(*) OVER (PARTITION BY role, v) - 1) / 2) / (count(*) OVER (PARTITION BY role) - 1) * 100 END, 9) AS percentile FROM r""")
+def imputed_percentiles(spark, sf_dir):
+    """Imputed values take part in the ranking and have no percentile themselves."""
+    known = F.col("s_suppkey") % 5 != 0
+    value = F.when(known, F.col("s_acctbal")).otherwise(1000)
+    rows = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 4).cast("long").alias("role"), F.col("s_suppkey").alias("player_id"), value.alias("value"), known.alias("known"))
+    return _rounded(resampling.percentiles(rows, "value", ["role"], valid="known"), "percentile").select("role", "player_id", "percentile")
+
+
+@query(f"""WITH {_ELIGIBLE}, {_scaled()}, t AS (SELECT q.player_id, c.player_id AS neighbor_player_id, {_COS} AS score, row_number() OVER (PARTITION BY q.player_id ORDER BY {_COS} DESC, c.player_id)::INT AS rank
+  FROM z q JOIN z c ON q.period = 'A' AND c.period = 'B' AND q.role = c.role AND q.player_id <> c.player_id) SELECT player_id, neighbor_player_id, rank, score FROM t WHERE rank <= 1""")
+def observed_neighbors(spark, sf_dir):
+    """The nearest other person in role; none would be an error."""
+    p = _population(spark, sf_dir)
+    return uncertainty.observed_neighbors(p.queries, p.candidates, ["player_id"], "player_id", "role", k=1)

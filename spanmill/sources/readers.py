@@ -23,9 +23,9 @@ EVENT_2 = (
     f"id string, index long, period long, minute long, second long, type {_NAMED}, player {_NAMED}, team {_NAMED}, position {_NAMED}, location array<double>, "
     f"possession long, possession_team {_NAMED}, under_pressure boolean, "
     f"pass struct<end_location:array<double>,length:double,outcome:{_NAMED},height:{_NAMED},cross:boolean,goal_assist:boolean,shot_assist:boolean,through_ball:boolean>, "
-    f"carry struct<end_location:array<double>>, shot struct<end_location:array<double>,outcome:{_NAMED},type:{_NAMED},statsbomb_xg:double>, "
-    f"duel struct<type:{_NAMED},outcome:{_NAMED}>, dribble struct<outcome:{_NAMED}>"
-).replace("statsbomb_xg:double", "first_time:boolean")
+    f"carry struct<end_location:array<double>>, shot struct<end_location:array<double>,outcome:{_NAMED},type:{_NAMED},body_part:{_NAMED},statsbomb_xg:double>, "
+    f"duel struct<type:{_NAMED},outcome:{_NAMED}>, dribble struct<outcome:{_NAMED}>, interception struct<outcome:{_NAMED}>"
+)
 _STINT = "struct<`from`:string,from_period:long,`to`:string,to_period:long>"
 LINEUP_2 = f"team_id long, team_name string, lineup array<struct<player_id:long,player_name:string,positions:array<{_STINT}>>>"
 
@@ -70,9 +70,10 @@ def flat_events_2(spark: SparkSession, path: str | Sequence[str], match_id: Colu
 
 
 def flatten_events_2(raw: DataFrame, match_id: Column, competition_id: Column) -> DataFrame:
+    """One row per event.  Flags of a pass are false unless said, and null on other events."""
     c = F.col
     end = F.coalesce(c("pass.end_location"), c("carry.end_location"), c("shot.end_location"))
-    flag = lambda x: F.coalesce(c(x), F.lit(False))
+    flag = lambda x: F.when(c("pass").isNotNull(), F.coalesce(c(x), F.lit(False)))
     return raw.select(
         c("id").alias("event_id"), match_id.alias("match_id"), competition_id.alias("competitionId"), "index", "period", "minute", "second",
         c("type.name").alias("type_name"), c("player.id").alias("player_id"), c("player.name").alias("player_name"), c("team.id").alias("team_id"), c("team.name").alias("team_name"),
@@ -81,7 +82,8 @@ def flatten_events_2(raw: DataFrame, match_id: Column, competition_id: Column) -
         c("pass.length").alias("pass_length"), c("pass.outcome.name").alias("pass_outcome_name"), c("pass.height.name").alias("pass_height_name"),
         flag("pass.cross").alias("pass_cross"), flag("pass.goal_assist").alias("pass_goal_assist"), flag("pass.shot_assist").alias("pass_shot_assist"), flag("pass.through_ball").alias("pass_through_ball"),
         c("shot.outcome.name").alias("shot_outcome_name"), c("shot.type.name").alias("shot_type_name"), c("duel.type.name").alias("duel_type_name"), c("duel.outcome.name").alias("duel_outcome_name"),
-        c("dribble.outcome.name").alias("dribble_outcome_name"),
+        c("dribble.outcome.name").alias("dribble_outcome_name"), c("shot.statsbomb_xg").alias("shot_statsbomb_xg"), c("shot.body_part.name").alias("shot_body_part_name"),
+        c("interception.outcome.name").alias("interception_outcome_name"),
     )
 
 

@@ -46,6 +46,18 @@ def pending_replicates(spark: SparkSession, path: str, requested: int, rows_each
 
 
 def append_replicates(df: DataFrame, path: str) -> None:
+    """Adds replicates to a chunked table; one that is there already is an error and nothing is written."""
+    spark = df.sparkSession
+    try:
+        there = spark.read.parquet(path).select(F.col("replicate").cast("long").alias("replicate")).distinct()
+    except Exception as error:
+        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+            raise
+        there = None
+    if there is not None:
+        again = df.select(F.col("replicate").cast("long").alias("replicate")).distinct().join(there, "replicate", "left_semi").orderBy("replicate").first()
+        if again is not None:
+            raise FileExistsError(f"replicate {again.replicate} is there already")
     df.write.mode("append").option("compression", "zstd").partitionBy("replicate").parquet(path)
 
 

@@ -123,3 +123,26 @@ def test_query_against_sql(spark, duck, name):
         same_rows(df, duck, ORACLE_SQL[name])
     else:
         assert df.count() >= 0
+
+
+def test_a_replicate_that_is_there_is_refused(spark, tmp_path):
+    from spanmill.sources import sinks
+
+    rows = spark.createDataFrame([(0, 1.0), (1, 2.0)], "replicate int, v double")
+    sinks.append_replicates(rows, str(tmp_path / "chunks"))
+    with pytest.raises(FileExistsError, match="replicate 1"):
+        sinks.append_replicates(rows.where("replicate = 1"), str(tmp_path / "chunks"))
+    sinks.append_replicates(rows.where("replicate = 1").selectExpr("2 as replicate", "v"), str(tmp_path / "chunks"))
+    assert spark.read.parquet(str(tmp_path / "chunks")).count() == 3
+
+
+def test_flags_of_a_pass_are_null_on_other_events(spark, tmp_path):
+    import json
+
+    from spanmill.sources import readers
+
+    raw = [{"id": "a", "type": {"name": "Pass"}, "pass": {"cross": True}}, {"id": "b", "type": {"name": "Shot"}, "shot": {"statsbomb_xg": 0.25, "body_part": {"name": "Head"}}}, {"id": "c", "type": {"name": "Interception"}, "interception": {"outcome": {"name": "Won"}}}]
+    (tmp_path / "e.json").write_text(json.dumps(raw))
+    got = {r.event_id: r for r in readers.flat_events_2(spark, str(tmp_path / "e.json"), F.lit(1), F.lit(2)).collect()}
+    assert (got["a"].pass_cross, got["a"].pass_goal_assist, got["b"].pass_cross) == (True, False, None)
+    assert (got["b"].shot_statsbomb_xg, got["b"].shot_body_part_name, got["c"].interception_outcome_name) == (0.25, "Head", "Won")

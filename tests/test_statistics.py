@@ -189,3 +189,23 @@ def test_intervals_take_all_resamples(spark):
     rows = queries.replicate_intervals(spark, "/root/testdata/sf0.001").collect()
     assert rows and max(r.n_valid for r in rows) == 500
     assert all((r.status == "available") == (r.n_valid >= 450) == (r.ci_low is not None) for r in rows)
+
+
+def test_imputed_values_are_ranked_without_a_percentile(spark):
+    rows = spark.createDataFrame([("a", 1.0, True), ("a", 2.0, False), ("a", 3.0, True), ("b", 5.0, True), ("a", None, True)], "g string, v double, known boolean")
+    got = {(r.g, r.v): r.percentile for r in resampling.percentiles(rows, "v", ["g"], valid="known").collect()}
+    assert got == {("a", 1.0): 0.0, ("a", 2.0): None, ("a", 3.0): 100.0, ("b", 5.0): 50.0, ("a", None): None}
+
+
+def test_replicate_percentiles_and_observed_neighbors(spark):
+    from spanmill.plans import uncertainty
+
+    rows = [(0, "x", 1, "A", 1.0), (0, "x", 1, "B", 3.0), (0, "x", 2, "A", None), (0, "x", 2, "B", 4.0), (1, "x", 1, "A", 7.0)]
+    profiles = spark.createDataFrame(rows, "replicate int, role string, player_id int, period string, f double")
+    got = {(r.replicate, r.player_id, r.period): r.percentile for r in uncertainty.replicate_percentiles(profiles, ["f"], ["player_id"]).collect()}
+    assert got == {(0, 1, "A"): 0.0, (0, 1, "B"): pytest.approx(200 / 3), (0, 2, "A"): None, (0, 2, "B"): 100.0, (1, 1, "A"): 50.0}
+    people = spark.createDataFrame([(i, i // 2, "r", [1.0, float(i)]) for i in range(8)], "entity int, human int, role string, v array<double>")
+    near = uncertainty.observed_neighbors(people, people, ["entity"], "human", "role", 5).where("entity = 0").orderBy("rank").collect()
+    assert [r.neighbor_entity for r in near] == [2, 3, 4, 5, 6]
+    with pytest.raises(Exception, match="fewer neighbours"):
+        uncertainty.observed_neighbors(people, people, ["entity"], "human", "role", 7).collect()
