@@ -19,6 +19,7 @@ columns are ignored, an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -137,33 +138,53 @@ class ByteCoder:
 
     The byte-level pre-tokenizer always cuts before a space that follows other
     text, so the pieces between such spaces are encoded apart, each distinct
-    one once.  A piece of letters, perhaps with one mark after it, is one or two
-    pre-tokens, which go to the vocabulary's merges directly; other pieces go
-    through the whole tokenizer."""
+    one once.  A piece of letters, perhaps with a run of ASCII marks after it, and
+    perhaps with such a word on the next line, is cut by the pre-tokenizer just there;
+    its parts go to the vocabulary's merges directly.  Other pieces go through
+    the whole tokenizer."""
 
-    MARKS = ".,;:!?"
+    WORDS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)(?:\n([^\W\d_]+)([!-&(-/:-@\[-`{-~]*))?")
 
     def __init__(self, tokenizer_file: str, limit: int = TABLE_BYTES) -> None:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(tokenizer_file)
         self.merges, self.letters = self.model.model, _byte_letters()
-        self.marks = {m: self._whole([m])[0] for m in self.MARKS}
-        self.heads, self.table, self.words = (ChunkTable(f, limit) for f in (self._whole, self._pieces, self._words))
+        self.line = self._whole(["\n"])[0]
+        self.heads, self.marks, self.table, self.words = (ChunkTable(f, limit) for f in (self._whole, self._whole, self._pieces, self._words))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
-        spelled = ["Ġ" + w if w.isascii() else "Ġ" + w.encode().decode("latin-1").translate(self.letters) for w in words]
-        return [array("I", [t.id for t in self.merges.tokenize(w)]).tobytes() for w in spelled]
+        """Ids of words of letters, some with a space before them."""
+        tokenize = self.merges.tokenize
+        spelled = (w.replace(" ", "Ġ") if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in words)
+        return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in spelled]
+
+    def _parts(self, piece: str) -> tuple[str, ...]:
+        """(word, marks) or (word, marks, word, marks) of a piece, () where it is none of these."""
+        m = self.WORDS.fullmatch(piece)
+        if not m:
+            return ()
+        word, marks, other, more = m.groups()
+        if not word.isalpha() or other and not other.isalpha():
+            return ()
+        return (" " + word, marks, other, more) if other else (" " + word, marks)
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces, each with a space before it."""
-        split = [(p, "") if p.isalpha() else (p[:-1], p[-1]) if p and p[-1] in self.marks and p[:-1].isalpha() else None for p in pieces]
-        words = iter(self.words.ids([[s[0]] for s in split if s]))
-        others = iter(self._whole([" " + p for p, s in zip(pieces, split) if not s]))
-        return [next(words) + self.marks.get(s[1], b"") if s else next(others) for s in split]
+        parts = [(" " + p,) if p.isalpha() else self._parts(p) for p in pieces]
+        words = self.words.of({w for s in parts for w in s[::2]})
+        marks = self.marks.of({m for s in parts for m in s[1::2]})
+        others = iter(self._whole([" " + p for p, s in zip(pieces, parts) if not s]))
+
+        def joined(s: tuple[str, ...]) -> bytes:
+            if len(s) < 3:
+                return words[s[0]] + marks[s[1]] if len(s) == 2 else words[s[0]] if s else next(others)
+            return words[s[0]] + marks[s[1]] + self.line + words[s[2]] + marks[s[3]]
+
+        return [joined(s) for s in parts]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         pieces = [cut_at_spaces(t) for t in texts]

@@ -34,21 +34,27 @@ class ChunkTable(dict):
         """About what entries take: a character gives an id at most, bar few."""
         return ENTRY_BYTES * len(chunks) + 5 * sum(map(len, chunks))
 
-    def ids(self, texts: list[list[str]]) -> list[bytes]:
-        """The ids of texts given as chunks."""
-        wanted = set().union(*texts)
+    def of(self, wanted: set[str]) -> dict[str, bytes]:
+        """A table that has all ``wanted`` chunks, until the next call."""
         new = [c for c in wanted if c not in self]
+        if not new:
+            return self
         size = self.bytes_of(new)
         if self.held + size > self.limit:
             self.clear()
             new, self.held = list(wanted), 0
             size = self.bytes_of(new)
-        made = dict(zip(new, self.segment(new))) if new else {}
-        if size <= self.limit:
-            self.update(made)
-            self.held += size
-            made = self
-        return [b"".join([made[c] for c in chunks]) for chunks in texts]
+        made = zip(new, self.segment(new))
+        if size > self.limit:
+            return dict(made)
+        self.update(made)
+        self.held += size
+        return self
+
+    def ids(self, texts: list[list[str]]) -> list[bytes]:
+        """The ids of texts given as chunks."""
+        known = self.of(set().union(*texts)).__getitem__
+        return [b"".join(map(known, chunks)) for chunks in texts]
 
 
 def grouped(texts: list[str]) -> Iterator[list[str]]:

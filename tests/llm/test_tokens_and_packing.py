@@ -44,6 +44,15 @@ def test_bytes_like_the_library(byte_coder, text):
     assert np.frombuffer(byte_coder.encode([text])[0], "<u4").tolist() == byte_coder.model.encode(text, add_special_tokens=False).ids
 
 
+WORDY = st.lists(st.sampled_from(["Den", "über", "St", "x²", "٣", "ａ", "\n", "\n\n", " ", "  ", ".", "***", "'s", "'", "_", "#&", "\r\n", "７"]), max_size=14).map("".join)
+
+
+@settings(max_examples=600, deadline=None)
+@given(text=WORDY)
+def test_words_marks_and_lines_like_the_library(byte_coder, text):
+    assert np.frombuffer(byte_coder.encode([text])[0], "<u4").tolist() == byte_coder.model.encode(text, add_special_tokens=False).ids
+
+
 def test_a_full_table_starts_over():
     seen = []
     limit = 3 * tokens.ENTRY_BYTES + 20
