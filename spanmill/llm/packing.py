@@ -151,7 +151,8 @@ class ByteCoder:
         self.model = Tokenizer.from_file(tokenizer_file)
         self.merges, self.letters = self.model.model, _byte_letters()
         self.line = self._whole(["\n"])[0]
-        self.heads, self.marks, self.table, self.words = (ChunkTable(f, limit) for f in (self._whole, self._whole, self._pieces, self._words))
+        self.heads, self.marks, self.words = (ChunkTable(f, limit) for f in (self._whole, self._whole, self._words))
+        self.table = ChunkTable(self._pieces, 2 * limit)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -181,10 +182,10 @@ class ByteCoder:
 
         def joined(s: tuple[str, ...]) -> bytes:
             if len(s) < 3:
-                return words[s[0]] + marks[s[1]] if len(s) == 2 else words[s[0]] if s else next(others)
+                return words[s[0]] + marks[s[1]] if s else next(others)
             return words[s[0]] + marks[s[1]] + self.line + words[s[2]] + marks[s[3]]
 
-        return [joined(s) for s in parts]
+        return [words[s[0]] if len(s) == 1 else joined(s) for s in parts]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         pieces = [cut_at_spaces(t) for t in texts]
