@@ -70,3 +70,15 @@ def _search_text(x: pd.Series) -> pd.Series:
 @F.pandas_udf(StringType())
 def _decode_escapes(x: pd.Series) -> pd.Series:
     return x.map(lambda v: re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), v), na_action="ignore")
+
+
+def natural_key(column: Column) -> Column:
+    """Sort key by which 'a2' comes before 'a10': each run of digits without its leading zeros, led
+    by its length; other runs folded to lower case."""
+    parts = F.regexp_extract_all(F.lower(column), F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
+
+    def part(p: Column) -> Column:
+        digits = F.regexp_replace(p, "^0+(?=[0-9])", "")
+        return F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(p)
+
+    return F.array_join(F.transform(parts, part), "")

@@ -88,6 +88,22 @@ def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str, name
     )
 
 
+def coverage(used: DataFrame, column: str, mapping: DataFrame, mapped: str, label: str, samples: int = 5) -> DataFrame:
+    """Distinct values in use that a mapping lacks; an array column counts each of its elements,
+    and an empty array none."""
+    if dict(used.dtypes)[column].startswith("array"):
+        used = used.select(F.explode_outer(column).alias(column))
+    return orphans(used, column, mapping, mapped, label, samples=samples).withColumn("check_name", F.lit(f"mapping_coverage({label})"))
+
+
+def same_set(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
+    """One result row: distinct rows that only one of two tables has (nulls are equal)."""
+    a, b = left.distinct(), right.distinct()
+    sides = a.withColumn("_a", F.lit(1)).unionByName(b.withColumn("_a", F.lit(0)))
+    each = sides.groupBy(*left.columns).agg(F.count("*").alias("_n"))
+    return run_checks(each, [Check(f"same_set({name})", F.count_if(F.col("_n") == 1), F.count("*"))])
+
+
 def coordinate_bounds(events: DataFrame, positions: str = "positions", low: float = 0, high: float = 100) -> DataFrame:
     """Per axis: points outside the bounds, with their percentage."""
     points = events.select(F.explode(positions).alias("p")).select(F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), F.col(f"p.{a}").cast("double").alias("v")) for a in "xy"))).alias("a")).select("a.*")

@@ -94,9 +94,15 @@ def summarize_replicates(values: DataFrame, value: str, by: Sequence[str], minim
 
 
 def summarize_ranks(ranks: DataFrame, by: Sequence[str], minimum: int, at: Sequence[int] = (1, 5, 10)) -> DataFrame:
+    """Median, 95% interval and rates of each group's replicate ranks; a null rank isn't valid, and
+    below ``minimum`` valid ones nothing is published."""
     enough = F.count("rank") >= minimum
     rates = [F.when(enough, F.avg((F.col("rank") <= k).cast("double"))).alias(f"rate_at_{k}") for k in at]
-    return ranks.groupBy(*by).agg(F.count("rank").alias("n_valid"), F.when(enough, F.median("rank")).alias("median_rank"), *rates)
+    bounds = F.percentile("rank", F.array(F.lit(0.025), F.lit(0.975)))
+    out = ranks.groupBy(*by).agg(F.count("rank").alias("n_valid"), F.when(enough, F.median("rank")).alias("median_rank"), F.when(enough, bounds).alias("_q"), *rates)
+    published = F.when(F.col("n_valid") >= minimum, "available").otherwise("insufficient")
+    rest = [f"rate_at_{k}" for k in at]
+    return out.select(*by, "n_valid", "median_rank", F.get("_q", 0).alias("rank_low"), F.get("_q", 1).alias("rank_high"), *rest, published.alias("status"))
 
 
 def percentiles(values: DataFrame, value: str, by: Sequence[str], to: str = "percentile", valid: str | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -75,3 +76,24 @@ def blinded_arms(pool: DataFrame, query: str, arm_orders: dict, per_arm: int = 5
         taken = chosen if taken is None else taken.unionByName(chosen)
         left = left.join(chosen.select(query, "candidate"), [query, "candidate"], "left_anti")
     return taken
+
+
+def keyed_order(seed: int, *columns: str) -> list:
+    """Sort keys of a repeatable random order: a digest of the seed and the columns, then the columns."""
+    return [F.sha2(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in columns)), 256), *(F.col(c) for c in columns)]
+
+
+def rating_sheet(arms: DataFrame, query: str, seed: int) -> tuple[DataFrame, DataFrame]:
+    """``arms`` (query, candidate, arm) -> the raters' sheet (query, position, candidate), each
+    query's candidates in keyed order without their arm, and the key (query, position, arm)."""
+    order = Window.partitionBy(query).orderBy(*keyed_order(seed, query, "candidate"))
+    dealt = arms.withColumn("position", F.row_number().over(order))
+    return dealt.select(query, "position", "candidate"), dealt.select(query, "position", "arm")
+
+
+def cards(sheet: DataFrame, profiles: DataFrame, key: str, stats: Sequence[str], digits: int = 3) -> DataFrame:
+    """The sheet with each candidate's attributes: ``profiles`` (key, minutes_played, stats and any
+    more columns); minutes are whole, stats rounded, and a candidate without
+    profile keeps an empty card."""
+    shown = profiles.withColumns({"minutes_played": F.round("minutes_played", 0), **{s: F.round(s, digits) for s in stats}})
+    return sheet.join(shown.withColumnRenamed(key, "candidate"), "candidate", "left")

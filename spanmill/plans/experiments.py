@@ -56,7 +56,7 @@ def report(p: Population, baselines: Sequence[str] = ("A", "B", "C"), scopes: Se
     out = None
     for scope in scopes:
         for b in baselines:
-            ranks = baseline_ranks(p, b, scope)
+            ranks = baseline_ranks(p, b, scope).persist()  # a row per query, read twice
             row = retrieval.metrics(ranks).crossJoin(F.broadcast(ranks.agg(resampling.chance_level(ranks).alias("chance"))))  # one row each
             row = row.select(F.lit(scope or "global").alias("scope"), F.lit(b).alias("baseline"), "*")
             out = row if out is None else out.unionByName(row)
@@ -70,9 +70,21 @@ def mrr_delta(first: DataFrame, second: DataFrame, entity: list[str]) -> DataFra
     return a.join(b, entity).select(*entity, (F.lit(1.0) / F.col("_b") - F.lit(1.0) / F.col("_a")).alias("delta"))
 
 
-def delta_interval(first: DataFrame, second: DataFrame, entity: list[str], replicates: int = 1000, seed: int = 0) -> DataFrame:
-    """One row: bounds of the mean difference over paired resamples."""
-    return resampling.interval(resampling.resample_means(mrr_delta(first, second, entity), "delta", entity, replicates, seed), "mean")
+def delta_summary(first: DataFrame, second: DataFrame, entity: list[str], replicates: int = 1000, seed: int = 0, clusters: DataFrame | None = None) -> DataFrame:
+    """One row: the mean difference of reciprocal ranks, its bounds and the counts behind them.
+
+    With ``clusters`` (entity, cluster) whole clusters of queries are drawn and
+    pooled, so resamples differ in size; a query without cluster stops the
+    query.  Without queries the means are null and the counts 0."""
+    deltas = mrr_delta(first, second, entity).persist()  # a row per query, read by every resample
+    point = [F.avg("delta").alias("point_estimate"), F.count("*").alias("n_queries")]
+    if clusters is None:
+        drawn = resampling.resample_means(deltas, "delta", entity, replicates, seed)
+    else:
+        deltas = deltas.join(clusters.select(*entity, "cluster"), entity, "left")
+        point.append(F.count_distinct("cluster").alias("n_clusters"))
+        drawn = resampling.cluster_resample(deltas, "delta", "cluster", replicates, seed)
+    return deltas.agg(*point).crossJoin(F.broadcast(resampling.interval(drawn, "mean")))  # one row each
 
 
 def without_teammates(p: Population, team: str = "team", digits: int = 6) -> DataFrame:
@@ -98,5 +110,3 @@ def transfer_report(p: Population, moved: DataFrame, baselines: Sequence[str] =
     """Metrics of transferred queries only; pools stay whole."""
     only = Population(p.queries.join(moved.select(*p.entity), p.entity, "left_semi"), p.candidates, p.entity, p.carry)
     return report(only, baselines, [None])
-
-

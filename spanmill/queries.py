@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanmill.functions import hashing, numeric, text
 from spanmill.operators import diagnostics, evidence, facets, features, metric, minutes, quality, resampling, retrieval, shrinkage, splits, study, temporal
-from spanmill.plans import experiments, provider, stand_in, uncertainty
+from spanmill.plans import experiments, provider, publication, stand_in, uncertainty
 from spanmill.plans.stand_in import FEATURES, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -377,14 +377,17 @@ def draw_plan(spark, sf_dir):
     return resampling.draw_plan(units, "unit", ["stratum"], 20, 7, "demo")
 
 
-@query(
-    f"""WITH {_PERIODS.replace('WITH ', '')}, u AS (SELECT match_id, "competitionId", period, row_number() OVER (PARTITION BY "competitionId", period ORDER BY match_id) - 1 AS i, count(*) OVER (PARTITION BY "competitionId", period) AS n FROM periods),
-d AS (SELECT r::INT AS replicate, "competitionId", period, ('0x' || substr(sha256('matches|1729|' || r || '|' || "competitionId" || '|' || period || '|' || i || '|0'), 1, 16))::UBIGINT % n AS i FROM u, range(5) t(r)),
+def _replicates_sql(n: int) -> str:
+    """Profiles of n whole-match resamples."""
+    return f"""WITH {_PERIODS}, u AS (SELECT match_id, "competitionId", period, row_number() OVER (PARTITION BY "competitionId", period ORDER BY match_id) - 1 AS i, count(*) OVER (PARTITION BY "competitionId", period) AS n FROM periods),
+d AS (SELECT r::INT AS replicate, "competitionId", period, ('0x' || substr(sha256('matches|1729|' || r || '|' || "competitionId" || '|' || period || '|' || i || '|0'), 1, 16))::UBIGINT % n AS i FROM u, range({n}) t(r)),
 plan AS (SELECT replicate, match_id, period, count(*) AS w FROM d JOIN u USING ("competitionId", period, i) GROUP BY ALL),
 s AS (SELECT l_suppkey AS player_id, l_orderkey AS match_id, count(*) AS n, sum(l_quantity) AS q, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY ALL)
 SELECT replicate, player_id, period, sum(q * w) AS minutes_played, round(sum(n * w) / sum(q * w) * 90, 9) AS lines_p90, round(sum(r * w) / sum(q * w) * 90, 9) AS returned_p90
 FROM s JOIN plan USING (match_id) GROUP BY ALL"""
-)
+
+
+@query(_replicates_sql(5))
 def replicate_profiles(spark, sf_dir):
     """Weighted profiles of whole-match resamples from per-match statistics."""
     return _replicate_profiles(spark, sf_dir, 5)
@@ -402,11 +405,17 @@ def _replicate_profiles(spark, sf_dir, replicates):
 
 RESAMPLES, MINIMUM_VALID = 500, 450
 
+_INTERVALS_SQL = f"""WITH r AS ({_replicates_sql(RESAMPLES)}), long AS (SELECT player_id, period, 'lines_p90' AS feature, lines_p90 AS x FROM r UNION ALL SELECT player_id, period, 'returned_p90', returned_p90 FROM r),
+q AS (SELECT player_id, period, feature, count(x) AS n_valid, quantile_cont(x, [0.025, 0.5, 0.975]) AS q FROM long GROUP BY ALL)
+SELECT player_id, period, feature, n_valid, CASE WHEN n_valid >= {MINIMUM_VALID} THEN round(q[1], 6) END AS ci_low, CASE WHEN n_valid >= {MINIMUM_VALID} THEN round(q[2], 6) END AS median,
+  CASE WHEN n_valid >= {MINIMUM_VALID} THEN round(q[3], 6) END AS ci_high, CASE WHEN n_valid >= {MINIMUM_VALID} THEN 'available' ELSE 'insufficient' END AS status FROM q"""
 
-@query()
+
+@query(_INTERVALS_SQL)
 def replicate_intervals(spark, sf_dir):
     """Interval of each profile's rates over 500 resamples, published from 450 valid ones."""
-    return uncertainty.summaries(_replicate_profiles(spark, sf_dir, RESAMPLES), ["lines_p90", "returned_p90"], ["player_id", "period"], MINIMUM_VALID)
+    out = uncertainty.summaries(_replicate_profiles(spark, sf_dir, RESAMPLES), ["lines_p90", "returned_p90"], ["player_id", "period"], MINIMUM_VALID)
+    return _rounded(out, "ci_low", "median", "ci_high", digits=6)
 
 
 @query(
@@ -426,14 +435,14 @@ def quantiles_type7(spark, sf_dir):
 @query(
     f"""WITH {_ELIGIBLE}, {_scaled()}, {_ranks(_A_ORDER, name='a')}, {_ranks(_COS + ' DESC', name='b')},
 d AS (SELECT row_number() OVER (ORDER BY player_id) - 1 AS i, 1.0 / b.rank - 1.0 / a.rank AS delta, count(*) OVER () AS n FROM a JOIN b USING (player_id)),
-w AS (SELECT r, ('0x' || substr(sha256('paired|0|' || r || '|' || i || '|0'), 1, 16))::UBIGINT % n AS i FROM d, range(200) t(r)),
+w AS (SELECT r, ('0x' || substr(sha256('paired|0|' || r || '|' || i || '|0'), 1, 16))::UBIGINT % n AS i FROM d, range(1000) t(r)),
 rm AS (SELECT r, avg(delta) AS mean FROM w JOIN d USING (i) GROUP BY r), s AS (SELECT list_sort(list(mean)) AS h FROM rm)
-SELECT len(h)::BIGINT AS n_resamples, round(h[6], 9) AS ci_low, round(h[195], 9) AS ci_high FROM s"""
+SELECT round((SELECT avg(delta) FROM d), 9) AS point_estimate, (SELECT count(*) FROM d) AS n_queries, len(h)::BIGINT AS n_resamples, round(h[26], 9) AS ci_low, round(h[975], 9) AS ci_high FROM s"""
 )
 def paired_delta_interval(spark, sf_dir):
     p = _population(spark, sf_dir)
     a, b = experiments.baseline_ranks(p, "A"), experiments.baseline_ranks(p, "B")
-    return _rounded(experiments.delta_interval(a, b, ["player_id"], 200), "ci_low", "ci_high")
+    return _rounded(experiments.delta_summary(a, b, ["player_id"]), "point_estimate", "ci_low", "ci_high")
 
 
 @query(
@@ -449,12 +458,12 @@ def cluster_resamples(spark, sf_dir):
 
 @query(
     f"""WITH {_ELIGIBLE}, {_scaled()}, {_ranks(_COS + ' DESC', 'q.role = c.role')},
-t AS (SELECT r, player_id, 1 + ('0x' || substr(sha256('null|5|' || r || '|' || player_id || '|0'), 1, 16))::UBIGINT % pool_size AS rank FROM ranks, range(100) t(r)), nulls AS (SELECT r, avg(1.0 / rank) AS mrr FROM t GROUP BY r)
+t AS (SELECT r, player_id, 1 + ('0x' || substr(sha256('null|5|' || r || '|' || player_id || '|0'), 1, 16))::UBIGINT % pool_size AS rank FROM ranks, range(10000) t(r)), nulls AS (SELECT r, avg(1.0 / rank) AS mrr FROM t GROUP BY r)
 SELECT round(avg(mrr), 9) AS null_mean, round(quantile_cont(mrr, 0.95), 9) AS null_p95, round((count(*) FILTER (mrr >= 0.2) + 1) / (count(*) + 1), 9) AS p_value, count(*) AS n_permutations FROM nulls"""
 )
 def random_target_null(spark, sf_dir):
     ranks = experiments.baseline_ranks(_population(spark, sf_dir), "B", "role")
-    return _rounded(resampling.random_null(ranks, ["player_id"], 0.2, 100, 5), "null_mean", "null_p95", "p_value")
+    return _rounded(resampling.random_null(ranks, ["player_id"], 0.2, 10000, 5), "null_mean", "null_p95", "p_value")
 
 
 # ---- shrinkage, splits, calibration ----------------------------------------------------------------
@@ -871,3 +880,177 @@ def observed_neighbors(spark, sf_dir):
     """The nearest other person in role; none would be an error."""
     p = _population(spark, sf_dir)
     return uncertainty.observed_neighbors(p.queries, p.candidates, ["player_id"], "player_id", "role", k=1)
+
+
+# ---- intervals of ranks, publication, study sheets, coverage ---------------------------------------------
+
+_DELTAS = f"""{_ELIGIBLE}, {_scaled()}, {_ranks(_A_ORDER, name='a')}, {_ranks(_COS + ' DESC', name='b')},
+d AS (SELECT player_id, 1.0 / b.rank - 1.0 / a.rank AS delta, team AS cluster FROM a JOIN b USING (player_id) JOIN z USING (player_id) WHERE period = 'A')"""
+
+
+@query(
+    f"""WITH {_DELTAS}, c AS (SELECT cluster, sum(delta) AS s, count(*) AS k, row_number() OVER (ORDER BY cluster) - 1 AS i, count(*) OVER () AS n FROM d GROUP BY 1),
+w AS (SELECT r, ('0x' || substr(sha256('clusters|0|' || r || '|all|' || i || '|0'), 1, 16))::UBIGINT % n AS i FROM c, range(1000) t(r)),
+rm AS (SELECT r, sum(s) / sum(k) AS mean FROM w JOIN c USING (i) GROUP BY r), x AS (SELECT list_sort(list(mean)) AS h FROM rm)
+SELECT round((SELECT avg(delta) FROM d), 9) AS point_estimate, (SELECT count(*) FROM d) AS n_queries, (SELECT count(*) FROM c) AS n_clusters, len(h)::BIGINT AS n_resamples, round(h[26], 9) AS ci_low, round(h[975], 9) AS ci_high FROM x"""
+)
+def clustered_delta_interval(spark, sf_dir):
+    """Difference of two baselines' reciprocal ranks when whole teams are resampled."""
+    p = _population(spark, sf_dir)
+    a, b = experiments.baseline_ranks(p, "A"), experiments.baseline_ranks(p, "B")
+    out = experiments.delta_summary(a, b, ["player_id"], clusters=p.queries.select("player_id", F.col("team").alias("cluster")))
+    return _rounded(out, "point_estimate", "ci_low", "ci_high")
+
+
+def _transfer_sql() -> str:
+    parts = []
+    for name, order in (("A", _A_ORDER), ("B", _COS + " DESC"), ("C", _C_ORDER)):
+        chance = "round(avg(list_sum(list_transform(range(1, pool_size + 1), lambda i: 1.0 / i)) / pool_size), 9) AS chance"
+        parts.append(f"SELECT 'global' AS scope, '{name}' AS baseline, {_METRICS}, {chance} FROM r{name} WHERE player_id IN (SELECT player_id FROM moved)")
+    tables = ", ".join(_ranks(order, name=f"r{name}") for name, order in (("A", _A_ORDER), ("B", _COS + " DESC"), ("C", _C_ORDER)))
+    moved = "moved AS (SELECT a.player_id FROM primary_team a JOIN primary_team b USING (player_id) WHERE a.period = 'A' AND b.period = 'B' AND a.team_id <> b.team_id)"
+    return f"WITH {_ELIGIBLE}, {_scaled()}, {tables}, {_PRIMARY.removeprefix(_PERIODS + ', ')}, {moved} {' UNION ALL '.join(parts)}"
+
+
+@query(_transfer_sql())
+def transfer_report(spark, sf_dir):
+    """Metrics of the queries whose main team changed between the halves, in whole pools."""
+    primary = _primary(spark, sf_dir)
+    moved = diagnostics.transferred(primary, primary, ["player_id"])
+    out = experiments.transfer_report(_population(spark, sf_dir), moved)
+    return _rounded(out, "mrr", "recall_at_5", "recall_at_10", "chance")
+
+
+_SUPPORT = "WITH {0} SELECT player_id, period, f AS feature_id, minutes_played::BIGINT AS minutes, CASE WHEN f = 'return_ratio' THEN decided::BIGINT END AS attempts, CASE WHEN f = 'return_ratio' THEN returned::BIGINT END AS successes FROM profiles, (SELECT unnest({1}) AS f)"
+
+
+@query(_SUPPORT.format(_profiles(), FEATURES))
+def feature_support(spark, sf_dir):
+    """Minutes behind every published value, and attempts and successes behind ratios."""
+    rows = stand_in.profiles(spark, sf_dir).withColumn("missed", F.col("decided") - F.col("returned"))
+    held = publication.support(F.col("feature_id"), F.col("minutes_played"), {"return_ratio": ("returned", ("returned", "missed"))})
+    return rows.withColumn("feature_id", F.explode(F.array(*(F.lit(f) for f in FEATURES)))).withColumn("s", held).select("player_id", "period", "feature_id", "s.*")
+
+
+@query("""WITH s AS (SELECT l_suppkey AS player_id, count(l_quantity) AS n, quantile_cont(l_quantity, 0.025) AS lo, quantile_cont(l_quantity, 0.975) AS hi FROM lineitem GROUP BY 1)
+SELECT s_suppkey AS player_id, CASE WHEN n >= 600 THEN 'available' ELSE 'insufficient' END AS status, n AS valid_resamples, CASE WHEN n >= 600 THEN lo END AS low, CASE WHEN n >= 600 THEN hi END AS high, 'rep-1' AS representation_id
+FROM supplier JOIN s ON player_id = s_suppkey""")
+def published_uncertainty(spark, sf_dir):
+    """The block of uncertainty of each supplier that has lines; a missing or doubled one stops the query."""
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("player_id"), F.col("l_quantity").cast("double").alias("value"))
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("player_id")).join(line, "player_id", "left_semi")
+    blocks = publication.attach_uncertainty(rows, resampling.summarize_replicates(line, "value", ["player_id"], 600), ["player_id"], {"raw_ci_95": ("ci_low", "ci_high")}, representation="rep-1")
+    u = "uncertainty"
+    return blocks.select("player_id", f"{u}.status", f"{u}.valid_resamples", F.get(f"{u}.raw_ci_95", 0).alias("low"), F.get(f"{u}.raw_ci_95", 1).alias("high"), f"{u}.representation_id")
+
+
+@query(
+    "WITH c(code, severity, message) AS (VALUES " + ", ".join(f"('{c}', '{s}', '{m}')" for c, (s, m) in publication.CAVEATS.items()) + """),
+p AS (SELECT s_suppkey AS player_id, CASE WHEN s_nationkey % 4 = 0 THEN 'Goalkeeper' ELSE 'Forward' END AS role, CASE WHEN s_suppkey % 3 > 0 THEN 'available' ELSE 'pending' END AS status FROM supplier)
+SELECT player_id, code, severity, message FROM p, c WHERE code IN ('fingerprint_not_style_proof', 'similarity_not_recruitment', 'same_season_team_confound', 'within_role_display_differs_from_global_model')
+  OR (code = 'uncertainty_pending' AND status = 'pending') OR (code = 'uncertainty_sampling_only' AND status <> 'pending') OR (code = 'goalkeeper_feature_coverage_weak' AND role = 'Goalkeeper')"""
+)
+def profile_caveats(spark, sf_dir):
+    role = F.when(F.col("s_nationkey") % 4 == 0, "Goalkeeper").otherwise("Forward")
+    status = F.when(F.col("s_suppkey") % 3 > 0, "available").otherwise("pending")
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("player_id"), F.explode(publication.profile_caveats(role, status)).alias("c")).select("player_id", "c.*")
+
+
+@query("""SELECT p_partkey::VARCHAR AS path, CASE WHEN p_size % 7 = 0 THEN NULL ELSE 'rep-' || (p_size % 3) END AS representation_id FROM part WHERE p_size % 7 = 0 OR p_size % 3 <> 1""")
+def binding_faults(spark, sf_dir):
+    """Documents that refer to another representation than the declared one, or to none."""
+    reference = F.when(F.col("p_size") % 7 != 0, F.concat(F.lit("rep-"), (F.col("p_size") % 3).cast("string")))
+    documents = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), F.to_json(F.struct("p_name", F.struct(reference.alias("representation_id")).alias("retrieval"))).alias("document"))
+    return publication.binding_faults(documents, "rep-1")
+
+
+@query("""WITH t AS (SELECT l_orderkey, sum(l_discount) AS total, sum(l_discount) + CASE WHEN l_orderkey % 10 = 0 THEN 0.001 ELSE 0 END AS score FROM lineitem GROUP BY l_orderkey)
+SELECT 'contributions add up to the score' AS check_name, count(*) AS n_checked, count(*) FILTER (abs(total - score) > 1e-6) AS n_bad, CASE WHEN count(*) FILTER (abs(total - score) > 1e-6) > 0 THEN 'fail' ELSE 'ok' END AS status FROM t""")
+def evidence_reconstruction(spark, sf_dir):
+    """Every tenth order's score is off on purpose."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_discount").cast("double").alias("weighted_contribution"))
+    off = F.when(F.col("l_orderkey") % 10 == 0, 0.001).otherwise(0.0)
+    scores = rows.groupBy("l_orderkey").agg(F.sum("weighted_contribution").alias("score")).withColumn("score", F.col("score") + off)
+    return publication.reconstruction(rows, scores, ["l_orderkey"])
+
+
+_SHEET = """WITH p AS (SELECT l_orderkey % 50 AS query, l_suppkey AS candidate, round(avg(l_discount), 9) AS a, sum(l_quantity) AS b FROM lineitem GROUP BY ALL),
+x AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY a DESC, candidate) AS i FROM p),
+y AS (SELECT query, candidate, row_number() OVER (PARTITION BY query ORDER BY b, candidate) AS i FROM x WHERE i > 5),
+r AS (SELECT query, candidate, row_number() OVER (PARTITION BY query ORDER BY sha256('11|' || query || '|' || candidate), query, candidate) AS i FROM y WHERE i > 5),
+arms AS (SELECT query, candidate, 'B' AS arm FROM x WHERE i <= 5 UNION ALL SELECT query, candidate, 'C_role' FROM y WHERE i <= 5 UNION ALL SELECT query, candidate, 'R' FROM r WHERE i <= 5),
+dealt AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sha256('12|' || query || '|' || candidate), query, candidate)::INT AS position FROM arms)"""
+
+
+def _dealt(spark, sf_dir):
+    pool = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 50).alias("query"), F.col("l_suppkey").alias("candidate")).agg(F.round(F.avg("l_discount"), 9).alias("a"), F.sum("l_quantity").alias("b"))
+    arms = study.blinded_arms(pool, "query", {"B": [F.desc("a"), "candidate"], "C_role": ["b", "candidate"], "R": study.keyed_order(11, "query", "candidate")})
+    return study.rating_sheet(arms, "query", 12)
+
+
+@query(f"{_SHEET} SELECT query, position, candidate, s_name AS name, round(s_acctbal, 3) AS s_acctbal, round(s_suppkey * 90.4::DOUBLE, 0) AS minutes_played FROM dealt LEFT JOIN supplier ON s_suppkey = candidate")
+def rating_cards(spark, sf_dir):
+    """What raters see: cards in keyed order without their arm."""
+    profiles = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("name"), "s_acctbal", (F.col("s_suppkey") * 90.4).alias("minutes_played"))
+    return study.cards(_dealt(spark, sf_dir)[0], profiles, "s_suppkey", ["s_acctbal"]).select("query", "position", "candidate", "name", "s_acctbal", "minutes_played")
+
+
+@query(f"{_SHEET} SELECT query, position, arm FROM dealt")
+def rating_key(spark, sf_dir):
+    """Three disjoint arms, the last one random, by position on the sheet."""
+    return _dealt(spark, sf_dir)[1]
+
+
+def _coverage_sql(label: str, used: str, known: str) -> str:
+    return f"""SELECT 'mapping_coverage({label})' AS check_name, count(*) AS n_checked, count(*) FILTER (k NOT IN (SELECT m FROM ({known}))) AS n_bad,
+  CASE WHEN count(*) FILTER (k NOT IN (SELECT m FROM ({known}))) > 0 THEN 'fail' ELSE 'ok' END AS status FROM (SELECT DISTINCT k FROM ({used}) WHERE k IS NOT NULL)"""
+
+
+@query(
+    " UNION ALL ".join(
+        [
+            _coverage_sql("names", "SELECT unnest(string_split(p_name, ' ')) AS k FROM part", "SELECT unnest(string_split(p_name, ' ')) AS m FROM part WHERE p_size <= 10"),
+            _coverage_sql("nations", "SELECT c_nationkey AS k FROM customer", "SELECT n_nationkey AS m FROM nation WHERE n_nationkey > 4"),
+        ]
+    )
+)
+def mapping_coverage(spark, sf_dir):
+    """Words of names and nations in use that a reduced mapping lacks."""
+    part = table(spark, sf_dir, "part").select("p_size", F.split("p_name", " ").alias("words"))
+    known = part.where("p_size <= 10").select(F.explode("words").alias("word"))
+    nations = table(spark, sf_dir, "nation").where("n_nationkey > 4")
+    return quality.suite([quality.coverage(part, "words", known, "word", "names"), quality.coverage(table(spark, sf_dir, "customer"), "c_nationkey", nations, "n_nationkey", "nations")])
+
+
+@query("""WITH s AS (SELECT count(*) FILTER (a <> b) AS n_bad, count(*) AS n_checked FROM (SELECT n_nationkey, n_nationkey IN (SELECT s_nationkey FROM supplier) AS a, n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_nationkey <> 3) AS b FROM nation) WHERE a OR b)
+SELECT 'same_set(nations)' AS check_name, n_checked, n_bad, CASE WHEN n_bad > 0 THEN 'fail' ELSE 'ok' END AS status FROM s""")
+def set_equality(spark, sf_dir):
+    """Nations of suppliers against those of customers but one."""
+    first = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"))
+    return quality.same_set(first, table(spark, sf_dir, "customer").where("c_nationkey <> 3").select(F.col("c_nationkey").alias("nation")), "nations")
+
+
+@query("""WITH p AS (SELECT l_orderkey, unnest([{'x': l_quantity * 2 + 5.0, 'y': CASE WHEN l_tax > 0.02 THEN l_tax * 1000 END}]) AS p FROM lineitem), a AS (SELECT 'x' AS axis, p.x AS v FROM p UNION ALL SELECT 'y', p.y FROM p)
+SELECT axis, count(v) AS n_checked, count(*) FILTER (NOT v BETWEEN 0 AND 100) AS n_bad, round(avg((NOT v BETWEEN 0 AND 100)::INT::DOUBLE) * 100, 9) AS percent_bad FROM a WHERE v IS NOT NULL GROUP BY axis""")
+def coordinate_bounds(spark, sf_dir):
+    """Points outside the pitch, per axis; an unknown coordinate isn't checked."""
+    points = F.array(F.struct((F.col("l_quantity") * 2 + 5.0).alias("x"), F.when(F.col("l_tax") > 0.02, F.col("l_tax") * 1000).alias("y")))
+    return _rounded(quality.coordinate_bounds(table(spark, sf_dir, "lineitem").select(points.alias("positions"))), "percent_bad")
+
+
+@query("""WITH n AS (SELECT count(*) FILTER (l_quantity > 44) AS b, count(*) AS n, count(*) FILTER (l_tax > 0.07) AS t FROM lineitem),
+r AS (SELECT CASE WHEN b > 0.05 * n THEN 'warn' ELSE 'ok' END AS status FROM n UNION ALL SELECT CASE WHEN t > 0.5 * n THEN 'warn' ELSE 'ok' END FROM n UNION ALL SELECT 'ok') SELECT status, count(*) AS n FROM r GROUP BY 1""")
+def suite_summary(spark, sf_dir):
+    """Checks by status: two flags against the share they may have, and a required column."""
+    checks = [quality.rare_flag(F.col("l_quantity") > 44, "large"), quality.rare_flag(F.col("l_tax") > 0.07, "taxed", 0.5), *quality.required("l_orderkey")]
+    return quality.summary(quality.run_checks(table(spark, sf_dir, "lineitem"), checks))
+
+
+@query("""WITH n AS (SELECT p_partkey, 'Part ' || (p_partkey % 500) || CASE WHEN p_partkey % 2 = 0 THEN '-a' ELSE '-B' END || p_size AS name FROM part),
+k AS (SELECT *, list_aggregate(list_transform(regexp_extract_all(lower(name), '([0-9]+|[^0-9]+)'), lambda p: CASE WHEN p[1] BETWEEN '0' AND '9' THEN lpad(greatest(len(ltrim(p, '0')), 1)::VARCHAR, 10, '0') || CASE WHEN ltrim(p, '0') = '' THEN '0' ELSE ltrim(p, '0') END ELSE p END), 'string_agg', '') AS k FROM n)
+SELECT p_partkey, name, k AS natural_key FROM k""")
+def natural_order(spark, sf_dir):
+    """Keys that sort names with their numbers as numbers."""
+    suffix = F.when(F.col("p_partkey") % 2 == 0, "-a").otherwise("-B")
+    name = F.concat(F.lit("Part "), (F.col("p_partkey") % 500).cast("string"), suffix, F.col("p_size").cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", name.alias("name")).withColumn("natural_key", text.natural_key(F.col("name")))
