@@ -9,9 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_TWO_64 = str(1 << 64)
-
-
 def ordering_key(identity: Column, seed: int) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), identity.cast("string")), 256)
 
@@ -22,16 +19,26 @@ def leading_uint64(digest: Column) -> Column:
 
 
 def counter_draw(parts: list[Column], size: Column, attempts: int = 4) -> Column:
-    """A uniform index below ``size`` addressed by its counters: SHA-256 of the parts and an
-    attempt number.  Values at or past the largest multiple of ``size`` are drawn
-    again; after ``attempts`` of those (chance below size / 2**64 each) it raises."""
-    wide = size.cast("decimal(20,0)")
-    limit = F.lit(_TWO_64).cast("decimal(20,0)") - F.lit(_TWO_64).cast("decimal(20,0)") % wide
+    """A uniform index below ``size`` (at most 2**40) addressed by its counters: the first eight
+    bytes of SHA-256 of the parts and an attempt number, modulo ``size``.  Values at
+    or past the largest multiple of ``size`` are drawn again; after ``attempts`` of
+    those (chance below size / 2**64 each) it raises.
+
+    The 64 bits are taken as 24, 20 and 20, so that every step fits a long; a
+    draw that holds is multiplied by 1 and not put into a branch, so that its
+    digest is computed once."""
+    n = size.cast("long")
+    step = F.lit(1 << 20)
+    rest = F.lit(1 << 24) % n * step % n * step % n  # 2**64 modulo size
     tries = []
     for attempt in range(attempts):
-        value = leading_uint64(F.sha2(F.concat_ws("|", *(p.cast("string") for p in parts), F.lit(str(attempt))), 256))
-        tries.append(F.when(value < limit, (value % wide).cast("long")))
-    return F.coalesce(*tries, F.raise_error(F.lit("no draw below the rejection limit")).cast("long"))
+        digest = F.sha2(F.concat_ws("|", *(p.cast("string") for p in parts), F.lit(str(attempt))), 256)
+        high, middle, low = (F.conv(F.substring(digest, at, width), 16, 10).cast("long") for at, width in ((1, 6), (7, 5), (12, 5)))
+        again = (high == (1 << 24) - 1) & (F.lit(1 << 40) - middle * step - low <= rest)
+        index = ((high % n * step + middle) % n * step + low) % n
+        tries.append(index * F.when((n <= 1 << 40) & ~again, F.lit(1)))
+    # the closing literal is never reached; with it the draw isn't nullable, and joins add no filter that draws again
+    return F.coalesce(*tries, F.raise_error(F.lit("no draw below the rejection limit")).cast("long"), F.lit(0).cast("long"))
 
 
 def ordered_digest(lines: DataFrame, order: str, line: str, task_rows: int = 250_000) -> str:

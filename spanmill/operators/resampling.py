@@ -20,8 +20,9 @@ def draw_plan(units: DataFrame, unit: str, strata: Sequence[str], replicates: in
     its own size.  The units of a stratum are numbered by id."""
     within = Window.partitionBy(*strata)
     numbered = units.select(unit, *strata, (F.row_number().over(within.orderBy(unit)) - 1).cast("long").alias("_i"), F.count("*").over(within).alias("_n"))
-    # one row a stratum carries its size, a row a unit stands for one draw
-    every = numbered.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    # a row a unit stands for one draw; units are dealt out first, since a few strata hold them all
+    tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = numbered.drop(unit).repartition(tasks, "_i").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     drawn = counter_draw([F.lit(design), F.lit(seed), F.col("replicate"), *(F.col(s) for s in strata), F.col("_i")], F.col("_n"))
     counts = every.select("replicate", *strata, drawn.alias("_i")).groupBy("replicate", *strata, "_i").agg(F.count("*").alias("multiplicity"))
     return counts.join(numbered.drop("_n"), [*strata, "_i"]).select("replicate", *strata, unit, "multiplicity")

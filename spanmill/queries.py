@@ -369,12 +369,15 @@ _DRAW = "('0x' || substr(sha256('{parts}' || {expr} || '|0'), 1, 16))::UBIGINT"
 
 @query(
     """WITH u AS (SELECT s_suppkey AS unit, (s_nationkey % 3)::BIGINT AS stratum, row_number() OVER (PARTITION BY s_nationkey % 3 ORDER BY s_suppkey) - 1 AS i, count(*) OVER (PARTITION BY s_nationkey % 3) AS n FROM supplier),
-d AS (SELECT r::INT AS replicate, stratum, ('0x' || substr(sha256('demo|7|' || r || '|' || stratum || '|' || i || '|0'), 1, 16))::UBIGINT % n AS i FROM u, range(20) t(r))
+d AS (SELECT r::INT AS replicate, stratum, ('0x' || substr(sha256('demo|7|' || r || '|' || stratum || '|' || i || '|0'), 1, 16))::UBIGINT % n AS i FROM u, range(500) t(r))
 SELECT replicate, d.stratum, unit, count(*) AS multiplicity FROM d JOIN u ON u.stratum = d.stratum AND u.i = d.i GROUP BY ALL"""
 )
 def draw_plan(spark, sf_dir):
     units = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("unit"), (F.col("s_nationkey") % 3).cast("long").alias("stratum"))
-    return resampling.draw_plan(units, "unit", ["stratum"], 20, 7, "demo")
+    return resampling.draw_plan(units, "unit", ["stratum"], 500, 7, "demo")
+
+
+RESAMPLES, MINIMUM_VALID = 500, 450
 
 
 def _replicates_sql(n: int) -> str:
@@ -387,10 +390,10 @@ SELECT replicate, player_id, period, sum(q * w) AS minutes_played, round(sum(n *
 FROM s JOIN plan USING (match_id) GROUP BY ALL"""
 
 
-@query(_replicates_sql(5))
+@query(_replicates_sql(RESAMPLES))
 def replicate_profiles(spark, sf_dir):
     """Weighted profiles of whole-match resamples from per-match statistics."""
-    return _replicate_profiles(spark, sf_dir, 5)
+    return _replicate_profiles(spark, sf_dir, RESAMPLES)
 
 
 def _replicate_profiles(spark, sf_dir, replicates):
@@ -403,8 +406,6 @@ def _replicate_profiles(spark, sf_dir, replicates):
     return weighted.select("replicate", "player_id", "period", m, F.round(numeric.per_90(F.col("n_lines"), m), 9).alias("lines_p90"), F.round(numeric.per_90(F.col("returned"), m), 9).alias("returned_p90"))
 
 
-RESAMPLES, MINIMUM_VALID = 500, 450
-
 _INTERVALS_SQL = f"""WITH r AS ({_replicates_sql(RESAMPLES)}), long AS (SELECT player_id, period, 'lines_p90' AS feature, lines_p90 AS x FROM r UNION ALL SELECT player_id, period, 'returned_p90', returned_p90 FROM r),
 q AS (SELECT player_id, period, feature, count(x) AS n_valid, quantile_cont(x, [0.025, 0.5, 0.975]) AS q FROM long GROUP BY ALL)
 SELECT player_id, period, feature, n_valid, CASE WHEN n_valid >= {MINIMUM_VALID} THEN round(q[1], 6) END AS ci_low, CASE WHEN n_valid >= {MINIMUM_VALID} THEN round(q[2], 6) END AS median,
@@ -448,12 +449,12 @@ def paired_delta_interval(spark, sf_dir):
 @query(
     """WITH c AS (SELECT c_nationkey::BIGINT AS cluster, sum(c_acctbal) AS s, count(*) AS k FROM customer GROUP BY 1),
 u AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS i, count(*) OVER () AS n FROM c),
-d AS (SELECT r::INT AS replicate, ('0x' || substr(sha256('clusters|3|' || r || '|all|' || i || '|0'), 1, 16))::UBIGINT % n AS i FROM u, range(50) t(r))
+d AS (SELECT r::INT AS replicate, ('0x' || substr(sha256('clusters|3|' || r || '|all|' || i || '|0'), 1, 16))::UBIGINT % n AS i FROM u, range(1000) t(r))
 SELECT replicate, round(sum(s) / sum(k), 4) AS mean FROM d JOIN u USING (i) JOIN c USING (cluster) GROUP BY replicate"""
 )
 def cluster_resamples(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("cluster"), "c_acctbal")
-    return _rounded(resampling.cluster_resample(rows, "c_acctbal", "cluster", 50, 3), "mean", digits=4)
+    return _rounded(resampling.cluster_resample(rows, "c_acctbal", "cluster", 1000, 3), "mean", digits=4)
 
 
 @query(
