@@ -1,7 +1,7 @@
 """Metric learning on profile pairs: a diagonal metric and a small projection network.
 
 Training triples are made by joins; one full-batch step is a pass of
-``mapInPandas`` over the triples that returns a partial gradient per
+``mapInArrow`` over the triples that returns a partial gradient per
 partition, which the driver adds.  So the triples stay on the cluster, and the
 driver holds only the parameters.
 """
@@ -13,30 +13,53 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def training_triples(queries: DataFrame, candidates: DataFrame, entity: str, scope: str, negatives: int = 32, seed: int = 0) -> DataFrame:
     """(entity, anchor, positive, negatives array<array<double>>): each query with its own row
-    and up to ``negatives`` others of its scope, in the order of a seeded hash; fewer
-    are repeated in turn.  Inputs have the entity, the scope and a vector v."""
+    and up to ``negatives`` others of its scope; fewer are repeated in turn, and a query
+    without others is left out.  Inputs have the entity (once each), the scope and a vector v.
+
+    The candidates of a scope are numbered from 0 in the order of a seeded hash, as a ring.
+    A query takes the places that follow a hashed start, all different, so the join meets
+    rows of one place and the pairs of a scope are never made."""
     own = queries.select(entity, scope, F.col("v").alias("anchor")).join(candidates.select(entity, F.col("v").alias("positive")), entity)
-    others = candidates.select(F.col(entity).alias("_other"), scope, F.col("v").alias("_v"))
-    pairs = own.join(others, scope).where(F.col(entity) != F.col("_other"))
-    order = Window.partitionBy(entity).orderBy(F.xxhash64(F.lit(seed), F.col(entity), F.col("_other")), "_other")
-    chosen = pairs.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= negatives)
-    grouped = chosen.groupBy(entity).agg(F.first("anchor").alias("anchor"), F.first("positive").alias("positive"), F.array_sort(F.collect_list(F.struct("_n", "_v"))).alias("_held"))
+    ring = _places(candidates.select(F.col(entity).alias("_other"), scope, F.col("v").alias("_v")), "_other", scope, seed)
+    sizes = ring.groupBy(scope).agg(F.count("*").alias("_size"))
+    start = F.xxhash64(F.lit(seed), F.lit("start"), F.col(entity))
+    # one place more, in case the query's own row is among them
+    steps = F.sequence(F.lit(0).cast("long"), F.least(F.col("_size"), F.lit(negatives + 1).cast("long")) - 1)
+    wanted = own.select(entity, scope).join(sizes, scope).select(entity, scope, "_size", F.explode(steps).alias("_n"))
+    wanted = wanted.withColumn("_place", F.pmod(F.pmod(start, F.col("_size")) + F.col("_n"), F.col("_size")))
+    met = wanted.join(ring, [scope, "_place"]).where(F.col(entity) != F.col("_other"))
+    held = met.groupBy(entity).agg(F.slice(F.array_sort(F.collect_list(F.struct("_n", "_v"))), 1, negatives).alias("_held"))
     cycled = F.transform(F.sequence(F.lit(0), F.lit(negatives - 1)), lambda i: F.get(F.col("_held"), (i % F.size("_held")).cast("int"))["_v"])
-    return grouped.select(entity, "anchor", "positive", cycled.alias("negatives"))
+    return own.join(held, entity).select(entity, "anchor", "positive", cycled.alias("negatives"))
+
+
+def _places(rows: DataFrame, key: str, scope: str, seed: int, parts: int = 256) -> DataFrame:
+    """Rows with ``_place``, their number within the scope in the order of a hash of the key.  A
+    scope is numbered in ``parts`` ranges of that hash, so a large one is spread over tasks."""
+    width = 2**64 // parts
+    hashed = rows.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key))).withColumn("_part", F.floor(F.col("_h") / F.lit(width)))
+    counts = hashed.groupBy(scope, "_part").agg(F.count("*").alias("_rows"))  # at most ``parts`` rows a scope
+    before = Window.partitionBy(scope).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select(scope, "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(scope, "_part").orderBy("_h", key))
+    return hashed.withColumn("_within", within).join(shifts, [scope, "_part"]).withColumn("_place", F.col("_before") + F.col("_within") - 1).drop("_h", "_part", "_within", "_before")
 
 
-def _arrays(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _arrays(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Anchors (n, 1, d) and the others (n, 1 + k, d), the positive first."""
-    a = np.array(frame["anchor"].to_list(), float)
-    p = np.array(frame["positive"].to_list(), float)
-    n = np.array([np.stack(x) for x in frame["negatives"]], float)
-    return a[:, None, :], np.concatenate([p[:, None, :], n], axis=1)
+    n = batch.num_rows
+    flat = lambda column: column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(zero_copy_only=False)
+    a, p = (flat(pc.list_flatten(batch[name])).reshape(n, 1, -1) for name in ("anchor", "positive"))
+    others = flat(pc.list_flatten(pc.list_flatten(batch["negatives"]))).reshape(n, -1, a.shape[2])
+    return a, np.concatenate([p, others], axis=1)
 
 
 def _softmax_loss(score: np.ndarray, temperature: float) -> tuple[float, np.ndarray]:
@@ -66,22 +89,23 @@ def diagonal_loss(a: np.ndarray, b: np.ndarray, w: np.ndarray, temperature: floa
     return loss, direct - own
 
 
-def _partial(kernel):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _partial(kernel, rows: int = 1024):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loss, grad, n = 0.0, None, 0
-        for frame in frames:
-            if len(frame):
-                more, g = kernel(*_arrays(frame))
-                loss, grad, n = loss + more, g if grad is None else grad + g, n + len(frame)
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                more, g = kernel(*_arrays(part))
+                loss, grad, n = loss + more, g if grad is None else grad + g, n + part.num_rows
         if n:
-            yield pd.DataFrame({"loss": [loss], "grad": [grad.tolist()], "n": [n]})
+            yield pa.RecordBatch.from_pydict({"loss": [loss], "grad": [grad.tolist()], "n": [n]})
 
     return run
 
 
 def _step(triples: DataFrame, kernel) -> tuple[float, np.ndarray]:
     """Mean loss and gradient over all triples: a row a partition comes to the driver."""
-    parts = triples.mapInPandas(_partial(kernel), "loss double, grad array<double>, n long").collect()
+    parts = triples.mapInArrow(_partial(kernel), "loss double, grad array<double>, n long").collect()
     n = sum(p.n for p in parts)
     if not n:
         raise ValueError("no training triples")

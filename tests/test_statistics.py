@@ -147,10 +147,31 @@ def test_training_improves(spark):
     assert len(rows) == 24 and all(len(r.negatives) == 4 for r in rows)
     fit = metric.train_diagonal(triples, 4, 0.01, iterations=8)
     assert fit.history[-1] < fit.history[0] and fit.weights.mean() == pytest.approx(1) and fit.weights[:2].min() > fit.weights[2:].max()
-    net, best = metric.train_network(triples, 4, 6, 3, lambda n: -metric.network_loss(*metric._arrays(triples.toPandas()), n, 0.1)[0], epochs=4)
+    net, best = metric.train_network(triples, 4, 6, 3, lambda n: -metric.network_loss(*metric._arrays(triples.toArrow()), n, 0.1)[0], epochs=4)
     assert metric.embed(q, net).first().v is not None and best > -1e9
 
 
+def test_triples_against_plain_rings(spark):
+    n, k = 300, 5
+    rows = [(i, None if i % 50 == 49 else i % 3 if i < 290 else i, [float(i)]) for i in range(n)]
+    q = spark.createDataFrame(rows, "id long, role long, v array<double>")
+    made = {r.id: [x[0] for x in r.negatives] for r in metric.training_triples(q, q, "id", "role", k).collect()}
+    scopes = {i: role for i, role, _ in rows}
+    # an entity without scope, or alone in it, has no others
+    assert sorted(made) == [i for i in range(290) if scopes[i] is not None]
+    for i, others in made.items():
+        assert len(others) == len(set(others)) == k and i not in others and all(scopes[int(x)] == scopes[i] for x in others)
+    ring = metric._places(q.where("role IS NOT NULL").drop("v"), "id", "role", 0, parts=8).collect()
+    for role in {r.role for r in ring}:
+        assert sorted(r._place for r in ring if r.role == role) == list(range(sum(s == role for s in scopes.values())))
+    followed = {(r.role, r._place): r.id for r in ring}
+    size = {role: sum(s == role for s in scopes.values()) for role in (0, 1, 2)}
+    starts = {r.id: r.h for r in q.select("id", F.xxhash64(F.lit(0), F.lit("start"), "id").alias("h")).collect()}
+    for i, others in made.items():
+        m = size[scopes[i]]
+        assert others == [float(x) for x in (followed[scopes[i], (starts[i] % m + j) % m] for j in range(k + 1)) if x != i][:k]
+
+
 def test_diagonal_training_is_whole(spark, tmp_path):
     rng = np.random.default_rng(4)
     n, size, steps = 12, 64, 3
@@ -158,7 +179,7 @@ def test_diagonal_training_is_whole(spark, tmp_path):
     half = [base + rng.normal(size=(n, size)) * 0.7 for _ in range(2)]
     a, b = (spark.createDataFrame([(i, i % 2, [float(x) for x in v]) for i, v in enumerate(h)], "entity long, role long, v array<double>") for h in half)
     rows = queries._diagonal_training(spark, a, b, iterations=steps).collect()
-    triples = metric.training_triples(a, b, "entity", "role").toPandas()
+    triples = metric.training_triples(a, b, "entity", "role").toArrow()
     assert {len(x) for x in triples["negatives"]} == {32}
     x, y = metric._arrays(triples)
     w, pull = np.ones(size), 2 * 0.5 * 0.1 / size
