@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanmill.llm import chat, fixity, fracsketch, imi, licenses, minhash, packing, pii, spm, toxicity
+from spanmill.llm import chat, codes, fixity, fracsketch, imi, infill, licenses, minhash, packing, pii, spm, toxicity
 from spanmill.llm.common import table
 
 
@@ -65,6 +65,16 @@ def op10_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op11_infill_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = F.sha2(infill.restored(F.col("output"), F.col("form")), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), back.alias("restored_sha256"))
+
+
+def op12_annular_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,7 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pii_feistel, op2_multi_index, op3_chat_format, op4_license_rules, op5_sentencepiece, op6_circulant_minhash,
-        op7_classifier_chain, op8_threshold_sketch, op9_merkle_fixity, op10_bin_slack, pipeline,
+        op7_classifier_chain, op8_threshold_sketch, op9_merkle_fixity, op10_bin_slack, op11_infill_checkpoints,
+        op12_annular_codes, pipeline,
     )
 }
 
@@ -122,8 +133,45 @@ s AS (SELECT *, sum(strlen(a)) OVER w AS stop, row_number() OVER w - 1 AS place
 SELECT warc::BIGINT AS warc, place, page_id, (stop - strlen(a))::BIGINT AS start, stop::BIGINT AS stop, sha256(a) AS expected, sha256(b) AS found, 'altered' AS damage
 FROM s WHERE a <> b"""
 
+_INFILL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT doc_id, text, h, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units FROM d),
+c AS (SELECT *, len(units) AS n, ('0x' || h[1:8])::BIGINT % (len(units) + 1) AS a, ('0x' || h[9:16])::BIGINT % (len(units) + 1) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 50 THEN 'plain'
+    WHEN ('0x' || h[25:32])::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT doc_id, text, n, form, array_to_string(units[1:least(a, b)], '') AS prefix, array_to_string(units[least(a, b) + 1:greatest(a, b)], '') AS middle,
+  array_to_string(units[greatest(a, b) + 1:], '') AS suffix FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
+
+def _codes_sql() -> str:
+    """The rounds written out one after another."""
+    near = """(SELECT key, part, v, label, vec_id, arg_min(entry, d * 256 + entry) AS entry, min(d) AS d FROM (
+  SELECT x.*, entry, (v[1] - e[1]) ** 2 + (v[2] - e[2]) ** 2 + (v[3] - e[3]) ** 2 + (v[4] - e[4]) ** 2 + (v[5] - e[5]) ** 2 + (v[6] - e[6]) ** 2 + (v[7] - e[7]) ** 2 + (v[8] - e[8]) ** 2 AS d
+  FROM parts x JOIN {book} USING (part)) GROUP BY ALL)"""
+    rounds, book = [], "book0"
+    means = ", ".join(f"floor(sum(v[{i}]) / count(*))::BIGINT" for i in range(1, 9))
+    for k in range(1, codes.ROUNDS + 1):
+        rounds.append(f"""book{k} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.e, b.e) AS e FROM {book} b
+  LEFT JOIN (SELECT part, entry, [{means}] AS e FROM {near.format(book=book)} GROUP BY part, entry) m ON m.part = b.part AND m.entry = b.entry)""")
+        book = f"book{k}"
+    return f"""
+WITH whole AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS key, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+parts AS MATERIALIZED (SELECT key, vec_id, label, part, list_slice(w, 8 * part + 1, 8 * part + 8) AS v FROM whole, (SELECT unnest(range(8)) AS part)),
+book0 AS MATERIALIZED (SELECT part, key - 1 AS entry, v AS e FROM parts WHERE key <= 16),
+{', '.join(rounds)},
+coded AS (SELECT key, vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM {near.format(book=book)} GROUP BY ALL)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  sha256((SELECT string_agg(array_to_string(e, ','), ',' ORDER BY part, entry) FROM {book})) AS codebooks_sha256 FROM coded"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": _FORMATTED,
     "op4_license_rules": _license_sql(),
     "op9_merkle_fixity": _FIXITY,
+    "op11_infill_checkpoints": _INFILL,
+    "op12_annular_codes": _codes_sql(),
 }
