@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanmill.llm import chat, codes, fixity, fracsketch, imi, infill, licenses, minhash, packing, pii, spm, toxicity
+from spanmill.llm import chat, codes, fixity, fracsketch, imi, infill, licenses, minhash, packing, pii, spm, suffix, toxicity
 from spanmill.llm.common import table
 
 
@@ -75,6 +75,11 @@ def op12_annular_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op13_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,7 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_pii_feistel, op2_multi_index, op3_chat_format, op4_license_rules, op5_sentencepiece, op6_circulant_minhash,
         op7_classifier_chain, op8_threshold_sketch, op9_merkle_fixity, op10_bin_slack, op11_infill_checkpoints,
-        op12_annular_codes, pipeline,
+        op12_annular_codes, op13_suffix_arrays, pipeline,
     )
 }
 
