@@ -1,14 +1,20 @@
-"""Vectorised 64-bit hashes of words and word shingles, computed on Arrow buffers."""
+"""Vectorised 64-bit hashes of words and word shingles, computed on Arrow buffers.
+
+A word is hashed eight bytes at a time: every step mixes the state with a keyed
+bijection after the bytes are added, so no algebra of letters makes words
+collide; words of more than ``LONG`` bytes go through a keyed BLAKE2b.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-BASE = 0x9E3779B97F4A7C15 | 1
+KEY, LONG = 0x9E3779B97F4A7C15, 64
 CHUNK = 1 << 18
 
 
@@ -22,36 +28,29 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_lower = np.arange(256)
-_lower[65:91] += 32
-_BYTE = mix64((_lower.astype(U) + U(1)) * U(0xD6E8FEB86659FD93))
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_BYTE[_SPACE] = 0
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-class _Tables:
-    def __init__(self) -> None:
-        self.n = 0
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.n:
-            self.n = max(n, 2 * CHUNK)
-            self.up = _powers(BASE, self.n)
-            self.down = _powers(pow(BASE, -1, 1 << 64), self.n)
-        return self.up, self.down
-
-    def __reduce__(self):
-        return _Tables, ()  # tables are made where they are used
-
-
-_tables = _Tables()
+#: The bytes of a word that count in its last step, by their number.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+
+
+def hash_words(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Keyed hashes of the words of ``data`` (lowered bytes) at ``start``."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data),), "<u8", padded, 0, (1,))
+    state = mix64(length.astype(U) + U(KEY))
+    row, at, left = np.flatnonzero(length <= LONG), start, length
+    while len(row):
+        take = np.minimum(left[row], 8)
+        state[row] = mix64((state[row] ^ (eight[at[row]] & _MASK[take])) * U(0xD6E8FEB86659FD93) + U(KEY))
+        at, left = at + 8, left - 8
+        row = row[left[row] > 0]
+    for k in np.flatnonzero(length > LONG).tolist():
+        word = data[start[k] : start[k] + length[k]].tobytes()
+        state[k] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=KEY.to_bytes(8, "little")).digest(), "little")
+    return state
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -72,8 +71,7 @@ def _word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     lo, n = int(bounds[0]), int(bounds[-1] - bounds[0])
     if not n:
         return np.zeros(0, U), np.zeros(0, np.int64)
-    data = raw[lo : lo + n]
-    up, down = _tables.upto(n + 1)
+    data = _LOWER[raw[lo : lo + n]]
     word = ~_SPACE[data]
     edge = np.zeros(n + 1, bool)
     edge[bounds - lo] = True
@@ -82,10 +80,7 @@ def _word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     ends = word.copy()
     ends[:-1] &= ~word[1:] | edge[1:n]
     start, stop = np.flatnonzero(begins), np.flatnonzero(ends)
-    total = np.zeros(n + 1, U)
-    np.cumsum(_BYTE[data] * up[:n], out=total[1:])
-    hashes = (total[stop + 1] - total[start]) * down[start]
-    return mix64(hashes), np.searchsorted(bounds - lo, start, "right") - 1
+    return hash_words(data, start, stop + 1 - start), np.searchsorted(bounds - lo, start, "right") - 1
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

@@ -122,6 +122,23 @@ def test_word_hashes_are_of_words_alone():
     assert hashes[0] == hashes[-1] and hashes[0] in hashes[1:4]
 
 
+def test_words_of_like_algebra_are_told_apart(spark):
+    import pyarrow as pa
+
+    def balanced(n, one, other):
+        word, swap = one, str.maketrans(one + other, other + one)
+        while len(word) < n:
+            word += word.translate(swap)
+        return word, word.translate(swap)
+
+    pairs = [balanced(n, *letters) for n in (16, 64, 128, 1024, 4096) for letters in ("ab", "xz")]
+    column = pa.array([w for pair in pairs for w in pair] + ["a", "a\x00", "\x00a", "a" * 64, "a" * 65, "b" * 8, "b" * 9])
+    seen = [int(h) for _, hashes, _ in wordhash.shingle_sets(column, 3) for h in hashes]
+    assert len(seen) == len(set(seen)) == len(column)
+    docs = spark.createDataFrame([(i, w) for i, w in enumerate(balanced(2048, "a", "b"))], "doc_id long, text string")
+    assert all(r.kept for r in minhash.near_duplicates(docs, width=3, percent=85).collect())
+
+
 # ---- nearest neighbours -----------------------------------------------------------
 
 
