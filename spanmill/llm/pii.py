@@ -17,12 +17,25 @@ email          local@domain.tld, of any length                        domain, pu
 card           13 to 19 digits that pass the Luhn test                first digit; check digit is recomputed
 iban           country, check digits mod 97; in one or in fours       country, letters, spaces; check digits recomputed
 ssn            ddd-dd-dddd, area 001-899 but 666, no zero part        separators
-phone          North American form, any area, exchange begins with 2-9 country code, separators
+phone          North American form, any area, exchange begins with 2-9; country code, separators
+               ten digits in one, area and exchange begin with 2-9
+intl           + country code and two to five groups, 7 to 15 digits   country code, separators
+ip6            eight groups, or :: and three groups or more            lengths of groups, digits and letters of either case
 ip             four octets 0-255 without leading zeros                digits of each octet
 date           yyyy-mm-dd, dd/mm/yyyy, mm/dd/yyyy or dd.mm.yyyy, 1800-2199 order, separators, a time after T
-secret         access keys, password= and token = values, in any case prefix, character classes
+secret         access keys of known prefixes; values of password, passwd,  prefix, character classes
+               pwd, secret, token, api key or access key after = or :,
+               in any case, with a digit or quoted and long
 =============  =====================================================  =====================
 
+Not covered: names, addresses, dates outside of 1800 to 2199 or in words, phone
+numbers without a plus in other forms than the North American ones, secrets
+without a known prefix or name.  Domains of e-mail addresses stay, so the
+members of a small private domain can still be told as such.
+
+The key decides everything: whoever holds it can undo the pseudonyms.  It is the
+caller's; ``session_key`` reads it from the session's ``spark.spanmill.pii.key``.
+
 A null text stays null and an empty one empty.  Texts are searched whole, and
 no pattern steps back over more than a few characters, so long texts and long
 values take time in proportion.  Rows are independent, so repeated rows get
@@ -32,10 +45,14 @@ column with the name asked for ``kinds`` is replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEFAULT_KEY = "spanmill-demo-key"
+KEY_SETTING = "spark.spanmill.pii.key"
+#: For demonstrations on made-up data alone: a key that everyone can read protects nobody.
+DEMO_KEY = "spanmill-demo-key"
 ROUNDS = 8
 
 _EDGE, _STOP = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
@@ -43,6 +60,13 @@ _NUM, _END = r"(?<![A-Za-z0-9_])(?<![0-9][.,-])", r"(?![A-Za-z0-9_])(?![.,-][0-9
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _YEAR = "(?:1[89]|2[01])[0-9]{2}"
 _VALUE = "[A-Z0-9]++(?:[_-]++[A-Z0-9]++)*+"
+_NAMED = r"(?:password|passwd|pwd|secret|token|api[ _-]?key|access[ _-]?key)"
+_DIGIT = "(?=[A-Z_-]*[0-9])"
+#: What stands before a secret value of six characters or more: a password's name and =, or any name
+#: with = or :, where the value must have a digit or be quoted and long.
+_BEFORE = rf"(?:(?:password|passwd|pwd)=|{_NAMED}[\"']?[ ]?[=:][ ]?(?:[\"'](?:{_DIGIT}|(?=[A-Z0-9_-]{{16}}))|{_DIGIT}))(?=[A-Z0-9_-]{{6}})"
+_ISSUED = r"(?:AKIA(?=[A-Z0-9]{16}(?![A-Za-z0-9_]))|sk-(?=[A-Za-z0-9_-]{16})|gh[opsu]_(?=[A-Za-z0-9]{30})|xox[abprs]-(?=[A-Za-z0-9-]{10})|AIza(?=[A-Za-z0-9_-]{30}))"
+_GROUP6 = "[0-9A-Fa-f]{1,4}"
 
 #: Length of an IBAN -> its countries.  In groups of four only the length tells where it ends.
 IBAN_LENGTHS = {
@@ -60,17 +84,19 @@ def _grouped(length: int, countries: str) -> str:
 #: One pattern per kind, tried in this order at each place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])(?=[._%+-]*+[A-Za-z0-9])[A-Za-z0-9._%+-]++@(?=[A-Za-z0-9.-]*?\.[A-Za-z]{2,24}(?![A-Za-z0-9_-]))[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "secret": _EDGE + rf"(?i:AKIA[A-Z0-9]{{16}}{_STOP}|password=(?=[A-Z0-9_-]{{6}}){_VALUE}|token = \"(?=[A-Z0-9_-]{{16}}){_VALUE}\")",
+    "secret": _EDGE + rf"(?i:{_ISSUED}{_VALUE}|{_BEFORE}{_VALUE})",
     "iban": _EDGE + r"(?:[A-Z]{2}[0-9]{2}(?=[A-Z]*[0-9])[A-Z0-9]{8,30}|" + "|".join(_grouped(*x) for x in IBAN_LENGTHS.items()) + ")" + _STOP,
+    "ip6": rf"(?<![A-Za-z0-9_:.])(?:(?:{_GROUP6}:){{7}}{_GROUP6}|(?:{_GROUP6}:){{0,6}}:(?:{_GROUP6}:){{0,5}}{_GROUP6})(?![A-Za-z0-9_:])",
     "ip": _NUM + rf"(?:{_OCTET}\.){{3}}{_OCTET}" + _END,
-    "phone": r"(?<![A-Za-z0-9_+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}" + _END,
+    "intl": r"(?<![A-Za-z0-9_+])\+(?!1[ .-]?\(?[0-9]{3}\)?[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4}(?![0-9]))(?=(?:[ .-]?[0-9]){7,15}(?![ .-]?[0-9]))[1-9][0-9]{0,2}(?:[ .-][0-9]{1,8}){2,5}" + _END,
+    "phone": _NUM + r"[2-9][0-9]{2}[2-9][0-9]{6}" + _END + r"|(?<![A-Za-z0-9_+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}" + _END,
     "ssn": _NUM + r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}" + _END,
     "date": _NUM + rf"(?:{_YEAR}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}/[0-9]{{2}}/{_YEAR}|[0-9]{{2}}\.[0-9]{{2}}\.{_YEAR})(?:(?=T[0-9]{{2}})|{_END})",
     "card": _NUM + r"(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})" + _END,
 }
 PATTERN = "|".join(PATTERNS.values())
 #: Every match holds a digit, an at sign or one of these words.
-HINT = "[0-9@]|(?i:password=|AKIA|token = )"
+HINT = "[0-9@]|(?i:AKIA|sk-|gh[opsu]_|xox|AIza|passw|pwd|secret|token|key)"
 
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 GROUP = 16
@@ -319,16 +345,28 @@ def _email(m: Column, key: Column) -> Column:
 
 
 def _secret(m: Column, key: Column) -> Column:
-    prefix = F.regexp_extract(m, r"^(?i:AKIA|password=|token = \")", 0)
+    prefix = F.regexp_extract(m, rf"^(?i:{_ISSUED}|{_BEFORE})", 0)
     value = F.substring(m, F.length(prefix) + 1, F.length(m))
     made = F.when(value.rlike('^[0-9a-f]+"?$'), _characters(value, [HEX], F.lit("secret"), key)).otherwise(_characters(value, [DIGITS, LOWER, UPPER], F.lit("secret"), key))
     return F.concat(prefix, made)
 
 
-_MAKERS = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "phone": _phone, "ssn": _ssn, "date": _date, "card": _card}
+def _intl(m: Column, key: Column) -> Column:
+    country = F.regexp_extract(m, r"^\+[0-9]+", 0)
+    rest = F.substring(m, F.length(country) + 1, F.length(m))
+    return F.concat(country, _refill(rest, _digits(F.regexp_replace(rest, "[^0-9]", ""), F.concat_ws("|", F.lit("intl"), country), key)))
+
+
+def _ip6(m: Column, key: Column) -> Column:
+    groups = F.size(F.filter(F.split(m, ":"), lambda g: g != ""))
+    whole = (groups == 8) | (F.contains(m, F.lit("::")) & groups.between(3, 7) & m.rlike("[0-9]"))
+    return F.when(whole, _characters(m, [DIGITS, "abcdef", "ABCDEF"], F.lit("ip6"), key))
 
 
-def pseudonym(match: Column, key: str = DEFAULT_KEY) -> Column:
+_MAKERS = {"email": _email, "secret": _secret, "iban": _iban, "ip6": _ip6, "ip": _ip, "intl": _intl, "phone": _phone, "ssn": _ssn, "date": _date, "card": _card}
+
+
+def pseudonym(match: Column, key: str) -> Column:
     """struct<kind, text> for a match of ``PATTERN``; kind is null and the text as it was
     where validation fails."""
     secret = F.lit(key)
@@ -343,9 +381,19 @@ def pseudonym(match: Column, key: str = DEFAULT_KEY) -> Column:
     return _let(kind, made)
 
 
-def pseudonymize(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY, kinds: str | None = None) -> DataFrame:
-    """``docs`` with the text column pseudonymised; ``kinds`` names a further column:
+def session_key(spark: SparkSession) -> str:
+    """The session's key.  Without one, the demonstration key, with a warning."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is not set: pseudonyms under the demonstration key can be undone by anyone", stacklevel=2)
+    return key or DEMO_KEY
+
+
+def pseudonymize(docs: DataFrame, key: str, text: str = "text", kinds: str | None = None) -> DataFrame:
+    """``docs`` with the text column pseudonymised under ``key``; ``kinds`` names a further column:
     the kinds of the values replaced, in the order of the text."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
     body, held = F.col(f"`{text}`"), _unused(docs, "found")
     pattern = F.lit(PATTERN)
     found = F.when(body.rlike(HINT), F.transform(F.regexp_extract_all(body, pattern, F.lit(0)), lambda m: pseudonym(m, key)))

@@ -17,7 +17,7 @@ from spanmill.llm import chat, fracsketch, licenses, pii
 # ---- pseudonyms ---------------------------------------------------------------
 
 
-def plain_feistel(l, r, a, b, tweak, key=pii.DEFAULT_KEY):
+def plain_feistel(l, r, a, b, tweak, key=pii.DEMO_KEY):
     for i in range(pii.ROUNDS):
         noise = lambda half: int(hashlib.sha256(f"{key}|{tweak}|{i}|{half}".encode()).hexdigest()[:15], 16)  # noqa: E731, B023
         if i % 2 == 0:
@@ -41,7 +41,7 @@ def plain_card(d):
 
 def hide(spark, *texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    return [(r.text, r.kinds) for r in pii.pseudonymize(df, kinds="kinds").orderBy("doc_id").collect()]
+    return [(r.text, r.kinds) for r in pii.pseudonymize(df, pii.DEMO_KEY, kinds="kinds").orderBy("doc_id").collect()]
 
 
 def test_cards_match_a_plain_version_and_stay_valid(spark):
@@ -190,8 +190,9 @@ def test_other_kinds_by_a_plain_version(spark):
 
     def secret(s):
         head = re.match(r'(?i:AKIA|password=|token = ")', s)[0]
-        value = s[len(head) :]
-        return head + plain_characters(value, "secret", (pii.HEX,) if re.fullmatch('[0-9a-f]+"?', value) else (pii.DIGITS, pii.LOWER, pii.UPPER))
+        value = s[len(head) :].rstrip('"')
+        made = plain_characters(value, "secret", (pii.HEX,) if re.fullmatch("[0-9a-f]+", value) else (pii.DIGITS, pii.LOWER, pii.UPPER))
+        return head + made + s[len(head) + len(value) :]
 
     cases = [
         (phone, ["(017) 555-7713", "974-555-3436", "974.999.0000"]), (ssn, ["123-45-6789", "665-01-0001", "667-99-9999"]), (ip, ["10.0.0.1", "192.168.1.255", "8.88.200.9"]),
@@ -212,8 +213,23 @@ def test_values_of_any_length_and_domains_of_any_depth(spark):
     assert got[4][0].startswith("..") and got[4][0][2:] == hide(spark, "joe@x.com")[0][0]
 
 
+def test_secrets_and_numbers_in_their_usual_forms(spark):
+    cases = {
+        "password: hunter22": "secret", 'password="hunter22"': "secret", 'token="abcdefgh12345678"': "secret", '{"api_key": "a1b2c3d4e5f6"}': "secret", "Secret: x9-y8-z7": "secret",
+        "sk-abcDEF0123456789xyzw": "secret", "ghp_0123456789abcdefABCDEF0123456789abcd": "secret", "xoxb-123456789012-abcdef": "secret", "5551234567"[:3] + "2345678": "phone",
+        "+44 20 7946 0958": "intl", "+49-30-901820": "intl", "+1 (342) 555-8390": "phone", "2001:db8:85a3::8a2e:370:7334": "ip6", "fe80:0:0:0:200:f8ff:fe21:67cf": "ip6",
+    }
+    for (old, kind), (new, kinds) in zip(cases.items(), hide(spark, *(f"see {c} ." for c in cases))):
+        assert kinds == [kind], (old, kinds)
+        assert new != f"see {old} ." and re.sub("[0-9]", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", new))).translate(str.maketrans("a", "0")) == re.sub("[0-9]", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", f"see {old} ."))).translate(str.maketrans("a", "0")), (old, new)
+    stay = ["password: please enter yours", "the token is gone", "token = parse_token", "std::vector a::b 12:30:45", "1712345678 seconds", "+1 2", "key: values", "beef::dead", "secret=none here"]
+    assert [k for _, k in hide(spark, *stay)] == [[]] * len(stay)
+    with pytest.raises(ValueError, match="key"):
+        pii.pseudonymize(spark.createDataFrame([(1, "x")], "doc_id long, text string"), "")
+
+
 def test_a_column_named_like_the_kinds_is_replaced(spark):
-    out = pii.pseudonymize(spark.createDataFrame([(1, "x@y.example.com", "old", 5)], "doc_id long, text string, Kinds string, found int"), kinds="kinds")
+    out = pii.pseudonymize(spark.createDataFrame([(1, "x@y.example.com", "old", 5)], "doc_id long, text string, Kinds string, found int"), pii.DEMO_KEY, kinds="kinds")
     assert out.columns == ["doc_id", "text", "found", "kinds"] and out.first().kinds == ["email"] and out.first().found == 5
 
 
@@ -224,9 +240,9 @@ def test_what_is_not_valid_stays(spark):
 
 def test_pseudonyms_edges(spark):
     df = spark.createDataFrame([(1, None, "k", 2.0), (1, "x@y.example.com", None, None), (1, "x@y.example.com", None, None)], "kind long, text string, kinds string, `a.b` double")
-    out = pii.pseudonymize(df).orderBy("kinds").collect()
+    out = pii.pseudonymize(df, pii.DEMO_KEY).orderBy("kinds").collect()
     assert df.columns == list(out[0].asDict()) and len(out) == 3 and out[0].text == out[1].text
-    assert pii.pseudonymize(df.limit(0)).count() == 0
+    assert pii.pseudonymize(df.limit(0), pii.DEMO_KEY).count() == 0
     long = "word " * 40_000 + "4111111111111111"
     assert hide(spark, long)[0][0] == "word " * 40_000 + plain_card("4111111111111111")
 
@@ -335,6 +351,31 @@ def test_sentences_with_padding_and_partial_ones(spark):
     assert got == [(1, "mit/notice"), (2, "mit/notice"), (5, "mit/notice"), (6, "apache-2.0/header"), (7, "apache-2.0/header")]
 
 
+def test_licences_with_names_and_in_other_wordings(spark):
+    s = licenses.SENTENCES
+    wrap = lambda *texts: textwrap.fill(" ".join(texts), 72)
+    named = s["bsd-endorse"].replace("the copyright holder", "the Example Project").replace("bsd", "bsd")
+    bsd = lambda third, who: "\n\n".join(["Copyright (c) 2020, Example", wrap(s["bsd-redistribution"]), wrap("1.", s["bsd-source"]), wrap("2.", s["bsd-binary"]), *([wrap("3.", third)] if third else []), wrap(s["bsd-as-is"].replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", who), s["bsd-liability"].replace("THE COPYRIGHT HOLDER OR CONTRIBUTORS", who))])
+    gpl2 = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License {} as published by the Free Software Foundation{}."
+    cases = [
+        (bsd(named, "THE REGENTS AND CONTRIBUTORS"), ["BSD-3-Clause"]), (bsd(None, "EXAMPLE INC"), ["BSD-2-Clause"]), (bsd(named.replace("its contributors", "the people who helped"), "X"), ["BSD-3-Clause"]),
+        (wrap(s["apache-header"]) + "\nYou may obtain a copy of the License at\n\n   https://www.apache.org/licenses/LICENSE-2.0\n\n" + wrap(s["apache-as-is"], s["apache-see"]), ["Apache-2.0"]),
+        ("Licensed under the MIT license.", ["MIT"]), ("Our Small Tool is licensed under the MIT License.", ["MIT"]), ("We think it is good and it is licensed under the MIT License.", []),
+        ("SPDX-License-Identifier: Apache-2.0 OR MIT", ["Apache-2.0", "MIT"]), ("// SPDX-License-Identifier: (MIT AND BSD-3-Clause)\nint x;", ["BSD-3-Clause", "MIT"]),
+        ("# SPDX-License-Identifier: GPL-2.0-or-later", ["GPL-2.0-or-later"]), ("SPDX-License-Identifier: GPL-2.0-or-later OR MIT", ["GPL-2.0-or-later", "MIT"]),
+        ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", ["GPL-2.0-only"]), ("MIT OR Apache-2.0", []), ("SPDX-License-Identifier: Foo OR MIT", []),
+        (wrap(gpl2.format("version 2", ""), s["gpl-hope"], s["gpl-see"]), ["GPL-2.0-only"]), (wrap(gpl2.format("", "; version 2 of the License").replace("  ", " "), s["gpl-hope"], s["gpl-see"]), ["GPL-2.0-only"]),
+        (wrap(s["gpl-free"].replace("This program", "Example Suite"), s["gpl-hope"].replace("This program", "Example Suite"), s["gpl-see"]), ["GPL-3.0-or-later"]),
+        ("Neither the name of " + "word " * 40 + "nor the names of its contributors may be used.", []),
+    ]
+    rows = [(k, text) for k, (text, _) in enumerate(cases)]
+    got = {}
+    for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append(r.license_id)
+    for k, (text, want) in enumerate(cases):
+        assert sorted(got.get(k, [])) == want, text
+
+
 # ---- sketches -------------------------------------------------------------------------
 
 
