@@ -32,7 +32,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by pseudonyms; n_chars follows the text."""
-    hidden = pii.pseudonymize(docs)
+    hidden = pii.pseudonymize(docs, pii.session_key(spark))
     kind = dict(docs.dtypes)["n_chars"]
     return hidden.withColumn("n_chars", F.length("text").cast(kind)).select(*docs.columns)
 
