@@ -112,18 +112,18 @@ GROUP BY conv_id"""
 def _license_sql() -> str:
     ids = licenses.known_parts()
     values = ", ".join(f"('{p}', {i})" for p, i in ids.items() if "{" not in p)
-    slots = ", ".join(f"('{licenses.as_pattern(p)}', {i}, {k})" for k, (p, i) in enumerate(ids.items()) if "{" in p)
+    slots = " ".join(f"WHEN regexp_full_match(sentence, '{licenses.as_pattern(p)}') THEN {i}" for p, i in ids.items() if "{" in p)
     rules = licenses.rule_sequences()
     listed = ", ".join(f"('{r}', '{name}', {seq})" for r, (name, seq) in rules.items())
     return rf"""
-WITH known(sentence, id) AS (VALUES {values}), slots(pattern, id, turn) AS (VALUES {slots}), rules(rule_id, license_id, seq) AS (VALUES {listed}),
+WITH known(sentence, id) AS (VALUES {values}), rules(rule_id, license_id, seq) AS (VALUES {listed}),
 cut AS (SELECT doc_id, unnest(p) AS part, generate_subscripts(p, 1) AS i FROM (
   SELECT doc_id, string_split_regex(regexp_replace(text, '(https?://\S+)\s', '\1' || chr(10), 'g'), '\s*(?:[.!?:]+\s+|\n)\s*') AS p FROM documents WHERE text IS NOT NULL)),
 parts AS (SELECT doc_id, i, trim(regexp_replace(lower(part), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS sentence FROM cut),
 named AS (SELECT doc_id, i, sentence, lag(sentence) OVER (PARTITION BY doc_id ORDER BY i) = '{licenses.LINE}' AND regexp_full_match(sentence, '{licenses.expression_pattern()}') AS several FROM parts),
 names AS (SELECT doc_id, i, unnest(n) AS sentence, generate_subscripts(n, 1) AS k FROM (SELECT doc_id, i, regexp_extract_all(' ' || sentence, ' ({licenses.spdx_names()})', 1) AS n FROM named WHERE several)),
-slotted AS (SELECT doc_id, i, arg_min(id, turn) AS id FROM named JOIN slots ON regexp_full_match(sentence, pattern) WHERE sentence NOT IN (SELECT sentence FROM known) GROUP BY doc_id, i),
-each AS (SELECT doc_id, i, 1 AS k, id FROM named JOIN known USING (sentence) WHERE several IS NOT TRUE UNION ALL SELECT doc_id, i, 1, id FROM slotted
+slotted AS (SELECT doc_id, i, CASE {slots} END AS id FROM named ANTI JOIN known USING (sentence)),
+each AS (SELECT doc_id, i, 1 AS k, id FROM named JOIN known USING (sentence) WHERE several IS NOT TRUE UNION ALL SELECT doc_id, i, 1, id FROM slotted WHERE id IS NOT NULL
   UNION ALL SELECT doc_id, i, 2 * k, id FROM names JOIN known USING (sentence) UNION ALL SELECT doc_id, i, 2 * k - 1, {ids[licenses.LINE]} FROM names JOIN known USING (sentence) WHERE k > 1),
 found AS (SELECT doc_id, list(id ORDER BY i, k) AS ids FROM each GROUP BY doc_id),
 every AS (SELECT doc_id, license_id, rule_id, (pos - 1)::BIGINT AS place, len(seq)::BIGINT AS n_sentences
