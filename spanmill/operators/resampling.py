@@ -11,15 +11,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanmill.functions.exact import exact_sums
 from spanmill.functions.hashing import counter_draw
 from spanmill.functions.numeric import harmonic
+from spanmill.sources.scratch import written
 
 
 def draw_plan(units: DataFrame, unit: str, strata: Sequence[str], replicates: int, seed: int, design: str) -> DataFrame:
     """(replicate, strata, unit, multiplicity): each stratum is resampled with replacement to
     its own size.  The units of a stratum are numbered by id."""
-    within = Window.partitionBy(*strata)
-    numbered = units.select(unit, *strata, (F.row_number().over(within.orderBy(unit)) - 1).cast("long").alias("_i"), F.count("*").over(within).alias("_n"))
+    numbered = stratum_numbers(units.select(unit, *strata), unit, strata)
     # a row a unit stands for one draw; units are dealt out first, since a few strata hold them all
     tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     every = numbered.drop(unit).repartition(tasks, "_i").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
@@ -28,44 +29,83 @@ def draw_plan(units: DataFrame, unit: str, strata: Sequence[str], replicates: in
     return counts.join(numbered.drop("_n"), [*strata, "_i"]).select("replicate", *strata, unit, "multiplicity")
 
 
+def stratum_numbers(units: DataFrame, unit: str, strata: Sequence[str]) -> DataFrame:
+    """``units`` with their number ``_i`` from 0 within the stratum, by id, and the stratum's size
+    ``_n``.  A stratum is numbered in ranges of the id, so a large one is spread over tasks."""
+    cut, part = ranges_of(units, unit)
+    dealt = units.join(F.broadcast(cut)).withColumn("_part", part).drop("_cuts")  # one row of cuts
+    sizes = dealt.groupBy(*strata, "_part").agg(F.count("*").alias("_rows"))
+    whole = Window.partitionBy(*strata)
+    before = F.coalesce(F.sum("_rows").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = sizes.select(*strata, "_part", before.alias("_before"), F.sum("_rows").over(whole).alias("_n"))
+    within = F.row_number().over(Window.partitionBy(*strata, "_part").orderBy(unit)) - 1
+    same = [F.col(f"u.{s}").eqNullSafe(F.col(f"s.{s}")) for s in strata]
+    on = F.col("u._part") == F.col("s._part")
+    for x in same:
+        on = on & x
+    met = dealt.withColumn("_within", within).alias("u").join(shifts.alias("s"), on)
+    return met.select(*(F.col(f"u.{c}") for c in units.columns), (F.col("_within") + F.col("_before")).cast("long").alias("_i"), F.col("_n").cast("long"))
+
+
+def ranges_of(rows: DataFrame, column: str, ranges: int | None = None) -> tuple[DataFrame, Column]:
+    """A one-row table of cuts ``_cuts`` and the number of a row's range, for about equal
+    ranges of a column: numbers by themselves, other kinds by the order of their first bytes."""
+    ranges = ranges or max(32, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    kind = dict(rows.dtypes)[column]
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        lead = F.col(column).cast("long")
+    elif kind in ("float", "double") or kind.startswith("decimal"):
+        lead = F.col(column).cast("double")
+    elif kind in ("date", "timestamp"):
+        lead = F.unix_micros(F.col(column).cast("timestamp"))
+    else:
+        lead = F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(column).cast("string"), "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    at = F.array(*(F.lit(i / ranges) for i in range(1, ranges)))
+    cuts = rows.agg(F.coalesce(F.array_distinct(F.percentile_approx(lead, at, F.lit(100 * ranges))), F.array().cast("array<double>" if kind in ("float", "double") or kind.startswith("decimal") else "array<bigint>")).alias("_cuts"))
+    return cuts, F.coalesce(F.size(F.filter("_cuts", lambda c: c <= lead)), F.lit(0))
+
+
 def resample_means(values: DataFrame, value: str, order: Sequence[str], replicates: int, seed: int, design: str = "paired") -> DataFrame:
     """(replicate, mean): means of resamples of all rows, numbered by ``order``.
 
     The numbering is a global order; rows are numbered by ranges, see
     ``number_rows``.  A draw is joined with its row by number."""
-    numbered, n = number_rows(values.select(*order, value), list(order))
+    numbered, n = number_rows(written(values.select(*order, value)), list(order))
     draws = numbered.select(F.col("_i").alias("_d")).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     draws = draws.select("replicate", counter_draw([F.lit(design), F.lit(seed), F.col("replicate"), F.col("_d")], F.lit(n)).alias("_i"))
     return draws.join(numbered.select("_i", value), "_i").groupBy("replicate").agg(F.avg(value).alias("mean"))
 
 
-def number_rows(rows: DataFrame, order: list[str], ranges: int = 32) -> tuple[DataFrame, int]:
+def number_rows(rows: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
     """Rows with a global number ``_i`` from 0 in ``order``, and how many there are: ranges of
     the first column are numbered each and shifted by the rows before them."""
-    first = order[0]
-    cuts = rows.select(F.percentile_approx(first, [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] or []
-    literal = F.array(*(F.lit(c) for c in sorted(set(cuts)))) if cuts else None
-    part = F.coalesce(F.size(F.filter(literal, lambda c: c <= F.col(first))), F.lit(0)) if cuts else F.lit(0)
-    dealt = rows.withColumn("_part", part)
-    sizes = {r["_part"]: r["count"] for r in dealt.groupBy("_part").count().collect()}  # a row a range
-    before, total = {}, 0
-    for p in sorted(sizes):
-        before[p], total = total, total + sizes[p]
-    if not before:
-        return dealt.withColumn("_i", F.lit(0).cast("long")).drop("_part"), 0
-    shift = F.element_at(F.create_map(*(F.lit(x) for pair in before.items() for x in pair)), F.col("_part"))
-    numbered = dealt.withColumn("_i", (F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1 + shift).cast("long"))
-    return numbered.drop("_part"), total
+    cut, part = ranges_of(rows, order[0])
+    dealt = rows.join(F.broadcast(cut)).withColumn("_part", part).drop("_cuts")  # one row of cuts
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_rows"))
+    total = sizes.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("n")).first().n
+    whole = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    shifts = sizes.select("_part", F.coalesce(F.sum("_rows").over(whole), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    met = dealt.withColumn("_within", within).join(F.broadcast(shifts), "_part")
+    return met.withColumn("_i", (F.col("_within") + F.col("_before")).cast("long")).select(*rows.columns, "_i"), total
 
 
 def cluster_resample(values: DataFrame, value: str, cluster: str, replicates: int, seed: int, design: str = "clusters") -> DataFrame:
     """(replicate, mean): clusters are drawn with replacement and their rows pooled; a row
-    without cluster is an error."""
+    without cluster is an error.  Sums are exactly rounded, so that a mean doesn't hang on
+    the order of its rows."""
     checked = F.when(F.col(cluster).isNull(), F.raise_error(F.lit("a row has no cluster")).cast(dict(values.dtypes)[cluster])).otherwise(F.col(cluster))
-    sums = values.groupBy(checked.alias(cluster)).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
-    plan = draw_plan(sums.withColumn("_all", F.lit("all")), cluster, ["_all"], replicates, seed, design)
-    pooled = plan.join(sums, cluster).groupBy("replicate")
-    return pooled.agg((F.sum(F.col("_s") * F.col("multiplicity")) / F.sum(F.col("_n") * F.col("multiplicity"))).alias("mean"))
+    named = values.select(checked.alias(cluster), F.col(value))
+    named = written(named)
+    sums = exact_sums(named, [cluster], {"_s": F.col(value)}).join(named.groupBy(cluster).agg(F.count(value).alias("_n")), cluster)
+    numbered, n = number_rows(written(sums), [cluster])
+    draws = numbered.select(F.col("_i").alias("_d")).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    drawn = draws.select("replicate", counter_draw([F.lit(design), F.lit(seed), F.col("replicate"), F.lit("all"), F.col("_d")], F.lit(n)).alias("_i"))
+    met = drawn.groupBy("replicate", "_i").agg(F.count("*").alias("_w")).join(numbered, "_i")
+    met = written(met)
+    total = exact_sums(met, ["replicate"], {"_t": F.col("_s") * F.col("_w")})
+    counts = met.groupBy("replicate").agg(F.sum(F.col("_n") * F.col("_w")).alias("_k"))
+    return total.join(counts, "replicate").select("replicate", (F.col("_t") / F.col("_k")).alias("mean"))
 
 
 def interval(resamples: DataFrame, value: str, by: Sequence[str] = (), low: float = 0.025, high: float = 0.975) -> DataFrame:

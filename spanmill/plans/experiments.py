@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanmill.operators import resampling, retrieval
+from spanmill.sources.scratch import written
 
 
 @dataclass(frozen=True)
@@ -76,7 +77,7 @@ def delta_summary(first: DataFrame, second: DataFrame, entity: list[str], replic
     With ``clusters`` (entity, cluster) whole clusters of queries are drawn and
     pooled, so resamples differ in size; a query without cluster stops the
     query.  Without queries the means are null and the counts 0."""
-    deltas = mrr_delta(first, second, entity).persist()  # a row per query, read by every resample
+    deltas = written(mrr_delta(first, second, entity))  # a row per query, read by several jobs
     point = [F.avg("delta").alias("point_estimate"), F.count("*").alias("n_queries")]
     if clusters is None:
         drawn = resampling.resample_means(deltas, "delta", entity, replicates, seed)

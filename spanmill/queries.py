@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanmill.functions import hashing, numeric, text
 from spanmill.operators import diagnostics, evidence, facets, features, metric, minutes, quality, resampling, retrieval, shrinkage, splits, study, temporal
-from spanmill.plans import experiments, provider, publication, stand_in, uncertainty
+from spanmill.plans import experiments, provider, publication, replicates, stand_in, uncertainty
 from spanmill.plans.stand_in import FEATURES, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -212,9 +212,12 @@ def family_ablation(spark, sf_dir):
     return _rounded(experiments.ablation(stand_in.eligible(spark, sf_dir), _FAMILIES, ["player_id"], ["role", "team"]), "mrr", "recall_at_5", "recall_at_10")
 
 
+THRESHOLDS = [50.0, 100.0, 300.0, 500.0, 750.0, 1000.0]
+
+
 def _sensitivity_sql() -> str:
     parts = []
-    for t in (50.0, 500.0, 1000.0):
+    for t in THRESHOLDS:
         parts.append(f"SELECT * FROM (WITH {_ELIGIBLE.replace('>= 100', f'>= {t}')}, {_scaled()}, {_ranks(_COS + ' DESC')} SELECT {t}::DOUBLE AS threshold, {_METRICS} FROM ranks)")
     return " UNION ALL ".join(parts)
 
@@ -225,7 +228,7 @@ def minutes_sensitivity(spark, sf_dir):
         p = experiments.population(stand_in.eligible(spark, sf_dir, t), FEATURES, ["player_id"], ["role", "team"])
         return _metrics(experiments.baseline_ranks(p, "B"))
 
-    return retrieval.sensitivity(stand_in.eligible(spark, sf_dir), [50.0, 500.0, 1000.0], at)
+    return retrieval.sensitivity(stand_in.eligible(spark, sf_dir), THRESHOLDS, at)
 
 
 _WEIGHTS = [2.0, 1.0, 0.5, 0.0, 1.5, 1.0]
@@ -396,12 +399,11 @@ def replicate_profiles(spark, sf_dir):
     return _replicate_profiles(spark, sf_dir, RESAMPLES)
 
 
-def _replicate_profiles(spark, sf_dir, replicates):
-    matches = stand_in.periods(spark, sf_dir)
-    plan = resampling.draw_plan(matches, "match_id", ["competitionId", "period"], replicates, 1729, "matches")
+def _replicate_profiles(spark, sf_dir, n):
+    lists = replicates.draw_lists(stand_in.periods(spark, sf_dir), "match_id", ["competitionId", "period"], n, 1729, "matches")
     sums = stand_in.sums(stand_in.events(spark, sf_dir), ["player_id", "match_id"])
-    joined = sums.join(plan, "match_id")
-    weighted = joined.groupBy("replicate", "player_id", "period").agg(*(F.sum(F.col(c) * F.col("multiplicity")).alias(c) for c in ("n_lines", "minutes_played", "returned")))
+    arrays = replicates.replicate_sums(sums, lists, "match_id", ["player_id", "period"], ["n_lines", "minutes_played", "returned"], n)
+    weighted = replicates.as_rows(arrays, ["player_id", "period"], ["n_lines", "minutes_played", "returned"])
     m = F.col("minutes_played")
     return weighted.select("replicate", "player_id", "period", m, F.round(numeric.per_90(F.col("n_lines"), m), 9).alias("lines_p90"), F.round(numeric.per_90(F.col("returned"), m), 9).alias("returned_p90"))
 
@@ -446,16 +448,34 @@ def paired_delta_interval(spark, sf_dir):
     return _rounded(experiments.delta_summary(a, b, ["player_id"]), "point_estimate", "ci_low", "ci_high")
 
 
+#: Power of two that makes every summand of the tables a whole number.
+_WHOLE = 62
+
+
+def exact_sum_sql(total: str) -> str:
+    """The double nearest to HUGEINT ``total`` / 2**62, ties to even."""
+    cut = f"greatest(length(bin(abs({total}))) - 53, 0)::INT"
+    return f"""(SELECT sign(whole) * (m + CASE WHEN c > 0 AND (rest > half OR (rest = half AND m % 2 = 1)) THEN 1 ELSE 0 END)::DOUBLE * 2.0 ** (c - {_WHOLE})
+  FROM (SELECT whole, c, abs(whole) >> c AS m, abs(whole) - ((abs(whole) >> c) << c) AS rest, 1::HUGEINT << greatest(c - 1, 0) AS half FROM (SELECT {total} AS whole, {cut} AS c)))"""
+
+
+def whole_sum_sql(x: str) -> str:
+    """The sum of doubles as a HUGEINT, times 2**62."""
+    return f"sum((({x})::DOUBLE * 2.0 ** {_WHOLE})::HUGEINT)"
+
+
 @query(
-    """WITH c AS (SELECT c_nationkey::BIGINT AS cluster, sum(round(c_acctbal * 100)::BIGINT) AS s, count(*) AS k FROM customer GROUP BY 1),
+    f"""WITH w AS (SELECT c_nationkey::BIGINT AS cluster, {whole_sum_sql('c_acctbal')} AS t, count(*) AS k FROM customer GROUP BY 1),
+c AS (SELECT cluster, {exact_sum_sql('t')} AS s, k FROM w),
 u AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS i, count(*) OVER () AS n FROM c),
-d AS (SELECT r::INT AS replicate, ('0x' || substr(sha256('clusters|3|' || r || '|all|' || i || '|0'), 1, 16))::UBIGINT % n AS i FROM u, range(1000) t(r))
-SELECT replicate, round(sum(s) / sum(k), 4) AS mean FROM d JOIN u USING (i) JOIN c USING (cluster) GROUP BY replicate"""
+d AS (SELECT r::INT AS replicate, ('0x' || substr(sha256('clusters|3|' || r || '|all|' || i || '|0'), 1, 16))::UBIGINT % n AS i FROM u, range(1000) t(r)),
+m AS (SELECT replicate, i, count(*) AS w FROM d GROUP BY ALL), x AS (SELECT replicate, {whole_sum_sql('s * w')} AS t, sum(k * w) AS k FROM m JOIN u USING (i) JOIN c USING (cluster) GROUP BY replicate)
+SELECT replicate, {exact_sum_sql('t')} / k AS mean FROM x"""
 )
 def cluster_resamples(spark, sf_dir):
-    """Mean balance in cents, so that sums are exact and no rounding hangs on their order."""
-    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("cluster"), F.round(F.col("c_acctbal") * 100).cast("long").alias("cents"))
-    return _rounded(resampling.cluster_resample(rows, "cents", "cluster", 1000, 3), "mean", digits=4)
+    """Mean balance of resampled nations; sums are exactly rounded, so nothing hangs on their order."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("cluster"), "c_acctbal")
+    return resampling.cluster_resample(rows, "c_acctbal", "cluster", 1000, 3)
 
 
 @query(
@@ -577,11 +597,11 @@ def two_stage_means(spark, sf_dir):
 
 
 @query("""WITH p AS (SELECT ps.l_orderkey % 50 AS query, s_suppkey AS candidate, avg(l_discount) AS a, sum(l_quantity) AS b FROM lineitem ps JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL),
-x AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(a, 9) DESC, candidate) AS i FROM p), y AS (SELECT query, candidate, b, row_number() OVER (PARTITION BY query ORDER BY b, candidate) AS i FROM x WHERE i > 3)
-SELECT query, candidate, 'discount' AS arm FROM x WHERE i <= 3 UNION ALL SELECT query, candidate, 'quantity' FROM y WHERE i <= 3""")
+x AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(a, 9) DESC, candidate) AS i FROM p), y AS (SELECT query, candidate, b, row_number() OVER (PARTITION BY query ORDER BY b, candidate) AS i FROM x WHERE i > 5)
+SELECT query, candidate, 'discount' AS arm FROM x WHERE i <= 5 UNION ALL SELECT query, candidate, 'quantity' FROM y WHERE i <= 5""")
 def disjoint_arms(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 50).alias("query"), F.col("l_suppkey").alias("candidate")).agg(F.avg("l_discount").alias("a"), F.sum("l_quantity").alias("b"))
-    return study.blinded_arms(line, "query", {"discount": [F.round("a", 9).desc(), "candidate"], "quantity": ["b", "candidate"]}, 3)
+    return study.blinded_arms(line, "query", {"discount": [F.round("a", 9).desc(), "candidate"], "quantity": ["b", "candidate"]}, 5)
 
 
 # ---- evidence, documents, search --------------------------------------------------------------------------
@@ -877,11 +897,11 @@ def imputed_percentiles(spark, sf_dir):
 
 
 @query(f"""WITH {_ELIGIBLE}, {_scaled()}, t AS (SELECT q.player_id, c.player_id AS neighbor_player_id, {_COS} AS score, row_number() OVER (PARTITION BY q.player_id ORDER BY {_COS} DESC, c.player_id)::INT AS rank
-  FROM z q JOIN z c ON q.period = 'A' AND c.period = 'B' AND q.role = c.role AND q.player_id <> c.player_id) SELECT player_id, neighbor_player_id, rank, score FROM t WHERE rank <= 1""")
+  FROM z q JOIN z c ON q.period = 'A' AND c.period = 'B' AND q.role = c.role AND q.player_id <> c.player_id) SELECT player_id, neighbor_player_id, rank, score FROM t WHERE rank <= 5""")
 def observed_neighbors(spark, sf_dir):
-    """The nearest other person in role; none would be an error."""
+    """The five nearest other people in role; fewer would be an error."""
     p = _population(spark, sf_dir)
-    return uncertainty.observed_neighbors(p.queries, p.candidates, ["player_id"], "player_id", "role", k=1)
+    return uncertainty.observed_neighbors(p.queries, p.candidates, ["player_id"], "player_id", "role", k=5)
 
 
 # ---- intervals of ranks, publication, study sheets, coverage ---------------------------------------------
