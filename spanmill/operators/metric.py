@@ -18,6 +18,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanmill.operators import retrieval
+from spanmill.sources.scratch import written
+
 
 def training_triples(queries: DataFrame, candidates: DataFrame, entity: str, scope: str, negatives: int = 32, seed: int = 0) -> DataFrame:
     """(entity, anchor, positive, negatives array<array<double>>): each query with its own row
@@ -79,37 +82,52 @@ def diagonal_scores(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def diagonal_loss(a: np.ndarray, b: np.ndarray, w: np.ndarray, temperature: float) -> tuple[float, np.ndarray]:
-    """Loss and gradient by the weights.  With s the score, d s / d w_i is
+    """Loss and gradient by the weights."""
+    loss, grad = arms_loss(a, b, w[:, None], temperature)
+    return float(loss[0]), grad[:, 0]
+
+
+def arms_loss(a: np.ndarray, b: np.ndarray, w: np.ndarray, temperature: float) -> tuple[np.ndarray, np.ndarray]:
+    """Losses (arms) and gradients (size, arms) of the weights ``w`` (size, arms) of several arms:
+    products are made once and meet all arms as matrices.  With s the score, d s / d w_i is
     a_i b_i / sqrt(AB) - s/2 (a_i^2 / A + b_i^2 / B)."""
-    size_a, size_b = np.maximum(a * a @ w, 1e-12), np.maximum(b * b @ w, 1e-12)
-    s = diagonal_scores(a, b, w)
-    loss, g = _softmax_loss(s, temperature)
-    direct = np.einsum("nk,nkd->d", g / np.sqrt(size_a * size_b), a * b)
-    own = np.einsum("nk,nkd->d", g * s / (2 * size_a), np.broadcast_to(a * a, b.shape)) + np.einsum("nk,nkd->d", g * s / (2 * size_b), b * b)
-    return loss, direct - own
+    n, k, d = b.shape
+    direct, own, other = (a * b).reshape(n * k, d), (a * a).reshape(n, d), (b * b).reshape(n * k, d)
+    size_a, size_b = np.maximum(own @ w, 1e-12)[:, None], np.maximum(other @ w, 1e-12).reshape(n, k, -1)
+    root = np.sqrt(np.maximum(size_a * size_b, 1e-12))
+    s = (direct @ w).reshape(n, k, -1) / root
+    z = s / temperature
+    z -= z.max(axis=1, keepdims=True)
+    p = np.exp(z)
+    p /= p.sum(axis=1, keepdims=True)
+    loss = -np.log(np.maximum(p[:, 0], 1e-12)).sum(0)
+    p[:, 0] -= 1
+    g = p / temperature
+    by_b = (g * s / (2 * size_b)).reshape(n * k, -1)
+    return loss, direct.T @ (g / root).reshape(n * k, -1) - own.T @ (g * s / (2 * size_a)).sum(1) - other.T @ by_b
 
 
 def _partial(kernel, rows: int = 1024):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loss, grad, n = 0.0, None, 0
+        loss, grad, n = 0.0, 0.0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 more, g = kernel(*_arrays(part))
-                loss, grad, n = loss + more, g if grad is None else grad + g, n + part.num_rows
+                loss, grad, n = loss + more, grad + g, n + part.num_rows
         if n:
-            yield pa.RecordBatch.from_pydict({"loss": [loss], "grad": [grad.tolist()], "n": [n]})
+            yield pa.RecordBatch.from_pydict({"loss": [np.atleast_1d(loss).tolist()], "grad": [grad.ravel().tolist()], "n": [n]})
 
     return run
 
 
-def _step(triples: DataFrame, kernel) -> tuple[float, np.ndarray]:
-    """Mean loss and gradient over all triples: a row a partition comes to the driver."""
-    parts = triples.mapInArrow(_partial(kernel), "loss double, grad array<double>, n long").collect()
+def _step(triples: DataFrame, kernel) -> tuple[np.ndarray, np.ndarray]:
+    """Mean losses and flat gradient over all triples: a row a partition comes to the driver."""
+    parts = triples.mapInArrow(_partial(kernel), "loss array<double>, grad array<double>, n long").collect()
     n = sum(p.n for p in parts)
     if not n:
         raise ValueError("no training triples")
-    return sum(p.loss for p in parts) / n, np.sum([p.grad for p in parts], axis=0) / n
+    return np.sum([p.loss for p in parts], axis=0) / n, np.sum([p.grad for p in parts], axis=0) / n
 
 
 @dataclass
@@ -118,21 +136,45 @@ class DiagonalFit:
     history: list[float]
 
 
-def train_diagonal(triples: DataFrame, size: int, regularization: float, iterations: int = 300, rate: float = 0.5, temperature: float = 0.1) -> DiagonalFit:
-    """Non-negative weights of mean 1 by projected steps; the pull to 1 is taken implicitly, so
-    it is stable for any strength."""
-    triples = triples.cache()
-    w, history = np.ones(size), []
-    pull = 2 * rate * regularization / size
+def train_arms(triples: DataFrame, size: int, strengths: Sequence[float], iterations: int = 300, rate: float = 0.5, temperature: float = 0.1, tolerance: float = 0.0) -> dict[float, DiagonalFit]:
+    """For each strength of the pull to 1, non-negative weights of mean 1 by projected steps.  The
+    pull is taken implicitly, so it is stable for any strength.
+
+    A step is one job for all arms, whose gradients a pass over the triples gives together
+    as a matrix.  Training ends after ``iterations`` steps, or when no arm's objective moves by
+    more than ``tolerance``."""
+    triples = written(triples)
+    pulls = np.array([2 * rate * s / size for s in strengths])
+    w = np.ones((size, len(strengths)))
+    history: list[np.ndarray] = []
     for _ in range(iterations):
-        loss, grad = _step(triples, lambda a, b, w=w: diagonal_loss(a, b, w, temperature))
-        history.append(loss + regularization * float(np.mean((w - 1) ** 2)))
-        w = np.maximum((w - rate * grad + pull) / (1 + pull), 0.0)
-        if w.sum() <= 0:
+        loss, grad = _step(triples, lambda a, b, w=w: arms_loss(a, b, w, temperature))
+        history.append(loss + np.array(strengths) * np.mean((w - 1) ** 2, axis=0))
+        w = np.maximum((w - rate * grad.reshape(w.shape) + pulls) / (1 + pulls), 0.0)
+        if (w.sum(0) <= 0).any():
             raise ValueError("all weights are zero")
-        w *= size / w.sum()
-    triples.unpersist()
-    return DiagonalFit(w, history)
+        w = w * (size / w.sum(0))
+        if tolerance and len(history) > 1 and np.abs(history[-1] - history[-2]).max() <= tolerance:
+            break
+    return {s: DiagonalFit(w[:, i].copy(), [float(h[i]) for h in history]) for i, s in enumerate(strengths)}
+
+
+def train_diagonal(triples: DataFrame, size: int, regularization: float, iterations: int = 300, rate: float = 0.5, temperature: float = 0.1) -> DiagonalFit:
+    """One arm of ``train_arms``."""
+    return train_arms(triples, size, [regularization], iterations, rate, temperature)[regularization]
+
+
+def arm_ranks(queries: DataFrame, candidates: DataFrame, fits: dict[float, DiagonalFit], entity: str, scope: str, digits: int = 9) -> DataFrame:
+    """(regularization, entity, rank, pool_size): self-ranks within the scope under every arm's
+    weights, in one job: an arm is a part of the scope."""
+    roots = F.array(*(F.struct(F.lit(float(s)).alias("regularization"), F.array(*(F.lit(float(x) ** 0.5) for x in f.weights)).alias("_w")) for s, f in fits.items()))
+
+    def scaled(rows: DataFrame) -> DataFrame:
+        every = rows.select(entity, scope, "v", F.explode(roots).alias("_a")).select(entity, scope, "v", "_a.*")
+        named = F.concat_ws("|", F.col("regularization").cast("string"), F.col(scope).cast("string"))
+        return every.select("regularization", entity, named.alias("_scope_arm"), F.zip_with("v", "_w", lambda x, y: x * y).alias("v"))
+
+    return retrieval.vector_ranks(scaled(queries), scaled(candidates), ["regularization", entity], scope="_scope_arm", digits=digits)
 
 
 def weight_stability(weights: DataFrame, collapse: float = 0.05, unstable: float = 0.5) -> DataFrame:
@@ -182,7 +224,7 @@ def network_loss(a: np.ndarray, b: np.ndarray, net: dict[str, np.ndarray], tempe
 def train_network(triples: DataFrame, size: int, hidden: int, out: int, evaluate, seed: int = 0, epochs: int = 50, rate: float = 0.05, momentum: float = 0.9, patience: int = 5, temperature: float = 0.1) -> tuple[dict, float]:
     """Full-batch momentum steps; keeps the parameters with the best ``evaluate(net)`` and stops
     after ``patience`` epochs without a better one."""
-    triples = triples.cache()
+    triples = written(triples)
     net = init_network(size, hidden, out, seed)
     speed = np.zeros(sum(v.size for v in net.values()))
     best, best_net, waited = -np.inf, net, 0
@@ -201,7 +243,6 @@ def train_network(triples: DataFrame, size: int, hidden: int, out: int, evaluate
             waited += 1
             if waited >= patience:
                 break
-    triples.unpersist()
     return best_net, best
 
 

@@ -32,8 +32,7 @@ def draw_plan(units: DataFrame, unit: str, strata: Sequence[str], replicates: in
 def stratum_numbers(units: DataFrame, unit: str, strata: Sequence[str]) -> DataFrame:
     """``units`` with their number ``_i`` from 0 within the stratum, by id, and the stratum's size
     ``_n``.  A stratum is numbered in ranges of the id, so a large one is spread over tasks."""
-    cut, part = ranges_of(units, unit)
-    dealt = units.join(F.broadcast(cut)).withColumn("_part", part).drop("_cuts")  # one row of cuts
+    dealt = ranged(units, unit)
     sizes = dealt.groupBy(*strata, "_part").agg(F.count("*").alias("_rows"))
     whole = Window.partitionBy(*strata)
     before = F.coalesce(F.sum("_rows").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -47,22 +46,24 @@ def stratum_numbers(units: DataFrame, unit: str, strata: Sequence[str]) -> DataF
     return met.select(*(F.col(f"u.{c}") for c in units.columns), (F.col("_within") + F.col("_before")).cast("long").alias("_i"), F.col("_n").cast("long"))
 
 
-def ranges_of(rows: DataFrame, column: str, ranges: int | None = None) -> tuple[DataFrame, Column]:
-    """A one-row table of cuts ``_cuts`` and the number of a row's range, for about equal
-    ranges of a column: numbers by themselves, other kinds by the order of their first bytes."""
+def ranged(rows: DataFrame, column: str, ranges: int | None = None) -> DataFrame:
+    """``rows`` with ``_part``, the number of the row's range among about equal ranges of a column,
+    whose cuts are a scalar subquery: numbers and times by themselves, other kinds by the
+    order of their first bytes."""
     ranges = ranges or max(32, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     kind = dict(rows.dtypes)[column]
     if kind in ("tinyint", "smallint", "int", "bigint"):
         lead = F.col(column).cast("long")
     elif kind in ("float", "double") or kind.startswith("decimal"):
         lead = F.col(column).cast("double")
-    elif kind in ("date", "timestamp"):
+    elif kind in ("date", "timestamp", "timestamp_ntz"):
         lead = F.unix_micros(F.col(column).cast("timestamp"))
     else:
         lead = F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(column).cast("string"), "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
     at = F.array(*(F.lit(i / ranges) for i in range(1, ranges)))
     cuts = rows.agg(F.coalesce(F.array_distinct(F.percentile_approx(lead, at, F.lit(100 * ranges))), F.array().cast("array<double>" if kind in ("float", "double") or kind.startswith("decimal") else "array<bigint>")).alias("_cuts"))
-    return cuts, F.coalesce(F.size(F.filter("_cuts", lambda c: c <= lead)), F.lit(0))
+    part = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= lead)), F.lit(0))
+    return rows.withColumn("_cuts", cuts.scalar()).withColumn("_part", part).drop("_cuts")
 
 
 def resample_means(values: DataFrame, value: str, order: Sequence[str], replicates: int, seed: int, design: str = "paired") -> DataFrame:
@@ -79,8 +80,7 @@ def resample_means(values: DataFrame, value: str, order: Sequence[str], replicat
 def number_rows(rows: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
     """Rows with a global number ``_i`` from 0 in ``order``, and how many there are: ranges of
     the first column are numbered each and shifted by the rows before them."""
-    cut, part = ranges_of(rows, order[0])
-    dealt = rows.join(F.broadcast(cut)).withColumn("_part", part).drop("_cuts")  # one row of cuts
+    dealt = ranged(rows, order[0])
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_rows"))
     total = sizes.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("n")).first().n
     whole = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from spanmill.functions import exact
 from spanmill.functions.numeric import per_90, safe_ratio
-from spanmill.plans import replicates, stand_in, uncertainty
+from spanmill.operators import joins, metric, retrieval, sketches, splits
+from spanmill.plans import decisions, replicates, stand_in, uncertainty
 from spanmill.plans.stand_in import table
-from spanmill.queries import _COS, _ELIGIBLE, MINIMUM_VALID, RESAMPLES, _population, _rounded, _scaled, exact_sum_sql, query, whole_sum_sql
+from spanmill.queries import _COS, _ELIGIBLE, _PERIODS, MINIMUM_VALID, RESAMPLES, _population, _rounded, _scaled, exact_sum_sql, query, whole_sum_sql
 from spanmill.sources.scratch import written
 
 # ---- exactly rounded sums ------------------------------------------------------------
@@ -111,3 +112,119 @@ def neighbor_selection(spark, sf_dir):
     its 5 nearest."""
     out = replicates.selection_rates(_neighbor_ranks(spark, sf_dir, RESAMPLES), ["player_id", "neighbor"], MINIMUM_VALID)
     return _rounded(out, "top_5_selection_rate", digits=6)
+
+
+# ---- regularisation arms trained together -----------------------------------------------------
+
+#: Strengths of the pull to equal weights, the reference's grid.
+ARMS = [0.0, 0.001, 0.01, 0.1, 1.0, 10.0]
+
+
+def _entities(spark, sf_dir):
+    """Stored vectors in pairs: (entity, half, role, v)."""
+    v = table(spark, sf_dir, "embeddings")
+    return v.select(F.floor(F.col("vec_id") / 2).cast("long").alias("entity"), (F.col("vec_id") % 2).alias("half"), F.col("label").alias("role"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+def trained_arms(a, b, assignment, **settings):
+    """Fits of all arms on the training split, and each arm's metrics on the validation split."""
+    part = lambda rows, name: rows.join(assignment.where(F.col("split") == name).select("entity"), "entity", "left_semi")
+    first = a.select(F.size("v").alias("n")).first()
+    triples = metric.training_triples(part(a, "train"), part(b, "train"), "entity", "role")
+    fits = metric.train_arms(triples, first.n if first else 0, ARMS, **({"temperature": 0.05} | settings))
+    ranks = metric.arm_ranks(part(a, "validation"), part(b, "validation"), fits, "entity", "role")
+    return fits, retrieval.metrics(ranks, ["regularization"])
+
+
+@query()
+def arm_selection(spark, sf_dir):
+    """Six arms trained in one run of 300 steps: validation metrics, which one is selected (best mrr,
+    ties to the stronger pull) and the features that its weights leave out or move most."""
+    v = _entities(spark, sf_dir)
+    assignment = splits.assign_splits(v.where("half = 0").select("entity", F.col("role").cast("string").alias("role")), "entity")
+    fits, report = trained_arms(v.where("half = 0").drop("half"), v.where("half = 1").drop("half"), written(assignment))
+    weights = spark.createDataFrame([(float(s), i, float(w)) for s, f in fits.items() for i, w in enumerate(f.weights)], "regularization double, feature int, weight double")
+    report = written(report)
+    chosen = decisions.select_arm(report).select("regularization", F.lit(True).alias("selected"))
+    spread = weights.groupBy("regularization").agg(F.count_if(F.col("weight") < 0.05).alias("n_collapsed"), F.max_by("feature", "weight").alias("heaviest"), F.max("weight").alias("max_weight"))
+    return report.join(F.broadcast(chosen), "regularization", "left").join(spread, "regularization").withColumn("selected", F.coalesce("selected", F.lit(False)))
+
+
+# ---- as-of, overlap and full outer joins --------------------------------------------------------
+
+_ASKED = "o AS (SELECT o_orderkey, o_custkey AS user_id, o_orderdate AS ts FROM orders)"
+_SEEN = "e AS (SELECT user_id, ts, max((value, event_id)) AS m FROM events GROUP BY ALL)"
+
+
+@query(f"""WITH {_ASKED}, {_SEEN} SELECT o.o_orderkey, o.user_id, o.ts, e.ts AS seen_ts, struct_extract_at(m, 1) AS seen_value, struct_extract_at(m, 2) AS seen_event_id
+FROM o ASOF LEFT JOIN e ON o.user_id = e.user_id AND o.ts >= e.ts""")
+def last_event_before_order(spark, sf_dir):
+    """The last event of a customer up to each order."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("ts"))
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "value", "event_id")
+    return joins.asof_join(orders, events, "ts", ["user_id"], prefix="seen_")
+
+
+@query("""WITH s AS (SELECT l_suppkey, l_shipdate, max((l_extendedprice, l_orderkey)) AS m FROM lineitem GROUP BY ALL)
+SELECT l.l_suppkey, l.o_orderkey, l.l_shipdate, s.l_shipdate AS before_l_shipdate, struct_extract_at(m, 1) AS before_l_extendedprice, struct_extract_at(m, 2) AS before_l_orderkey
+FROM (SELECT l_suppkey, l_orderkey AS o_orderkey, l_shipdate FROM lineitem WHERE l_linenumber = 1) l ASOF LEFT JOIN s ON l.l_suppkey = s.l_suppkey AND l.l_shipdate > s.l_shipdate""")
+def shipment_before(spark, sf_dir):
+    """A supplier's last shipment on an earlier day, for each order's first line."""
+    line = table(spark, sf_dir, "lineitem")
+    first = line.where("l_linenumber = 1").select("l_suppkey", F.col("l_orderkey").alias("o_orderkey"), "l_shipdate")
+    return joins.asof_join(first, line.select("l_suppkey", "l_shipdate", "l_extendedprice", "l_orderkey"), "l_shipdate", ["l_suppkey"], prefix="before_", strict=True)
+
+
+_OPEN = "w AS (SELECT o_custkey, o_orderkey, min(o_orderdate) AS opened, max(l_shipdate) AS shipped FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)"
+
+
+@query(f"WITH {_OPEN} SELECT a.o_custkey, a.o_orderkey, b.o_orderkey AS other_o_orderkey, date_diff('microsecond', greatest(a.opened, b.opened), least(a.shipped, b.shipped)) AS shared FROM w a JOIN w b ON a.o_custkey = b.o_custkey AND a.opened <= b.shipped AND b.opened <= a.shipped AND a.o_orderkey < b.o_orderkey")
+def orders_open_together(spark, sf_dir):
+    """Pairs of a customer's orders that were open at the same time, and for how long."""
+    joined = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    spans = joined.groupBy("o_custkey", "o_orderkey").agg(F.min("o_orderdate").alias("opened"), F.max("l_shipdate").alias("shipped"))
+    pairs = joins.overlap_join(spans, spans, "opened", "shipped", ["o_custkey"], prefix="other_").where("o_orderkey < other_o_orderkey")
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    shared = micros(F.least("shipped", "other_shipped")) - micros(F.greatest("opened", "other_opened"))
+    return pairs.select("o_custkey", "o_orderkey", "other_o_orderkey", shared.alias("shared"))
+
+
+_SUPPLIED = """SELECT l_suppkey, sum(l_quantity) AS q FROM lineitem JOIN periods ON match_id = l_orderkey WHERE period = '{0}' AND l_partkey % 40 = {1} GROUP BY 1"""
+
+
+@query(f"""WITH {_PERIODS}, a AS ({_SUPPLIED.format('A', 3)}), b AS ({_SUPPLIED.format('B', 5)})
+SELECT coalesce(a.l_suppkey, b.l_suppkey) AS l_suppkey, a.q AS left_value, b.q AS right_value, CASE WHEN b.l_suppkey IS NULL THEN 'left' WHEN a.l_suppkey IS NULL THEN 'right' ELSE 'both' END AS status
+FROM a FULL JOIN b ON a.l_suppkey = b.l_suppkey""")
+def supplied_in_either_half(spark, sf_dir):
+    """Quantities of one group of parts in the first half and of another in the second, where either is."""
+    line = table(spark, sf_dir, "lineitem").join(stand_in.periods(spark, sf_dir), F.col("l_orderkey") == F.col("match_id"))
+    part = lambda p, m: line.where((F.col("period") == p) & (F.col("l_partkey") % 40 == m)).groupBy("l_suppkey").agg(F.sum("l_quantity").alias("q"))
+    return joins.matched(part("A", 3), part("B", 5), ["l_suppkey"], "q")
+
+
+# ---- sketches ------------------------------------------------------------------------------------
+
+@query(f"""WITH {_PERIODS}, l AS (SELECT "competitionId" AS competitionId, l_partkey, l_extendedprice, p_brand AS brand FROM lineitem JOIN periods ON match_id = l_orderkey JOIN part ON p_partkey = l_partkey)
+SELECT competitionId, count(*) AS n, count(DISTINCT l_partkey) AS n_parts, TRUE AS merged_is_near, TRUE AS direct_is_near, TRUE AS quantiles_are_near, max(b.brands) AS n_brands, TRUE AS brands_are_near
+FROM l JOIN (SELECT competitionId, count(*) AS brands FROM (SELECT DISTINCT competitionId, brand FROM l) GROUP BY 1) b USING (competitionId) GROUP BY competitionId""")
+def merged_sketches(spark, sf_dir):
+    """Sketches of each period of a competition, merged: exact figures beside whether the merged and
+    the direct sketches lie within their bounds (five standard errors)."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("brand"))
+    rows = table(spark, sf_dir, "lineitem").join(stand_in.periods(spark, sf_dir), F.col("l_orderkey") == F.col("match_id")).join(part, F.col("p_partkey") == F.col("l_partkey")).select("competitionId", "period", "l_partkey", "l_extendedprice", "brand")
+    merged = sketches.union(sketches.sketches(rows, ["competitionId", "period"], "l_partkey", "l_extendedprice", "brand"), ["competitionId"])
+    direct = sketches.sketches(rows, ["competitionId"], "l_partkey", "l_extendedprice", "brand")
+    exact_figures = rows.groupBy("competitionId").agg(F.count_distinct("l_partkey").alias("n_parts"), F.count_distinct("brand").alias("n_brands"), F.percentile("l_extendedprice", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q"))
+    brands = rows.groupBy("competitionId", "brand").agg(F.count("*").alias("c")).groupBy("competitionId").agg(F.map_from_entries(F.collect_list(F.struct("brand", "c"))).alias("c"))
+    near = lambda x: F.abs(x - F.col("n_parts")) <= 5 * 1.04 / 2 ** (sketches.LG_BUCKETS / 2) * F.col("n_parts")
+    two = direct.select("competitionId", sketches.n_distinct("distinct_sketch").alias("d1"), sketches.n_in_set("set_sketch").alias("d2"))
+    out = merged.join(two, "competitionId").join(exact_figures, "competitionId").join(brands, "competitionId")
+    ranks = F.lit(True)
+    for i, q in enumerate((0.1, 0.5, 0.9)):
+        ranks = ranks & sketches.within_quantiles("value_sketch", q, F.get("q", i), 0.02)
+    top = sketches.frequent("item_sketch", 5)
+    counted = F.forall(top, lambda t: F.abs(t["count"] - F.element_at("c", t["item"])) <= F.col("n") / sketches.TRACKED)
+    return out.select(
+        "competitionId", "n", "n_parts", (near(sketches.n_distinct("distinct_sketch")) & near(sketches.n_in_set("set_sketch"))).alias("merged_is_near"), (near(F.col("d1")) & near(F.col("d2"))).alias("direct_is_near"),
+        ranks.alias("quantiles_are_near"), "n_brands", counted.alias("brands_are_near"),
+    )
