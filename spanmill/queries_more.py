@@ -178,7 +178,7 @@ def shipment_before(spark, sf_dir):
 _OPEN = "w AS (SELECT o_custkey, o_orderkey, min(o_orderdate) AS opened, max(l_shipdate) AS shipped FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)"
 
 
-@query(f"WITH {_OPEN} SELECT a.o_custkey, a.o_orderkey, b.o_orderkey AS other_o_orderkey, date_diff('microsecond', greatest(a.opened, b.opened), least(a.shipped, b.shipped)) AS shared FROM w a JOIN w b ON a.o_custkey = b.o_custkey AND a.opened <= b.shipped AND b.opened <= a.shipped AND a.o_orderkey < b.o_orderkey")
+@query(f"WITH {_OPEN} SELECT a.o_custkey, a.o_orderkey, b.o_orderkey AS other_o_orderkey, date_diff('microsecond', greatest(a.opened, b.opened), least(a.shipped, b.shipped)) AS shared FROM w a JOIN w b ON a.o_custkey = b.o_custkey AND a.opened <= b.shipped AND b.opened <= a.shipped AND a.o_orderkey < b.o_orderkey AND a.opened <= a.shipped AND b.opened <= b.shipped")
 def orders_open_together(spark, sf_dir):
     """Pairs of a customer's orders that were open at the same time, and for how long."""
     joined = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
