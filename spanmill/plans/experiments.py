@@ -30,11 +30,11 @@ def population(profiles: DataFrame, features: Sequence[str], entity: list[str],
     """Standardised on both periods, or on ``scale_on``; z-scores are rounded so that results
     don't depend on the order of sums.
 
-    The profiles are kept (memory, then disk; a lost part is computed again), since the
-    scaler, the queries and the candidates all read them."""
+    The profiles are written once, since the scaler, the queries and the candidates all read
+    them."""
     from spanmill.functions.numeric import weighted
 
-    profiles = profiles.persist()
+    profiles = written(profiles)
     scaler = retrieval.fit_scaler(profiles if scale_on is None else scale_on, features)
     scaled = retrieval.apply_scaler(profiles, features, scaler).withColumns({f: F.round(f, digits) for f in features})
     vectors = retrieval.as_vectors(scaled, features, [*entity, "period", *carry, minutes]).withColumnRenamed(minutes, "minutes")
@@ -57,7 +57,7 @@ def report(p: Population, baselines: Sequence[str] = ("A", "B", "C"), scopes: Se
     out = None
     for scope in scopes:
         for b in baselines:
-            ranks = baseline_ranks(p, b, scope).persist()  # a row per query, read twice
+            ranks = written(baseline_ranks(p, b, scope))  # a row per query, read twice
             row = retrieval.metrics(ranks).crossJoin(F.broadcast(ranks.agg(resampling.chance_level(ranks).alias("chance"))))  # one row each
             row = row.select(F.lit(scope or "global").alias("scope"), F.lit(b).alias("baseline"), "*")
             out = row if out is None else out.unionByName(row)

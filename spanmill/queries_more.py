@@ -5,15 +5,22 @@ They are registered beside those of ``queries``, whose helpers they use.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from spanmill.functions import exact
 from spanmill.functions.numeric import per_90, safe_ratio
-from spanmill.operators import joins, metric, retrieval, sketches, splits
-from spanmill.plans import decisions, replicates, stand_in, uncertainty
+from spanmill.operators import drift, features, frozen, joins, metric, resampling, retrieval, sketches, splits, temporal
+from spanmill.plans import decisions, experiments, provider, replicates, stand_in, uncertainty
 from spanmill.plans.stand_in import table
-from spanmill.queries import _COS, _ELIGIBLE, _PERIODS, MINIMUM_VALID, RESAMPLES, _population, _rounded, _scaled, exact_sum_sql, query, whole_sum_sql
-from spanmill.sources.scratch import written
+from spanmill.queries import (
+    _A_ORDER, _COS, _ELIGIBLE, _FLAGGED, _FLAGGED_2, _FLAGS, _FLAGS_2, _HALVES, _METRICS, _PERIODS, MINIMUM_VALID, QUERIES, RESAMPLES, _feature_sql, _metrics, _population, _ranks,
+    _rounded, _rounded_features, _scaled, _statistics_sql, exact_sum_sql, query, whole_sum_sql,
+)
+from spanmill.sources import layout
+from spanmill.sources.scratch import shared_folder, written
+from spanmill.streaming import running
 
 # ---- exactly rounded sums ------------------------------------------------------------
 
@@ -228,3 +235,136 @@ def merged_sketches(spark, sf_dir):
         "competitionId", "n", "n_parts", (near(sketches.n_distinct("distinct_sketch")) & near(sketches.n_in_set("set_sketch"))).alias("merged_is_near"), (near(F.col("d1")) & near(F.col("d2"))).alias("direct_is_near"),
         ranks.alias("quantiles_are_near"), "n_brands", counted.alias("brands_are_near"),
     )
+
+
+# ---- streams ------------------------------------------------------------------------------------
+
+
+@query("""WITH e AS (SELECT user_id, epoch_us(ts) AS t, round(value * 100)::BIGINT AS cents, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pause
+  FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL)
+SELECT user_id, count(*) AS n, sum(cents)::BIGINT AS total_cents, max(t) AS last_micros, count(*) FILTER (pause IS NULL OR pause > 1800000000) AS n_sessions,
+  coalesce(sum(pause) FILTER (pause <= 1800000000), 0)::BIGINT AS active_micros, 0::BIGINT AS n_late FROM e GROUP BY user_id""")
+def streamed_user_totals(spark, sf_dir):
+    """Running figures of users from a stream over the event table's files; the last state of each user."""
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    kinds = table(spark, sf_dir, "events").schema
+    source = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, so that it may be a file
+    running.keep(running.running_totals(source), f"{base}/out", f"{base}/checkpoint")
+    return running.latest(spark.read.parquet(f"{base}/out"), "user_id")
+
+
+# ---- retrieval on the providers' features; replication and frozen weights ------------------------
+
+#: Of the 30 features that both providers have, those whose construction differs between them.
+SHIFTED = ["carries_p90", "carry_distance_p90"]
+SHARED_30 = list(features.FEATURES_2)
+SHARED_28 = [f for f in SHARED_30 if f not in SHIFTED]
+
+
+def _provider_profiles_sql(flagged: str, flags: dict, known: dict) -> str:
+    return f"""{_HALVES}, {flagged}, st AS (SELECT player_id, period, {_statistics_sql(flags)} FROM fl JOIN periods USING (match_id) GROUP BY ALL),
+mp AS (SELECT player_id, period, sum(minutes_played)::BIGINT AS minutes_played FROM pm JOIN periods USING (match_id) GROUP BY ALL), s AS (SELECT mp.*, st.* EXCLUDE (player_id, period) FROM mp LEFT JOIN st USING (player_id, period)),
+profiles AS ({_feature_sql(known, 's', 'player_id, period')}), enough AS (SELECT * FROM profiles WHERE minutes_played >= 100),
+eligible AS (SELECT e.*, (s_nationkey % 4)::BIGINT AS role, s_nationkey::BIGINT AS team FROM enough e LEFT JOIN supplier ON s_suppkey = player_id WHERE player_id IN (SELECT player_id FROM enough GROUP BY 1 HAVING count(DISTINCT period) = 2))"""
+
+
+_ONE = _provider_profiles_sql(_FLAGGED, _FLAGS, features.FEATURES)
+_TWO = _provider_profiles_sql(_FLAGGED_2, _FLAGS_2, features.FEATURES_2)
+
+
+def _second_profiles(spark, sf_dir):
+    halves = stand_in.periods(spark, sf_dir)
+    flagged = temporal.with_period(features.with_flags_2(provider.events_2(spark, sf_dir)), halves)
+    played = temporal.with_period(provider.match_minutes(spark, sf_dir), halves).groupBy("player_id", "period").agg(F.sum("minutes_played").alias("minutes_played"))
+    return _rounded_features(features.player_features(flagged, played, ["player_id", "period"], features.FEATURES_2), features.FEATURES_2)
+
+
+@query(f"WITH {_TWO} SELECT * FROM profiles")
+def provider_period_profiles_2(spark, sf_dir):
+    """The 30 features of the second provider's players in both halves."""
+    return _second_profiles(spark, sf_dir)
+
+
+def _placed(spark, sf_dir, profiles):
+    """Profiles with enough minutes in both halves, with role and team."""
+    people = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("player_id"), (F.col("s_nationkey") % 4).cast("long").alias("role"), F.col("s_nationkey").cast("long").alias("team"))
+    return written(temporal.eligible_in_both(written(profiles), ["player_id"], 100.0).join(people, "player_id", "left"))
+
+
+@query(f"WITH {_ONE}, {_scaled(features=list(features.FEATURES))}, {_ranks(_COS + ' DESC')} SELECT {_METRICS} FROM ranks")
+def provider_retrieval(spark, sf_dir):
+    """Self-retrieval on the 32 features of the first provider."""
+    held = _placed(spark, sf_dir, QUERIES["provider_period_profiles"](spark, sf_dir))
+    return _metrics(experiments.baseline_ranks(experiments.population(held, list(features.FEATURES), ["player_id"], ["role", "team"]), "B"))
+
+
+def _replication_sql() -> str:
+    parts = []
+    for name, fs in (("28", SHARED_28), ("30", SHARED_30)):
+        for scope, where in (("global", "TRUE"), ("role", "q.role = c.role")):
+            for baseline, order in (("A", _A_ORDER), ("B", _COS + " DESC")):
+                parts.append(f"SELECT * FROM (WITH {_scaled(features=fs)}, {_ranks(order, where)} SELECT '{name}' AS features, '{scope}' AS scope, '{baseline}' AS baseline, {_METRICS} FROM ranks)")
+    return f"WITH {_TWO.replace('eligible AS', 'eligible AS MATERIALIZED')} " + " UNION ALL ".join(parts)
+
+
+@query(_replication_sql())
+def provider_replication(spark, sf_dir):
+    """The experiment repeated on the second provider, with the 28 features that are alike and with
+    all 30: minutes and cosine baselines, globally and within the role."""
+    held, out = _placed(spark, sf_dir, _second_profiles(spark, sf_dir)), None
+    for name, fs in (("28", SHARED_28), ("30", SHARED_30)):
+        p = experiments.population(held, fs, ["player_id"], ["role", "team"])
+        row = experiments.report(p, ("A", "B")).drop("chance").withColumn("features", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return _rounded(out, "mrr", "recall_at_5", "recall_at_10")
+
+
+#: Weights by name, a fixed rule in place of a training run.
+FROZEN = frozen.freeze({f: 0.25 * (1 + i * 7 % 5) for i, f in enumerate(sorted(features.FEATURES))})
+_FROZEN_28 = frozen.aligned(FROZEN, SHARED_28, [f for f in features.FEATURES if f not in SHARED_28])
+
+
+@query(
+    f"WITH {_TWO}, {_scaled(features=SHARED_28).replace('AS v FROM', 'AS v0 FROM')}, z2 AS (SELECT * EXCLUDE v0, list_transform(list_zip(v0, {_FROZEN_28}), lambda x: x[1] * sqrt(x[2]::DOUBLE)) AS v FROM z), "
+    + _ranks(_COS + " DESC", "q.role = c.role").replace("z q", "z2 q").replace("z c", "z2 c") + f" SELECT {_METRICS} FROM ranks"
+)
+def frozen_weights_on_second(spark, sf_dir):
+    """Weights frozen over the first provider's 32 features, applied by name to the 28 of the second."""
+    weights = frozen.aligned(FROZEN, SHARED_28, [f for f in features.FEATURES if f not in SHARED_28])
+    held = _placed(spark, sf_dir, _second_profiles(spark, sf_dir))
+    p = experiments.population(held, SHARED_28, ["player_id"], ["role", "team"], weights=weights)
+    return _metrics(experiments.baseline_ranks(p, "B", "role"))
+
+
+# ---- cohort grid with a drift gate -----------------------------------------------------------------
+
+
+@query(f"""WITH {_ELIGIBLE}, c AS (SELECT DISTINCT player_id, role FROM eligible),
+s AS (SELECT l_suppkey AS player_id, period, count(*) AS n, sum(l_quantity) AS q FROM lineitem JOIN periods ON match_id = l_orderkey GROUP BY ALL)
+SELECT row_number() OVER (ORDER BY player_id) - 1 AS profile_index, player_id, role, p.period, coalesce(n, 0) > 0 AS present, q AS minutes_played, round(n / q * 90, 9) AS lines_p90
+FROM c CROSS JOIN (SELECT unnest(['A', 'B']) AS period) p LEFT JOIN s USING (player_id, period) ORDER BY 1""".replace("row_number() OVER (ORDER BY player_id) - 1 AS profile_index", "dense_rank() OVER (ORDER BY player_id) - 1 AS profile_index"))
+def cohort_grid(spark, sf_dir):
+    """Every member of the cohort in both halves, observed through resampling statistics of weight 1;
+    a value that differs from the stored profile stops the query."""
+    stored = stand_in.profiles(spark, sf_dir)
+    cohort = stand_in.eligible(spark, sf_dir).select("player_id", "role").distinct()
+    numbered, _ = resampling.number_rows(written(cohort), ["player_id"])
+    grid = numbered.withColumnRenamed("_i", "profile_index").withColumn("period", F.explode(F.array(F.lit("A"), F.lit("B"))))
+    per_match = match_sums(spark, sf_dir).join(stand_in.periods(spark, sf_dir), "match_id")
+    observed = written(per_match.groupBy("player_id", "period").agg(F.sum("n").alias("n"), F.sum("q").alias("minutes_played")))
+    observed = observed.withColumn("lines_p90", F.round(per_90(F.col("n"), F.col("minutes_played")), 9))
+    held = drift.gated(observed, stored.select("player_id", "period", "minutes_played", "lines_p90"), ["player_id", "period"], ["minutes_played", "lines_p90"], 1e-9)
+    out = grid.join(held.select("player_id", "period", "n", "minutes_played", "lines_p90"), ["player_id", "period"], "left")
+    return out.select("profile_index", "player_id", "role", "period", (F.coalesce(F.col("n"), F.lit(0)) > 0).alias("present"), "minutes_played", "lines_p90")
+
+
+# ---- clustered layout ------------------------------------------------------------------------------
+
+
+@query("""SELECT l_suppkey, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-03-01' AND l_shipdate < TIMESTAMP '1995-04-01' GROUP BY 1""")
+def clustered_range_scan(spark, sf_dir):
+    """A month's lines from a table that is clustered by ship date, of whose files and row groups
+    all others are passed over."""
+    laid = layout.clustered(table(spark, sf_dir, "lineitem"), "l_shipdate", f"{shared_folder(spark)}/laid-{uuid.uuid4().hex}")
+    month = laid.where((F.col("l_shipdate") >= F.lit("1995-03-01").cast("timestamp_ntz")) & (F.col("l_shipdate") < F.lit("1995-04-01").cast("timestamp_ntz")))
+    return month.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
