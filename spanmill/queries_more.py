@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spanmill.functions import exact
 from spanmill.functions.numeric import per_90, safe_ratio
-from spanmill.operators import drift, features, frozen, joins, metric, resampling, retrieval, sketches, splits, temporal
+from spanmill.operators import documents, drift, features, frozen, joins, metric, resampling, retrieval, sketches, splits, temporal
 from spanmill.plans import decisions, experiments, provider, replicates, stand_in, uncertainty
 from spanmill.plans.stand_in import table
 from spanmill.queries import (
@@ -368,3 +368,49 @@ def clustered_range_scan(spark, sf_dir):
     laid = layout.clustered(table(spark, sf_dir, "lineitem"), "l_shipdate", f"{shared_folder(spark)}/laid-{uuid.uuid4().hex}")
     month = laid.where((F.col("l_shipdate") >= F.lit("1995-03-01").cast("timestamp_ntz")) & (F.col("l_shipdate") < F.lit("1995-04-01").cast("timestamp_ntz")))
     return month.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+
+
+# ---- documents by path -------------------------------------------------------------------------------
+
+
+def _order_documents(spark, sf_dir, version: int):
+    """An order as a nested JSON document: version 2 changes every seventh customer key, adds a field to
+    orders of even keys, and has one line less in every fifth order."""
+    line = table(spark, sf_dir, "lineitem")
+    if version == 2:
+        line = line.where(~((F.col("l_orderkey") % 5 == 0) & (F.col("l_linenumber") == 2)))
+    entry = F.struct("l_linenumber", F.struct(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), F.array("l_returnflag", "l_linestatus").alias("flags")).alias("line"))
+    lines = line.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["line"]).alias("lines"))
+    orders = table(spark, sf_dir, "orders").join(lines, "o_orderkey")
+    key = F.col("o_custkey") + F.when((F.col("o_orderkey") % 7 == 0) & F.lit(version == 2), 1).otherwise(0)
+    more = F.when((F.col("o_orderkey") % 2 == 0) & F.lit(version == 2), F.struct(F.lit("v2").alias("design")))
+    body = F.struct(F.col("o_orderstatus").alias("status"), F.struct(key.alias("key"), more.alias("binding")).alias("customer"), "lines")
+    return orders.select(F.col("o_orderkey").alias("doc"), F.to_json(body).alias("json"))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS doc, l_partkey, l_suppkey, l_returnflag, l_linestatus, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus) - 1 AS i FROM lineitem),
+m AS (SELECT l_orderkey AS doc, l_partkey, l_suppkey, l_returnflag, l_linestatus, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus) - 1 AS i FROM lineitem WHERE NOT (l_orderkey % 5 = 0 AND l_linenumber = 2)),
+d AS (SELECT doc FROM orders JOIN (SELECT DISTINCT doc FROM m) x ON doc = o_orderkey),
+gone AS (SELECT o_orderkey AS doc FROM orders WHERE o_orderkey IN (SELECT doc FROM l) AND o_orderkey NOT IN (SELECT doc FROM m)),
+v1 AS (SELECT doc, 'lines[' || i || '].part' AS path, 'lines[*].part' AS pattern, l_partkey::VARCHAR AS value FROM l UNION ALL SELECT doc, 'lines[' || i || '].supplier', 'lines[*].supplier', l_suppkey::VARCHAR FROM l
+  UNION ALL SELECT doc, 'lines[' || i || '].flags[0]', 'lines[*].flags[*]', l_returnflag FROM l UNION ALL SELECT doc, 'lines[' || i || '].flags[1]', 'lines[*].flags[*]', l_linestatus FROM l
+  UNION ALL SELECT doc, 'customer.key', 'customer.key', o_custkey::VARCHAR FROM orders JOIN (SELECT doc FROM d UNION ALL SELECT doc FROM gone) ON doc = o_orderkey
+  UNION ALL SELECT doc, 'status', 'status', o_orderstatus FROM orders JOIN (SELECT doc FROM d UNION ALL SELECT doc FROM gone) ON doc = o_orderkey),
+v2 AS (SELECT doc, 'lines[' || i || '].part' AS path, 'lines[*].part' AS pattern, l_partkey::VARCHAR AS value FROM m UNION ALL SELECT doc, 'lines[' || i || '].supplier', 'lines[*].supplier', l_suppkey::VARCHAR FROM m
+  UNION ALL SELECT doc, 'lines[' || i || '].flags[0]', 'lines[*].flags[*]', l_returnflag FROM m UNION ALL SELECT doc, 'lines[' || i || '].flags[1]', 'lines[*].flags[*]', l_linestatus FROM m
+  UNION ALL SELECT doc, 'customer.key', 'customer.key', (o_custkey + CASE WHEN doc % 7 = 0 THEN 1 ELSE 0 END)::VARCHAR FROM orders JOIN d ON doc = o_orderkey
+  UNION ALL SELECT doc, 'customer.binding.design', 'customer.binding.design', 'v2' FROM d WHERE doc % 2 = 0 UNION ALL SELECT doc, 'status', 'status', o_orderstatus FROM orders JOIN d ON doc = o_orderkey),
+c AS (SELECT coalesce(v1.doc, v2.doc) AS doc, coalesce(v1.pattern, v2.pattern) AS pattern, CASE WHEN v1.doc IS NULL THEN 'added' WHEN v2.doc IS NULL THEN 'removed' ELSE 'changed' END AS status
+  FROM v1 FULL JOIN v2 ON v1.doc = v2.doc AND v1.path = v2.path WHERE v1.value IS DISTINCT FROM v2.value)
+SELECT pattern, status, count(*) AS n_changes, count(DISTINCT doc) AS n_documents FROM c GROUP BY ALL""")
+def document_changes(spark, sf_dir):
+    """What changed between two versions of nested documents, counted by path."""
+    one, two = (documents.walk(_order_documents(spark, sf_dir, v), ["doc"], "json") for v in (1, 2))
+    return documents.change_counts(documents.differences(one, two, ["doc"]))
+
+
+@query("""SELECT o_orderkey AS doc, (o_orderkey % 2 = 0)::BIGINT AS n_bindings, 0::BIGINT AS n_wrong FROM orders
+WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE NOT (l_orderkey % 5 = 0 AND l_linenumber = 2))""")
+def bindings_at_any_depth(spark, sf_dir):
+    """The design binding of nested documents, found by the walk."""
+    return documents.binding_faults(documents.walk(_order_documents(spark, sf_dir, 2), ["doc"], "json"), ["doc"], "design", "v2")
