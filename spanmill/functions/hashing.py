@@ -56,3 +56,19 @@ def ordered_digest(lines: DataFrame, order: str, line: str, task_rows: int = 250
     for row in dealt.mapInPandas(joined, "t string").toLocalIterator():
         digest.update(row.t.encode())
     return digest.hexdigest()
+
+
+def ranged_digest(lines: DataFrame, order: str, line: str, width: int = 1000, levels: int = 3) -> DataFrame:
+    """One row (digest): a digest of the text column ``line`` in the order of the whole number
+    ``order``, which is unique.  Each ``width`` numbers are a range, whose digest is the SHA-256
+    of its lines one after another; ranges are digested in the same way, ``levels`` times, and
+    what is left, in order, gives the whole.  All of it runs in tasks."""
+    held = lines.select(F.col(order).cast("long").alias("_o"), F.col(line).alias("_l"))
+
+    def joined(rows: DataFrame, *by: Column) -> DataFrame:
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_l"))), lambda x: x["_l"]), "")
+        return rows.groupBy(*by).agg(F.sha2(text, 256).alias("_l"))
+
+    for _ in range(levels):
+        held = joined(held, F.floor(F.col("_o") / width).alias("_n")).select(F.col("_n").alias("_o"), "_l")
+    return joined(held).select(F.col("_l").alias("digest"))

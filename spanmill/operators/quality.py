@@ -105,8 +105,9 @@ def same_set(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
 
 
 def coordinate_bounds(events: DataFrame, positions: str = "positions", low: float = 0, high: float = 100) -> DataFrame:
-    """Per axis: points outside the bounds, with their percentage."""
-    points = events.select(F.explode(positions).alias("p")).select(F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), F.col(f"p.{a}").cast("double").alias("v")) for a in "xy"))).alias("a")).select("a.*")
+    """Per axis: points outside the bounds, with their percentage.  An event without points gives one
+    whose coordinates are unknown, and those aren't checked."""
+    points = events.select(F.explode_outer(positions).alias("p")).select(F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), F.col(f"p.{a}").cast("double").alias("v")) for a in "xy"))).alias("a")).select("a.*")
     known = points.where(F.col("v").isNotNull())
     return known.groupBy("axis").agg(F.count("*").alias("n_checked"), F.count_if(~F.col("v").between(low, high)).alias("n_bad"), (F.avg((~F.col("v").between(low, high)).cast("double")) * 100).alias("percent_bad"))
 

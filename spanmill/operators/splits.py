@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanmill.functions.hashing import ordered_digest, ordering_key
+from spanmill.functions.hashing import ordered_digest, ordering_key, ranged_digest
 
 
 def assign_splits(players: DataFrame, entity: str = "player_id", role: str = "role", seed: int = 20260716, train: float = 0.6, validation: float = 0.2) -> DataFrame:
@@ -30,3 +30,9 @@ def assignment_digest(assignment: DataFrame, entity: str = "player_id", task_row
     line = F.concat(F.col(entity).cast("string"), F.lit(":"), F.col("split"), F.lit("\n"))
     digest = ordered_digest(assignment.select(entity, line.alias("_line")), entity, "_line", task_rows)
     return assignment.sparkSession.createDataFrame([(digest,)], "digest string")
+
+
+def assignment_tree_digest(assignment: DataFrame, entity: str = "player_id") -> DataFrame:
+    """One row: a digest of the same lines that is made in tasks, by ranges of whole-number entities."""
+    line = F.concat(F.col(entity).cast("string"), F.lit(":"), F.col("split"), F.lit("\n"))
+    return ranged_digest(assignment.select(entity, line.alias("_line")), entity, "_line")

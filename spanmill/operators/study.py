@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+
+from spanmill.functions.numeric import erfc
 
 
 def krippendorff_alpha(ratings: DataFrame, unit: str, value: str) -> DataFrame:
@@ -37,12 +37,7 @@ def wilcoxon(differences: DataFrame, value: str) -> DataFrame:
     mean, var = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
     gap = w - mean
     z = F.when(var > 0, (gap - F.when(gap == 0, 0.0).otherwise(F.signum(gap) * 0.5)) / F.sqrt(var)).otherwise(0.0)
-    return sums.select(w.alias("w"), z.alias("z"), "n").withColumn("p_value", _two_sided(F.col("z")))
-
-
-@F.pandas_udf(DoubleType())
-def _two_sided(z: pd.Series) -> pd.Series:
-    return z.map(lambda v: min(1.0, 2 * (1 - 0.5 * (1 + math.erf(abs(v) / math.sqrt(2))))), na_action="ignore")
+    return sums.select(w.alias("w"), z.alias("z"), "n").withColumn("p_value", F.least(F.lit(1.0), erfc(F.abs("z") / math.sqrt(2))))
 
 
 def arm_means(ratings: DataFrame) -> DataFrame:

@@ -536,6 +536,14 @@ def split_digest(spark, sf_dir):
     return splits.assignment_digest(_assignment(spark, sf_dir))
 
 
+@query(f"""WITH {_SPLIT}, a AS (SELECT player_id // 1000 AS o, sha256(string_agg(player_id || ':' || split || chr(10), '' ORDER BY player_id)) AS l FROM split GROUP BY 1),
+b AS (SELECT o // 1000 AS p, sha256(string_agg(l, '' ORDER BY o)) AS l FROM a GROUP BY 1), c AS (SELECT p // 1000 AS o, sha256(string_agg(l, '' ORDER BY p)) AS l FROM b GROUP BY 1)
+SELECT sha256(string_agg(l, '' ORDER BY o)) AS digest FROM c""")
+def split_tree_digest(spark, sf_dir):
+    """The assignment's digest from digests of ranges, made in tasks."""
+    return splits.assignment_tree_digest(_assignment(spark, sf_dir))
+
+
 @query(
     """WITH s AS (SELECT c_acctbal AS score, c_mktsegment = 'BUILDING' AS correct FROM customer), e AS (SELECT quantile_cont(score, [0, 0.2, 0.4, 0.6, 0.8, 1]) AS e FROM s)
 SELECT least(greatest(len(list_filter(e, lambda x: x < score)), 1), 5)::INT AS bin, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(correct::INT::DOUBLE), 9) AS accuracy FROM s, e GROUP BY 1"""
@@ -582,11 +590,13 @@ def rater_agreement(spark, sf_dir):
 
 
 @query("""WITH d AS (SELECT (l_linenumber - 3)::DOUBLE AS d FROM lineitem WHERE l_linenumber <> 3), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS r FROM d),
-t AS (SELECT sum(c::DOUBLE * c * c - c) AS t FROM (SELECT count(*) AS c FROM d GROUP BY abs(d))), w AS (SELECT sum(r) FILTER (d > 0) AS w, count(*) AS n FROM r)
-SELECT w, round((w - n * (n + 1) / 4 - sign(w - n * (n + 1) / 4) * 0.5) / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24 - t / 48), 6) AS z, n FROM w, t""")
+t AS (SELECT sum(c::DOUBLE * c * c - c) AS t FROM (SELECT count(*) AS c FROM d GROUP BY abs(d))), w AS (SELECT sum(r) FILTER (d > 0) AS w, count(*) AS n FROM r),
+y AS (SELECT w, n, (w - n * (n + 1) / 4 - sign(w - n * (n + 1) / 4) * 0.5) / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24 - t / 48) AS z FROM w, t), x AS (SELECT *, abs(z) / sqrt(2) AS x FROM y)
+SELECT w, round(z, 6) AS z, n, round(least(1.0, CASE WHEN x < 2.5 THEN 1 - 2 * exp(-x * x) / sqrt(pi()) * list_sum(list_transform(range(0, 61), lambda k: x * (2 * x * x) ** k / list_product(list_transform(range(0, k + 1), lambda j: 2.0 * j + 1))))
+  ELSE exp(-x * x) / sqrt(pi()) / list_reduce(range(60, 0, -1), lambda acc, k: x + k / 2 / acc, x) END), 9) AS p_value FROM x""")
 def signed_rank_test(spark, sf_dir):
     d = table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") - 3).cast("double").alias("d"))
-    return _rounded(study.wilcoxon(d, "d"), "z", digits=6).drop("p_value")
+    return _rounded(_rounded(study.wilcoxon(d, "d"), "z", digits=6), "p_value")
 
 
 @query("""WITH r AS (SELECT o_custkey AS q, o_orderpriority AS arm, o_orderkey % 3 AS rater, avg(o_totalprice) AS m FROM orders GROUP BY ALL)
@@ -606,12 +616,14 @@ def disjoint_arms(spark, sf_dir):
 
 # ---- evidence, documents, search --------------------------------------------------------------------------
 
-_PAIR = "SELECT q.player_id, c.player_id AS other, q.v AS qv, c.v AS cv FROM z q JOIN z c ON q.period = 'A' AND c.period = 'B' AND q.role = c.role"
+_PAIR = f"""SELECT player_id, other, qv, cv FROM (SELECT q.player_id, c.player_id AS other, q.v AS qv, c.v AS cv, row_number() OVER (PARTITION BY q.player_id ORDER BY {_COS} DESC, c.player_id) AS rank
+  FROM z q JOIN z c ON q.period = 'A' AND c.period = 'B' AND q.role = c.role) WHERE rank <= 10"""
 
 
 def _evidence(spark, sf_dir):
     p = _population(spark, sf_dir)
-    pairs = p.queries.select("role", "player_id", F.col("v").alias("qv")).join(p.candidates.select("role", F.col("player_id").alias("other"), F.col("v").alias("cv")), "role").drop("role")
+    near = retrieval.top_neighbors(p.queries, p.candidates, ["player_id"], 10, scope="role", digits=6).select("player_id", F.col("neighbor_player_id").alias("other"))
+    pairs = near.join(p.queries.select("player_id", F.col("v").alias("qv")), "player_id").join(p.candidates.select(F.col("player_id").alias("other"), F.col("v").alias("cv")), "other").select("player_id", "other", "qv", "cv")
     return evidence.contributions(pairs, FEATURES, _FAMILIES, digits=6)
 
 
@@ -638,7 +650,7 @@ def profile_documents(spark, sf_dir):
 @query("SELECT p_partkey, p_name, p_brand FROM part WHERE contains(lower(p_name), 'r') AND contains(lower(p_name), 'in') AND p_brand = (SELECT min(p_brand) FROM part)")
 def search_index(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
-    brand = parts.agg(F.min("p_brand")).first()[0]
+    brand = parts.agg(F.min("p_brand")).scalar()
     return facets.search(parts, F.lower("p_name"), "R in", {"p_brand": brand}).select("p_partkey", "p_name", "p_brand")
 
 

@@ -9,16 +9,16 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from spanmill.functions import exact
+from spanmill.functions import exact, numeric, text
 from spanmill.functions.numeric import per_90, safe_ratio
 from spanmill.operators import documents, drift, features, frozen, joins, metric, resampling, retrieval, sketches, splits, temporal
-from spanmill.plans import decisions, experiments, provider, replicates, stand_in, uncertainty
+from spanmill.plans import decisions, experiments, provider, replicates, showcase, stand_in, uncertainty
 from spanmill.plans.stand_in import table
 from spanmill.queries import (
     _A_ORDER, _COS, _ELIGIBLE, _FLAGGED, _FLAGGED_2, _FLAGS, _FLAGS_2, _HALVES, _METRICS, _PERIODS, MINIMUM_VALID, QUERIES, RESAMPLES, _feature_sql, _metrics, _population, _ranks,
     _rounded, _rounded_features, _scaled, _statistics_sql, exact_sum_sql, query, whole_sum_sql,
 )
-from spanmill.sources import layout
+from spanmill.sources import layout, readers
 from spanmill.sources.scratch import shared_folder, written
 from spanmill.streaming import running
 
@@ -102,15 +102,19 @@ SELECT sc.player_id, other AS neighbor, count(*) AS n_valid, CASE WHEN count(*)
 FROM sc JOIN chosen ON chosen.player_id = sc.player_id AND neighbor = other GROUP BY ALL"""
 
 
-def _neighbor_ranks(spark, sf_dir, n):
+def _scaled_arrays(spark, sf_dir, n):
     people = stand_in.eligible(spark, sf_dir).select("player_id", "role").distinct()
     sums = match_sums(spark, sf_dir).join(people.select("player_id"), "player_id", "left_semi")
     arrays = written(replicate_features(replicate_arrays(spark, sf_dir, sums, n, _ADDITIVE)))
     scaled = written(replicates.standardize(arrays, _REPLICATE_FEATURES).join(people, "player_id"))
+    return scaled.where("period = 'A'"), scaled.where("period = 'B'")
+
+
+def _neighbor_ranks(spark, sf_dir, n):
+    a, b = _scaled_arrays(spark, sf_dir, n)
     population = _population(spark, sf_dir)
     near = uncertainty.observed_neighbors(population.queries, population.candidates, ["player_id"], "player_id", "role", k=5)
-    side = lambda p: scaled.where(F.col("period") == p)
-    return replicates.neighbor_ranks(side("A"), side("B"), near.select("player_id", F.col("neighbor_player_id").alias("neighbor")), "player_id", "player_id", "role", _REPLICATE_FEATURES, n)
+    return replicates.neighbor_ranks(a, b, near.select("player_id", F.col("neighbor_player_id").alias("neighbor")), "player_id", "player_id", "role", _REPLICATE_FEATURES, n)
 
 
 @query(_selection_sql(RESAMPLES, MINIMUM_VALID))
@@ -121,6 +125,25 @@ def neighbor_selection(spark, sf_dir):
     return _rounded(out, "top_5_selection_rate", digits=6)
 
 
+def _self_ranks_sql() -> str:
+    head = _selection_sql(RESAMPLES, MINIMUM_VALID)
+    head = head[: head.index("SELECT sc.player_id, other AS neighbor")].replace(" AND q.player_id <> c.player_id)\n", ")\n")
+    enough = f"CASE WHEN count(*) >= {MINIMUM_VALID} THEN {{}} END"
+    rates = ", ".join(enough.format(f"round(avg((rank <= {k})::INT), 6)") + f" AS rate_at_{k}" for k in (1, 5, 10))
+    return head + f"""SELECT player_id, count(*) AS n_valid, {enough.format("median(rank)")} AS median_rank, {enough.format("quantile_cont(rank, 0.025)")} AS rank_low, {enough.format("quantile_cont(rank, 0.975)")} AS rank_high,
+  {rates}, {enough.format("'available'").replace(" END", " ELSE 'insufficient' END")} AS status FROM sc WHERE player_id = other GROUP BY player_id"""
+
+
+@query(_self_ranks_sql())
+def replicate_self_ranks(spark, sf_dir):
+    """Each profile's own rank within its role over 500 replicates: interval, median and rates."""
+    a, b = _scaled_arrays(spark, sf_dir, RESAMPLES)
+    own = a.select("player_id", F.col("player_id").alias("neighbor"))
+    ranks = replicates.neighbor_ranks(a, b, own, "player_id", None, "role", _REPLICATE_FEATURES, RESAMPLES)
+    out = resampling.summarize_ranks(ranks.select("player_id", F.explode("ranks").alias("rank")), ["player_id"], MINIMUM_VALID)
+    return _rounded(out, "rate_at_1", "rate_at_5", "rate_at_10", digits=6)
+
+
 # ---- regularisation arms trained together -----------------------------------------------------
 
 #: Strengths of the pull to equal weights, the reference's grid.
@@ -414,3 +437,56 @@ WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE NOT (l_orderkey % 5 =
 def bindings_at_any_depth(spark, sf_dir):
     """The design binding of nested documents, found by the walk."""
     return documents.binding_faults(documents.walk(_order_documents(spark, sf_dir, 2), ["doc"], "json"), ["doc"], "design", "v2")
+
+
+# ---- decisions, readers and text --------------------------------------------------------------------
+
+
+@query(f"WITH {_ELIGIBLE}, {_scaled()}, {_ranks(_COS + ' DESC')} SELECT player_id, rank, pool_size FROM ranks ORDER BY rank DESC, player_id LIMIT 10")
+def failure_cases(spark, sf_dir):
+    """The ten queries whose own row is ranked last."""
+    return decisions.failure_cases(experiments.baseline_ranks(_population(spark, sf_dir), "B"), ["player_id"])
+
+
+@query(f"""WITH {_ELIGIBLE}, {_scaled()}, {_ranks(_A_ORDER, name='a')}, {_ranks(_COS + ' DESC', name='b')}
+SELECT role, count(*) AS n_queries, round(avg(1.0 / a.rank), 9) AS reference_mrr, round(avg(1.0 / b.rank), 9) AS learned_mrr, round(avg(1.0 / b.rank) - avg(1.0 / a.rank), 9) AS delta, count(*) >= 50 AS gates
+FROM a JOIN b USING (player_id) JOIN (SELECT DISTINCT player_id, role FROM eligible) e USING (player_id) GROUP BY role""")
+def role_gates(spark, sf_dir):
+    """Two rankings by role, and whether the role has queries enough to gate."""
+    p = _population(spark, sf_dir)
+    out = decisions.by_role(experiments.baseline_ranks(p, "A"), experiments.baseline_ranks(p, "B"), ["player_id"], p.queries.select("player_id", "role"))
+    return _rounded(out, "reference_mrr", "learned_mrr", "delta")
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def suppliers_from_csv(spark, sf_dir):
+    """A CSV table with header, its types inferred, written from the suppliers."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "supplier").write.option("header", True).csv(path)
+    return readers.csv_table(spark, path).select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name", F.col("s_nationkey").cast("int").alias("s_nationkey"), "s_acctbal")
+
+
+@query("""SELECT c_custkey AS "wyId", c_name AS "shortName", CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS "firstName", 'Role ' || c_nationkey AS role_name, c_custkey::BIGINT * 10 AS n FROM customer""")
+def players_from_json(spark, sf_dir):
+    """Files that hold a JSON array each, read as records: the text null is no value."""
+    path = f"{shared_folder(spark)}/json-{uuid.uuid4().hex}"
+    c = F.col
+    first = F.when(c("c_custkey") % 3 > 0, c("c_mktsegment")).otherwise("null")
+    record = F.to_json(F.struct(c("c_custkey").alias("wyId"), c("c_name").alias("shortName"), first.alias("firstName"), F.struct(F.concat(F.lit("Role "), c("c_nationkey").cast("string")).alias("name")).alias("role")))
+    arrays = table(spark, sf_dir, "customer").groupBy(F.floor(c("c_custkey") / 1000).alias("part")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(record), ","), F.lit("]")).alias("value"))
+    arrays.write.partitionBy("part").text(path)  # an array of 1,000 records in each file
+    return readers.records(spark, f"{path}/*", readers.PLAYER).select("wyId", "shortName", "firstName", c("role.name").alias("role_name"), (c("wyId") * 10).alias("n"))
+
+
+@query("""SELECT lower(strip_accents(trim(replace(replace(p_name, 'e', 'É'), 'o', 'ö') || ' '))) AS searched, p_partkey, printf('wy-%d-c-%d', p_partkey, p_size) AS profile_key, printf('%.11e', p_retailprice / 7)::DOUBLE AS price FROM part""")
+def search_texts(spark, sf_dir):
+    """Texts folded for search, profile keys, and prices to twelve significant digits."""
+    name = F.concat(F.replace(F.replace("p_name", F.lit("e"), F.lit("É")), F.lit("o"), F.lit("ö")), F.lit(" "))
+    return table(spark, sf_dir, "part").select(text.search_text(name).alias("searched"), "p_partkey", text.profile_key(F.col("p_partkey"), F.col("p_size").cast("long")).alias("profile_key"), numeric.significant(F.col("p_retailprice") / 7).alias("price"))
+
+
+@query(f"""WITH {_PERIODS} SELECT "competitionId", period, min(date)::DATE::VARCHAR AS first_date, max(date)::DATE::VARCHAR AS last_date, count(*) AS n_matches FROM m JOIN periods USING (match_id, "competitionId") GROUP BY ALL""")
+def period_dates(spark, sf_dir):
+    """First and last day of both halves of each competition."""
+    matches = stand_in.matches(spark, sf_dir).select("match_id", "date")
+    return showcase.period_dates(matches, stand_in.periods(spark, sf_dir).select("match_id", "competitionId", "period"))

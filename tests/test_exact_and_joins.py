@@ -198,6 +198,15 @@ def test_neighbor_ranks_like_plain_ranks_with_absent_profiles(spark):
             assert ranks[i, t][r] == (1 + sum(s > score[t] or (s == score[t] and j < t) for j, s in score.items()) if valid else None)
 
 
+    own = replicates.neighbor_ranks(df.where("p = 0"), df.where("p = 1"), spark.createDataFrame([(i, i) for i in range(n)], "id long, neighbor long"), "id", None, "role", ["f", "g"], reps)
+    for r in own.collect():
+        for k in range(reps):
+            pool = [j for j in range(n) if j % 2 == r.id % 2]
+            score = {j: round(float(value[0, r.id, :, k] @ value[1, j, :, k] / np.linalg.norm(value[0, r.id, :, k]) / np.linalg.norm(value[1, j, :, k])), 6) if there[1, j, k] else -math.inf for j in pool}
+            valid = there[0, r.id, k] and any(there[1, j, k] for j in pool)
+            assert r.ranks[k] == (1 + sum(s > score[r.id] or (s == score[r.id] and j < r.id) for j, s in score.items()) if valid else None)
+
+
 def test_numbers_within_strata_and_of_strings(spark):
     rows = [(f"é{i % 97:03d}x", i % 3 if i % 11 else None) for i in range(200)]
     df = spark.createDataFrame(sorted(set(rows), key=str), "u string, s int")

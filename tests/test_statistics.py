@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -206,6 +207,25 @@ def test_assignment_digest_over_ranges(spark):
     assert splits.assignment_digest(made.limit(0)).first().digest == hashlib.sha256(b"").hexdigest()
 
 
+def test_tree_digest_is_that_of_its_ranges(spark):
+    rows = [(i * 7919 % 2503, random.Random(i).choice(["train", "test"])) for i in range(2503)]
+    made = spark.createDataFrame(rows, "player_id long, split string").repartition(5)
+    level = [(i, f"{i}:{s}\n") for i, s in sorted(rows)]
+    for _ in range(3):
+        groups = {}
+        for i, text in level:
+            groups.setdefault(i // 1000, []).append(text)
+        level = [(i, hashlib.sha256("".join(t).encode()).hexdigest()) for i, t in groups.items()]
+    assert splits.assignment_tree_digest(made).first().digest == hashlib.sha256("".join(t for _, t in level).encode()).hexdigest()
+    assert splits.assignment_tree_digest(made.limit(0)).first().digest == hashlib.sha256(b"").hexdigest()
+
+
+def test_normal_tails(spark):
+    xs = [0.0, 1e-9, 0.1, 0.7, 1.5, 2.4999, 2.5, 3.0, 5.0, 10.0, 26.0, 40.0]
+    got = [r.e for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").select("i", numeric.erfc(F.col("x")).alias("e")).orderBy("i").collect()]
+    assert got == pytest.approx([math.erfc(x) for x in xs], rel=1e-11, abs=1e-14)
+
+
 def test_intervals_take_all_resamples(spark):
     rows = queries.replicate_intervals(spark, "/root/testdata/sf0.001").collect()
     assert rows and max(r.n_valid for r in rows) == 500
