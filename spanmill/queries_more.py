@@ -25,9 +25,9 @@ from spanmill.streaming import running
 # ---- exactly rounded sums ------------------------------------------------------------
 
 _MEASURES = {
-    "price": (F.col("l_extendedprice"), "l_extendedprice"),
-    "revenue": (F.col("l_extendedprice") * (1 - F.col("l_discount")), "l_extendedprice * (1 - l_discount)"),
-    "signed": (F.when(F.col("l_linenumber") % 2 == 0, F.col("l_extendedprice")).otherwise(-F.col("l_extendedprice")) * F.col("l_tax"), "(CASE WHEN l_linenumber % 2 = 0 THEN l_extendedprice ELSE -l_extendedprice END) * l_tax"),
+    "price": (lambda: F.col("l_extendedprice"), "l_extendedprice"),
+    "revenue": (lambda: F.col("l_extendedprice") * (1 - F.col("l_discount")), "l_extendedprice * (1 - l_discount)"),
+    "signed": (lambda: F.when(F.col("l_linenumber") % 2 == 0, F.col("l_extendedprice")).otherwise(-F.col("l_extendedprice")) * F.col("l_tax"), "(CASE WHEN l_linenumber % 2 = 0 THEN l_extendedprice ELSE -l_extendedprice END) * l_tax"),
 }
 _EXACT_SQL = "WITH s AS (SELECT l_returnflag, l_linestatus, " + ", ".join(f"{whole_sum_sql(x)} AS {n}" for n, (_, x) in _MEASURES.items()) + " FROM lineitem GROUP BY ALL) SELECT l_returnflag, l_linestatus, " + ", ".join(f"{exact_sum_sql(n)} AS {n}" for n in _MEASURES) + " FROM s"
 
@@ -35,14 +35,14 @@ _EXACT_SQL = "WITH s AS (SELECT l_returnflag, l_linestatus, " + ", ".join(f"{who
 @query(_EXACT_SQL)
 def exact_sums(spark, sf_dir):
     """Sums of doubles rounded once, equal on any partitioning."""
-    return exact.exact_sums(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], {n: c for n, (c, _) in _MEASURES.items()})
+    return exact.exact_sums(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], {n: c() for n, (c, _) in _MEASURES.items()})
 
 
 @query(f"WITH s AS (SELECT l_suppkey, {whole_sum_sql(_MEASURES['revenue'][1])} AS t FROM lineitem GROUP BY ALL) SELECT l_suppkey, {exact_sum_sql('t')} AS revenue FROM s")
 def merged_exact_sums(spark, sf_dir):
     """Partial sums of each ship month, made apart, merged to sums by supplier."""
     line = table(spark, sf_dir, "lineitem").withColumn("month", F.date_trunc("month", "l_shipdate"))
-    monthly = exact.partial_sums(line, ["l_suppkey", "month"], _MEASURES["revenue"][0])
+    monthly = exact.partial_sums(line, ["l_suppkey", "month"], _MEASURES["revenue"][0]())
     return exact.merge_sums(monthly, ["l_suppkey"], "revenue")
 
 
