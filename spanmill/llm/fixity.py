@@ -12,8 +12,12 @@ later ones of its file; so each altered, missing or surplus record is named, and
 no other.
 
 Every node has at most ``FAN`` children and is made by an aggregation over
-(file, node number), so no file is ever gathered in one task; levels are
-written to the shared folder and deleted when the audit is done.
+(file, node number); levels are written to the shared folder and deleted when the
+audit is done.  A record's place is the sum of three: the records before its id and
+the beginning of its digest in the file (a row for each of those is ordered, 256 an id
+at most), those before its digest there, and its own number among equal ones.  So an id
+that is a large part of all records is never ordered in one task, and equal records
+are counted before they are shuffled.
 
 Null payloads count as empty.  Repeated rows are records of their own, next to
 each other; files in only one replica are reported with all their records.
@@ -31,6 +35,8 @@ from spanmill.llm.common import discard, materialize
 
 FAN = 16
 RECORDS_PER_FILE = 512
+#: Hexadecimal digits of a digest that part the records of an id.
+PREFIX = 2
 #: Files (with negative numbers) for records without an id.
 NULL_FILES = 1024
 
@@ -55,9 +61,17 @@ def leaves(pages: DataFrame, per_file: int = RECORDS_PER_FILE) -> DataFrame:
         F.octet_length(record).cast("long").alias("size"),
         F.sha2(record, 256).alias("digest"),
     )
-    order = Window.partitionBy("warc").orderBy(F.col("page_id").asc_nulls_first(), "digest")
-    stop = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return hashed.select("warc", (F.row_number().over(order) - 1).cast("long").alias("place"), "page_id", (stop - F.col("size")).alias("start"), stop.alias("stop"), "digest")
+    equal = materialize(hashed.groupBy("warc", "page_id", "digest", "size").agg(F.count("*").alias("copies")).withColumn("part", F.left("digest", F.lit(PREFIX))))
+    bytes_of = F.col("copies") * F.col("size")
+    parts = equal.groupBy("warc", F.col("page_id").alias("_page"), F.col("part").alias("_part")).agg(F.sum("copies").alias("_n"), F.sum(bytes_of).alias("_b"))
+    before = Window.partitionBy("warc").orderBy(F.col("_page").asc_nulls_first(), "_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(F.col("warc").alias("_warc"), "_page", "_part", *(F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"{x}0") for x in ("_n", "_b")))
+    within = Window.partitionBy("warc", "page_id", "part").orderBy("digest", "size").rowsBetween(Window.unboundedPreceding, -1)
+    own = equal.withColumn("_n1", F.coalesce(F.sum("copies").over(within), F.lit(0))).withColumn("_b1", F.coalesce(F.sum(bytes_of).over(within), F.lit(0)))
+    met = own.join(starts, (F.col("warc") == F.col("_warc")) & F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("part") == F.col("_part")))
+    each = met.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    start = F.col("_b0") + F.col("_b1") + F.col("_i") * F.col("size")
+    return each.select("warc", (F.col("_n0") + F.col("_n1") + F.col("_i")).cast("long").alias("place"), "page_id", start.cast("long").alias("start"), (start + F.col("size")).cast("long").alias("stop"), "digest")
 
 
 LEVEL = ["warc", "place", "start", "stop", "digest"]

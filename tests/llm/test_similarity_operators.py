@@ -323,3 +323,21 @@ def test_pipeline_stages(spark):
     assert hidden.columns == docs.columns and hidden.where("n_chars <> length(text)").count() == 0
     packed = cp.pack(spark, hidden, sf)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in hidden.select("doc_id").collect()}
+
+
+def test_places_of_an_id_with_many_records(spark):
+    import hashlib
+
+    rows = [(7, "u", f"text {i % 40}" * (i % 3)) for i in range(700)] + [(i, "u", None) for i in range(5, 10)] + [(None, "u", f"{i % 3}") for i in range(20)]
+    got = sorted(((r.warc, r.place, r.page_id, r.start, r.stop, r.digest) for r in fixity.leaves(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()), key=lambda r: r[:2])
+    files = {}
+    for page, url, html in rows:
+        body = (html or "").encode()
+        record = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{'' if page is None else page}>\r\nWARC-Target-URI: {url}\r\nContent-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+        files.setdefault(page is None, []).append((-1 if page is None else page, hashlib.sha256(record).hexdigest(), len(record)))
+    for none, records in files.items():
+        own = [r for r in got if (r[2] is None) == none]
+        at = 0
+        for k, ((page, digest, size), r) in enumerate(zip(sorted(records), own, strict=True)):
+            assert r[1:] == (k, None if none else page, at, at + size, digest)
+            at += size
