@@ -490,3 +490,49 @@ def period_dates(spark, sf_dir):
     """First and last day of both halves of each competition."""
     matches = stand_in.matches(spark, sf_dir).select("match_id", "date")
     return showcase.period_dates(matches, stand_in.periods(spark, sf_dir).select("match_id", "competitionId", "period"))
+
+
+@query("""WITH p AS (SELECT l_suppkey AS player_id, CASE l_partkey % 6 WHEN 0 THEN 'Goalkeeper' WHEN 1 THEN 'Left Back' WHEN 2 THEN 'Center Back' WHEN 3 THEN 'Center Midfield' WHEN 4 THEN 'Striker' END AS position FROM lineitem WHERE l_orderkey % 9 = 0),
+c AS (SELECT player_id, position, count(*) AS n FROM p WHERE position IS NOT NULL GROUP BY ALL), m AS (SELECT player_id, arg_min(position, (-n, position)) AS position FROM c GROUP BY 1)
+SELECT player_id, CASE WHEN contains(position, 'Goalkeeper') THEN 'Goalkeeper' WHEN contains(position, 'Back') THEN 'Defender' WHEN contains(position, 'Midfield') THEN 'Midfielder' ELSE 'Forward' END AS role FROM m""")
+def roles_by_position(spark, sf_dir):
+    """A role from the most frequent position, ties to the first name."""
+    names = F.array(*(F.lit(x) for x in ("Goalkeeper", "Left Back", "Center Back", "Center Midfield", "Striker", None)))
+    flat = table(spark, sf_dir, "lineitem").where("l_orderkey % 9 = 0").select(F.col("l_suppkey").alias("player_id"), F.get(names, (F.col("l_partkey") % 6).cast("int")).alias("position_name"))
+    return readers.roles_from_positions(flat)
+
+
+@query("SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
+def lines_with_customer(spark, sf_dir):
+    """A lookup that must find every row: a line without order would stop the query."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    return temporal.attach_total(lines, orders, ["l_orderkey"], "a line has no order").select("l_orderkey", "l_linenumber", "o_custkey")
+
+
+@query("""SELECT c_custkey AS key, c_name AS name, c_acctbal AS balance, NULL::INT AS size, c_acctbal + 0 AS known FROM customer
+UNION ALL SELECT p_partkey, p_name, NULL, p_size, p_size::DOUBLE FROM part UNION ALL SELECT s_suppkey, NULL, s_acctbal, NULL, s_acctbal FROM supplier""")
+def relaxed_union(spark, sf_dir):
+    """Tables of different columns in one, missing ones null; and a sum across columns that leaves nulls out."""
+    one = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    two = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), F.col("p_size").alias("size"))
+    three = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("balance"))
+    out = readers.union_relaxed(one, two, three)
+    return out.withColumn("known", numeric.add_known([F.col("balance"), F.col("size")]).cast("double"))
+
+
+@query("""SELECT event_id AS "eventId", user_id AS "playerId", event_type AS "eventName", CASE WHEN event_id % 4 > 0 THEN event_id END AS "subEventId", CASE WHEN event_id % 5 > 0 THEN 'Sub ' || user_id END AS "subEventName",
+  round(value, 2) AS "eventSec", CASE WHEN event_id % 3 > 0 THEN 1801 ELSE 1802 END AS first_tag, event_id % 100 AS first_x FROM events""")
+def events_from_json(spark, sf_dir):
+    """Files that hold an array of events each: an empty sub-event id and the text null are no values."""
+    path = f"{shared_folder(spark)}/json-{uuid.uuid4().hex}"
+    c = F.col
+    sub = F.when(c("event_id") % 4 > 0, c("event_id").cast("string")).otherwise("")
+    name = F.when(c("event_id") % 5 > 0, F.concat(F.lit("Sub "), c("user_id").cast("string"))).otherwise("null")
+    tags = F.array(F.struct(F.when(c("event_id") % 3 > 0, 1801).otherwise(1802).alias("id")))
+    spots = F.array(F.struct(F.lit(5).alias("y"), (c("event_id") % 100).alias("x")))
+    record = F.to_json(F.struct(c("event_id").alias("eventId"), c("user_id").alias("playerId"), c("event_type").alias("eventName"), sub.alias("subEventId"), name.alias("subEventName"), F.round("value", 2).alias("eventSec"), tags.alias("tags"), spots.alias("positions")))
+    arrays = table(spark, sf_dir, "events").groupBy(F.floor(c("event_id") / 2000).alias("part")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(record), ","), F.lit("]")).alias("value"))
+    arrays.write.partitionBy("part").text(path)  # an array of 2,000 events in each file
+    out = readers.events(spark, f"{path}/*")
+    return out.select("eventId", "playerId", "eventName", "subEventId", "subEventName", "eventSec", F.get("tags", 0)["id"].alias("first_tag"), F.get("positions", 0)["x"].alias("first_x"))
