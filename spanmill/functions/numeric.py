@@ -99,3 +99,11 @@ def erfc(x: Column) -> Column:
     fraction = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), x, lambda acc, n: x + n / 2 / acc)
     scale = F.exp(-square) / math.sqrt(math.pi)
     return F.when(x < 2.5, 1 - 2 * scale * terms).otherwise(scale / fraction)
+
+
+def micros(x: Column, kind: str) -> Column:
+    """Microseconds since 1970 of a date or timestamp of Spark type ``kind``; a time without zone
+    counts as UTC, whatever the session's zone."""
+    if kind == "timestamp":
+        return F.unix_micros(x)
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), x.cast("timestamp_ntz"))

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanmill.functions.numeric import micros
 from spanmill.operators.resampling import ranged
 
 TIMES = ("date", "timestamp", "timestamp_ntz")
@@ -54,7 +55,8 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by: Sequence[str] = ()
     for b in by:
         known = known & F.col(b).isNotNull()
     if tolerance is not None:
-        seconds = (lambda c: F.unix_micros(c.cast("timestamp")) / 1e6) if dict(left.dtypes)[on] in TIMES else (lambda c: c.cast("double"))
+        kind = dict(left.dtypes)[on]
+        seconds = (lambda c: micros(c, kind) / 1e6) if kind in TIMES else (lambda c: c.cast("double"))
         known = known & (seconds(F.col("_at")) - seconds(F.col("_f")[on]) <= tolerance)
     out = met.withColumn("_f", found).withColumn("_f", F.when(known, F.col("_f")))
     return out.select(*(F.col("_l")[c].alias(c) for c in left.columns), *(F.col("_f")[c].alias(n) for c, n in names.items()))
@@ -76,7 +78,8 @@ def overlap_join(left: DataFrame, right: DataFrame, start: str, stop: str, by: S
         raise ValueError(f"columns {sorted(clash)} are in both tables; choose another prefix")
 
     def number(rows: DataFrame, c: str) -> Column:
-        return F.unix_micros(F.col(c).cast("timestamp")) if dict(rows.dtypes)[c] in TIMES else F.col(c).cast("long")
+        kind = dict(rows.dtypes)[c]
+        return micros(F.col(c), kind) if kind in TIMES else F.col(c).cast("long")
 
     def placed(rows: DataFrame, tag: str) -> DataFrame:
         a, b = number(rows, start), number(rows, stop)

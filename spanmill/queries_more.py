@@ -214,8 +214,8 @@ def orders_open_together(spark, sf_dir):
     joined = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
     spans = joined.groupBy("o_custkey", "o_orderkey").agg(F.min("o_orderdate").alias("opened"), F.max("l_shipdate").alias("shipped"))
     pairs = joins.overlap_join(spans, spans, "opened", "shipped", ["o_custkey"], prefix="other_").where("o_orderkey < other_o_orderkey")
-    micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    shared = micros(F.least("shipped", "other_shipped")) - micros(F.greatest("opened", "other_opened"))
+    at = lambda c: numeric.micros(c, dict(spans.dtypes)["opened"])
+    shared = at(F.least("shipped", "other_shipped")) - at(F.greatest("opened", "other_opened"))
     return pairs.select("o_custkey", "o_orderkey", "other_o_orderkey", shared.alias("shared"))
 
 

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from spanmill.functions.numeric import micros
+
 STATE = "n long, cents long, last long, sessions long, active long, late long"
 
 
@@ -48,7 +50,7 @@ def running_totals(events: DataFrame, entity: str = "user_id", value: str = "val
         yield pd.DataFrame({"e": [key[0]], "n": [n], "total_cents": [cents], "last_micros": [last], "n_sessions": [sessions], "active_micros": [active], "n_late": [overdue]})
 
     known = events.where(F.col(entity).isNotNull() & F.col("ts").isNotNull() & F.col(value).isNotNull())
-    slim = known.select(F.col(entity).alias("e"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.round(F.col(value) * 100).cast("long").alias("cents"))
+    slim = known.select(F.col(entity).alias("e"), micros(F.col("ts"), dict(events.dtypes)["ts"]).alias("at"), F.round(F.col(value) * 100).cast("long").alias("cents"))
     kind = dict(events.dtypes)[entity]
     out = f"e {kind}, n long, total_cents long, last_micros long, n_sessions long, active_micros long, n_late long"
     return slim.groupBy("e").applyInPandasWithState(step, out, STATE, "update", GroupStateTimeout.NoTimeout).withColumnRenamed("e", entity)
