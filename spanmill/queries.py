@@ -911,9 +911,9 @@ def imputed_percentiles(spark, sf_dir):
 @query(f"""WITH {_ELIGIBLE}, {_scaled()}, t AS (SELECT q.player_id, c.player_id AS neighbor_player_id, {_COS} AS score, row_number() OVER (PARTITION BY q.player_id ORDER BY {_COS} DESC, c.player_id)::INT AS rank
   FROM z q JOIN z c ON q.period = 'A' AND c.period = 'B' AND q.role = c.role AND q.player_id <> c.player_id) SELECT player_id, neighbor_player_id, rank, score FROM t WHERE rank <= 5""")
 def observed_neighbors(spark, sf_dir):
-    """The five nearest other people in role; fewer would be an error."""
+    """The five nearest other people in role; none would be an error.  Small tables have roles of fewer."""
     p = _population(spark, sf_dir)
-    return uncertainty.observed_neighbors(p.queries, p.candidates, ["player_id"], "player_id", "role", k=5)
+    return uncertainty.observed_neighbors(p.queries, p.candidates, ["player_id"], "player_id", "role", k=5, at_least=1)
 
 
 # ---- intervals of ranks, publication, study sheets, coverage ---------------------------------------------

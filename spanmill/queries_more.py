@@ -113,7 +113,7 @@ def _scaled_arrays(spark, sf_dir, n):
 def _neighbor_ranks(spark, sf_dir, n):
     a, b = _scaled_arrays(spark, sf_dir, n)
     population = _population(spark, sf_dir)
-    near = uncertainty.observed_neighbors(population.queries, population.candidates, ["player_id"], "player_id", "role", k=5)
+    near = uncertainty.observed_neighbors(population.queries, population.candidates, ["player_id"], "player_id", "role", k=5, at_least=1)
     return replicates.neighbor_ranks(a, b, near.select("player_id", F.col("neighbor_player_id").alias("neighbor")), "player_id", "player_id", "role", _REPLICATE_FEATURES, n)
 
 
