@@ -27,13 +27,15 @@ def krippendorff_alpha(ratings: DataFrame, unit: str, value: str) -> DataFrame:
 def wilcoxon(differences: DataFrame, value: str) -> DataFrame:
     """One row (w, z, p_value, n): two-sided signed-rank test with average ranks, tie and
     continuity correction; zeros are left out.  Ranks come from the counts of
-    each absolute value, so only distinct values are put in order."""
+    each absolute value, so only distinct values are put in order.  Cubes of counts pass
+    64 bits from two million rows on, so they are doubles."""
     d = differences.where(F.col(value) != 0).select(F.abs(value).alias("a"), (F.col(value) > 0).alias("up"))
     counts = d.groupBy("a").agg(F.count("*").alias("t"), F.count_if("up").alias("up"))
     before = F.sum("t").over(Window.orderBy("a").rowsBetween(Window.unboundedPreceding, -1))
     ranked = counts.withColumn("r", F.coalesce(before, F.lit(0)) + (F.col("t") + 1) / 2)
-    sums = ranked.agg(F.coalesce(F.sum(F.col("r") * F.col("up")), F.lit(0.0)).alias("w"), F.coalesce(F.sum("t"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")), F.lit(0)).alias("ties"))
-    n, w = F.col("n"), F.col("w")
+    t = F.col("t").cast("double")
+    sums = ranked.agg(F.coalesce(F.sum(F.col("r") * F.col("up")), F.lit(0.0)).alias("w"), F.coalesce(F.sum("t"), F.lit(0)).alias("n"), F.coalesce(F.sum(t * t * t - t), F.lit(0.0)).alias("ties"))
+    n, w = F.col("n").cast("double"), F.col("w")
     mean, var = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
     gap = w - mean
     z = F.when(var > 0, (gap - F.when(gap == 0, 0.0).otherwise(F.signum(gap) * 0.5)) / F.sqrt(var)).otherwise(0.0)
