@@ -72,3 +72,46 @@ def test_attributes_then_minutes_over_many_blocks(spark, small_blocks):
     moved = c.selectExpr("id", "team", "cast((id + 1) % 7 as double) as minutes")
     got = {r.id: (r["rank"], r.pool_size) for r in retrieval.profile_ranks(q.drop("v"), moved, ["id"], ["team"]).collect()}
     assert got == {i: (sorted(range(n), key=lambda j, i=i: key(i, j)).index(i) + 1, n) for i in range(n)}
+
+
+def test_signed_ranks_of_many_equal_differences(spark):
+    from spanmill.operators import study
+
+    r = study.wilcoxon(spark.range(3_000_000).selectExpr("cast(if(id % 3 = 0, -1, 1) as double) as d"), "d").first()
+    n = 3e6
+    gap = 2e6 * (n + 1) / 2 - n * (n + 1) / 4
+    assert r.n == 3_000_000 and r.w == 2e6 * (n + 1) / 2
+    assert r.z == pytest.approx((gap - 0.5) / (n * (n + 1) * (2 * n + 1) / 24 - (n**3 - n) / 48) ** 0.5)
+
+
+def test_draw_lists_are_not_broadcast(spark):
+    from spanmill.plans import replicates
+
+    units = spark.range(40).selectExpr("id as match_id", "id % 2 as s")
+    lists = replicates.draw_lists(units, "match_id", ["s"], 5, 1, "d")
+    sums = replicates.replicate_sums(units.selectExpr("match_id", "s as player", "1.0 as x"), lists, "match_id", ["player"], ["x"], 5)
+    plan = sums._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") >= 2 and not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "match_id" in line]
+
+
+def test_random_null_is_dealt_over_tasks(spark):
+    from spanmill.functions.hashing import counter_draw
+    from spanmill.operators import resampling
+    from pyspark.sql import functions as F
+
+    pools = spark.range(50).selectExpr("id as player_id", "id % 7 + 1 as pool_size").coalesce(1)
+    out = resampling.random_null(pools, ["player_id"], 0.5, 200, 5)
+    assert "MapInArrow" in out._jdf.queryExecution().toString()
+    tries = pools.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(199))))
+    rank = counter_draw([F.lit("null"), F.lit(5), F.col("r"), F.col("player_id")], F.col("pool_size")) + 1
+    mrr = tries.groupBy("r").agg(F.avg(1.0 / rank).alias("m"))
+    want, got = mrr.agg(F.avg("m"), F.percentile("m", F.lit(0.95)), (F.count_if(F.col("m") >= 0.5) + 1) / 201).first(), out.first()
+    assert list(got)[:3] == pytest.approx(list(want)) and got.n_permutations == 200
+
+
+def test_evidence_of_every_pair_of_a_role(spark):
+    from spanmill import queries
+
+    queries_of, rows = queries._population(spark, "/root/testdata/sf0.01"), queries.score_evidence(spark, "/root/testdata/sf0.01")
+    sizes = queries_of.queries.groupBy("role").count().join(queries_of.candidates.groupBy("role").count().withColumnRenamed("count", "c"), "role")
+    assert rows.count() == 6 * sum(r["count"] * r.c for r in sizes.collect()) and "WindowExec" not in rows._jdf.queryExecution().toString()
