@@ -12,8 +12,10 @@ is an infinity.  A power's digits add up exactly for 2**39 rows a group.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,10 +103,49 @@ def merged(parts: Column) -> Column:
     return F.when(nan, F.lit(float("nan"))).when(known(PLUS), F.lit(float("inf"))).when(known(MINUS), F.lit(float("-inf"))).otherwise(finite)
 
 
+def _digits(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, k, d) pieces of finite doubles: the sum of a row's d * 2**(24 k) is the row's value."""
+    mantissa, exponent = np.frexp(x)
+    whole, power = np.abs(mantissa * 2.0**53).astype(np.int64), exponent.astype(np.int64) - 53
+    sign, k, low = np.where(x < 0, -1, 1), power // BITS, (1 << BITS) - 1
+    out = []
+    for i in range(3):
+        part = (whole >> (BITS * i) & low) << power % BITS
+        for up, d in ((0, part & low), (1, part >> BITS)):
+            at = np.flatnonzero(d)
+            out.append((at, k[at] + i + up, (d * sign)[at]))
+    return out
+
+
+def _batch_sums(by: Sequence[str]):
+    """A batch's rows as sums of digits by group and power, marks of other values among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            value = batch.column(batch.num_columns - 1)
+            null = np.asarray(value.is_null())
+            x = value.to_numpy(zero_copy_only=False)
+            finite = np.isfinite(x) & ~null
+            pieces = _digits(np.where(finite, x, 0.0))
+            for mark, there in ((NULL, null), (NAN, np.isnan(x) & ~null), (PLUS, np.isposinf(x)), (MINUS, np.isneginf(x)), (SEEN, finite)):
+                at = np.flatnonzero(there)
+                pieces.append((at, np.full(len(at), mark), np.ones(len(at), np.int64)))
+            at, k, d = (np.concatenate(p) for p in zip(*pieces))
+            columns = [batch.column(i).take(pa.array(at)) for i in range(len(by))]
+            names = [f"b{i}" for i in range(len(by))]
+            held = pa.table([*columns, pa.array(k, pa.int32()), pa.array(d, pa.int64())], names=[*names, "k", "d"])
+            sums = held.group_by([*names, "k"], use_threads=False).aggregate([("d", "sum")]).select([*names, "k", "d_sum"])
+            yield from sums.rename_columns([*by, "k", "d"]).to_batches()
+
+    return run
+
+
 def partial_sums(rows: DataFrame, by: Sequence[str], value: Column) -> DataFrame:
     """(by, k, d): what a set of rows adds up to, a row for each group and power; two such
     tables are merged by adding up d again."""
-    parts = rows.select(*by, F.explode(split(value.cast("double"))).alias("_p")).select(*by, "_p.k", "_p.d")
+    named = rows.select(*by, value.cast("double").alias("_x"))
+    kinds = dict(named.dtypes)
+    parts = named.mapInArrow(_batch_sums(by), ", ".join([*(f"`{b}` {kinds[b]}" for b in by), "k int, d long"]))
     return parts.groupBy(*by, "k").agg(F.sum("d").alias("d"))
 
 
