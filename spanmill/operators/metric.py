@@ -56,6 +56,29 @@ def _places(rows: DataFrame, key: str, scope: str, seed: int, parts: int = 256)
     return hashed.withColumn("_within", within).join(shifts, [scope, "_part"]).withColumn("_place", F.col("_before") + F.col("_within") - 1).drop("_h", "_part", "_within", "_before")
 
 
+#: Triples that are kept together as bytes.
+PACKED = 256
+
+
+def packed(triples: DataFrame) -> DataFrame:
+    """(n, d, anchors, others): runs of triples as the bytes of their arrays, which a pass over them
+    hands to numpy without taking lists apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PACKED):
+                a, b = _arrays(batch.slice(at, PACKED))
+                yield pa.RecordBatch.from_pydict({"n": [len(a)], "d": [a.shape[2]], "anchors": [a.astype("<f8").tobytes()], "others": [b.astype("<f8").tobytes()]})
+
+    return triples.mapInArrow(run, "n long, d long, anchors binary, others binary")
+
+
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors (n, 1, d) and the others (n, 1 + k, d) of a packed row."""
+    n, d = row["n"], row["d"]
+    return np.frombuffer(row["anchors"], "<f8").reshape(n, 1, d), np.frombuffer(row["others"], "<f8").reshape(n, -1, d)
+
+
 def _arrays(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Anchors (n, 1, d) and the others (n, 1 + k, d), the positive first."""
     n = batch.num_rows
@@ -107,14 +130,13 @@ def arms_loss(a: np.ndarray, b: np.ndarray, w: np.ndarray, temperature: float) -
     return loss, direct.T @ (g / root).reshape(n * k, -1) - own.T @ (g * s / (2 * size_a)).sum(1) - other.T @ by_b
 
 
-def _partial(kernel, rows: int = 1024):
+def _partial(kernel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loss, grad, n = 0.0, 0.0, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                more, g = kernel(*_arrays(part))
-                loss, grad, n = loss + more, grad + g, n + part.num_rows
+            for row in batch.to_pylist():
+                more, g = kernel(*_unpacked(row))
+                loss, grad, n = loss + more, grad + g, n + row["n"]
         if n:
             yield pa.RecordBatch.from_pydict({"loss": [np.atleast_1d(loss).tolist()], "grad": [grad.ravel().tolist()], "n": [n]})
 
@@ -143,7 +165,7 @@ def train_arms(triples: DataFrame, size: int, strengths: Sequence[float], iterat
     A step is one job for all arms, whose gradients a pass over the triples gives together
     as a matrix.  Training ends after ``iterations`` steps, or when no arm's objective moves by
     more than ``tolerance``."""
-    triples = written(triples)
+    triples = written(packed(triples))
     pulls = np.array([2 * rate * s / size for s in strengths])
     w = np.ones((size, len(strengths)))
     history: list[np.ndarray] = []
@@ -224,7 +246,7 @@ def network_loss(a: np.ndarray, b: np.ndarray, net: dict[str, np.ndarray], tempe
 def train_network(triples: DataFrame, size: int, hidden: int, out: int, evaluate, seed: int = 0, epochs: int = 50, rate: float = 0.05, momentum: float = 0.9, patience: int = 5, temperature: float = 0.1) -> tuple[dict, float]:
     """Full-batch momentum steps; keeps the parameters with the best ``evaluate(net)`` and stops
     after ``patience`` epochs without a better one."""
-    triples = written(triples)
+    triples = written(packed(triples))
     net = init_network(size, hidden, out, seed)
     speed = np.zeros(sum(v.size for v in net.values()))
     best, best_net, waited = -np.inf, net, 0

@@ -115,3 +115,28 @@ def test_evidence_of_every_pair_of_a_role(spark):
     queries_of, rows = queries._population(spark, "/root/testdata/sf0.01"), queries.score_evidence(spark, "/root/testdata/sf0.01")
     sizes = queries_of.queries.groupBy("role").count().join(queries_of.candidates.groupBy("role").count().withColumnRenamed("count", "c"), "role")
     assert rows.count() == 6 * sum(r["count"] * r.c for r in sizes.collect()) and "WindowExec" not in rows._jdf.queryExecution().toString()
+
+
+def test_digits_of_a_batch_give_the_value(spark):
+    from fractions import Fraction
+
+    from spanmill.functions import exact
+
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=200) * 10.0 ** rng.integers(-300, 300, 200), [5e-324, -5e-324, 1.7976931348623157e308, 0.0, -0.0, 1 / 3]])
+    total = [Fraction(0)] * len(x)
+    for at, k, d in exact._digits(x):
+        assert (np.abs(d) < 1 << 24).all()
+        for i, power, digit in zip(at.tolist(), k.tolist(), d.tolist()):
+            total[i] += Fraction(digit) * Fraction(2) ** (24 * power)
+    assert total == [Fraction(float(v)) for v in x]
+
+
+def test_packed_triples_keep_their_numbers(spark):
+    from spanmill.operators import metric
+
+    rows = [([float(i), 1.0], [2.0, float(i)], [[float(i + j), 0.5] for j in range(3)]) for i in range(5)]
+    triples = spark.createDataFrame(rows, "anchor array<double>, positive array<double>, negatives array<array<double>>").coalesce(1)
+    got = [metric._unpacked(r.asDict()) for r in metric.packed(triples).collect()]
+    a, b = (np.concatenate(p) for p in zip(*got))
+    assert a.tolist() == [[r[0]] for r in rows] and b.tolist() == [[r[1], *r[2]] for r in rows]
