@@ -1,15 +1,15 @@
 """JSON documents as rows of (path, value): comparison, change counts and search at any depth.
 
-Documents are parsed to variants and opened level by level; a level is written, so
-every value is opened once however deep documents go, and the walk ends when no
-object or array is left.  Paths are ``a.b[3].c``; ``pattern`` has ``[*]`` for any place.
+Documents are parsed to variants once and written with their shape; the walk is then one pass
+that opens as many levels as the deepest shape has.  A value is opened once, a leaf is
+carried along.  Paths are ``a.b[3].c``; ``pattern`` has ``[*]`` for any place.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanmill.sources.scratch import written
@@ -21,28 +21,48 @@ def walk(documents: DataFrame, keys: Sequence[str], json: str) -> DataFrame:
     document has no rows; text that is no JSON is an error.  Rows that share their keys
     share their paths."""
     held = [F.col(k) for k in keys]
+    parsed = documents.select(*held, F.parse_json(F.col(json)).alias("_v"), F.col(json).alias("_text")).withColumn("_shape", F.schema_of_variant("_v"))
+    mixed = F.col("_shape").rlike("VARIANT|`")  # entries of several kinds, or names in quotes: the shape doesn't tell the depth
+    parsed = written(parsed.select(*held, "_v", "_shape", F.when(mixed, _depth(F.col("_text"))).alias("_deep")))
+    shapes = parsed.groupBy("_shape", "_deep").agg(F.count("*").alias("_n")).where("_n > 0").select(F.coalesce("_deep", _depth(F.translate("_shape", "<>", "[]"))).alias("depth"))
+    # the count keeps shapes apart: their depth is found once each, not once a document
+    level = parsed.where("_v is not null").select(*held, F.lit("").alias("path"), F.lit("").alias("pattern"), "_v", F.lit(None).cast("variant").alias("_leaf"))
+    for _ in range(shapes.agg(F.max("depth")).first()[0] or 0):
+        level = _opened(level, held)
+    v = F.coalesce("_leaf", "_v")
+    kind = F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1)
+    value = F.when(~F.is_variant_null(v), F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v)))
+    return level.select(*held, "path", "pattern", kind.alias("kind"), value.alias("value"))
+
+
+def _depth(text: Column) -> Column:
+    """How deep brackets of a text are nested, those in quotes left out: the steps of its brackets, of
+    which most neighbours that close and open again are dropped before they are counted."""
+    brackets = F.regexp_replace(F.regexp_replace(text, r"\\.", ""), r'"[^"]*"|[^\[\]{}"]+', "")
+    brackets = F.translate(brackets, "{}", "[]")
+    for _ in range(4):
+        brackets = F.replace(brackets, F.lit("]["), F.lit(""))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(state: Column, bracket: Column) -> Column:
+        now = state["now"] + F.when(bracket == "[", 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
+
+    return F.when(F.length(brackets) > 0, F.aggregate(F.split(brackets, ""), start, step, lambda s: s["most"])).otherwise(0)
+
+
+def _opened(level: DataFrame, held: list[Column]) -> DataFrame:
+    """Objects and arrays in ``_v`` replaced by their entries; leaves and empty ones move to ``_leaf``."""
     kind = F.schema_of_variant("_v")
-    level = documents.where(F.col(json).isNotNull()).select(*held, F.lit("").alias("path"), F.lit("").alias("pattern"), F.parse_json(F.col(json)).alias("_v"))
-    leaves = None
-    while True:
-        # variants of objects and arrays have a non-empty opening; the rest are leaves
-        opened = written(
-            level.withColumn("_kind", kind).withColumn("_nested", F.col("_kind").rlike("^(OBJECT<.|ARRAY<)") & ~F.to_json("_v").isin("[]", "{}"))
-        )
-        flat = opened.where(~F.col("_nested")).select(*held, "path", "pattern", F.regexp_extract("_kind", "^[A-Z]+", 0).alias("kind"), F.when(F.col("_kind") != "VOID", F.coalesce(F.try_variant_get("_v", "$", "string"), F.to_json("_v"))).alias("value"))
-        leaves = flat if leaves is None else leaves.unionByName(flat)
-        nested = opened.where("_nested")
-        if nested.isEmpty():
-            return leaves
-        each = nested.select(*held, "path", "pattern", "_v").lateralJoin(_opened(nested))
-        named = F.col("_key").isNotNull()
-        dot = F.when(F.col("path") == "", "").otherwise(".")
-        step = F.when(named, F.concat(dot, F.col("_key"))).otherwise(F.concat(F.lit("["), F.col("_pos").cast("string"), F.lit("]")))
-        level = each.select(*held, F.concat("path", step).alias("path"), F.concat("pattern", F.when(named, F.concat(dot, F.col("_key"))).otherwise("[*]")).alias("pattern"), F.col("_value").alias("_v"))
-
-
-def _opened(nested: DataFrame) -> DataFrame:
-    return nested.sparkSession.tvf.variant_explode(F.col("_v").outer()).toDF("_pos", "_key", "_value")
+    nested = (kind.startswith("OBJECT<") & (kind != "OBJECT<>")) | kind.startswith("ARRAY<")
+    split = level.withColumn("_nested", nested).select(*held, "path", "pattern", F.coalesce("_leaf", F.when(~F.col("_nested"), F.col("_v"))).alias("_leaf"), F.when(F.col("_nested"), F.col("_v")).alias("_v"))
+    each = split.lateralJoin(level.sparkSession.tvf.variant_explode_outer(F.col("_v").outer()).toDF("_pos", "_key", "_value"))
+    dot = F.when(F.col("path") == "", "").otherwise(".")
+    named = F.col("_key").isNotNull()
+    step = F.when(named, F.concat(dot, "_key")).when(F.col("_pos").isNotNull(), F.concat(F.lit("["), F.col("_pos").cast("string"), F.lit("]"))).otherwise("")
+    general = F.when(named, F.concat(dot, "_key")).when(F.col("_pos").isNotNull(), "[*]").otherwise("")
+    empty = F.when(F.col("_pos").isNull(), F.parse_json(F.lit("[]")))  # nothing to open and no leaf: an array without entries
+    return each.select(*held, F.concat("path", step).alias("path"), F.concat("pattern", general).alias("pattern"), F.col("_value").alias("_v"), F.coalesce("_leaf", empty).alias("_leaf"))
 
 
 def differences(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:

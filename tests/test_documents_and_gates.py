@@ -105,3 +105,13 @@ def test_clustered_tables_are_pruned(spark, tmp_path):
     groups = [pq.ParquetFile(p).metadata.row_group(i).column(0).statistics for p in (tmp_path / "laid").glob("*.parquet") for i in range(pq.ParquetFile(p).metadata.num_row_groups)]
     touched = [s for s in groups if s is not None and s.has_min_max and s.min <= 22 and s.max >= 20]
     assert len(groups) > 8 and len(touched) < len(groups) / 3
+
+
+def test_walk_writes_documents_once(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(documents, "written", lambda df, made=documents.written: tables.append(1) or made(df))
+    texts = ['{"a":{"b":{"c":[[1,{"d":"]["}]]}}}', '[1,[2,["\\\\"]],{"x<y":{"z":null}}]', '[{"a":1},{"a":[]}]', '"[[[[["', "7"]
+    got = documents.walk(spark.createDataFrame(list(enumerate(texts)), "doc long, j string"), ["doc"], "j").collect()
+    assert tables == [1]  # and not a table a level
+    want = sorted((i, p, q) for i, t in enumerate(texts) for p, q, _ in plain_walk(json.loads(t)))
+    assert sorted((r.doc, r.path, r.pattern) for r in got) == want
