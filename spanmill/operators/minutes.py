@@ -8,12 +8,25 @@ from pyspark.sql import functions as F
 from spanmill.functions.numeric import distinct_with_null
 from spanmill.functions.text import card_minute, clock_minutes
 
+#: Rows of a task, about, where the session's shuffle partitions would hold more.
+ROWS = 300_000
+
 PLAYER = "struct<playerId:long,ownGoals:string,redCards:string,goals:string,yellowCards:string>"
 FORMATION = f"struct<lineup:array<{PLAYER}>,bench:array<{PLAYER}>,substitutions:string>"
 TEAMS = f"map<string,struct<hasFormation:int,formation:{FORMATION}>>"
 SUBSTITUTIONS = "array<struct<playerIn:long,playerOut:long,minute:int>>"
 
 
+def _tasks(rows: DataFrame) -> int | None:
+    """Partitions that ``rows`` need beyond the session's, so that a task holds no more when they grow."""
+    tasks = -(-rows.count() // ROWS)
+    return tasks if tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def _dealt(rows: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    return rows.repartition(tasks, *keys) if tasks else rows
+
+
 def formations(matches: DataFrame) -> DataFrame:
     """A row per match and team of the JSON in ``teamsData``; substitutions may be a text ``null``."""
     teams = F.from_json("teamsData", TEAMS)
@@ -103,6 +116,8 @@ def stint_minutes(squads: DataFrame, bounds: DataFrame) -> DataFrame:
     """(player_id, match_id, team_id, minutes_played, derivation_status) from squads
     (match_id, team_id, player_id, positions array of from, from_period, to,
     to_period): the union of each period's stints, clipped to the period."""
+    tasks = _tasks(squads)
+    squads, bounds = (_dealt(x, tasks, "match_id") for x in (squads, bounds))
     last = bounds.groupBy("match_id").agg(F.max("period").alias("_last"), F.max_by("stop", "period").alias("_whistle"))
     keys = ["player_id", "match_id", "team_id"]
     stints = squads.select(*keys, F.explode("positions").alias("s")).join(last, "match_id", "left")
@@ -116,14 +131,17 @@ def stint_minutes(squads: DataFrame, bounds: DataFrame) -> DataFrame:
     end = F.least(F.when(F.col("period") == F.col("_p2"), F.col("_to")), F.col("stop"))
     per_period = interval_union(within.select(*keys, "period", begin.alias("start"), end.alias("stop")), [*keys, "period"])
     covered = per_period.groupBy(*keys).agg(F.sum("covered").alias("covered"), F.bool_or("overlap").alias("overlap"))
-    whole = squads.select(*keys).distinct().join(covered, keys, "left")
+    whole, covered = (_dealt(x, tasks, *keys) for x in (squads.select(*keys), covered))
+    whole = whole.distinct().join(covered, keys, "left")
     status = F.when(F.col("overlap"), "overlap_merged").otherwise("clean")
     return whole.select(*keys, F.round(F.coalesce("covered", F.lit(0.0)), 3).alias("minutes_played"), status.alias("derivation_status"))
 
 
 def season_minutes(minutes: DataFrame, matches: DataFrame) -> DataFrame:
     """(player_id, competitionId, minutes_played, matches_appeared) of players with minutes."""
-    scoped = minutes.join(matches.select(F.col("wyId").alias("match_id"), "competitionId"), "match_id", "left")
+    tasks = _tasks(minutes)
+    named = matches.select(F.col("wyId").alias("match_id"), "competitionId")
+    scoped = _dealt(minutes, tasks, "match_id").join(_dealt(named, tasks, "match_id"), "match_id", "left")
     return scoped.where("minutes_played > 0").groupBy("player_id", "competitionId").agg(F.sum("minutes_played").alias("minutes_played"), F.count_distinct("match_id").alias("matches_appeared"))
 
 

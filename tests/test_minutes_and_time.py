@@ -94,3 +94,13 @@ def test_season_and_population(spark):
     got = minutes.population(season, spark.createDataFrame([(1, "F")], "player_id long, role string"), spark.createDataFrame([(5, "L")], "competitionId long, competition string"), 100)
     assert {(r.facet, r.value, r.n_players) for r in got.collect()} == {("all", None, 1), ("competition", "L", 1), ("role", "F", 1)}
     assert got.where(F.col("n_players") > 1).count() == 0
+
+
+def test_tasks_of_minutes_grow_with_the_rows(spark, monkeypatch):
+    played = spark.range(1000).select((F.col("id") % 7).alias("player_id"), (F.col("id") % 90).alias("match_id"), F.lit(1.0).alias("minutes_played"))
+    matches = spark.range(90).select(F.col("id").alias("wyId"), (F.col("id") % 3).alias("competitionId"))
+    whole = sorted(map(tuple, minutes.season_minutes(played, matches).collect()))
+    monkeypatch.setattr(minutes, "ROWS", 100)
+    dealt = minutes.season_minutes(played, matches)
+    assert "hashpartitioning(match_id" in (plan := dealt._jdf.queryExecution().executedPlan().toString()) and ", 10), REPARTITION_BY_NUM" in plan
+    assert sorted(map(tuple, dealt.collect())) == whole
