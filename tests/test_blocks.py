@@ -140,3 +140,37 @@ def test_packed_triples_keep_their_numbers(spark):
     got = [metric._unpacked(r.asDict()) for r in metric.packed(triples).collect()]
     a, b = (np.concatenate(p) for p in zip(*got))
     assert a.tolist() == [[r[0]] for r in rows] and b.tolist() == [[r[1], *r[2]] for r in rows]
+
+
+def test_profiles_of_periods_read_lines_once_and_are_scaled_once(spark):
+    from spanmill import queries, queries_more
+
+    for name in ("provider_period_profiles", "provider_period_profiles_2"):
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("l_linenumber#") and plan.count("Aggregate [") == 1, name
+    p = queries_more._population(spark, "/root/testdata/sf0.001")
+    for side in (p.queries, p.candidates):
+        assert "Aggregate" not in side._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_searched_ranks_agree_with_every_pair():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    for size in (1, 2, 30, 90):
+        c, q = rng.choice([0.1, 0.2, 0.3, 1e16, np.nan, np.inf, -np.inf, 4.0], size), rng.choice([0.1, 0.3, np.nan, np.inf, 1.0], size)
+        with np.errstate(invalid="ignore"):
+            gap = np.abs(c - q)
+            far = np.abs(q[:, None] - c[None, :])
+        values = [pa.chunked_array([pa.array([None if x == 2 else int(x) for x in rng.integers(0, 3, size)], pa.int64())]) for _ in range(4)]
+        codes = [blocks._codes(a, b) for a, b in zip(values[:2], values[2:])]
+        qp, cp = rng.permutation(2 * size)[:size], np.arange(size) * 2
+        unequal = (codes[0][0][:, None] != codes[0][1][None, :]) * 2 + (codes[1][0][:, None] != codes[1][1][None, :])
+        for level in range(4):
+            want = (unequal < level) | (unequal == level) & ((far < gap[:, None]) | (far == gap[:, None]) & (cp[None, :] < qp[:, None]))
+            got = np.zeros(size, np.int64)
+            for lower in range(level + 1):
+                for sign, equal in blocks._parts(lower, 2):
+                    met, closer = blocks._nearer(np.arange(size), [codes[k] for k in equal], q, c, gap, qp, cp)
+                    got += sign * (met if lower < level else closer)
+            assert got.tolist() == want.sum(1).tolist()
