@@ -174,3 +174,17 @@ def test_searched_ranks_agree_with_every_pair():
                     met, closer = blocks._nearer(np.arange(size), [codes[k] for k in equal], q, c, gap, qp, cp)
                     got += sign * (met if lower < level else closer)
             assert got.tolist() == want.sum(1).tolist()
+
+
+def test_draws_of_resampled_means_are_dealt_over_tasks(spark):
+    from spanmill.functions.hashing import counter_draw
+    from spanmill.operators import resampling
+    from pyspark.sql import functions as F
+
+    values = spark.range(40).selectExpr("id", "cast(id * id as double) as x").coalesce(1)
+    out = resampling.resample_means(values, "x", ["id"], 30, 7)
+    assert "MapInArrow" in out._jdf.queryExecution().toString()
+    draw = counter_draw([F.lit("paired"), F.lit(7), F.col("replicate"), F.col("id")], F.lit(40))
+    draws = values.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(29)))).select("replicate", draw.alias("i"))
+    want = {r.replicate: r.m for r in draws.groupBy("replicate").agg(F.avg(F.col("i") * F.col("i")).alias("m")).collect()}
+    assert {r.replicate: r["mean"] for r in out.collect()} == pytest.approx(want)
