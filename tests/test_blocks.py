@@ -188,3 +188,10 @@ def test_draws_of_resampled_means_are_dealt_over_tasks(spark):
     draws = values.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(29)))).select("replicate", draw.alias("i"))
     want = {r.replicate: r.m for r in draws.groupBy("replicate").agg(F.avg(F.col("i") * F.col("i")).alias("m")).collect()}
     assert {r.replicate: r["mean"] for r in out.collect()} == pytest.approx(want)
+
+
+def test_eligible_profiles_are_computed_once(spark):
+    from spanmill.plans import stand_in
+
+    plan = stand_in.eligible(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_quantity" not in plan and "spanmill-" in stand_in.eligible(spark, "/root/testdata/sf0.001").inputFiles()[0]
