@@ -195,3 +195,16 @@ def test_eligible_profiles_are_computed_once(spark):
 
     plan = stand_in.eligible(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "l_quantity" not in plan and "spanmill-" in stand_in.eligible(spark, "/root/testdata/sf0.001").inputFiles()[0]
+
+
+def test_ranges_are_found_without_passing_over_all_cuts(spark):
+    from spanmill.operators import resampling
+    from pyspark.sql import functions as F
+
+    rows = spark.range(5000).selectExpr("if(id % 97 = 0, null, id * 7919 % 3001) as x")
+    for ranges in (1, 2, 5, 32, 33):
+        dealt = resampling.ranged(rows, "x", ranges)
+        assert "lambda" not in dealt._jdf.queryExecution().optimizedPlan().toString()
+        cuts = rows.agg(F.array_distinct(F.percentile_approx("x", F.array(*(F.lit(i / ranges) for i in range(1, ranges))), F.lit(100 * ranges)))).first()[0] if ranges > 1 else []
+        got = dealt.select("x", "_part").collect()
+        assert all(r._part == (0 if r.x is None else sum(c <= r.x for c in cuts)) for r in got), ranges
