@@ -15,6 +15,16 @@ def flagged(spark, rows):
     return features.with_flags(events).withColumnsRenamed({"playerId": "player_id", "matchId": "match_id"})
 
 
+def test_tags_are_compiled(spark):
+    """Unknown tags and tag lists, and no step that is interpreted row by row."""
+    from spanmill.functions.arrays import has_any_tag
+
+    df = spark.createDataFrame([(1, [(101,), (5,)]), (2, [(5,), (None,)]), (3, []), (4, None), (5, [(301,), (None,)]), (6, [(5,)])], "id long, tags array<struct<id:long>>")
+    out = df.select("id", has_any_tag(F.col("tags"), [101, 301]).alias("x"))
+    assert {r.id: r.x for r in out.collect()} == {1: True, 2: None, 3: False, 4: None, 5: True, 6: False}
+    assert "lambdafunction" not in spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
+
+
 def minutes(spark, *rows):
     return spark.createDataFrame(list(rows), "player_id long, minutes_played long")
 
