@@ -76,6 +76,25 @@ def test_halves(spark):
     assert split(spark, [(1, 1, "x"), (2, 2, "x"), (3, 2, "y")]) == {1: "B", 2: "A", 3: "B"}
 
 
+def test_halves_order_a_date_alone(spark):
+    """Unknown scopes and dates have their own place, repeated matches count, and no window orders a scope's matches."""
+    import random
+    import re
+
+    rng = random.Random(4)
+    rows = [(rng.randrange(300), rng.choice([1, 2, None]), rng.choice([None, "a", "b", "c", "d"])) for _ in range(400)] + [(i, 3, "a") for i in range(7)]
+    df = spark.createDataFrame(rows, "match_id long, competitionId long, date string")
+    out = temporal.assign_periods(df)
+    want = []
+    for scope in {r[1] for r in rows}:
+        held = sorted(((d is not None, d or "", m) for m, s, d in rows if s == scope))
+        want += [(m, scope, "A" if i < len(held) // 2 else "B") for i, (_, _, m) in enumerate(held)]
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted((tuple(r) for r in out.collect()), key=key) == sorted(want, key=key)
+    plan = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
+    assert set(re.findall(r"row_number\(\) windowspecdefinition\((\w+)#\w+, (\w+)#\w+, match_id", plan)) == {("competitionId", "date")}
+
+
 def test_eligibility_and_total_lookup(spark):
     rows = [(1, "A", 100), (1, "B", 100), (2, "A", 100), (2, "B", 10), (3, "A", 100)]
     df = spark.createDataFrame(rows, "player_id long, period string, minutes_played long")

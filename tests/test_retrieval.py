@@ -20,6 +20,18 @@ def test_scaler_nulls_and_constants(spark):
     assert [r.a for r in got] == pytest.approx([-1 / spread, 0.0, 1 / spread]) and {r.b for r in got} == {r.c for r in got} == {0.0}
 
 
+def test_scales_of_vectors(spark):
+    """The same z-scores as by columns, by an aggregation whose length doesn't grow with the features."""
+    rows = [(i, float(i * i % 7), None if i % 3 else i / 7, 5.0, None, float("nan") if i == 4 else i * 1e9) for i in range(20)]
+    df = frame(spark, rows, "id long, a double, b double, c double, d double, e double")
+    names = ["a", "b", "c", "d", "e"]
+    wide = {r.id: [r[f] for f in names] for r in retrieval.standardize(df, names).withColumns({f: F.round(f, 6) for f in names}).collect()}
+    v = retrieval.as_vectors(df, names, ["id"])
+    got = {r.id: r.v for r in retrieval.scaled_vectors(v, retrieval.fit_scales(v), 6).collect()}
+    assert got.keys() == wide.keys() and all(got[k] == pytest.approx(wide[k], nan_ok=True) for k in wide)
+    assert {x for r in retrieval.scaled_vectors(v, retrieval.fit_scales(v.where("id < 0")), 6).collect() for x in r.v} == {0.0}
+
+
 def ranks(q, c, entity, keys, **k):
     return {tuple(r[e] for e in entity): (r["rank"], r.pool_size) for r in retrieval.self_ranks(q, c, entity, keys, **k).collect()}
 
