@@ -19,7 +19,7 @@ columns are ignored, an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
+import gc
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -140,10 +140,10 @@ class ByteCoder:
     text, so the pieces between such spaces are encoded apart, each distinct
     one once.  A piece of letters, perhaps with a run of ASCII marks after it, and
     perhaps with such a word on the next line, is cut by the pre-tokenizer just there;
-    its parts go to the vocabulary's merges directly.  Other pieces go through
-    the whole tokenizer."""
+    its parts go to the vocabulary's merges directly, or are known as pieces of
+    their own.  Other pieces go through the whole tokenizer."""
 
-    WORDS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)(?:\n([^\W\d_]+)([!-&(-/:-@\[-`{-~]*))?")
+    MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 
     def __init__(self, tokenizer_file: str, limit: int = TABLE_BYTES) -> None:
         from tokenizers import Tokenizer
@@ -165,34 +165,46 @@ class ByteCoder:
 
     def _parts(self, piece: str) -> tuple[str, ...]:
         """(word, marks) or (word, marks, word, marks) of a piece, () where it is none of these."""
-        m = self.WORDS.fullmatch(piece)
-        if not m:
-            return ()
-        word, marks, other, more = m.groups()
-        if not word.isalpha() or other and not other.isalpha():
-            return ()
-        return (" " + word, marks, other, more) if other else (" " + word, marks)
+        word = piece.rstrip(self.MARKS)
+        if word.isalpha():
+            return word, piece[len(word) :]
+        first, line, second = piece.partition("\n")
+        word, other = first.rstrip(self.MARKS), second.rstrip(self.MARKS)
+        return (word, first[len(word) :], other, second[len(other) :]) if line and word.isalpha() and other.isalpha() else ()
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces, each with a space before it."""
-        parts = [(" " + p,) if p.isalpha() else self._parts(p) for p in pieces]
-        words = self.words.of({w for s in parts for w in s[::2]})
-        marks = self.marks.of({m for s in parts for m in s[1::2]})
-        others = iter(self._whole([" " + p for p, s in zip(pieces, parts) if not s]))
-
-        def joined(s: tuple[str, ...]) -> bytes:
-            if len(s) < 3:
-                return words[s[0]] + marks[s[1]] if s else next(others)
-            return words[s[0]] + marks[s[1]] + self.line + words[s[2]] + marks[s[3]]
-
-        return [words[s[0]] if len(s) == 1 else joined(s) for s in parts]
+        alone = [p for p in pieces if p.isalpha()]
+        made = dict(zip(alone, self._words([" " + p for p in alone])))
+        parts = {p: self._parts(p) for p in pieces if p not in made}
+        whole = [p for p, s in parts.items() if not s]
+        first = {s[0] for s in parts.values() if s}
+        spaced = {w: ids for w in first if (ids := made.get(w) or self.table.get(w))}
+        words = self.words.of({" " + w for w in first if w not in spaced} | {s[2] for s in parts.values() if len(s) > 2})
+        spaced.update([(w, words[" " + w]) for w in first if w not in spaced])
+        marks = self.marks.of({m for s in parts.values() for m in s[1::2]})
+        made.update(zip(whole, self._whole([" " + p for p in whole])))
+        for p, s in parts.items():
+            if len(s) == 2:
+                made[p] = spaced[s[0]] + marks[s[1]]
+            elif s:
+                made[p] = spaced[s[0]] + marks[s[1]] + self.line + words[s[2]] + marks[s[3]]
+        return [made[p] for p in pieces]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [cut_at_spaces(t) for t in texts]
-        heads = self.heads.ids([p[:1] for p in pieces])
-        for p in pieces:
-            del p[0]
-        return [a + b for a, b in zip(heads, self.table.ids(pieces))]
+        """Ids of whole texts.  Collection of cycles rests meanwhile: it would walk the tables over and over, and what
+        is made here has no cycles."""
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            pieces = [cut_at_spaces(t) for t in texts]
+            heads = self.heads.ids([p[:1] for p in pieces])
+            for p in pieces:
+                del p[0]
+            return [a + b for a, b in zip(heads, self.table.ids(pieces))]
+        finally:
+            if collects:
+                gc.enable()
 
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, pool: int = POOL) -> DataFrame:

@@ -53,6 +53,26 @@ def test_words_marks_and_lines_like_the_library(byte_coder, text):
     assert np.frombuffer(byte_coder.encode([text])[0], "<u4").tolist() == byte_coder.model.encode(text, add_special_tokens=False).ids
 
 
+def test_words_known_as_pieces_are_not_segmented_again(monkeypatch):
+    """A word is segmented once, alone or with marks, and ids stay those of the library while tables start over."""
+    import gc
+
+    asked = []
+    monkeypatch.setattr(packing.ByteCoder, "_words", lambda self, words, f=packing.ByteCoder._words: asked.extend(words) or f(self, words))
+    monkeypatch.setattr(packing.ByteCoder, "_whole", lambda self, texts, f=packing.ByteCoder._whole: f(self, texts) if not asked.append(gc.isenabled()) else None)
+    coder = packing.ByteCoder(tokenizer_file("byte_bpe_50k.json"))
+    asked.clear()
+    coder.encode(["x Wort Wort, Wort.\nWort", "x Wort; Wort.\nWort! über, über"])
+    coder.encode(["x Wort: über. Mond,", "x Mond!"])
+    assert sorted(w for w in asked if isinstance(w, str)) == sorted([" Wort", "Wort", " über", " Mond"]) and not any(w is True for w in asked) and gc.isenabled()
+    rng = random.Random(3)
+    words = ["Wort", "über", "Mond", "a", "Zé", "٣x", "it's", "(q)", "f\ng", "f,\ng.", "f\n\ng", "x²!", "_", "a_b", "ａ."]
+    small = packing.ByteCoder(tokenizer_file("byte_bpe_50k.json"), limit=3 * tokens.ENTRY_BYTES)
+    for _ in range(60):
+        texts = [" ".join(rng.choice(words) + rng.choice(["", "", ",", ".\n" + rng.choice(words)]) for _ in range(rng.randrange(12))) for _ in range(3)]
+        assert [np.frombuffer(b, "<u4").tolist() for b in small.encode(texts)] == [small.model.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_a_full_table_starts_over():
     seen = []
     limit = 3 * tokens.ENTRY_BYTES + 20
