@@ -117,6 +117,16 @@ def test_evidence_of_every_pair_of_a_role(spark):
     assert rows.count() == 6 * sum(r["count"] * r.c for r in sizes.collect()) and "WindowExec" not in rows._jdf.queryExecution().toString()
 
 
+def test_evidence_of_a_pair_is_compiled(spark):
+    from spanmill.operators import evidence
+
+    pairs = spark.createDataFrame([(1, [3.0, -0.0], [1.0, 2.0], 3.0, 2.0), (2, [None, 1.0], [1.0, float("nan")], 1.0, 1.0), (3, [0.0, 0.0], [1.0, 1.0], 0.0, 1.0)], "id long, qv array<double>, cv array<double>, qn double, cn double")
+    rows = evidence.contributions(pairs, ["a", "b"], {})
+    got = {(r.id, r.feature_id): (r.place, r.contribution) for r in rows.collect()}
+    assert got[1, "a"] == (1, 0.5) and got[1, "b"] == (2, 0.0) and got[2, "a"] == (2, None) and got[2, "b"][0] == 1 and got[3, "a"] == (1, 0.0) and got[3, "b"] == (2, 0.0)
+    assert "lambda" not in spark._jvm.PythonSQLUtils.explainString(rows._jdf.queryExecution(), "simple")
+
+
 def test_digits_of_a_batch_give_the_value(spark):
     from fractions import Fraction
 
