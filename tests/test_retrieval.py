@@ -108,3 +108,23 @@ def test_contributions_add_up(spark):
     assert evidence.check_totals(rows, scores, ["id"]).count() == 0
     assert evidence.check_totals(rows, scores.withColumn("score", F.col("score") + 1), ["id"]).count() == 2
     assert {r.family_id for r in evidence.family_contributions(rows, ["id"]).collect()} == {"f", "g"}
+
+
+def test_replication_leaves_carries_out_of_the_28(spark):
+    """Against a plain version: the 28 features are those without the two of carries, the 30 hold them."""
+    from spanmill import queries_more as more
+
+    sf_dir, carries = "/root/testdata/sf0.001", {"carry_proxy_p90", "carry_distance_proxy_p90"}
+    assert len(more.SHARED_28) == 28 and set(more.SHARED_30) - set(more.SHARED_28) == carries
+    rows = more.QUERIES["provider_period_profiles_2"](spark, sf_dir).orderBy("period", "player_id").collect()
+    want = {}
+    for name, out in (("28", carries), ("30", set())):
+        x = np.array([[r[f] for f in more.SHARED_30 if f not in out] for r in rows], float)
+        x = np.where(np.isnan(x), np.nanmean(x, 0), x)
+        spread = x.std(0, ddof=1)
+        z = np.round((x - x.mean(0)) / np.where(spread > 0, spread, 1.0), 6)
+        a, b = z[: len(z) // 2], z[len(z) // 2 :]
+        score = np.round(a @ b.T / np.linalg.norm(a, axis=1)[:, None] / np.linalg.norm(b, axis=1), 6)
+        want[name] = np.mean([1 / (1 + sum((-s, j) < (-row[i], i) for j, s in enumerate(row))) for i, row in enumerate(score)])
+    got = more.QUERIES["provider_replication"](spark, sf_dir).where("scope = 'global' AND baseline = 'B'").collect()
+    assert {r.features: r.mrr for r in got} == pytest.approx(want) and want["28"] != want["30"]
