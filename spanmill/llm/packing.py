@@ -23,6 +23,7 @@ import gc
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ POOL = 8192
 #: Tokens of a sequence that may stay empty while remainders are left.
 SLACK = 8
 END_ID = 0
+#: Characters of text whose pieces are looked up together.
+RUN_CHARS = 4 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -192,21 +195,34 @@ class ByteCoder:
         return [made[p] for p in pieces]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts.  Collection of cycles rests meanwhile: it would walk the tables over and over, and what
-        is made here has no cycles."""
+        """Ids of whole texts.  Only distinct pieces become Python strings; ids are joined by position in numpy.
+        Collection of cycles rests meanwhile: it would walk the tables over and over, and what is made here has no
+        cycles."""
         collects = gc.isenabled()
         gc.disable()
         try:
-            pieces = [cut_at_spaces(t) for t in texts]
-            heads = self.heads.ids([p[:1] for p in pieces])
-            for p in pieces:
-                del p[0]
-            return [a + b for a, b in zip(heads, self.table.ids(pieces))]
+            pieces, at = cut_at_spaces(texts)
+            coded = pieces.dictionary_encode()
+            distinct, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+            heads = self.heads.of([p for p in distinct if p[0] != " "])
+            bare = [p[1:] if p[0] == " " else None for p in distinct]
+            spaced = self.table.of([p for p in bare if p is not None])
+            return _joined([heads[p] if b is None else spaced[b] for p, b in zip(distinct, bare)], codes, at)
         finally:
             if collects:
                 gc.enable()
 
 
+def _joined(ids: list[bytes], codes: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """The ids of texts whose pieces are ``codes``, those of a text from ``at`` to the next."""
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    first, here = np.cumsum(size) - size, size[codes]
+    end = np.concatenate([[0], np.cumsum(here)])
+    source = np.repeat(first[codes] - end[:-1], here) + np.arange(end[-1])
+    out = np.frombuffer(b"".join(ids), "<u4")[source]
+    return [out[a:b].tobytes() for a, b in pairwise(end[at].tolist())]
+
+
 def pack_documents(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, pool: int = POOL) -> DataFrame:
     """``docs`` (doc_id, text) -> a row per piece, see ``SCHEMA``."""
     bound_batches(docs.sparkSession)
@@ -236,7 +252,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, p
 
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            bodies = (x for some in grouped(texts) for x in coder.encode(some))
+            bodies = (x for some in grouped(texts, RUN_CHARS) for x in coder.encode(some))
             for doc, body in zip(batch.column(0).to_pylist(), bodies):
                 ids = body + end
                 tokens = len(ids) // 4

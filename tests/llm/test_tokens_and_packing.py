@@ -73,6 +73,22 @@ def test_words_known_as_pieces_are_not_segmented_again(monkeypatch):
         assert [np.frombuffer(b, "<u4").tolist() for b in small.encode(texts)] == [small.model.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+SPACED = st.lists(st.sampled_from(["a", "é", "字", "😀", " ", "  ", "\n", "\x1f", "\x85", "\xa0", "\u1680", "\u2009", "\u2028", "\u205f", "\u3000", "\u200b", "Å"]), max_size=9).map("".join)
+
+
+@settings(max_examples=600, deadline=None)
+@given(texts=st.lists(SPACED, max_size=5))
+def test_texts_are_cut_together_like_each_alone(texts):
+    import re
+
+    pieces, at = tokens.cut_at_spaces(texts)
+    pieces = pieces.to_pylist()
+    assert at.tolist()[-1] == len(pieces)
+    for text, a, b in zip(texts, at.tolist(), at.tolist()[1:]):
+        first, *others = re.split(r"(?<=\S) ", text)
+        assert pieces[a:b] == ([first, *(" " + p for p in others)] if text else [])
+
+
 def test_a_full_table_starts_over():
     seen = []
     limit = 3 * tokens.ENTRY_BYTES + 20
