@@ -22,6 +22,10 @@ from spanmill.operators import retrieval
 from spanmill.sources.scratch import written
 
 
+#: Places of a scope whose queries are put together.
+NEAR = 4096
+
+
 def training_triples(queries: DataFrame, candidates: DataFrame, entity: str, scope: str, negatives: int = 32, seed: int = 0) -> DataFrame:
     """(entity, anchor, positive, negatives array<array<double>>): each query with its own row
     and up to ``negatives`` others of its scope; fewer are repeated in turn, and a query
@@ -38,10 +42,13 @@ def training_triples(queries: DataFrame, candidates: DataFrame, entity: str, sco
     steps = F.sequence(F.lit(0).cast("long"), F.least(F.col("_size"), F.lit(negatives + 1).cast("long")) - 1)
     wanted = own.select(entity, scope).join(sizes, scope).select(entity, scope, "_size", F.explode(steps).alias("_n"))
     wanted = wanted.withColumn("_place", F.pmod(F.pmod(start, F.col("_size")) + F.col("_n"), F.col("_size")))
+    wanted = wanted.withColumn("_first", F.pmod(start, F.col("_size")))
     met = wanted.join(ring, [scope, "_place"]).where(F.col(entity) != F.col("_other"))
-    held = met.groupBy(entity).agg(F.slice(F.array_sort(F.collect_list(F.struct("_n", "_v"))), 1, negatives).alias("_held"))
+    held = met.groupBy(entity).agg(F.slice(F.array_sort(F.collect_list(F.struct("_n", "_v"))), 1, negatives).alias("_held"), F.first("_first").alias("_first"))
     cycled = F.transform(F.sequence(F.lit(0), F.lit(negatives - 1)), lambda i: F.get(F.col("_held"), (i % F.size("_held")).cast("int"))["_v"])
-    return own.join(held, entity).select(entity, "anchor", "positive", cycled.alias("negatives"))
+    # queries that start at near places share most of their others, which ``packed`` then keeps once
+    near = own.join(held, entity).repartition(scope, F.floor(F.col("_first") / NEAR)).sortWithinPartitions(scope, "_first", entity)
+    return near.select(entity, "anchor", "positive", cycled.alias("negatives"))
 
 
 def _places(rows: DataFrame, key: str, scope: str, seed: int, parts: int = 256) -> DataFrame:
@@ -56,27 +63,35 @@ def _places(rows: DataFrame, key: str, scope: str, seed: int, parts: int = 256)
     return hashed.withColumn("_within", within).join(shifts, [scope, "_part"]).withColumn("_place", F.col("_before") + F.col("_within") - 1).drop("_h", "_part", "_within", "_before")
 
 
-#: Triples that are kept together as bytes.
-PACKED = 256
+#: Triples that are kept together as bytes, and different others up to which a pack is compared as a whole.
+PACKED, COMPARED = 64, 512
 
 
 def packed(triples: DataFrame) -> DataFrame:
-    """(n, d, anchors, others): runs of triples as the bytes of their arrays, which a pass over them
-    hands to numpy without taking lists apart."""
+    """(n, d, anchors, others, places): runs of triples as the bytes of their arrays, which a pass over them
+    hands to numpy without taking lists apart.  A vector that several triples have among their others is kept once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, PACKED):
                 a, b = _arrays(batch.slice(at, PACKED))
-                yield pa.RecordBatch.from_pydict({"n": [len(a)], "d": [a.shape[2]], "anchors": [a.astype("<f8").tobytes()], "others": [b.astype("<f8").tobytes()]})
+                flat = np.ascontiguousarray(b.astype("<f8").reshape(-1, b.shape[2]))
+                _, first, place = np.unique(flat.view(f"V{flat.shape[1] * 8}").ravel(), return_index=True, return_inverse=True)
+                yield pa.RecordBatch.from_pydict({"n": [len(a)], "d": [a.shape[2]], "anchors": [a.astype("<f8").tobytes()], "others": [flat[first].tobytes()], "places": [place.astype("<i4").tobytes()]})
+
+    return triples.mapInArrow(run, "n long, d long, anchors binary, others binary, places binary")
+
 
-    return triples.mapInArrow(run, "n long, d long, anchors binary, others binary")
+def _shared(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors (n, d), the different others (m, d) and which of them a triple has (n, 1 + k)."""
+    n, d = row["n"], row["d"]
+    return np.frombuffer(row["anchors"], "<f8").reshape(n, d), np.frombuffer(row["others"], "<f8").reshape(-1, d), np.frombuffer(row["places"], "<i4").reshape(n, -1)
 
 
 def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
     """Anchors (n, 1, d) and the others (n, 1 + k, d) of a packed row."""
-    n, d = row["n"], row["d"]
-    return np.frombuffer(row["anchors"], "<f8").reshape(n, 1, d), np.frombuffer(row["others"], "<f8").reshape(n, -1, d)
+    anchors, others, places = _shared(row)
+    return anchors[:, None], others[places]
 
 
 def _arrays(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -130,12 +145,39 @@ def arms_loss(a: np.ndarray, b: np.ndarray, w: np.ndarray, temperature: float) -
     return loss, direct.T @ (g / root).reshape(n * k, -1) - own.T @ (g * s / (2 * size_a)).sum(1) - other.T @ by_b
 
 
-def _partial(kernel):
+def shared_loss(a: np.ndarray, u: np.ndarray, places: np.ndarray, w: np.ndarray, temperature: float) -> tuple[np.ndarray, np.ndarray]:
+    """``arms_loss`` of anchors and the others that ``places`` names among ``u``: all anchors meet all of ``u`` in a
+    matrix product, and squares are made once a vector, not once a triple.  Few shared vectors go the plain way."""
+    (n, m), arms = (len(a), len(u)), w.shape[1]
+    if m > COMPARED:
+        return arms_loss(a[:, None], u[places], w, temperature)
+    own, other = a * a, u * u
+    size_a, size_b = np.maximum(own @ w, 1e-12)[:, None], np.maximum(other @ w, 1e-12)[places]
+    root = np.sqrt(np.maximum(size_a * size_b, 1e-12))
+    rows = np.arange(n)[:, None]
+    s = np.stack([((a * w[:, k]) @ u.T)[rows, places] for k in range(arms)], axis=2) / root
+    z = s / temperature
+    z -= z.max(axis=1, keepdims=True)
+    p = np.exp(z)
+    p /= p.sum(axis=1, keepdims=True)
+    loss = -np.log(np.maximum(p[:, 0], 1e-12)).sum(0)
+    p[:, 0] -= 1
+    g = p / temperature
+    direct, by_a, by_b = g / root, (g * s / (2 * size_a)).sum(1), g * s / (2 * size_b)
+    cells, each = (rows * m + places).ravel(), places.ravel()
+    grad = -(own.T @ by_a)
+    for k in range(arms):
+        met = np.bincount(cells, direct[:, :, k].ravel(), n * m).reshape(n, m)
+        grad[:, k] += ((met @ u) * a).sum(0) - other.T @ np.bincount(each, by_b[:, :, k].ravel(), m)
+    return loss, grad
+
+
+def _partial(kernel, taken):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loss, grad, n = 0.0, 0.0, 0
         for batch in batches:
             for row in batch.to_pylist():
-                more, g = kernel(*_unpacked(row))
+                more, g = kernel(*taken(row))
                 loss, grad, n = loss + more, grad + g, n + row["n"]
         if n:
             yield pa.RecordBatch.from_pydict({"loss": [np.atleast_1d(loss).tolist()], "grad": [grad.ravel().tolist()], "n": [n]})
@@ -143,9 +185,9 @@ def _partial(kernel):
     return run
 
 
-def _step(triples: DataFrame, kernel) -> tuple[np.ndarray, np.ndarray]:
+def _step(triples: DataFrame, kernel, taken=_unpacked) -> tuple[np.ndarray, np.ndarray]:
     """Mean losses and flat gradient over all triples: a row a partition comes to the driver."""
-    parts = triples.mapInArrow(_partial(kernel), "loss array<double>, grad array<double>, n long").collect()
+    parts = triples.mapInArrow(_partial(kernel, taken), "loss array<double>, grad array<double>, n long").collect()
     n = sum(p.n for p in parts)
     if not n:
         raise ValueError("no training triples")
@@ -170,7 +212,7 @@ def train_arms(triples: DataFrame, size: int, strengths: Sequence[float], iterat
     w = np.ones((size, len(strengths)))
     history: list[np.ndarray] = []
     for _ in range(iterations):
-        loss, grad = _step(triples, lambda a, b, w=w: arms_loss(a, b, w, temperature))
+        loss, grad = _step(triples, lambda a, u, places, w=w: shared_loss(a, u, places, w, temperature), _shared)
         history.append(loss + np.array(strengths) * np.mean((w - 1) ** 2, axis=0))
         w = np.maximum((w - rate * grad.reshape(w.shape) + pulls) / (1 + pulls), 0.0)
         if (w.sum(0) <= 0).any():
